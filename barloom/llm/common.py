@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.nan_to_num(np.asarray(pa.compute.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.float64)))
+        ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.float64)))
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0.0
