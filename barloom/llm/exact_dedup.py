@@ -50,7 +50,7 @@ def exact_dedup(
     winners = sharded.groupBy("_d", "_t").agg(
         F.max("_i").alias("keep_id"),
         F.sum("_n").alias("group_size"),
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("_s"))).alias("_mask"),
+        F.expr("bit_or(shiftleft(1L, _s))").alias("_mask"),
     )
     clash = _has_clash(docs, norm, key, digest)
     keep = ["_d", "_t"] if clash else ["_d"]
