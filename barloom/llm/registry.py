@@ -1,10 +1,12 @@
 """Queries of this subpackage by name, and their DuckDB twins where SQL can express them."""
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .jaccard_join import op8_jaccard_join
 from .quality_rules import op6_quality_rules
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 SQL = {"op2_exact_dedup": OP2_SQL}
