@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +53,11 @@ def spread(df: DataFrame, rows_each: int, n_rows: int) -> int:
     return max(least, -(-n_rows // rows_each))
 
 
+def schema_with(given: list[T.StructField], more: str) -> T.StructType:
+    """The fields that pass through, then those of a DDL string."""
+    return T.StructType([*given, *T.StructType.fromDDL(more).fields])
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

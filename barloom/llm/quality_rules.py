@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, table, text_slices
+from .common import U64, Words, mix, schema_with, table, text_slices
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -108,10 +108,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text", min_words: int = MIN_W
                 [*(part.column(i) for i in range(len(given))), *(pa.array(found[k]) for k in NAMES)], [*(f.name for f in given), *NAMES]
             )
 
-    schema = type(docs.schema)([*given])
-    for part in SCHEMA.split(", "):
-        schema = schema.add(*part.split())
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema_with(given, SCHEMA))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     bad = F.col("dup_line_chars") > line_limit * F.col("word_chars")
     for k, share in limits.items():

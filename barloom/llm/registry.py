@@ -3,9 +3,13 @@
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard_join import op8_jaccard_join
 from .quality_rules import op6_quality_rules
+from .sentencepiece_nbest import op1_sentencepiece
+from .source_mix import op3_source_mix
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_source_mix": op3_source_mix,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
 }
