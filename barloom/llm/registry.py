@@ -1,7 +1,9 @@
 """Queries of this subpackage by name, and their DuckDB twins where SQL can express them."""
 
+from .chat_format import OP4_PARTS_SQL, op4_chat_format
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .jaccard_join import op8_jaccard_join
+from .pii import op5_pii
 from .quality_rules import op6_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
 from .source_mix import op3_source_mix
@@ -10,7 +12,9 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_source_mix": op3_source_mix,
+    "op4_chat_format": op4_chat_format,
+    "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
     "op8_jaccard_join": op8_jaccard_join,
 }
-SQL = {"op2_exact_dedup": OP2_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL}
