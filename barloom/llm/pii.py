@@ -320,5 +320,8 @@ def op5_pii(spark, sf_dir) -> DataFrame:
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
-    counts = [F.size(F.filter("pii", lambda s, k=k: s.base & (s.kind == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    def of_kind(kind):
+        return F.size(F.filter("pii", lambda s: s.base & (s.kind == kind))).cast("long").alias(f"n_{kind}")
+
+    counts = [of_kind(k) for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("pii")).alias("spans"))

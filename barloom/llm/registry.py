@@ -2,7 +2,9 @@
 
 from .chat_format import OP4_PARTS_SQL, op4_chat_format
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_extract import op10_html_extract
 from .jaccard_join import op8_jaccard_join
+from .language_id import op7_language_id
 from .pii import op5_pii
 from .quality_rules import op6_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
@@ -15,6 +17,8 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_pii": op5_pii,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
+    "op10_html_extract": op10_html_extract,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL}
