@@ -3,8 +3,8 @@
 Shingles are ordered by how common their rarest word is in the corpus, then by
 hash.  Two sets of sizes n, m and similarity t or more share a shingle among
 their first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1`` (prefix filter), have
-sizes within t of each other (length filter), and the first shared shingle
-leaves enough room for the overlap (position filter).
+sizes within t of each other (length filter), and share so many of the first
+ones that the others can make up the overlap (count filter).
 
 1. Equal sets are one *node*; nodes with identical prefixes and size one *group*.
 2. *Star*: of the groups at a prefix shingle the one with most nodes leads.  Each
@@ -111,7 +111,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
         .withColumn("grp", F.xxhash64("n", "prefix")), "nodes"
     )
     groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.min("node").alias("hub"), F.count("*").alias("size"))
-    postings = groups.select("grp", "n", "hub", "size", F.posexplode("prefix").alias("pos", "tok"))
+    postings = groups.select("grp", "n", "hub", "size", F.explode("prefix").alias("tok"))
     shared = postings.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     posts = written(postings.join(shared.hint("shuffle_hash"), "tok"), "posts")
 
@@ -130,15 +130,21 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
         nodes.select("node", "grp").join(roots.hint("shuffle_hash"), "node", "left").select("node", "grp", F.coalesce("root", "node").alias("comp")), "placed"
     )
     cells = placed.select("grp", "comp").distinct()
-    at = posts.select("tok", "grp", "n", "pos").join(cells.hint("shuffle_hash"), "grp")
+    at = posts.select("tok", "grp", "n").join(cells.hint("shuffle_hash"), "grp")
     mixed = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tok")
     at = written(at.join(mixed.hint("shuffle_hash"), "tok"), "cells")
     comps = at.select("tok", "comp").distinct()
     met = comps.select("tok", F.col("comp").alias("c1")).join(comps.select("tok", F.col("comp").alias("c2")), "tok").filter("c1 < c2")
-    one, two = (at.select("tok", F.col("comp").alias(f"c{i}"), *(F.col(x).alias(f"{x}{i}") for x in ("grp", "n", "pos"))) for i in (1, 2))
-    room = 1 + F.least(F.col("n1") - F.col("pos1") - 1, F.col("n2") - F.col("pos2") - 1)
-    enough = (100 + threshold) * room >= threshold * (F.col("n1") + F.col("n2"))
-    cross = met.join(one, ["tok", "c1"]).join(two, ["tok", "c2"]).filter(sized("n1", "n2") & enough).select("grp1", "c1", "grp2", "c2").distinct()
+    one, two = (at.select("tok", F.col("comp").alias(f"c{i}"), *(F.col(x).alias(f"{x}{i}") for x in ("grp", "n"))) for i in (1, 2))
+    # all shared prefix shingles are counted here, and any other shared one comes after the prefix of one of the two
+    rest_of = F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    enough = (100 + threshold) * (F.col("c") + rest_of) >= threshold * (F.col("n1") + F.col("n2"))
+    cross = (
+        met.join(one, ["tok", "c1"]).join(two, ["tok", "c2"]).filter(sized("n1", "n2"))
+        .groupBy("grp1", "c1", "grp2", "c2", "n1", "n2").agg(F.count("*").alias("c"))
+        .withColumns({f"p{i}": F.col(f"n{i}") - F.expr(f"cast(ceil(n{i} * {threshold} / 100.0BD) as long)") + 1 for i in (1, 2)})
+        .filter(enough).select("grp1", "c1", "grp2", "c2")
+    )
     cell = [placed.select(F.col("grp").alias(f"grp{i}"), F.col("comp").alias(f"c{i}"), F.col("node").alias(x)) for i, x in ((1, "a"), (2, "b"))]
     rest = written(cross.join(cell[0], ["grp1", "c1"]).join(cell[1], ["grp2", "c2"]).select("a", "b"), "rest")
     links = links.union(_verified(rows, rest, k, threshold, known))
@@ -169,7 +175,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, k: int, threshold: int, known)
 
     every = rows.select("text").mapInArrow(sets, "node long, items array<long>")
     few = wanted.count() <= BROADCAST_NODES
-    held = written(every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    held = every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     one = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
     two = one.join(held.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
     both = F.size(F.array_intersect("x", "y"))
