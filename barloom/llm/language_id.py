@@ -229,6 +229,6 @@ def identify(docs: DataFrame, models: Models | None, *, text: str = "text") -> D
 
 def op7_language_id(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     models = fit(docs.filter(~held_out))
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models).select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")

@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 
 from .common import U64, text_slices, written
 
+def pack(h: np.ndarray) -> bytes:
+    """Rising hashes as differences, byte plane by byte plane: the empty planes vanish in the shuffle's compression."""
+    gaps = np.diff(h, prepend=U64(0))
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
+
+
 PACKED = "kind int, bucket int, hashes binary, counts binary"
 FLUSH = 3_000_000
 
@@ -33,12 +44,14 @@ def fold(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return ranked[new], np.add.reduceat(counts, new) if len(new) else counts[:0]
 
 
-def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int, np.ndarray]], *, buckets: int, name: str) -> DataFrame:
+def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int, np.ndarray]], *, buckets: int, name: str, bits: dict[int, int] | None = None) -> DataFrame:
     """A written table in ``PACKED`` form: per kind and bucket all hashes, in order, with their counts.
 
     ``hashes_of`` gives the hashes of each kind in a slice of rows; ``docs``
-    needs a column ``text``.
+    needs a column ``text``.  Of a kind named in ``bits`` only so many leading
+    bits of a hash count.
     """
+    bits = bits or {}
 
     def local(batches: Iterator[pa.RecordBatch]):
         held: dict[int, list] = {}
@@ -47,10 +60,10 @@ def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int
         def out():
             for kind, parts in held.items():
                 h, c = fold(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                cut = np.searchsorted(h, _edges(buckets))
+                cut = np.searchsorted(h, _edges(buckets, bits.get(kind, 64)))
                 for b in range(buckets):
                     if cut[b + 1] > cut[b]:
-                        yield kind, b, h[cut[b] : cut[b + 1]].tobytes(), c[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()
+                        yield kind, b, pack(h[cut[b] : cut[b + 1]]), c[cut[b] : cut[b + 1]].astype(np.uint32).tobytes()
 
         def rows(found):
             found = list(found)
@@ -63,7 +76,7 @@ def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int
 
         for part in text_slices(batches):
             for kind, h in hashes_of(part).items():
-                held.setdefault(kind, []).append(fold(h))
+                held.setdefault(kind, []).append(fold(h >> U64(64 - bits.get(kind, 64))))
                 size += len(held[kind][-1][0])
             if size > FLUSH:
                 for kind, parts in held.items():
@@ -75,31 +88,26 @@ def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int
         yield from rows(out())
 
     def merge(tab: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, U64) for x in tab["hashes"].to_pylist()])
+        h = np.concatenate([unpack(x) for x in tab["hashes"].to_pylist()])
         c = np.concatenate([np.frombuffer(x, np.uint32) for x in tab["counts"].to_pylist()]).astype(np.int64)
         h, c = fold(h, c)
         return pa.table(
             {
                 "kind": pa.array([tab["kind"][0].as_py()], pa.int32()), "bucket": pa.array([tab["bucket"][0].as_py()], pa.int32()),
-                "hashes": pa.array([h.tobytes()], pa.binary()), "counts": pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()),
+                "hashes": pa.array([pack(h)], pa.binary()), "counts": pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()),
             }
         )
 
     return written(docs.mapInArrow(local, PACKED).groupBy("kind", "bucket").applyInArrow(merge, PACKED), name)
 
 
-def _edges(buckets: int) -> np.ndarray:
+def _edges(buckets: int, bits: int) -> np.ndarray:
     """Bounds of equal ranges of the hash space."""
-    return np.array([(i << 64) // buckets for i in range(buckets)] + [(1 << 64) - 1], dtype=U64)
+    return np.array([(i << bits) // buckets for i in range(buckets)] + [(1 << bits) - 1], dtype=U64)
 
 
-def frequent(packed: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The items of one kind that occur at least ``floor`` times, in order of hash, their counts, and ``floor``.
-
-    ``floor`` is the smallest power of two that at most ``most`` items reach, so
-    what comes to the driver has a fixed bound; rarer items stay in the table.
-    """
-    of_kind = packed.filter(F.col("kind") == kind)
+def tallies(packed: DataFrame, kind: int) -> np.ndarray:
+    """Number of items of one kind by the whole part of log2 of their count (33 numbers)."""
 
     def levels(batches):
         for b in batches:
@@ -109,9 +117,21 @@ def frequent(packed: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(33)), pa.array(tally)], ["level", "n"])
 
     tally = np.zeros(33, np.int64)
-    for r in of_kind.select("counts").mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    counts = packed.filter(F.col("kind") == kind).select("counts")
+    for r in counts.mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
         tally[r.level] = r.n
-    above = np.cumsum(tally[::-1])[::-1]
+    return tally
+
+
+def frequent(packed: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The items of one kind that occur at least ``floor`` times, in order of hash, their counts, and ``floor``.
+
+    ``floor`` is the smallest power of two, from 2, that at most ``most`` items
+    reach, so what comes to the driver has a fixed bound; rarer items stay in
+    the table.
+    """
+    of_kind = packed.filter(F.col("kind") == kind)
+    above = np.cumsum(tallies(packed, kind)[::-1])[::-1]
     level = int(np.argmax(above <= most)) if (above <= most).any() else 33
     floor = 1 << max(1, level)
 
@@ -119,7 +139,7 @@ def frequent(packed: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.nd
         for b in batches:
             for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 c = np.frombuffer(c, np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(h, U64)[c >= floor].tobytes()], pa.binary()), pa.array([c[c >= floor].tobytes()], pa.binary())], ["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([unpack(h)[c >= floor].tobytes()], pa.binary()), pa.array([c[c >= floor].tobytes()], pa.binary())], ["h", "c"])
 
     rows = of_kind.select("hashes", "counts").mapInArrow(top, "h binary, c binary").collect()
     h = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.h, U64) for r in rows)])

@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB twins where SQL can express them."""
 
+from .bloom_lm import op9_bloom_lm
 from .chat_format import OP4_PARTS_SQL, op4_chat_format
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op10_html_extract
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_bloom_lm": op9_bloom_lm,
     "op10_html_extract": op10_html_extract,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL}
