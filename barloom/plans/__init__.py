@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["q_features", "q_panel"]
+FAMILIES = ["q_features", "q_panel", "q_data", "q_eval"]
 
 
 def collect() -> tuple[dict, dict]:
