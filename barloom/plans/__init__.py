@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["q_features", "q_panel", "q_data", "q_eval"]
+FAMILIES = ["q_features", "q_panel", "q_data", "q_eval", "q_portfolio", "q_text"]
 
 
 def collect() -> tuple[dict, dict]:
