@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Solved chunks that one worker keeps; beyond it starts afresh.  Has no influence on results.
 KEPT_CHUNKS = 400_000
+LONG_CHUNK = 64  # characters; longer chunks are solved one at a time
 SWITCHED_OFF = -1e8  # scores below this mark pieces that a model never uses on a best path
 EDITS = "array<struct<score: double, edits: array<struct<at: int, n_old: int, ids: array<int>>>>>"
 EDITS_ARROW = pa.list_(
@@ -56,12 +58,26 @@ class Pieces:
         self.size = np.array([len(r) for r in raw])
         self.place = np.concatenate(([0], np.cumsum(self.size)[:-1]))
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
+        self._automaton()
         self.solved: dict[str, tuple[bytes, float, float]] = {}
         self.ranked: dict[str, list] = {}
 
     def __reduce__(self):
         return Pieces, (self.strings, self.scores, self.byte_ids)
 
+    def _automaton(self) -> None:
+        """The prefixes of all pieces as states: sorted (state, character) keys, the next state, and the piece that ends there."""
+        number = {"": 0} | {p: i for i, p in enumerate(sorted(self.lookup), 1)}
+        keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in number if p], np.int64)
+        order = np.argsort(keys)
+        self.step, self.next = keys[order], np.array([number[p] for p in number if p])[order]
+        self.ends = np.full(len(number), -1)
+        for p, found in self.lookup.items():
+            if found:
+                self.ends[number[p]] = found[0]
+        self.longest = max(map(len, self.lookup), default=1)
+        self.score_of = np.append(np.array(self.scores), self.unknown)  # the last for unknown characters, id -1
+
     def _edges(self, chunk: str, i: int) -> list[tuple[int, int, float]]:
         """Pieces that start at ``i``: (end, id, score); an unknown character has id -1."""
         out, lookup = [], self.lookup
@@ -98,6 +114,79 @@ class Pieces:
             j = back[j][0]
         return self._ids(chunk, path[::-1]), best[n], best[n] - second[n]
 
+    def solve_many(self, chunks: list[str]) -> None:
+        """``solve`` for many new chunks: one numpy step for each (start, length), over all chunks of a block."""
+        short = sorted((c for c in chunks if len(c) <= LONG_CHUNK), key=len, reverse=True)
+        for c in chunks:
+            if len(c) > LONG_CHUNK:
+                self.solved[c] = self.solve(c)
+        for lo in range(0, len(short), 4096):
+            self._solve_block(short[lo : lo + 4096])
+
+    def _solve_block(self, chunks: list[str]) -> None:
+        size = np.array([len(c) for c in chunks])
+        n, most = len(chunks), int(size[0])
+        text = np.zeros((n, most), np.int64)
+        text[np.arange(most) < size[:, None]] = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        best, second = np.full((most + 1, n), -np.inf), np.full((most + 1, n), -np.inf)
+        back, piece = np.zeros((most + 1, n), np.int64), np.zeros((most + 1, n), np.int64)
+        best[0] = 0.0
+
+        def relax(rows, i, j, ids):
+            s = self.score_of[ids]
+            x, y = best[i, rows] + s, best[j, rows]
+            better = x > y
+            new = np.where(better, np.maximum(y, second[i, rows] + s), x)
+            second[j, rows] = np.maximum(second[j, rows], new)
+            rows = rows[better]
+            best[j, rows], back[j, rows], piece[j, rows] = x[better], i, ids[better]
+
+        for i in range(most):
+            rows = np.arange(np.searchsorted(-size, -i, side="left"))
+            alone, state = np.ones(len(rows), bool), np.zeros(len(rows), np.int64)
+            for j in range(i + 1, min(most, i + self.longest) + 1):
+                live = size[rows] >= j
+                rows, state = rows[live], state[live]
+                key = state << 21 | text[rows, j - 1]
+                slot = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+                hit = self.step[slot] == key
+                rows, state = rows[hit], self.next[slot[hit]]
+                if not len(rows):
+                    break
+                ids = self.ends[state]
+                full = ids >= 0
+                if full.any():
+                    if j == i + 1:
+                        alone[rows[full]] = False
+                    relax(rows[full], i, j, ids[full])
+            rest = np.flatnonzero(alone)
+            if len(rest):
+                relax(rest, i, i + 1, np.full(len(rest), -1))
+        # walk back from the ends, then turn the pieces around
+        at, used, steps, spans = size.copy(), np.zeros(n, np.int64), [], []
+        live = np.arange(n)
+        while len(live):
+            steps.append((live, piece[at[live], live]))
+            spans.append((back[at[live], live], at[live]))
+            used[live] += 1
+            at[live] = back[at[live], live]
+            live = live[at[live] > 0]
+        start = np.concatenate(([0], np.cumsum(used)))
+        flat = np.zeros(start[-1], np.int32)
+        for k, (rows, ids) in enumerate(steps):
+            flat[start[rows] + used[rows] - 1 - k] = ids
+        odd = set()
+        for rows, ids in steps:
+            odd.update(rows[ids < 0].tolist())
+        raw = flat.tobytes()
+        tops, gaps, cut = best[size, np.arange(n)].tolist(), (best[size, np.arange(n)] - second[size, np.arange(n)]).tolist(), (4 * start).tolist()
+        for r, c in enumerate(chunks):
+            ids = raw[cut[r] : cut[r + 1]]
+            if r in odd:
+                path = [(int(a[np.searchsorted(rows, r)]), int(z[np.searchsorted(rows, r)]), int(k[np.searchsorted(rows, r)])) for (rows, k), (a, z) in zip(steps, spans, strict=True) if r < n and _has(rows, r)]
+                ids = self._ids(c, path[::-1])
+            self.solved[c] = (ids, tops[r], gaps[r])
+
     def n_best(self, chunk: str, n_best: int) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of a chunk, best first: Viterbi forward, A-star backward."""
         n = len(chunk)
@@ -123,40 +212,43 @@ class Pieces:
                 made += 1
         return found
 
+    def encode_many(self, texts: list[str], n_best: int) -> list[tuple[bytes, list[tuple[float, list]]]]:
+        """For each text (ids of the best segmentation, the ``n_best`` as (score, edits of the best))."""
+        if len(self.solved) > KEPT_CHUNKS:
+            self.solved.clear()
+            self.ranked.clear()
+        chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
+        new = set().union(*chunks) - self.solved.keys()
+        if new:
+            self.solve_many(list(new))
+        return [self._combine(c, n_best) for c in chunks]
+
     def encode(self, text: str, n_best: int) -> tuple[bytes, list[tuple[float, list]]]:
-        """(ids of the best segmentation, the ``n_best`` as (score, edits of the best))."""
-        if not text:
+        return self.encode_many([text], n_best)[0]
+
+    def _combine(self, chunks: list[str], n_best: int) -> tuple[bytes, list[tuple[float, list]]]:
+        if not chunks:
             return b"", [(0.0, [])]
-        chunks = CHUNK.findall(" " + text)
-        solved = self.solved
-        if len(solved) > KEPT_CHUNKS:
-            solved.clear()
-            self.ranked.clear()
-        try:
-            parts = [solved[c] for c in chunks]
-        except KeyError:
-            for c in chunks:
-                if c not in solved:
-                    solved[c] = self.solve(c)
-            parts = [solved[c] for c in chunks]
-        ids = b"".join([p[0] for p in parts])
-        total = sum([p[1] for p in parts])
-        near = heapq.nsmallest(n_best - 1, [(p[2], i) for i, p in enumerate(parts) if p[2] < float("inf")])
-        ways: list[tuple[float, tuple]] = [(0.0, ())]
-        for _, i in near:
-            c = chunks[i]
-            ranked = self.ranked.get(c)
+        parts = [self.solved[c] for c in chunks]
+        ids, scores, gaps = map(list, zip(*parts, strict=True))
+        total, ways = sum(scores), [(0.0, ())]
+        for _ in range(n_best - 1):  # the chunks with the smallest losses, first ones first
+            loss = min(gaps)
+            if loss == float("inf"):
+                break
+            i = gaps.index(loss)
+            gaps[i] = float("inf")
+            ranked = self.ranked.get(chunks[i])
             if ranked is None or len(ranked) < n_best:
-                ranked = self.ranked[c] = self.n_best(c, n_best)
-            more = [(loss + ranked[0][0] - s, (*chosen, (i, r))) for loss, chosen in ways for r, (s, _) in enumerate(ranked) if r]
+                ranked = self.ranked[chunks[i]] = self.n_best(chunks[i], n_best)
+            more = [(done + ranked[0][0] - s, (*chosen, (i, r))) for done, chosen in ways for r, (s, _) in enumerate(ranked) if r]
             ways = heapq.nsmallest(n_best, ways + more)
+        begin = list(accumulate(map(len, ids), initial=0)) if len(ways) > 1 else []
         out = []
-        for loss, chosen in ways:
-            edits = []
-            for i, r in sorted(chosen):
-                edits.append((sum([len(p[0]) for p in parts[:i]]) // 4, len(parts[i][0]) // 4, np.frombuffer(self.ranked[chunks[i]][r][1], np.int32).tolist()))
-            out.append((total - loss, edits))
-        return ids, out
+        for done, chosen in ways:
+            edits = [(begin[i] // 4, len(ids[i]) // 4, np.frombuffer(self.ranked[chunks[i]][r][1], np.int32).tolist()) for i, r in sorted(chosen)]
+            out.append((total - done, edits))
+        return b"".join(ids), out
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the texts of many id lists, without the space that encoding puts before each."""
@@ -170,6 +262,11 @@ class Pieces:
         return raw[keep], bounds - np.concatenate(([0], np.cumsum(full)))
 
 
+def _has(rows: np.ndarray, r: int) -> bool:
+    at = np.searchsorted(rows, r)
+    return at < len(rows) and rows[at] == r
+
+
 CHUNK = re.compile("\n| +[^ \n]*|[^ \n]+")
 
 
@@ -205,7 +302,7 @@ def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: i
         pieces = shared.value
         for part in text_slices(batches, "_text"):
             col = part.column(part.schema.get_field_index("_text"))
-            found = [pieces.encode(t or "", n_best) for t in col.to_pylist()]
+            found = pieces.encode_many([t or "" for t in col.to_pylist()], n_best)
             ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
             off = np.concatenate(([0], np.cumsum([len(f[0]) // 4 for f in found])))
             raw, bounds = pieces.decode(ids, off)
