@@ -212,7 +212,7 @@ def extract(pages: DataFrame, *, html: str = "html", crf: Crf | None = None) ->
         for part in text_slices(batches, "_html"):
             blocks = [leaf_blocks(h or "") for h in part.column(part.schema.get_field_index("_html")).to_pylist()]
             bounds = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))
-            ids = np.array([block_features(b) for page in blocks for b in page]).reshape(-1, N_FEATURES)
+            ids = np.array([block_features(b) for page in blocks for b in page], dtype=np.int64).reshape(-1, N_FEATURES)
             tag = shared.value.decode(shared.value.weights[ids].sum(1), bounds)
             texts = ["\n".join(b[2] for b, y in zip(page, tag[bounds[i] : bounds[i + 1]], strict=True) if y) for i, page in enumerate(blocks)]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(given))), pa.array(texts, pa.string())], [*(f.name for f in given), "text"])
