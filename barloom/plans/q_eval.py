@@ -29,7 +29,7 @@ def wide_dates(df, least=8, date="as_of"):
 
 
 def pn1(spark, d):
-    p = f.microstructure(f.price(fx.bars(spark, d)))
+    p = f.microstructure(f.price(fx.bars(spark, d))).drop("microstructure__wick_ratio")
     cols = [c for c in p.columns if "__" in c]
     return rounded(pit.mask_non_members(p.select("symbol", "bar_date", *cols), fx.membership(spark, d), cols))
 
@@ -256,7 +256,7 @@ QUERIES = {
 }
 
 _IN = "EXISTS (SELECT 1 FROM membership m WHERE m.symbol = b.symbol AND b.bar_date BETWEEN m.start_date AND coalesce(m.end_date, DATE '9999-12-31'))"
-_MICRO = {"close_location": "(close - low) / (nullif(high - low, 0) + 1e-9)", "body_pct": "abs(close - open) / (nullif(high - low, 0) + 1e-9)", "upper_wick_pct": "(high - greatest(close, open)) / (nullif(high - low, 0) + 1e-9)", "lower_wick_pct": "(least(close, open) - low) / (nullif(high - low, 0) + 1e-9)", "wick_ratio": "(high - greatest(close, open)) / (least(close, open) - low + 1e-9)", "gap_pct": "open / lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) - 1"}
+_MICRO = {"close_location": "(close - low) / (nullif(high - low, 0) + 1e-9)", "body_pct": "abs(close - open) / (nullif(high - low, 0) + 1e-9)", "upper_wick_pct": "(high - greatest(close, open)) / (nullif(high - low, 0) + 1e-9)", "lower_wick_pct": "(least(close, open) - low) / (nullif(high - low, 0) + 1e-9)", "gap_pct": "open / lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) - 1"}
 _PRICE = {f"log_return_{k}d": f"r{k}" for k in (1, 5, 10, 20)} | {f"realized_vol_{n}d": full("stddev_samp", "r1", n) for n in (5, 20, 60)} | {"max_drawdown_20d": f"close / {full('max', 'close', 20)} - 1"}
 _PN = {f"price__{n}": e for n, e in _PRICE.items()} | {f"microstructure__{n}": e for n, e in _MICRO.items()}
 FWD = "fw AS (SELECT symbol, bar_date, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_date) / close) AS fwd FROM bars)"

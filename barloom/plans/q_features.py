@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from ..functions import features as f
 from ..functions.windows import rounded
 from . import fixtures as fx
@@ -21,6 +23,7 @@ NAMES = {
     "volume_profile": "poc_distance_50 value_area_high_50 value_area_low_50".split(),
     "swings": "dist_to_swing_high dist_to_swing_low swing_high_age swing_low_age swing_high_touch_count_50 swing_low_touch_count_50".split() + [f"fib_dist_{n}" for n in f.FIBS] + ["nearest_fib_dist"],
 }
+DIGITS = {"volume": 4}  # its force index is large
 RECURSIVE = {"trend", "momentum", "volatility", "volume"}
 
 
@@ -32,7 +35,11 @@ def group_query(group: str):
     def query(spark, d):
         b = fx.bars(spark, d)
         b = f.recursive_means(b) if group in RECURSIVE else b
-        return rounded(f.GROUPS[group](b).select(*KEY, *columns(group)))
+        out = f.GROUPS[group](b).select(*KEY, *columns(group))
+        if group == "microstructure":  # a zero lower wick gives ratios of 1e9 and more
+            x = F.col("microstructure__wick_ratio")
+            out = out.withColumn("microstructure__wick_ratio", F.when(F.abs(x) > 1e6, F.round(x, -6)).otherwise(x))
+        return rounded(out, DIGITS.get(group, 6))
 
     return query
 
@@ -71,7 +78,7 @@ def ewm_sql(select: str, *more: str) -> str:
 
 
 def _select(group: str, exprs: dict[str, str], source: str = "bars") -> str:
-    return "SELECT symbol, bar_date, " + ", ".join(r(e, f"{group}__{n}") for n, e in exprs.items()) + f" FROM {source}"
+    return "SELECT symbol, bar_date, " + ", ".join(r(e, f"{group}__{n}", DIGITS.get(group, 6)) for n, e in exprs.items()) + f" FROM {source}"
 
 
 PRICE_SQL = f"lr AS (SELECT *, {', '.join(f'ln(close) - {lag('ln(close)', k)} AS r{k}' for k in (1, 5, 10, 20))} FROM bars)"
@@ -125,7 +132,7 @@ _volume = {
 _rng = "(nullif(high - low, 0) + 1e-9)"
 _micro = {
     "close_location": f"(close - low) / {_rng}", "body_pct": f"abs(close - open) / {_rng}", "upper_wick_pct": f"(high - greatest(close, open)) / {_rng}", "lower_wick_pct": f"(least(close, open) - low) / {_rng}",
-    "wick_ratio": "(high - greatest(close, open)) / (least(close, open) - low + 1e-9)", "gap_pct": f"open / {lag('close')} - 1",
+    "wick_ratio": "CASE WHEN abs((high - greatest(close, open)) / (least(close, open) - low + 1e-9)) > 1e6 THEN round((high - greatest(close, open)) / (least(close, open) - low + 1e-9), -6) ELSE (high - greatest(close, open)) / (least(close, open) - low + 1e-9) END", "gap_pct": f"open / {lag('close')} - 1",
 }
 _mkt = {f"{k}_{n}": flag(f"count(1) OVER {prior_n(n)} = {n} AND {x} {op} {agg}({x}) OVER {prior_n(n)}") for k, x, op, agg in (("hh", "high", ">", "max"), ("ll", "low", "<", "min")) for n in (5, 10)}
 _AROUND, _KNOWN = "(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)", "(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)"

@@ -118,7 +118,7 @@ def sv_features(spark, d):
 
 
 def fu1_annual(spark, d):
-    return rounded(asof.fundamentals_annual(fx.bars(spark, d).select(*KEY), fx.fundamentals(spark, d)))
+    return rounded(asof.fundamentals_annual(fx.bars(spark, d).select(*KEY), fx.fundamentals(spark, d)), 10)
 
 
 def fu2_ttm(spark, d):
@@ -134,13 +134,13 @@ def _ttm(spark, d):
 
 
 def fu4_ratios(spark, d):
-    return rounded(_ttm(spark, d))
+    return rounded(_ttm(spark, d), 10)
 
 
 def fu5_ranks(spark, d):
     out = _ttm(spark, d)
     names = [c for c in out.columns if c not in KEY]
-    out = rounded(out)
+    out = rounded(out, 10)
     return rounded(out.select(*KEY, *[pct_rank(c, "bar_date").alias(f"{c}_xs_rank") for c in names]))
 
 
@@ -167,7 +167,7 @@ def _fund_sql(tables: dict[str, tuple[str, str]], prefix: str, suffix: str, debt
         return f"CASE WHEN {b}.value > 0 THEN {a}.value / {b}.value END"
 
     cols = {f"roe{suffix}": div("NetIncome", "Equity"), debt: div("Debt", "Equity"), f"gross_margin{suffix}": div("GrossProfit", "Revenue"), f"net_margin{suffix}": div("NetIncome", "Revenue"), f"asset_turnover{suffix}": div("Revenue", "Assets")}
-    body = "ratios AS (SELECT b.symbol, b.bar_date, " + ", ".join(r(e, f"{prefix}__{n}") for n, e in cols.items()) + f" FROM bars b {joins})"
+    body = "ratios AS (SELECT b.symbol, b.bar_date, " + ", ".join(r(e, f"{prefix}__{n}", 10) for n, e in cols.items()) + f" FROM bars b {joins})"
     return ",".join([*parts, body]), [f"{prefix}__{n}" for n in cols]
 
 
