@@ -61,7 +61,7 @@ def schema_with(given: list[T.StructField], more: str) -> T.StructType:
 # ---------------------------------------------------------------- Arrow batches
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice's text takes about ``most`` bytes (one long row may exceed it)."""
     for batch in batches:
         n = batch.num_rows

@@ -3,15 +3,19 @@
 Shingles are ordered by how common their rarest word is in the corpus, then by
 hash.  Two sets of sizes n, m and similarity t or more share a shingle among
 their first ``n - ceil(t n) + 1`` and ``m - ceil(t m) + 1`` (prefix filter), have
-sizes within t of each other (length filter), and share so many of the first
-ones that the others can make up the overlap (count filter).
+sizes within t of each other (length filter), and share so many s of those first
+ones that the others can make up the overlap; so they share one of the
+``p - s + 1`` rarest of the p first ones (the prefix filter once more, now in
+order of how many prefixes hold a shingle).
 
 1. Equal sets are one *node*; nodes with identical prefixes and size one *group*.
-2. *Star*: of the groups at a prefix shingle the one with most nodes leads.  Each
-   group is verified against the leader it meets most often, each node against
-   its group's first.  That is one pair per node, however large the groups.
-3. *Rest*: wherever a prefix shingle still joins different components, all pairs
-   across them pass the filters, are expanded to nodes and verified in full.
+2. *Star*: of the groups at a prefix shingle the one that meets most others leads.
+   Every node is compared with the leader its group meets most often (or with its
+   group's first node): one pair per node, however large the groups.
+3. *Families*: nodes compared with the same leader are compared with each other
+   by their few differences from it, joined on those (see ``_family_links``).
+4. *Rest*: wherever a prefix shingle joins different families, all pairs across
+   them pass the filters, are expanded to nodes and compared in full.
 
 So no link between components is lost, while a large family of near copies is
 not expanded into its pairs.
@@ -112,42 +116,49 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     )
     groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.min("node").alias("hub"), F.count("*").alias("size"))
     postings = groups.select("grp", "n", "hub", "size", F.explode("prefix").alias("tok"))
-    shared = postings.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    posts = written(postings.join(shared.hint("shuffle_hash"), "tok"), "posts")
+    shared = postings.groupBy("tok").agg(F.sum("size").alias("c")).filter("c > 1")
+    # the prefix's shingles again, now from the rarest in prefixes on; those of one group alone come first and need no row
+    own = postings.join(shared.hint("shuffle_hash"), "tok").groupBy("grp", "n", "hub").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("r"))
+    size = F.expr(f"n - cast(ceil(n * {threshold} / 100.0BD) as long) + 1")
+    posts = own.select("grp", "n", "hub", size.alias("p"), F.size("r").alias("m"), F.posexplode("r").alias("at", "x"))
+    posts = written(posts.select("x.tok", "x.c", "grp", "n", "hub", "p", (F.col("p") - F.col("m") + F.col("at")).alias("pos")), "posts")
 
     def sized(x: str, y: str):
         return (100 * F.least(x, y) >= threshold * F.greatest(x, y))
 
-    lead = posts.groupBy("tok").agg(F.max(F.struct("size", "n", "grp", "hub")).alias("top")).select("tok", "top.*").toDF("tok", "l_size", "l_n", "l_grp", "l_hub")
+    # the original of a family of near copies meets more others at its prefix than any copy does: let it lead
+    met_by = posts.groupBy("grp").agg(F.sum("c").alias("met"))
+    ranked = posts.join(met_by.hint("shuffle_hash"), "grp")
+    lead = ranked.groupBy("tok").agg(F.max(F.struct("met", "n", "grp", "hub")).alias("top")).select("tok", "top.*").toDF("tok", "l_met", "l_n", "l_grp", "l_hub")
     met = posts.join(lead, "tok").filter((F.col("grp") != F.col("l_grp")) & sized("n", "l_n"))
-    star = met.groupBy("grp", "hub", "l_hub").agg(F.count("*").alias("c")).groupBy("grp", "hub").agg(F.max(F.struct("c", "l_hub")).alias("top"))
-    own = nodes.join(groups.filter("size > 1").select("grp", "hub").hint("shuffle_hash"), "grp").filter("node <> hub")
-    pairs = written(star.select(F.col("hub").alias("a"), F.col("top.l_hub").alias("b")).union(own.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "star")
-    links = _verified(rows, pairs, k, threshold, known)
+    star = met.groupBy("grp", "hub", "l_hub").agg(F.count("*").alias("c"), F.max("l_met").alias("m")).groupBy("grp", "hub").agg(F.max(F.struct("c", "m", "l_hub")).alias("top"))
+    led = star.select("grp", F.col("top.l_hub").alias("b"))
+    many = groups.filter("size > 1").select("grp", "hub").join(led.hint("shuffle_hash"), "grp", "full_outer").select("grp", F.coalesce("b", "hub").alias("b"))
+    pairs = written(nodes.select("node", "grp").join(many.hint("shuffle_hash"), "grp").filter("node <> b").select(F.col("node").alias("a"), "b"), "star")
+    told = written(_compared(rows, pairs, k, known, deltas=True), "told")
+    links = told.filter(_linked(threshold)).select("a", "b")
     roots = written(connected_components(links), "roots")
 
+    anchors = told.filter("2 * size(delta) <= n_a").select(F.col("a").alias("node"), F.col("b").alias("anchor"))
     placed = written(
-        nodes.select("node", "grp").join(roots.hint("shuffle_hash"), "node", "left").select("node", "grp", F.coalesce("root", "node").alias("comp")), "placed"
-    )
-    cells = placed.select("grp", "comp").distinct()
-    at = posts.select("tok", "grp", "n").join(cells.hint("shuffle_hash"), "grp")
-    mixed = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("tok")
-    at = written(at.join(mixed.hint("shuffle_hash"), "tok"), "cells")
-    comps = at.select("tok", "comp").distinct()
-    met = comps.select("tok", F.col("comp").alias("c1")).join(comps.select("tok", F.col("comp").alias("c2")), "tok").filter("c1 < c2")
-    one, two = (at.select("tok", F.col("comp").alias(f"c{i}"), *(F.col(x).alias(f"{x}{i}") for x in ("grp", "n"))) for i in (1, 2))
-    # all shared prefix shingles are counted here, and any other shared one comes after the prefix of one of the two
-    rest_of = F.greatest(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    enough = (100 + threshold) * (F.col("c") + rest_of) >= threshold * (F.col("n1") + F.col("n2"))
-    cross = (
-        met.join(one, ["tok", "c1"]).join(two, ["tok", "c2"]).filter(sized("n1", "n2"))
-        .groupBy("grp1", "c1", "grp2", "c2", "n1", "n2").agg(F.count("*").alias("c"))
-        .withColumns({f"p{i}": F.col(f"n{i}") - F.expr(f"cast(ceil(n{i} * {threshold} / 100.0BD) as long)") + 1 for i in (1, 2)})
-        .filter(enough).select("grp1", "c1", "grp2", "c2")
+        nodes.select("node", "grp", "n").join(roots.hint("shuffle_hash"), "node", "left").join(anchors.hint("shuffle_hash"), "node", "left")
+        .select("node", "grp", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("anchor", "node").alias("anchor")), "placed"
     )
-    cell = [placed.select(F.col("grp").alias(f"grp{i}"), F.col("comp").alias(f"c{i}"), F.col("node").alias(x)) for i, x in ((1, "a"), (2, "b"))]
-    rest = written(cross.join(cell[0], ["grp1", "c1"]).join(cell[1], ["grp2", "c2"]).select("a", "b"), "rest")
-    links = links.union(_verified(rows, rest, k, threshold, known))
+    links = links.union(_family_links(told, placed, threshold))
+
+    cells = placed.select("grp", "comp", "anchor").distinct()
+    at = posts.select("tok", "grp", "n", "p", "pos").join(cells.hint("shuffle_hash"), "grp")
+    mixed = at.groupBy("tok").agg(F.min("anchor").alias("x"), F.max("anchor").alias("y")).filter("x <> y").select("tok")
+    at = written(at.join(mixed.hint("shuffle_hash"), "tok"), "cells")
+    one, two = (at.select("tok", F.col("anchor").alias(f"f{i}"), *(F.col(x).alias(f"{x}{i}") for x in ("grp", "n", "p", "pos", "comp"))) for i in (1, 2))
+    # any shared shingle outside the prefixes comes after the prefix of one of the two, so so many of the prefix must be shared
+    least = F.expr(f"cast(ceil({threshold} * (n1 + n2) / {100 + threshold}.0BD) as long) - greatest(n1 - p1, n2 - p2)")
+    early = (F.col("pos1") <= F.col("p1") - least) & (F.col("pos2") <= F.col("p2") - least)
+    ends = ["grp1", "comp1", "f1", "grp2", "comp2", "f2"]
+    cross = one.join(two.hint("merge"), "tok").filter((F.col("f1") < F.col("f2")) & (F.col("comp1") != F.col("comp2")) & sized("n1", "n2") & early).select(*ends).distinct()
+    cell = [placed.select(F.col("grp").alias(f"grp{i}"), F.col("comp").alias(f"comp{i}"), F.col("anchor").alias(f"f{i}"), F.col("node").alias(x)) for i, x in ((1, "a"), (2, "b"))]
+    rest = written(cross.join(cell[0], ["grp1", "comp1", "f1"]).join(cell[1], ["grp2", "comp2", "f2"]).select("a", "b"), "rest")
+    links = links.union(_compared(rows, rest, k, known).filter(_linked(threshold)).select("a", "b"))
     roots = connected_components(links)
 
     labelled = nodes.select("node", "low").join(roots.hint("shuffle_hash"), "node", "left").select("node", "low", F.coalesce("root", "node").alias("comp"))
@@ -157,8 +168,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     return out.union(signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, k: int, threshold: int, known) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the threshold, as a written table."""
+def _linked(threshold: int):
+    return F.col("both") * 100 >= threshold * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, k: int, known, deltas: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes with the sizes of their whole sets and of what both have; with ``delta``, what one of them has."""
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
 
     def sets(batches):
@@ -178,8 +193,32 @@ def _verified(rows: DataFrame, pairs: DataFrame, k: int, threshold: int, known)
     held = every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     one = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
     two = one.join(held.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return written(two.filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+    more = [F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("delta")] if deltas else []
+    return two.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("both"), *more)
+
+
+def _family_links(told: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+    """Links among the nodes of one anchor that the anchor does not connect.
+
+    With D the items that a node has and the anchor has not, or the other way
+    round, two nodes differ by ``|D1| + |D2| - 2 |D1 and D2|``.  If one of them
+    is not linked to the anchor, a link needs s >= 1 common items of D, so they
+    meet at one of the first ``|D| - s + 1`` items of both, rarest first.
+    """
+    d = told.join(placed.select(F.col("node").alias("a"), F.col("anchor").alias("b"), "comp").hint("shuffle_hash"), ["a", "b"]).select(F.col("a").alias("node"), F.col("b").alias("anchor"), "comp", F.col("n_a").alias("n"), "delta")
+    item = d.select("anchor", "node", F.explode("delta").alias("tok"))
+    item = item.join(item.groupBy("anchor", "tok").agg(F.count("*").alias("c")).hint("shuffle_hash"), ["anchor", "tok"])
+    ranked = item.groupBy("anchor", "node").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("r"))
+    at = ranked.join(d.drop("anchor", "delta").hint("shuffle_hash"), "node").select("anchor", "node", "comp", "n", F.size("r").alias("m"), F.posexplode("r").alias("pos", "x")).filter("x.c > 1")
+    at = written(at.select("anchor", F.col("x.tok").alias("tok"), "node", "comp", "n", "m", "pos"), "family")
+    one, two = (at.select("anchor", "tok", *(F.col(c).alias(f"{c}{i}") for c in ("node", "comp", "n", "m", "pos"))) for i in (1, 2))
+    need = F.expr(f"cast(ceil((m1 + m2 - floor((n1 + n2) * {100 - threshold} / {100 + threshold}.0BD)) / 2.0BD) as int)")
+    near = one.join(two, ["anchor", "tok"]).filter((F.col("node1") < F.col("node2")) & (F.col("comp1") != F.col("comp2")) & (F.col("pos1") <= F.col("m1") - need) & (F.col("pos2") <= F.col("m2") - need))
+    near = near.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.col("n1").alias("n_a"), F.col("n2").alias("n_b")).distinct()
+    side = [d.select(F.col("node").alias(x), F.col("delta").alias(f"d_{x}")) for x in "ab"]
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    out = near.join(side[0].hint("merge"), "a").join(side[1].hint("merge"), "b").withColumn("both", F.expr("n_a + n_b").cast("long") - apart)
+    return written(out.withColumn("both", F.col("both") / 2).filter(_linked(threshold)).select("a", "b"), "links")
 
 
 def op8_jaccard_join(spark, sf_dir) -> DataFrame:

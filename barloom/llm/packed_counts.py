@@ -29,7 +29,7 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 PACKED = "kind int, bucket int, hashes binary, counts binary"
-FLUSH = 3_000_000
+FLUSH = 1_200_000
 
 
 def fold(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
