@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank, by, nz, pct_rank, prior_n
+from .windows import by, nz, pct_rank, prior_n
 
 RANKED = {"log_return_5d": "price__log_return_5d", "log_return_20d": "price__log_return_20d", "rsi_14": "momentum__rsi_14", "volume_zscore_20": "volume__volume_zscore_20", "realized_vol_20d": "price__realized_vol_20d"}
 
@@ -121,5 +121,3 @@ def sector_residual(panel: DataFrame, benchmark_of: DataFrame) -> DataFrame:
     z = F.when(F.count(x).over(past) >= 20, (x - F.avg(x).over(past)) / nz(F.stddev_samp(x).over(past)))
     return out.withColumn("sector_residual__resid_zscore_60d", z).drop("benchmark", *[f"_b_{c}" for c in cols])
 
-
-__all__ = ["average_rank"]

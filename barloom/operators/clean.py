@@ -43,11 +43,9 @@ def drop_penny(bars: DataFrame, thresholds: dict = THRESHOLDS) -> DataFrame:
 
 def cleaning_report(bars: DataFrame, hi: float = 1.5, lo: float = 0.67) -> DataFrame:
     """Rows before, removed by each rule in turn, and after, in one pass over the flagged rows."""
-    w = Window.partitionBy("symbol", "exchange").orderBy("bar_date", "ingested_at")
     good = bars.filter(~broken()).withColumn("_m", big_move(hi, lo))
     all_ = bars.withColumn("_bad", broken())
     flags = good.withColumns({"_i": ~F.col("_m") & below(0, "volume"), "_p": ~F.col("_m") & ~below(0, "volume") & below(1, "close")})
-    del w
     one = all_.agg(F.count("*").alias("before"), F.count_if("_bad").alias("broken"))
     two = flags.agg(F.count_if("_m").alias("big_moves"), F.count_if("_i").alias("illiquid"), F.count_if("_p").alias("penny"), F.count_if(~F.col("_m") & ~F.col("_i") & ~F.col("_p")).alias("after"))
     return one.crossJoin(two)  # one row each
@@ -62,10 +60,8 @@ def symbol_sanity(bars: DataFrame, mem: DataFrame, *, least_bars: int = 100, mos
     """(symbol, n_bars, reason): why a symbol is rejected, or ``ok``; bars are matched to membership intervals."""
     w = Window.partitionBy("symbol").orderBy("bar_date")
     r = bars.withColumn("_r", F.abs(F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1))
-    inside = (F.col("bar_date") >= F.col("start_date")) & (F.col("bar_date") <= F.coalesce("end_date", F.lit("9999-12-31").cast("date")))
     spans = mem.groupBy("symbol").agg(F.collect_list(F.struct("start_date", "end_date")).alias("_s"))
     r = r.join(spans, "symbol", "left").withColumn("_in", F.coalesce(F.exists("_s", lambda s: (F.col("bar_date") >= s.start_date) & (s.end_date.isNull() | (F.col("bar_date") <= s.end_date))), F.lit(False)))
-    del inside
     a = r.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.max("_r").alias("_mv"), F.count_if("_in").alias("_n"), F.expr("percentile(volume, 0.5) filter (where _in)").alias("_vol"))
     reason = F.when(F.col("n_bars") < least_bars, "few_bars").when(F.col("_mv") > most_move, "big_move").when(F.col("_n") == 0, "outside_membership").when(F.col("_vol") < least_volume, "thin").otherwise("ok")
     return a.select("symbol", "n_bars", reason.alias("reason"))

@@ -27,9 +27,7 @@ def upsert_preserving(existing: DataFrame, incoming: DataFrame, keys: Sequence[s
     """Merge that takes ``update`` columns from incoming rows and keeps all others of rows that exist."""
     old, new = existing.alias("o"), incoming.alias("n")
     cond = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    hit = F.struct(*[F.col(f"n.{k}") for k in keys])
     joined = old.withColumn("_o", F.lit(1)).alias("o").join(new.withColumn("_n", F.lit(1)).alias("n"), cond, "full_outer")
-    del hit
     cols = []
     for c in existing.columns:
         if c in keys:

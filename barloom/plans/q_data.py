@@ -8,6 +8,7 @@ from ..functions.windows import rounded
 from ..operators import clean, keyed, pit
 from ..sources import bars as src
 from . import fixtures as fx
+from .q_panel import SECTORS_SQL, sectors
 from .sqlkit import r
 
 FIRST, LAST = "1996-06-01", "1999-06-30"
@@ -97,8 +98,6 @@ def snk2(spark, d):
 
 
 def snk4(spark, d):
-    from .q_panel import sectors
-
     return src.sector_distribution(sectors(spark, d))
 
 
@@ -269,13 +268,4 @@ SQL = {
     "dq1_health_report": fx.sql("""SELECT *, CASE WHEN n_rows = 0 THEN 'RED' WHEN age_days IS NULL OR age_days <= 5 THEN 'GREEN' WHEN age_days <= 14 THEN 'YELLOW' ELSE 'RED' END AS status FROM
       (SELECT 'bars' AS table_name, count(*) AS n_rows, DATE '2001-12-10' - max(bar_date) AS age_days FROM bars UNION ALL SELECT 'membership:' || universe, count(*), NULL FROM membership WHERE end_date IS NULL GROUP BY universe)""", fx.MEMBERS_SQL),
 }
-SQL["snk4_sector_distribution"] = None
-
-
-def _late() -> None:
-    from .q_panel import SECTORS_SQL
-
-    SQL["snk4_sector_distribution"] = f"WITH {SECTORS_SQL} SELECT sector, count(*) AS n FROM sectors GROUP BY 1"
-
-
-_late()
+SQL["snk4_sector_distribution"] = f"WITH {SECTORS_SQL} SELECT sector, count(*) AS n FROM sectors GROUP BY 1"

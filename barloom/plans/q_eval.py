@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features as f
@@ -13,7 +12,7 @@ from ..operators import pit
 from ..operators import predictions as pr
 from . import fixtures as fx
 from .q_features import PRICE_SQL, full
-from .sqlkit import pct_rank, r, rs
+from .sqlkit import r, rs
 
 DAY = "1999-06-30"
 X, Y = "predicted_return", "realized_return"
@@ -354,4 +353,3 @@ SQL = {
     "ca2_ic_timeseries": fx.sql(f"SELECT as_of, n, {r('ic', 'ic')} FROM ({_ic(3)}) WHERE ic IS NOT NULL", *_P, _BOTH),
     "ca3_directional_accuracy": fx.sql(f"SELECT count(*) AS n, {r('avg(CAST(sign(predicted_return) = sign(realized_return) AS DOUBLE))', 'accuracy')} FROM pb WHERE abs(predicted_return) > 0.001", *_P, _BOTH),
 }
-__all__ = ["Window", "pct_rank"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import features as f
@@ -24,7 +23,7 @@ def wide(spark, d):
     return b.withColumn("volume__volume_zscore_20", f.zscore(v, 20)).select(*KEY, "close", "price__log_return_1d", "price__log_return_5d", "price__log_return_20d", "price__realized_vol_20d", "momentum__rsi_14", "trend__macd_histogram", "volume__volume_zscore_20")
 
 
-WIDE_SQL = f"""wide AS MATERIALIZED (SELECT symbol, bar_date, close, r1, r5, r20, {"CASE WHEN count(r1) OVER w = 20 THEN stddev_samp(r1) OVER w END"} AS rv20, rsi_14, macd - macd_signal AS hist, vz FROM
+WIDE_SQL = f"""wide AS MATERIALIZED (SELECT symbol, bar_date, close, r1, r5, r20, CASE WHEN count(r1) OVER w = 20 THEN stddev_samp(r1) OVER w END AS rv20, rsi_14, macd - macd_signal AS hist, vz FROM
   (SELECT lr.*, em.rsi_14, em.macd, em.macd_signal, em.vz FROM lr JOIN (SELECT symbol, bar_date, rsi_14, macd, macd_signal, {z("volume", 20)} AS vz FROM em) em USING (symbol, bar_date))
   WINDOW w AS ({P} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 
@@ -144,11 +143,6 @@ def fu5_ranks(spark, d):
     return rounded(out.select(*KEY, *[pct_rank(c, "bar_date").alias(f"{c}_xs_rank") for c in names]))
 
 
-def _asof(table: str, value: str, on: str, where: str, order: str) -> str:
-    """Latest (value) at or before the bar date, in SQL."""
-    return f"(SELECT arg_max({value}, ({order})) FROM {table} x WHERE x.symbol = b.symbol AND x.{on} <= b.bar_date{where})"
-
-
 _FUTTM = """
 fq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, concept, period_end ORDER BY filed_date DESC, value DESC) AS k FROM fundamentals WHERE fp = 'Q') WHERE k = 1),
 ttm AS MATERIALIZED (SELECT symbol, concept, filed_date, period_end, CASE WHEN count(value) OVER w = 4 THEN sum(value) OVER w END AS value FROM fq WINDOW w AS (PARTITION BY symbol, concept ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""

@@ -148,7 +148,10 @@ QUERIES = {
 }
 _EV = """ev AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'bullish' WHEN 'error' THEN 'bearish' ELSE 'neutral' END AS verdict, CASE event_type WHEN 'purchase' THEN ' Bullish!' WHEN 'error' THEN 'strong sell' ELSE 'hold' END AS label,
   CASE event_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN (event_id % 100) / 100.0 WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 ELSE 0.3 END AS confidence, CASE WHEN event_id % 3 = 0 THEN 'a|b' ELSE '' END AS reasons, CAST(ts AS DATE) AS verdict_date, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events)"""
+_HID = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript"))
 SQL = {
+    "tx1_clean_html": rf"""SELECT page_id, CASE WHEN item_at > 200 THEN substr(x, item_at) ELSE x END AS body FROM (SELECT page_id, x, CASE WHEN regexp_extract(x, 'Item \d+\.\d{{2}}') <> '' THEN instr(x, regexp_extract(x, 'Item \d+\.\d{{2}}')) ELSE 0 END AS item_at FROM
+      (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is){_HID}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g')) AS x FROM pages))""",
     "tx2_truncate_body": "SELECT doc_id, length(text) AS body_chars, substr(text, 1, 8000) AS body FROM documents",
     "tx3_select_exhibits": "SELECT p_partkey, name FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'EX-99' WHEN 1 THEN 'ex99' ELSE 'ex10' END || p_size || CASE WHEN p_size % 4 = 0 THEN '.jpg' ELSE '.htm' END AS name FROM part) WHERE regexp_matches(name, 'ex.?99', 'i') AND name NOT LIKE '%.jpg'",
     "tx4_recent_filings": fx.sql("SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY filing_date DESC, accession DESC) AS INT) AS k FROM filings WHERE form_type IN ('8-K', '10-Q') AND filing_date >= '1996-01-01') WHERE k <= 3", fx.NUMBERED_SQL, fx.FILINGS_SQL),

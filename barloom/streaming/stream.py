@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ class KeyedTable:
     def read(self) -> DataFrame:
         if self.version < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(str(PurePosixPath(self.path) / f"v{self.version}") if ":" not in self.path else f"{self.path}/v{self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
