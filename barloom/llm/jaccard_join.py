@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix, table, text_slices, written
@@ -115,12 +115,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
         .withColumn("grp", F.xxhash64("n", "prefix")), "nodes"
     )
     groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.min("node").alias("hub"), F.count("*").alias("size"))
-    postings = groups.select("grp", "n", "hub", "size", F.explode("prefix").alias("tok"))
-    shared = postings.groupBy("tok").agg(F.sum("size").alias("c")).filter("c > 1")
+    meets = F.sum("size").over(Window.partitionBy("tok"))
+    shared = groups.select("grp", "size", F.explode("prefix").alias("tok")).withColumn("c", meets).filter("c > 1")
     # the prefix's shingles again, now from the rarest in prefixes on; those of one group alone come first and need no row
-    own = postings.join(shared.hint("shuffle_hash"), "tok").groupBy("grp", "n", "hub").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("r"))
+    ranked = shared.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("r"))
     size = F.expr(f"n - cast(ceil(n * {threshold} / 100.0BD) as long) + 1")
-    posts = own.select("grp", "n", "hub", size.alias("p"), F.size("r").alias("m"), F.posexplode("r").alias("at", "x"))
+    posts = groups.select("grp", "n", "hub", size.alias("p")).join(ranked.hint("shuffle_hash"), "grp").select("grp", "n", "hub", "p", F.size("r").alias("m"), F.posexplode("r").alias("at", "x"))
     posts = written(posts.select("x.tok", "x.c", "grp", "n", "hub", "p", (F.col("p") - F.col("m") + F.col("at")).alias("pos")), "posts")
 
     def sized(x: str, y: str):
@@ -131,7 +131,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     ranked = posts.join(met_by.hint("shuffle_hash"), "grp")
     lead = ranked.groupBy("tok").agg(F.max(F.struct("met", "n", "grp", "hub")).alias("top")).select("tok", "top.*").toDF("tok", "l_met", "l_n", "l_grp", "l_hub")
     met = posts.join(lead, "tok").filter((F.col("grp") != F.col("l_grp")) & sized("n", "l_n"))
-    star = met.groupBy("grp", "hub", "l_hub").agg(F.count("*").alias("c"), F.max("l_met").alias("m")).groupBy("grp", "hub").agg(F.max(F.struct("c", "m", "l_hub")).alias("top"))
+    # a leader met at less than a quarter of the prefix is left to the last step
+    star = met.groupBy("grp", "p", "l_hub").agg(F.count("*").alias("c"), F.max("l_met").alias("m")).filter("4 * c >= p").groupBy("grp").agg(F.max(F.struct("c", "m", "l_hub")).alias("top"))
     led = star.select("grp", F.col("top.l_hub").alias("b"))
     many = groups.filter("size > 1").select("grp", "hub").join(led.hint("shuffle_hash"), "grp", "full_outer").select("grp", F.coalesce("b", "hub").alias("b"))
     pairs = written(nodes.select("node", "grp").join(many.hint("shuffle_hash"), "grp").filter("node <> b").select(F.col("node").alias("a"), "b"), "star")
@@ -139,7 +140,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     links = told.filter(_linked(threshold)).select("a", "b")
     roots = written(connected_components(links), "roots")
 
-    anchors = told.filter("2 * size(delta) <= n_a").select(F.col("a").alias("node"), F.col("b").alias("anchor"))
+    anchors = told.filter("delta is not null").select(F.col("a").alias("node"), F.col("b").alias("anchor"))
     placed = written(
         nodes.select("node", "grp", "n").join(roots.hint("shuffle_hash"), "node", "left").join(anchors.hint("shuffle_hash"), "node", "left")
         .select("node", "grp", "n", F.coalesce("root", "node").alias("comp"), F.coalesce("anchor", "node").alias("anchor")), "placed"
@@ -173,7 +174,7 @@ def _linked(threshold: int):
 
 
 def _compared(rows: DataFrame, pairs: DataFrame, k: int, known, deltas: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes with the sizes of their whole sets and of what both have; with ``delta``, what one of them has."""
+    """Pairs (a, b) of nodes with the sizes of their whole sets and of what both have; with ``delta``, what one of them has, if that is little (at most half of a)."""
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
 
     def sets(batches):
@@ -193,7 +194,8 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, known, deltas: bool = F
     held = every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     one = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
     two = one.join(held.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
-    more = [F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("delta")] if deltas else []
+    delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    more = [F.when(2 * F.size(delta) <= F.size("x"), delta).alias("delta")] if deltas else []
     return two.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("both"), *more)
 
 
