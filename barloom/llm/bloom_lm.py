@@ -4,32 +4,40 @@ Counts of words and word pairs over the whole corpus are quantised to levels of
 ``BASE``; an item of level q is entered q times, once with each level up to q.
 Probing level after level until one is missing gives the level back: never too
 low, and too high only by false positives.  Each bucket of the hash space fills
-its own segment, so the filter is built in parallel and has a fixed size; word
-pairs that occur less than a floor stay out, and the floor rises with the corpus
-until the rest fits.  The filter is broadcast; smoothed pair probabilities come
-from its levels.
+its own segment, of ``ENTRY_BITS`` bits for each entry: every word and every pair
+is in the filter, at the same rate of false positives whatever the corpus's size.
+
+The filter stays a table by bucket, as it grows with the corpus.  Texts are cut
+into chunks; a chunk sends its distinct words and pairs to their buckets, which
+probe them and send the levels back to the chunk, where pair probabilities are
+smoothed.
 
 Beside it, the plain unigram score is exact: counts of common words are known on
-every worker (a list of bounded length), the others are joined by hash.
+every worker (a list of bounded length), the others come back with the levels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, mix, schema_with, table, text_slices, written
-from .packed_counts import count_hashes, frequent, tallies, unpack
+from .packed_counts import _edges, count_hashes, frequent, pack, unpack
 
 BASE = 1.5
 PROBES = 3
-BITS = {0: 1 << 25, 1: 1 << 27}  # of the filter for words and for pairs
+ENTRY_BITS = 8  # of the filter for each entry; 3 / ln 2 would be full
 PAIR_HASH_BITS = 40
-FLOOR = {0: 1, 1: 2}
+HASH_BITS = {0: 64, 1: PAIR_HASH_BITS}  # of words and of pairs
+CHUNK_BYTES = 1 << 22
 COMMON_WORDS = 1 << 17
+SLICE = 1 << 20  # hashes placed at a time
 PAIR_WEIGHT, PAIR_SHRINK = 0.5, 10.0  # a pair counts up to PAIR_WEIGHT, less after rare words
 END = U64(0x5DEECE66D1CE4E5B)
 
@@ -64,6 +72,11 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def middle(level: np.ndarray) -> np.ndarray:
+    """Count that stands for a level; 0 for level 0."""
+    return np.where(level > 0, BASE ** (level - 0.5), 0.0)
+
+
 class LogBloom:
     """One bit array of ``buckets`` equal segments."""
 
@@ -77,12 +90,18 @@ class LogBloom:
         on = np.zeros(size, bool)
         level = level_of(counts)
         for q in range(1, int(level.max(initial=0)) + 1):
-            for at in _places(h[level >= q], q, size):
-                on[at] = True
+            entered = h[level >= q]
+            for i in range(0, len(entered), SLICE):
+                for at in _places(entered[i : i + SLICE], q, size):
+                    on[at] = True
         return np.packbits(on, bitorder="little").tobytes()
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """Middle of the level found for each hash; 0 for what is not in the filter."""
+        return middle(self.levels(h))
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Level found for each hash; 0 for what is not in the filter."""
         base = (h.astype(np.float64) * (self.buckets / 2.0**self.hash_bits)).astype(np.int64)
         # the borders of buckets are whole numbers: settle them exactly
         edges = np.array([(i << self.hash_bits) // self.buckets for i in range(self.buckets)], dtype=U64)
@@ -99,32 +118,32 @@ class LogBloom:
             live = live[ok]
             level[live] = q
             q += 1
-        return np.where(level > 0, BASE ** (level - 0.5), 0.0)
+        return level
 
 
 class Scorer:
-    """What every worker gets: both filters, the common words' exact counts, and the totals."""
-
-    def __init__(self, words: LogBloom, both: LogBloom, common: np.ndarray, exact: np.ndarray, n: int, v: int):
-        self.words, self.both, self.common, self.exact, self.n, self.v = words, both, common, exact, n, v
-
-    def log10(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it."""
-        before, pair = pairs(h, bounds)
-        code, distinct = pd.factorize(np.concatenate((h, before)))
-        single = self.words.counts(distinct.astype(U64))[code]
-        own, head = single[: len(h)], single[len(h) :]
-        code, distinct = pd.factorize(pair >> U64(64 - PAIR_HASH_BITS))
-        joint = self.both.counts(distinct.astype(U64))[code]
+    """What every worker gets: the common words' exact counts, and the totals."""
+
+    def __init__(self, common: np.ndarray, exact: np.ndarray, n: int, v: int, buckets: int):
+        self.common, self.exact, self.n, self.v, self.buckets = common, exact, n, v, buckets
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Exact count of each common word; 0 for others."""
+        if not len(self.common):
+            return np.zeros(len(h), np.int64)
+        slot = np.minimum(np.searchsorted(self.common, h), len(self.common) - 1)
+        return np.where(self.common[slot] == h, self.exact[slot], 0)
+
+    def log10(self, own: np.ndarray, head: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        """log10 probability of tokens after the ones before them, from the counts of the token, the one before and the pair."""
         p1 = (own + 1.0) / (self.n + self.v + 1.0)
         p2 = np.where(head > 0, joint / np.maximum(np.maximum(head, joint), 1.0), 0.0)
         share = PAIR_WEIGHT * head / (head + PAIR_SHRINK)
         return np.log10(share * p2 + (1 - share) * p1)
 
 
-def train(docs: DataFrame, *, bits=None, floors=None, common_words: int = COMMON_WORDS) -> tuple[Scorer, DataFrame]:
-    """(what to broadcast, table (h, c) of the words that are not common) from a column ``text``; null is empty."""
-    bits, floors = bits or BITS, floors or FLOOR
+def train(docs: DataFrame, *, entry_bits: float = ENTRY_BITS, common_words: int = COMMON_WORDS) -> tuple[Scorer, DataFrame]:
+    """(what to broadcast, table of the filter's segments and the other words' counts by bucket) from a column ``text``; null is empty."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -134,27 +153,22 @@ def train(docs: DataFrame, *, bits=None, floors=None, common_words: int = COMMON
 
     packed = count_hashes(docs.select("text"), hashes, buckets=buckets, name="lm", bits={1: PAIR_HASH_BITS})
     common, exact, floor = frequent(packed, 0, common_words)
-    filters = []
-    for kind in (0, 1):
-        size = max(64, bits[kind] // buckets // 8 * 8)
-        tally = tallies(packed, kind)
-        entries = tally * (1 + np.ceil((np.arange(33) + 1) / np.log2(BASE)))
-        above = np.cumsum(entries[::-1])[::-1] * PROBES / np.log(2)
-        least = max(floors[kind], 1 << int(np.argmax(np.append(above, 0) <= size * buckets)))
-
-        def fill(batches, size=size, least=least):
-            for b in batches:
-                for bucket, h, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                    c = np.frombuffer(c, np.uint32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([bucket], pa.int32()), pa.array([LogBloom.segment(unpack(h)[c >= least], c[c >= least], size)], pa.binary())], ["bucket", "bits"]
-                    )
 
-        whole = np.zeros(size * buckets // 8, np.uint8)
-        rows = packed.filter(F.col("kind") == kind).select("bucket", "hashes", "counts").mapInArrow(fill, "bucket int, bits binary")
-        for r in rows.collect():  # segments of a filter of fixed size
-            whole[r.bucket * (size // 8) : (r.bucket + 1) * (size // 8)] = np.frombuffer(r.bits, np.uint8)
-        filters.append(LogBloom(whole, buckets, 64 if kind == 0 else PAIR_HASH_BITS))
+    def fill(batches):
+        for b in batches:
+            for kind, bucket, h, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                h, c = unpack(h), np.frombuffer(c, np.uint32)
+                size = max(64, -int(-level_of(c).sum() * entry_bits // 8) * 8)
+                rare = (c < floor) & (kind == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([LogBloom.segment(h, c, size)], pa.binary()),
+                        pa.array([pack(h[rare])], pa.binary()), pa.array([c[rare].tobytes()], pa.binary()),
+                    ],
+                    ["kind", "bucket", "bits", "hashes", "counts"],
+                )
+
+    segments = written(packed.select("kind", "bucket", "hashes", "counts").mapInArrow(fill, "kind int, bucket int, bits binary, hashes binary, counts binary"), "filter")
 
     def totals(batches):
         for b in batches:
@@ -163,17 +177,46 @@ def train(docs: DataFrame, *, bits=None, floors=None, common_words: int = COMMON
 
     single = packed.filter("kind = 0")
     n, v = single.select("counts").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    return Scorer(common, exact, n, v, buckets), segments
 
-    def rare(batches):
-        for b in batches:
-            for h, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(h)[c < floor].view(np.int64)), pa.array(c[c < floor].astype(np.int64))], ["h", "c"])
 
-    return Scorer(*filters, common, exact, n, v), single.select("hashes", "counts").mapInArrow(rare, "h long, c long")
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
 
+def _unzip(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
 
-def score(docs: DataFrame, model: Scorer, rare: DataFrame, *, text: str = "text") -> DataFrame:
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, rows): about ``most`` bytes of text each, as an Arrow stream."""
+    first, held, size, k = TaskContext.get().partitionId() << 32, [], 0, 0
+
+    def row():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    for part in text_slices(batches):
+        held.append(part)
+        size += pc.sum(pc.binary_length(part.column(part.schema.get_field_index("text")))).as_py() or 0
+        if size >= most:
+            yield row()
+            held, size, k = [], 0, k + 1
+    if held:
+        yield row()
+
+
+def _opened(rows: bytes) -> tuple[list, dict[int, np.ndarray]]:
+    """[(part, hashes, bounds)] of a chunk, and the distinct words and pairs (leading bits) in order."""
+    parts = [(part, *tokens(part)) for part in pa.ipc.open_stream(rows)]
+    both = [pairs(h, bounds)[1] >> U64(64 - PAIR_HASH_BITS) for _, h, bounds in parts]
+    return parts, {0: np.unique(np.concatenate([h for _, h, _ in parts])), 1: np.unique(np.concatenate(both))}
+
+
+def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` without their text, with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     ``base_score`` is the exact add-one unigram log10 probability, ``score`` the
@@ -182,41 +225,78 @@ def score(docs: DataFrame, model: Scorer, rare: DataFrame, *, text: str = "text"
     """
     spark = docs.sparkSession
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    given = [f for f in docs.schema.fields if f.name not in {text, *new, "_uid"}]
-    source = docs.select(*[F.col(f.name) for f in given], F.monotonically_increasing_id().alias("_uid"), F.col(text).alias("text"))
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        for part in text_slices(batches):
-            h, bounds = tokens(part)
-            slot = np.minimum(np.searchsorted(m.common, h), max(len(m.common) - 1, 0))
-            known = m.common[slot] == h if len(m.common) else np.zeros(len(h), bool)
-            c = np.where(known, m.exact[slot], 0) if len(m.common) else np.zeros(len(h))
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (np.log10(c + 1.0), known.astype(np.int64), m.log10(h, bounds))]
-            doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            left = ~known
-            key = pd.DataFrame({"d": doc[left], "h": h[left].view(np.int64)}).groupby(["d", "h"], sort=False).size().reset_index(name="tf")
-            key = key.sort_values("d", kind="stable")
-            off = pa.array(np.searchsorted(key["d"].to_numpy(), np.arange(len(bounds))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(i) for i in range(len(given) + 1)), pa.array(np.diff(bounds)), pa.array(sums[1]), pa.array(sums[0]), pa.array(sums[2]),
-                    pa.ListArray.from_arrays(off, pa.array(key["h"].to_numpy())), pa.ListArray.from_arrays(off, pa.array(key["tf"].to_numpy().astype(np.int32))),
-                ],
-                [*(f.name for f in given), "_uid", "n_tokens", "_known", "_base", "score", "_h", "_tf"],
-            )
-
-    schema = schema_with(given, "_uid long, n_tokens long, _known long, _base double, score double, _h array<long>, _tf array<int>")
-    part = written(source.mapInArrow(run, schema), "scored")
-    asked = part.select("_uid", F.explode(F.arrays_zip("_h", "_tf")).alias("x")).select("_uid", F.col("x._h").alias("h"), F.col("x._tf").alias("tf"))
-    found = asked.join(rare.hint("shuffle_hash"), "h").groupBy("_uid").agg(F.sum("tf").alias("_n"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("_b"))
-    out = part.drop("_h", "_tf").join(found.hint("shuffle_hash"), "_uid", "left")
-    base = F.col("_base") + F.coalesce("_b", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(model.n + model.v + 1.0)))
-    return out.select(
-        *[f.name for f in given], "n_tokens", (F.col("_known") + F.coalesce("_n", F.lit(0))).alias("n_known"),
-        F.lit(int(model.n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
-    )
+    given = [f for f in docs.schema.fields if f.name not in {text, *new}]
+    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("text"))
+    shared, buckets = spark.sparkContext.broadcast(model), model.buckets
+    chunks = written(source.mapInArrow(lambda batches: _chunks(batches, chunk_bytes), "chunk long, rows binary"), "chunks")
+
+    def ask(batches):
+        for b in batches:
+            for chunk, rows in zip(b.column(0), b.column(1), strict=True):
+                for kind, h in _opened(rows.as_py())[1].items():
+                    cut = np.searchsorted(h, _edges(buckets, HASH_BITS[kind]))
+                    cut[-1] = len(h)
+                    at = np.flatnonzero(np.diff(cut))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([chunk.as_py()] * len(at), pa.int64()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()),
+                            pa.array([_zip(pack(h[cut[i] : cut[i + 1]])) for i in at], pa.binary()),
+                        ],
+                        ["chunk", "kind", "bucket", "asked"],
+                    )
+
+    def answer(batches):
+        at = None
+        for b in batches:
+            for chunk, kind, bucket, asked, bits, hashes, counts in zip(*b.columns, strict=True):
+                key = kind.as_py(), bucket.as_py()
+                if not chunk.is_valid:  # a bucket's segment stands before what is asked
+                    at = key
+                    held = LogBloom(np.frombuffer(bits.as_py(), np.uint8), 1, HASH_BITS[at[0]])
+                    rare, c = unpack(hashes.as_py()), np.frombuffer(counts.as_py(), np.uint32)
+                    continue
+                h = unpack(_unzip(asked.as_py()))
+                level, exact = np.zeros(len(h), np.uint8), np.zeros(len(h) if key[0] == 0 else 0, np.uint32)
+                if key == at:
+                    level = np.minimum(held.levels(h), 255).astype(np.uint8)
+                    if key[0] == 0 and len(rare):
+                        slot = np.minimum(np.searchsorted(rare, h), len(rare) - 1)
+                        exact = np.where(rare[slot] == h, c[slot], 0).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk.as_py()], pa.int64()), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_zip(level.tobytes())], pa.binary()), pa.array([_zip(exact.tobytes())], pa.binary())],
+                    ["chunk", "kind", "bucket", "levels", "counts"],
+                )
+
+    none = F.lit(None)
+    asked = chunks.mapInArrow(ask, "chunk long, kind int, bucket int, asked binary")
+    probed = segments.select(none.cast("long").alias("chunk"), "kind", "bucket", none.cast("binary").alias("asked"), "bits", "hashes", "counts").unionByName(asked, allowMissingColumns=True)
+    probed = probed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("chunk").asc_nulls_first())
+    answers = probed.mapInArrow(answer, "chunk long, kind int, bucket int, levels binary, counts binary")
+
+    def grade(tab: pa.Table) -> pa.Table:
+        m, got, rows = shared.value, {0: [], 1: []}, None
+        for kind, bucket, levels, counts, payload in zip(*(tab[c].to_pylist() for c in ("kind", "bucket", "levels", "counts", "rows")), strict=True):
+            if payload is not None:
+                rows = payload
+            else:
+                got[kind].append((bucket, np.frombuffer(_unzip(levels), np.uint8), np.frombuffer(_unzip(counts), np.uint32)))
+        parts, distinct = _opened(rows)
+        single, joint = (middle(np.concatenate([x[1] for x in sorted(got[k], key=lambda x: x[0])]).astype(np.int64)) for k in (0, 1))
+        exact = np.concatenate([x[2] for x in sorted(got[0], key=lambda x: x[0])]).astype(np.int64)
+        exact = np.maximum(exact, m.known(distinct[0]))
+        out = []
+        for part, h, bounds in parts:
+            before, pair = pairs(h, bounds)
+            own, head = (np.searchsorted(distinct[0], x) for x in (h, before))
+            both = np.searchsorted(distinct[1], pair >> U64(64 - PAIR_HASH_BITS))
+            c, n = exact[own], np.diff(bounds)
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), m.log10(single[own], single[head], joint[both]))]
+            base = sums[1] - n * np.log10(m.n + m.v + 1.0)
+            out.append(pa.Table.from_arrays([*(part.column(i) for i in range(len(given))), *map(pa.array, (n, sums[0], np.full(len(n), m.n), base, sums[2]))], [*(f.name for f in given), *new]))
+        return pa.concat_tables(out)
+
+    whole = answers.unionByName(chunks, allowMissingColumns=True)
+    return whole.groupBy("chunk").applyInArrow(grade, schema_with(given, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -225,6 +305,6 @@ def held_out(doc_id: Column) -> Column:
 
 def op9_bloom_lm(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rare = train(docs.filter(~held_out(F.col("doc_id"))))
+    model, segments = train(docs.filter(~held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(rows, model, rare)
+    return score(rows, model, segments)

@@ -409,6 +409,31 @@ def test_filter_counts():
     assert (f.counts(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
 
 
+def test_pair_scores_by_brute_force(spark, docs):
+    """Every word and every pair counts, also those seen once; over many small chunks."""
+    df = spark.createDataFrame([(d, t, d % 3) for d, t in docs], "doc_id long, text string, part int")
+    model, segments = bloom_lm.train(df.filter("part > 0"), entry_bits=64, common_words=100)
+    got = {r.doc_id: r for r in bloom_lm.score(df, model, segments, chunk_bytes=20_000).collect()}
+    assert len(got) == len(docs)
+    tokens = {d: [*words(t), "\0"] for d, t in docs}
+    seen = [ws for d, ws in tokens.items() if d % 3]
+    one, two = collections.Counter(w for ws in seen for w in ws), collections.Counter(x for ws in seen for x in zip(["\0", *ws], ws, strict=False))
+    n, v = sum(one.values()), len(one)
+
+    def near(c):
+        return bloom_lm.BASE ** (math.floor(math.log(c) / math.log(bloom_lm.BASE) + 1e-9) + 0.5) if c else 0.0
+
+    off = []
+    for d, ws in tokens.items():
+        want = 0.0
+        for a, b in zip(["\0", *ws], ws, strict=False):
+            head, joint = near(one[a]), near(two[a, b])
+            share = 0.5 * head / (head + 10.0)
+            want += math.log10(share * (joint / max(head, joint, 1.0) if head else 0.0) + (1 - share) * (near(one[b]) + 1) / (n + v + 1))
+        off.append(abs(got[d].score - want) / len(ws))
+    assert max(off) < 0.05 and np.mean(off) < 0.001  # a false positive weighs more in a short text
+
+
 # ------------------------------------------------------------------ 10
 
 
