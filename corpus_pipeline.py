@@ -15,7 +15,7 @@ from barloom.llm.exact_dedup import one_of_each
 from barloom.llm.jaccard_join import jaccard_components
 from barloom.llm.quality_rules import quality_rules
 from barloom.llm.sentencepiece_nbest import encode
-from barloom.llm.source_mix import in_mixed_order
+from barloom.llm.source_mix import in_mixed_order, mix_sources
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,8 +45,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and the N best segmentations of each row."""
-    return encode(docs).select("doc_id", "lang", "source", "n_tokens", "ids", "nbest", F.col("round_trip"))
+    """Piece ids and the N best segmentations of each row, and its place (``mix_slot``, ``mix_rank``) in the mixture.
+
+    Files do not keep the order of rows, so the place is found here again: it
+    follows from the rows alone, and is the one they were ordered by.
+    """
+    return encode(mix_sources(docs)).select("doc_id", "lang", "source", "n_tokens", "ids", "nbest", F.col("round_trip"), "mix_slot", "mix_rank")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near), ("source_mix", mixed), ("sentencepiece", encoded)]

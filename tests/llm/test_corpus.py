@@ -496,3 +496,22 @@ def test_stages_on_awkward_rows(spark, n):
         out = stage(spark, docs, FOLDER)
         assert i == 4 or out.columns == docs.columns, name
         assert out.count() <= max(n, 0)
+
+
+def test_pipeline_gives_the_mixture(spark):
+    import corpus_pipeline as cp
+
+    out = cp.run(spark, FOLDER).collect()
+    assert len({(r.mix_slot, r.mix_rank) for r in out}) == len(out)
+    n = collections.Counter(r.source for r in out)
+    total = sum(c**0.5 for c in n.values())
+    blocks = {(r.source, r.mix_slot) for r in out}
+    assert len({slot for _, slot in blocks}) == len(blocks)  # one source in a slot
+    last = {s: max(slot for x, slot in blocks if x == s) for s in n}
+    for t in range(min(last.values()) + 1):
+        for s, c in n.items():
+            assert abs(sum(x == s and slot <= t for x, slot in blocks) - (t + 1) * c**0.5 / total) < 1
+    kept = {r.doc_id for r in out}
+    docs = table(spark, FOLDER, "documents").filter(F.col("doc_id").isin(kept))
+    order = [r.doc_id for r in cp.mixed(spark, docs, FOLDER).collect()]
+    assert order == [r.doc_id for r in sorted(out, key=lambda r: (r.mix_slot, r.mix_rank))]
