@@ -1,19 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's rows form blocks of ``block_rows``.  With a weight of q out of
-``slots`` its block k may be released at slot floor(k slots / q) and is due by
-ceil((k + 1) slots / q); giving each slot to the released block that is due
-earliest keeps every source within one block of its share at every moment.  The
-schedule repeats after ``slots`` slots, so the driver makes one period of it (a
-table of ``slots`` rows) and a block finds its slot by division: no row waits
-for another, and any number of blocks is placed in parallel.
+A source's rows form blocks of ``block_rows``.  With a share w of all slots its
+block k may be released at slot floor(k / w) and is due by ceil((k + 1) / w);
+giving each slot to the released block that is due earliest keeps every source
+within one block of its share at every moment, however long the schedule.  The
+shares are exact fractions and do not add up to whole numbers in any period, so
+the driver makes the whole schedule: one step and one number for each block, no
+rows.  The rows find their slots by a join on their block.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +27,18 @@ BLOCK_ROWS = 64
 BUCKET_ROWS = 20_000
 
 
+def _checked(weights: list[float]) -> None:
+    if weights and (min(weights) <= 0 or not all(map(math.isfinite, weights))):
+        raise ValueError("weights must be positive and finite")
+
+
 def quotas(weights: list[float], slots: int = SLOTS) -> list[int]:
     """Whole shares of ``slots`` by largest remainder, at least 1 each."""
     if not weights:
         return []
     if len(weights) > slots:
         raise ValueError(f"{len(weights)} sources need at least as many slots, not {slots}")
-    if min(weights) <= 0 or not all(map(math.isfinite, weights)):
-        raise ValueError("weights must be positive and finite")
+    _checked(weights)
     spare, total = slots - len(weights), sum(weights)
     exact = [spare * w / total for w in weights]
     out = [1 + math.floor(x) for x in exact]
@@ -40,21 +47,36 @@ def quotas(weights: list[float], slots: int = SLOTS) -> list[int]:
     return out
 
 
-def period(shares: list[int], slots: int = SLOTS) -> list[tuple[int, int, int]]:
-    """(source, its block within the period, slot) of one period, earliest deadline first among released blocks."""
-    release: list[list[tuple[int, int]]] = [[] for _ in range(slots)]
-    for s, q in enumerate(shares):
-        for k in range(q):
-            release[k * slots // q].append((-(-(k + 1) * slots // q), s, k))
-    ready, out = [], []
-    for slot in range(slots):
-        for due in release[slot]:
-            heapq.heappush(ready, due)
+def schedule(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, its block, slot) of all ``blocks`` of each source, in order of slot, earliest deadline first among released ones."""
+    _checked(weights)
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(x.denominator for x in exact))
+    share = [int(x * unit) for x in exact]
+    total, slot, n = sum(share), 0, sum(blocks)
+    source, block, at = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    ready, future = [], [(0, s, 0) for s, b in enumerate(blocks) if b]
+    for i in range(n):
+        if not ready and future[0][0] > slot:
+            slot = future[0][0]  # slots of sources that have run out stay empty
+        while future and future[0][0] <= slot:
+            _, s, k = heapq.heappop(future)
+            heapq.heappush(ready, (-(-(k + 1) * total // share[s]), s, k))
         due, s, k = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        out.append((s, k, slot))
-    return out
+        source[i], block[i], at[i] = s, k, slot
+        if k + 1 < blocks[s]:
+            heapq.heappush(future, ((k + 1) * total // share[s], s, k + 1))
+        slot += 1
+    return source, block, at
+
+
+def period(shares: list[int], slots: int = SLOTS) -> list[tuple[int, int, int]]:
+    """(source, its block, slot) of the ``slots`` slots of whole shares."""
+    if sum(shares) != slots:
+        raise ValueError("shares must sum to the slots")
+    return [tuple(map(int, x)) for x in zip(*schedule(shares, shares), strict=True)]
 
 
 def mix_sources(
@@ -76,22 +98,21 @@ def mix_sources(
     the source's row count to the power ``temperature``.  A null source is a
     source of its own; one missing from ``weights`` is an error.  While all
     sources still have blocks, each one's blocks among the first t slots differ
-    from its share of t by less than one; slots of a source that has run out
-    stay empty.  Rows of a source are shuffled by a seeded hash of ``order``,
-    then by all columns; equal rows are interchangeable.  There may be at most
-    ``slots`` sources.  Other columns pass through; one named like a new one is
-    replaced.
+    from its share of t by less than one; ``mix_quota`` is the exact share of
+    ``slots`` slots.  Slots of a source that has run out may stay empty.  Rows of a source are shuffled by a seeded hash of ``order``,
+    then by all columns; equal rows are interchangeable.  Other columns pass
+    through; one named like a new one is replaced.
     """
     spark = docs.sparkSession
     given = [c for c in docs.columns if c not in ("mix_slot", "mix_rank", "mix_block", "mix_quota")]
-    counts = docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).limit(slots + 1).collect()
-    if len(counts) > slots:
-        raise ValueError(f"more than {slots} sources")
+    counts = docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).collect()
     counts.sort(key=lambda r: (r.s is None, r.s))
-    shares = quotas([float(weights[r.s]) if weights is not None else r.n**temperature for r in counts], slots)
+    goal = [float(weights[r.s]) if weights is not None else r.n**temperature for r in counts]
+    src, k, at = schedule(goal, [-(-r.n // block_rows) for r in counts])
     kind = docs.schema[source].dataType.simpleString()
-    named = spark.createDataFrame([(r.s, i, q) for i, (r, q) in enumerate(zip(counts, shares, strict=True))], f"_name {kind}, _src int, mix_quota long")
-    slot_of = spark.createDataFrame(period(shares, slots) if shares else [], "_src int, _k long, _slot long")
+    total = math.fsum(goal)
+    named = spark.createDataFrame([(r.s, i, slots * w / total) for i, (r, w) in enumerate(zip(counts, goal, strict=True))], f"_name {kind}, _src int, mix_quota double")
+    slot_of = spark.createDataFrame(pa.table({"_src": src, "mix_block": k, "mix_slot": at}))
     n_buckets = max(1, -(-sum(r.n for r in counts) // bucket_rows))
 
     fine = [F.col(f.name) if f.dataType.simpleString() not in ("variant",) else F.lit(0) for f in docs.schema.fields]
@@ -109,9 +130,7 @@ def mix_sources(
     at = F.col("_start") + F.col("_r")
     block = F.floor(at / F.lit(block_rows)).cast("long")
     placed = ranked.withColumn("mix_block", block).withColumn("mix_rank", F.pmod(at, F.lit(block_rows)).cast("long"))
-    placed = placed.withColumn("_k", F.pmod("mix_block", "mix_quota")).join(F.broadcast(slot_of), ["_src", "_k"])
-    slot = F.floor(F.col("mix_block") / F.col("mix_quota")).cast("long") * slots + F.col("_slot")
-    return placed.select(*given, slot.alias("mix_slot"), "mix_rank", "mix_block", "mix_quota")
+    return placed.join(slot_of, ["_src", "mix_block"]).select(*given, "mix_slot", "mix_rank", "mix_block", "mix_quota")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:

@@ -154,6 +154,23 @@ def test_mix_places_every_row_once(spark, awkward):
         source_mix.quotas([1.0] * 5, 4)
 
 
+def test_mix_follows_the_weights_over_many_periods(spark):
+    n = {f"s{i:02}": 9000 if i == 0 else 900 for i in range(20)}
+    df = spark.createDataFrame([(i, s) for s, c in n.items() for i in range(c)], "doc_id long, source string")
+    rows = source_mix.mix_sources(df, block_rows=1).select("source", "mix_slot").collect()
+    total, at = sum(c**0.5 for c in n.values()), {s: np.sort([r.mix_slot for r in rows if r.source == s]) for s in n}
+    end = min(x[-1] for x in at.values()) + 1
+    assert len(rows) == sum(n.values()) and end > 10 * source_mix.SLOTS
+    t = np.arange(end)
+    for s, c in n.items():
+        assert np.abs(np.searchsorted(at[s], t, side="right") - (t + 1) * c**0.5 / total).max() < 1
+
+
+def test_more_sources_than_slots(spark):
+    df = spark.createDataFrame([(i, f"s{i % 1100}") for i in range(2500)], "doc_id long, source string")
+    assert len({r.mix_slot for r in source_mix.mix_sources(df, block_rows=1).collect()}) == 2500
+
+
 # ------------------------------------------------------------------ 4
 
 
