@@ -7,6 +7,7 @@ splitting code points.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) a folder of this
-    machine stands in for it.
+    Only where it is unset in a local session, as in tests, a folder of this
+    machine stands in for it; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,16 +61,37 @@ def schema_with(given: list[T.StructField], more: str) -> T.StructType:
     return T.StructType([*given, *T.StructType.fromDDL(more).fields])
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` for columns of our own, with marks added until no column has one of them (letter case aside)."""
+    taken, mark = {c.lower() for c in columns}, "_"
+    while any(mark + x in taken for x in names):
+        mark += "_"
+    return [mark + x for x in names]
+
+
+def beside(docs: DataFrame, text: str, new: list[str], keep: list[str] | None = None) -> tuple[list[T.StructField], int, DataFrame]:
+    """(fields that pass through, place of the text, rows to read): the text comes once, after the fields if it isn't one of them."""
+    given = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
+    names = [f.name for f in given]
+    source = [F.col(f"`{x}`") for x in names]
+    if text in names:
+        return given, names.index(text), docs.select(*source)
+    return given, len(given), docs.select(*source, F.col(text).alias(fresh(names, "text")[0]))
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that one slice's text takes about ``most`` bytes (one long row may exceed it)."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that one slice's text takes about ``most`` bytes (one long row may exceed it).
+
+    ``column`` is a name, or a place where the caller's columns may have any name.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        col = batch.column(batch.schema.get_field_index(column))
+        col = batch.column(column)
         ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(col).to_numpy(zero_copy_only=False), dtype=np.float64)))
         start = 0
         while start < n:
@@ -77,6 +101,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
             start = stop
 
 
+def freed(run):
+    """``run`` over batches, giving the memory it leaves in the worker back at its end, as workers outlive their tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, table, text_slices
+from .common import beside, freed, schema_with, table, text_slices
 from .crf import Crf, feature
 
 # Fixed sets of element names.
@@ -195,31 +195,31 @@ def train() -> Crf:
     return Crf(2).fit(items, labels, epochs=150)
 
 
-def extract(pages: DataFrame, *, html: str = "html", crf: Crf | None = None) -> DataFrame:
+def extract(pages: DataFrame, *, html: str = "html", crf: Crf | None = None, keep: list[str] | None = None) -> DataFrame:
     """``pages`` with ``text``: the main blocks of each whole page, joined by line breaks; empty if none.
 
     Character references are decoded once, white space inside a block becomes
     one space.  Broken markup is read leniently: unclosed elements end with
     their parent, an unclosed comment or script hides the rest of the page.
-    Null and empty pages give empty text.  Other columns pass through; one named
-    ``text`` is replaced.
+    Null and empty pages give empty text.  Other columns pass through, or
+    those named in ``keep``; one named ``text`` is replaced.
     """
-    given = [f for f in pages.schema.fields if f.name != "text"]
-    source = pages.select(*[F.col(f.name) for f in given], F.col(html).alias("_html"))
+    given, place, source = beside(pages, html, ["text"], keep)
     shared = pages.sparkSession.sparkContext.broadcast(crf or train())
 
+    @freed
     def run(batches):
-        for part in text_slices(batches, "_html"):
-            blocks = [leaf_blocks(h or "") for h in part.column(part.schema.get_field_index("_html")).to_pylist()]
+        for part in text_slices(batches, place):
+            blocks = [leaf_blocks(h or "") for h in part.column(place).to_pylist()]
             bounds = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))
             ids = np.array([block_features(b) for page in blocks for b in page], dtype=np.int64).reshape(-1, N_FEATURES)
             tag = shared.value.decode(shared.value.weights[ids].sum(1), bounds)
             texts = ["\n".join(b[2] for b, y in zip(page, tag[bounds[i] : bounds[i + 1]], strict=True) if y) for i, page in enumerate(blocks)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(given))), pa.array(texts, pa.string())], [*(f.name for f in given), "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(given)], pa.array(texts, pa.string())], [*(f.name for f in given), "text"])
 
     return source.mapInArrow(run, schema_with(given, "text string"))
 
 
 def op10_html_extract(spark, sf_dir) -> DataFrame:
-    out = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, table, text_slices, written
+from .common import U64, Words, freed, mix, table, text_slices, written
 from .components import connected_components
 from .packed_counts import count_hashes, frequent
 
@@ -74,8 +74,8 @@ def shingle_prefix(n: int, threshold: int) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``.
+def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text", inner: bool = False) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id``; ``inner`` adds the text's ``digest`` and the component's node ``comp``.
 
     Two documents link when ``100 * intersection >= threshold * union`` over
     their distinct ``k``-word shingles (texts with fewer words: the whole
@@ -89,6 +89,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    given = rows.withColumn("digest", F.xxhash64("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tally = count_hashes(rows.select("text"), lambda p: {0: Words(p.column(p.schema.get_field_index("text")), lower=True).hashes()}, buckets=buckets, name="words")
     common, counts, _ = frequent(tally, 0, COMMON_WORDS)
@@ -105,11 +106,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
             off = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(off), flat)],
-                ["doc_id", "n", "node", "prefix"],
+                [part.column("doc_id"), part.column("digest"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(off), flat)],
+                ["doc_id", "digest", "n", "node", "prefix"],
             )
 
-    signed = written(rows.mapInArrow(sign, f"doc_id {id_type}, n long, node long, prefix array<long>"), "signed")
+    signed = written(given.mapInArrow(freed(sign), f"doc_id {id_type}, digest long, n long, node long, prefix array<long>"), "signed")
     nodes = written(
         signed.filter("n > 0").groupBy("node", "n").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("low"))
         .withColumn("grp", F.xxhash64("n", "prefix")), "nodes"
@@ -164,9 +165,35 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
 
     labelled = nodes.select("node", "low").join(roots.hint("shuffle_hash"), "node", "left").select("node", "low", F.coalesce("root", "node").alias("comp"))
     lows = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lows.hint("shuffle_hash"), "comp").select("node", "component_id")
-    out = signed.filter("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.union(signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    named = labelled.join(lows.hint("shuffle_hash"), "comp").select("node", "comp", "component_id")
+    out = signed.filter("n > 0").select("doc_id", "digest", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", "comp")
+    out = out.union(signed.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "digest", F.lit(None).cast("long")))
+    return out if inner else out.drop("digest", "comp")
+
+
+def one_of_each_component(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component one row, that with the smallest id (no id comes last), then the smallest text digest.
+
+    Rows are told apart by id and text, so other rows of the same id keep their
+    own fate.  Texts without words and null texts all stay.  Of equal rows of a
+    component one stays.
+    """
+    told = written(jaccard_components(docs, k=k, threshold=threshold, doc_id=doc_id, text=text, inner=True), "told")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "digest")
+    best = told.filter("comp is not null").groupBy("comp").agg(F.min(order).alias("best"))
+    rows = told.filter("comp is not null").groupBy("comp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    rows = written(rows.join(best.hint("shuffle_hash"), "comp").withColumn("stays", order == F.col("best")).select("doc_id", "digest", "n", "stays"), "fates")
+    repeated = rows.filter("stays and n > 1")
+
+    def without(left: DataFrame, fates: DataFrame, how: str) -> DataFrame:
+        right = fates.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"))
+        return left.join(right.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(right["_i"]) & F.xxhash64(text).eqNullSafe(right["_d"]), how)
+
+    out = without(docs, rows.filter("not stays"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    twice = without(docs, repeated, "left_semi").dropDuplicates([doc_id, text])
+    return without(out, repeated, "left_anti").unionByName(twice)
 
 
 def _linked(threshold: int):
@@ -189,7 +216,7 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, known, deltas: bool = F
                     [pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(list(found.values()))))], ["node", "items"]
                 )
 
-    every = rows.select("text").mapInArrow(sets, "node long, items array<long>")
+    every = rows.select("text").mapInArrow(freed(sets), "node long, items array<long>")
     few = wanted.count() <= BROADCAST_NODES
     held = every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
     one = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, schema_with, table, text_slices
+from .common import U64, beside, freed, mix, schema_with, table, text_slices
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -197,21 +197,22 @@ def fit(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS, calibrate_rows: int
     return models
 
 
-def identify(docs: DataFrame, models: Models | None, *, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: Models | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``lang_rejected``.
 
     Null texts and texts without a letter get ``und`` with score 0, as does
     every text if there is no model.  Ties go to the language first in the
-    alphabet.  Other columns pass through; one named like a new one is replaced.
+    alphabet.  Other columns pass through, or those named in ``keep``; one named
+    like a new one is replaced.
     """
-    given = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "lang_rejected")]
-    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("_text"))
+    given, place, source = beside(docs, text, ["lang_pred", "score", "lang_rejected"], keep)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
+    @freed
     def run(batches):
         m = shared.value
-        for part in text_slices(batches, "_text"):
-            texts = [t or "" for t in part.column(part.schema.get_field_index("_text")).to_pylist()]
+        for part in text_slices(batches, place):
+            texts = [t or "" for t in part.column(place).to_pylist()]
             if m is None:
                 names, score = ["und"] * len(texts), np.zeros(len(texts))
             else:
@@ -221,7 +222,7 @@ def identify(docs: DataFrame, models: Models | None, *, text: str = "text") -> D
                 names = [m.languages[b] if n else "und" for b, n in zip(best, size, strict=True)]
             low = score < (m.reject if m else 1.0)
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(len(given))), pa.array(names), pa.array(score), pa.array(low)], [*(f.name for f in given), "lang_pred", "score", "lang_rejected"]
+                [*part.columns[: len(given)], pa.array(names), pa.array(score), pa.array(low)], [*(f.name for f in given), "lang_pred", "score", "lang_rejected"]
             )
 
     return source.mapInArrow(run, schema_with(given, "lang_pred string, score double, lang_rejected boolean"))
@@ -231,4 +232,4 @@ def op7_language_id(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     models = fit(docs.filter(~held_out))
-    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models).select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models, keep=["doc_id", "held_out"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, text_slices, written
+from .common import U64, freed, text_slices, written
 
 def pack(h: np.ndarray) -> bytes:
     """Rising hashes as differences, byte plane by byte plane: the empty planes vanish in the shuffle's compression."""
@@ -98,7 +98,7 @@ def count_hashes(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], dict[int
             }
         )
 
-    return written(docs.mapInArrow(local, PACKED).groupBy("kind", "bucket").applyInArrow(merge, PACKED), name)
+    return written(docs.mapInArrow(freed(local), PACKED).groupBy("kind", "bucket").applyInArrow(merge, PACKED), name)
 
 
 def _edges(buckets: int, bits: int) -> np.ndarray:

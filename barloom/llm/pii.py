@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, schema_with, table, text_slices
+from .common import Words, beside, freed, schema_with, table, text_slices
 from .crf import Crf, feature
 
 # Fixed patterns of the base spans.
@@ -277,21 +277,21 @@ SPANS = "array<struct<kind: string, start: long, end: long, base: boolean>>"
 EDGE = ".,;:!?()[]\"'"
 
 
-def find_pii(docs: DataFrame, *, text: str = "text", crf: Crf | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, *, text: str = "text", crf: Crf | None = None, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``pii``: spans in code points, ends exclusive, by kind (base kinds first), then start.
 
     Base spans are always there; spans that the field adds have ``base = false``
     and leave out marks at their ends.  Null and empty texts have none.  Other
-    columns pass through; one named ``pii`` is replaced.
+    columns pass through, or those named in ``keep``; one named ``pii`` is replaced.
     """
-    given = [f for f in docs.schema.fields if f.name != "pii"]
-    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("_text"))
+    given, place, source = beside(docs, text, ["pii"], keep)
     shared = docs.sparkSession.sparkContext.broadcast(Tagger(crf or train()))
     kinds = KINDS + ADDED
 
+    @freed
     def run(batches):
-        for part in text_slices(batches, "_text"):
-            col = part.column(part.schema.get_field_index("_text"))
+        for part in text_slices(batches, place):
+            col = part.column(place)
             words = Words(col, lower=False)
             hint = np.isin(words.raw, np.frombuffer(b"@0123456789", np.uint8))
             some = np.concatenate(([0], np.cumsum(hint)))[words.off]
@@ -308,13 +308,13 @@ def find_pii(docs: DataFrame, *, text: str = "text", crf: Crf | None = None) ->
                     found[d].append((len(KINDS) + k, s, e, False))
             spans = [[{"kind": kinds[k], "start": s, "end": e, "base": b} for k, s, e, b in sorted(x)] for x in found]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(given))), pa.array(spans, kind)], [*(f.name for f in given), "pii"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(given)], pa.array(spans, kind)], [*(f.name for f in given), "pii"])
 
     return source.mapInArrow(run, schema_with(given, f"pii {SPANS}"))
 
 
 def op5_pii(spark, sf_dir) -> DataFrame:
-    out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("pii", lambda s: s.base)
 
     def told(spans):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, schema_with, table, text_slices
+from .common import U64, Words, beside, freed, mix, schema_with, table, text_slices
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -88,25 +88,23 @@ def measures(col: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS, limits=None, line_limit: float = LINE_LIMIT) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text: str = "text", min_words: int = MIN_WORDS, limits=None, line_limit: float = LINE_LIMIT, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts in ``SCHEMA``, ``base_failed`` and ``kept``.
 
     A row is rejected if it has fewer than ``min_words`` words, if over half of
     its words stand in repeated three-word windows, if windows found earlier in
     the text cover more than their limit of its word characters, or if repeated
-    lines do.  Null text counts as no words.  Other columns pass through; a
-    column named like a new one is replaced.
+    lines do.  Null text counts as no words.  Other columns pass through, or those
+    named in ``keep``; a column named like a new one is replaced.
     """
     limits = NGRAM_LIMITS if limits is None else limits
-    given = [f for f in docs.schema.fields if f.name not in {*NAMES, "base_failed", "kept"}]
-    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("_text"))
+    given, place, source = beside(docs, text, [*NAMES, "base_failed", "kept"], keep)
 
+    @freed
     def run(batches):
-        for part in text_slices(batches, "_text"):
-            found = measures(part.column(part.schema.get_field_index("_text")))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in range(len(given))), *(pa.array(found[k]) for k in NAMES)], [*(f.name for f in given), *NAMES]
-            )
+        for part in text_slices(batches, place):
+            found = measures(part.column(place))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(given)], *(pa.array(found[k]) for k in NAMES)], [*(f.name for f in given), *NAMES])
 
     out = source.mapInArrow(run, schema_with(given, SCHEMA))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -117,4 +115,4 @@ def quality_rules(docs: DataFrame, *, text: str = "text", min_words: int = MIN_W
 
 
 def op6_quality_rules(spark, sf_dir) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])

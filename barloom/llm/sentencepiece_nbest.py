@@ -9,12 +9,18 @@ No piece of a usable vocabulary crosses from a non-space into a space or into a
 line break (checked when it is loaded), so a text's lattice falls apart there
 into chunks whose segmentations are independent.  A chunk is solved once per
 worker and kept; a text's N best are the N smallest sums of its chunks' losses.
+
+Scores are multiples of ``UNIT``, so that sums are exact in any order.  A partial
+segmentation's estimate then equals that of the best way to go on with it, and
+as the search prefers the longer one of equal estimates, it walks straight to an
+end: N best take N walks, also where very many segmentations tie.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -22,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, table, text_slices, utf8
+from .common import beside, freed, fresh, schema_with, table, text_slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Solved chunks that one worker keeps; beyond it starts afresh.  Has no influence on results.
-KEPT_CHUNKS = 400_000
+#: Bytes of solved chunks, about, that one worker keeps in each of two generations; has no influence on results.
+KEPT_BYTES = 24 << 20
+UNIT = 2.0**-20
 LONG_CHUNK = 64  # characters; longer chunks are solved one at a time
 SWITCHED_OFF = -1e8  # scores below this mark pieces that a model never uses on a best path
 EDITS = "array<struct<score: double, edits: array<struct<at: int, n_old: int, ids: array<int>>>>>"
@@ -40,6 +47,7 @@ class Pieces:
     """A vocabulary: what the driver reads from a model file and sends to the workers (some 32,000 strings)."""
 
     def __init__(self, strings: list[str], scores: list[float], byte_ids: list[int]):
+        scores = [round(s / UNIT) * UNIT for s in scores]
         self.strings, self.scores, self.byte_ids = strings, scores, byte_ids
         self.lookup: dict[str, tuple[int, float] | None] = {}
         special = set(byte_ids) | {0, 1, 2}
@@ -60,7 +68,10 @@ class Pieces:
         self.pool = np.frombuffer(b"".join(raw), np.uint8)
         self._automaton()
         self.solved: dict[str, tuple[bytes, float, float]] = {}
+        self.before = self.solved
         self.ranked: dict[str, list] = {}
+        self.last: tuple[str, array] = "", array("d", [0.0])  # the chunk solved last, and the best score up to each place
+        self.kept = 0
 
     def __reduce__(self):
         return Pieces, (self.strings, self.scores, self.byte_ids)
@@ -89,30 +100,73 @@ class Pieces:
                 break
         return out if out and out[0][0] == i + 1 else [*out, (i + 1, -1, self.unknown)]
 
+    def _into(self, chunk: str, j: int):
+        """Pieces that end at ``j``: (start, id, score)."""
+        lookup, single = self.lookup, False
+        for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
+            found = lookup.get(chunk[i:j])
+            if found:
+                single = single or i == j - 1
+                yield (i, *found)
+        if not single:
+            yield j - 1, -1, self.unknown
+
     def _ids(self, chunk: str, path) -> bytes:
-        out = []
+        out = array("i")
         for i, j, k in path:
-            out += [k] if k >= 0 else [self.byte_ids[b] for b in chunk[i:j].encode()]
-        return np.array(out, np.int32).tobytes()
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend([self.byte_ids[b] for b in chunk[i:j].encode()])
+        return out.tobytes()
+
+    def _edge_blocks(self, chunk: str, size: int = 1 << 14):
+        """The edges of a long chunk, ``size`` starts at a time: (first start, bounds of each start's edges, ends, ids, scores)."""
+        code = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        for lo in range(0, len(code), size):
+            start = np.arange(lo, min(len(code), lo + size))
+            state, found, alone = np.zeros(len(start), np.int64), [], np.ones(len(start), bool)
+            at = start
+            for reach in range(self.longest):
+                inside = at + reach < len(code)
+                at, state = at[inside], state[inside]
+                key = state << 21 | code[at + reach]
+                slot = np.minimum(np.searchsorted(self.step, key), len(self.step) - 1)
+                hit = self.step[slot] == key
+                at, state = at[hit], self.next[slot[hit]]
+                if not len(at):
+                    break
+                full = self.ends[state] >= 0
+                if reach == 0:
+                    alone[at[full] - lo] = False
+                found.append((at[full], at[full] + reach + 1, self.ends[state[full]]))
+            odd = start[alone]
+            begin, end, ids = (np.concatenate(x) for x in zip(*found, (odd, odd + 1, np.full(len(odd), -1)), strict=True))
+            order = np.lexsort((end, begin))
+            yield lo, np.searchsorted(begin[order], np.arange(lo, lo + len(start) + 1)).tolist(), end[order].tolist(), ids[order].tolist(), self.score_of[ids[order]].tolist()
 
     def solve(self, chunk: str) -> tuple[bytes, float, float]:
         """(ids of the best segmentation, its score, by how much the second best is worse)."""
-        n, low = len(chunk), float("-inf")
-        best, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        n = len(chunk)
+        best, second, back, piece = array("d", [float("-inf")]) * (n + 1), array("d", [float("-inf")]) * (n + 1), array("q", [0]) * (n + 1), array("q", [0]) * (n + 1)
         best[0] = 0.0
-        for i in range(n):
-            a, b = best[i], second[i]
-            for j, k, s in self._edges(chunk, i):
-                x, y = a + s, best[j]
-                if x > y:
-                    best[j], back[j], x = x, (i, j, k), y if y > b + s else b + s
-                if x > second[j]:
-                    second[j] = x
+        for lo, bounds, ends, ids, scores in self._edge_blocks(chunk):
+            for i in range(len(bounds) - 1):
+                a, b = best[lo + i], second[lo + i]
+                for e in range(bounds[i], bounds[i + 1]):
+                    j, s = ends[e], scores[e]
+                    x, y = a + s, best[j]
+                    if x > y:
+                        best[j], back[j], piece[j] = x, lo + i, ids[e]
+                        x = y if y > b + s else b + s
+                    if x > second[j]:
+                        second[j] = x
+        self.last = chunk, best
         path, j = [], n
         while j:
-            path.append(back[j])
-            j = back[j][0]
-        return self._ids(chunk, path[::-1]), best[n], best[n] - second[n]
+            path.append((back[j], j, piece[j]))
+            j = back[j]
+        return self._ids(chunk, reversed(path)), best[n], best[n] - second[n]
 
     def solve_many(self, chunks: list[str]) -> None:
         """``solve`` for many new chunks: one numpy step for each (start, length), over all chunks of a block."""
@@ -190,16 +244,12 @@ class Pieces:
     def n_best(self, chunk: str, n_best: int) -> list[tuple[float, bytes]]:
         """The ``n_best`` segmentations of a chunk, best first: Viterbi forward, A-star backward."""
         n = len(chunk)
-        into: list[list] = [[] for _ in range(n + 1)]
-        ahead = [float("-inf")] * (n + 1)
-        ahead[0] = 0.0
-        for i in range(n):
-            for j, k, s in self._edges(chunk, i):
-                into[j].append((i, k, s))
-                ahead[j] = max(ahead[j], ahead[i] + s)
-        agenda, made, found = [(-ahead[n], 0, n, 0.0, None)], 1, []
+        if self.last[0] != chunk:
+            self.solve(chunk)
+        ahead = self.last[1]
+        agenda, made, found = [(-ahead[n], n, 0, 0.0, None)], 1, []
         while agenda and len(found) < n_best:
-            f, _, at, behind, path = heapq.heappop(agenda)
+            f, at, _, behind, path = heapq.heappop(agenda)
             if not at:
                 steps = []
                 while path:
@@ -207,20 +257,23 @@ class Pieces:
                     path = path[1]
                 found.append((-f, self._ids(chunk, steps)))
                 continue
-            for i, k, s in into[at]:
-                heapq.heappush(agenda, (-(ahead[i] + s + behind), made, i, behind + s, ((i, at, k), path)))
+            for i, k, s in self._into(chunk, at):
+                heapq.heappush(agenda, (-(ahead[i] + s + behind), i, made, behind + s, ((i, at, k), path)))
                 made += 1
         return found
 
     def encode_many(self, texts: list[str], n_best: int) -> list[tuple[bytes, list[tuple[float, list]]]]:
         """For each text (ids of the best segmentation, the ``n_best`` as (score, edits of the best))."""
-        if len(self.solved) > KEPT_CHUNKS:
-            self.solved.clear()
-            self.ranked.clear()
+        if self.kept > KEPT_BYTES:
+            self.before, self.solved, self.ranked, self.kept = self.solved, {}, {}, 0
         chunks = [CHUNK.findall(" " + t) if t else [] for t in texts]
         new = set().union(*chunks) - self.solved.keys()
-        if new:
-            self.solve_many(list(new))
+        known = new & self.before.keys()
+        for c in known:
+            self.solved[c] = self.before[c]
+        if len(new) > len(known):
+            self.solve_many(list(new - known))
+        self.kept += sum(map(len, new)) * 6 + 300 * len(new)
         return [self._combine(c, n_best) for c in chunks]
 
     def encode(self, text: str, n_best: int) -> tuple[bytes, list[tuple[float, list]]]:
@@ -241,6 +294,7 @@ class Pieces:
             ranked = self.ranked.get(chunks[i])
             if ranked is None or len(ranked) < n_best:
                 ranked = self.ranked[chunks[i]] = self.n_best(chunks[i], n_best)
+                self.kept += 300 + sum(200 + len(ids) for _, ids in ranked)
             more = [(done + ranked[0][0] - s, (*chosen, (i, r))) for done, chosen in ways for r, (s, _) in enumerate(ranked) if r]
             ways = heapq.nsmallest(n_best, ways + more)
         begin = list(accumulate(map(len, ids), initial=0)) if len(ways) > 1 else []
@@ -282,7 +336,7 @@ def load_pieces(model: str = MODEL) -> Pieces:
     return Pieces([sp.id_to_piece(i).replace("▁", " ") for i in range(n)], [sp.get_score(i) for i in range(n)], byte_ids)
 
 
-def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: int = N_BEST) -> DataFrame:
+def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: int = N_BEST, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids``, ``n_tokens``, ``nbest`` and ``round_trip``.
 
     ``nbest`` lists up to ``n_best`` segmentations, best first: a score (the sum
@@ -291,17 +345,17 @@ def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: i
     very text.  Null and empty texts give no ids and one empty segmentation.
     Ties between segmentations go to the one found first, the same in every run.
     A literal U+2581 is spelled in bytes, so it survives.  Other columns pass
-    through; one named like a new one is replaced.
+    through, or those named in ``keep``; one named like a new one is replaced.
     """
     spark = docs.sparkSession
-    given = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens", "nbest", "round_trip")]
-    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("_text"))
+    given, place, source = beside(docs, text, ["ids", "n_tokens", "nbest", "round_trip"], keep)
     shared = spark.sparkContext.broadcast(load_pieces(model))
 
+    @freed
     def run(batches):
         pieces = shared.value
-        for part in text_slices(batches, "_text"):
-            col = part.column(part.schema.get_field_index("_text"))
+        for part in text_slices(batches, place):
+            col = part.column(place)
             found = pieces.encode_many([t or "" for t in col.to_pylist()], n_best)
             ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
             off = np.concatenate(([0], np.cumsum([len(f[0]) // 4 for f in found])))
@@ -315,12 +369,9 @@ def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: i
                 same = np.array([bytes(raw[bounds[i] : bounds[i + 1]]) == bytes(text_raw[text_off[i] : text_off[i + 1]]) for i in range(len(found))])
             nbest = pa.array([[{"score": s, "edits": [{"at": a, "n_old": n, "ids": x} for a, n, x in e]} for s, e in f[1]] for f in found], EDITS_ARROW)
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(i) for i in range(len(given))), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)),
-                    pa.array(np.diff(off)), nbest, pa.array(same),
-                ],
+                [*part.columns[: len(given)], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids)), pa.array(np.diff(off)), nbest, pa.array(same)],
                 [*(f.name for f in given), "ids", "n_tokens", "nbest", "round_trip"],
-            )
+            )
 
     return source.mapInArrow(run, schema_with(given, f"ids array<int>, n_tokens long, nbest {EDITS}, round_trip boolean"))
 
@@ -328,20 +379,21 @@ def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL, n_best: i
 def decode(rows: DataFrame, *, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of an id list in a new column; a null list counts as empty."""
     given = [f for f in rows.schema.fields if f.name != text]
-    source = rows.select(*[F.col(f.name) for f in given], F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
+    source = rows.select(*[F.col(f"`{f.name}`") for f in given], F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(fresh(rows.columns, "ids")[0]))
     shared = rows.sparkSession.sparkContext.broadcast(load_pieces(model))
 
+    @freed
     def run(batches):
         for part in batches:
             lists = part.column(len(given))
             off = np.asarray(lists.offsets)
             raw, bounds = shared.value.decode(np.asarray(lists.values)[off[0] : off[-1]], off - off[0])
             texts = pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw.tobytes())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(given))), texts], [*(f.name for f in given), text])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(given)], texts], [*(f.name for f in given), text])
 
     return source.mapInArrow(run, schema_with(given, f"`{text}` string"))
 
 
 def op1_sentencepiece(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs).select("doc_id", "n_tokens", "ids", "nbest", "round_trip")
+    return encode(docs, keep=["doc_id"]).select("doc_id", "n_tokens", "ids", "nbest", "round_trip")

@@ -91,6 +91,38 @@ def test_a_star_gives_all_segmentations_in_order():
     assert [s for s, _ in p.n_best(" tokens", 12)] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("text", ["-" * 300, "a" * 300, " " * 200, "=-" * 150, "é" * 100 + "ab" * 80])
+def test_long_runs_with_ties(text):
+    """The scores are the best four of all segmentations, found by a plain dynamic programme."""
+    p, chunk = sentencepiece_nbest.load_pieces(), " " + text
+    best = [[0.0]] + [[] for _ in chunk]
+    for i in range(len(chunk)):
+        for j, _, s in p._edges(chunk, i):
+            best[j] = sorted(best[j] + [x + s for x in best[i]], reverse=True)[:4]
+    ids, found = p.encode(text, 4)
+    assert [s for s, _ in found] == best[-1] and p.solve(chunk)[1] == best[-1][0]
+    assert len({(*map(str, e),) for _, e in found}) == len(found)
+
+
+@pytest.mark.parametrize("text", ["-" * 20_000, "a" * 20_000, " " * 30_000, "x1" * 20_000])
+def test_long_runs_end_soon(text):
+    import time
+
+    p, start = sentencepiece_nbest.load_pieces(), time.time()
+    ids, found = p.encode(text, 4)
+    assert time.time() - start < 5 and 2 <= len(found) <= 4
+    raw, _ = p.decode(np.frombuffer(ids, np.int32), np.array([0, len(ids) // 4]))
+    assert raw.tobytes().decode() == text
+
+
+def test_kept_chunks_do_not_change_results(docs, monkeypatch):
+    texts = [t or "" for _, t in docs[:60]]
+    whole = sentencepiece_nbest.load_pieces().encode_many(texts, 3)
+    monkeypatch.setattr(sentencepiece_nbest, "KEPT_BYTES", 20_000)
+    p = sentencepiece_nbest.load_pieces()
+    assert [p.encode(t, 3) for t in texts] == whole and len(p.solved) + len(p.before) < 2000
+
+
 def test_encoding_round_trip(spark, awkward):
     out = sentencepiece_nbest.decode(sentencepiece_nbest.encode(awkward), ids="ids").collect()
     assert len(out) == len(AWKWARD)
@@ -504,6 +536,21 @@ def test_pipeline_by_brute_force(spark):
         assert r.round_trip and r.ids == np.frombuffer(p.encode(texts[r.doc_id], 4)[0], np.int32).tolist()
 
 
+def test_near_copies_go_by_row(spark):
+    """An id with two texts: only the row that is a near copy goes; equal rows leave one; no id loses to any id."""
+    import corpus_pipeline as cp
+
+    base = [f"w{i}" for i in range(40)]
+    one, two, other = " ".join(base), " ".join([*base, "end"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, one), (2, two), (2, other), (None, one + " "), (7, other), (7, other), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA)
+    out = cp.near(spark, docs, FOLDER)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, one), (2, other), (8, ""), (8, ""), (None, None)]))
+    again = spark.createDataFrame([(7, other, "en", "a", 1)] * 3, SCHEMA)
+    assert cp.near(spark, again, FOLDER).count() == 1
+
+
 @pytest.mark.parametrize("n", [len(AWKWARD), 0])
 def test_stages_on_awkward_rows(spark, n):
     import corpus_pipeline as cp
