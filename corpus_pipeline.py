@@ -8,11 +8,10 @@ each group the row with the smallest doc_id stays.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.llm.common import table, written
 from barloom.llm.exact_dedup import one_of_each
-from barloom.llm.jaccard_join import jaccard_components
+from barloom.llm.jaccard_join import one_of_each_component
 from barloom.llm.quality_rules import quality_rules
 from barloom.llm.sentencepiece_nbest import encode
 from barloom.llm.source_mix import in_mixed_order, mix_sources
@@ -33,10 +32,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component: that with the smallest doc_id.
 
-    Rows without an id, or in a component without any, all stay.
+    Rows without words have no component and stay.  Rows are told apart by id
+    and text: of two rows with one id each has its own fate.
     """
-    gone = jaccard_components(docs, k=5, threshold=80).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each_component(docs, k=5, threshold=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +49,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Files do not keep the order of rows, so the place is found here again: it
     follows from the rows alone, and is the one they were ordered by.
     """
-    return encode(mix_sources(docs)).select("doc_id", "lang", "source", "n_tokens", "ids", "nbest", F.col("round_trip"), "mix_slot", "mix_rank")
+    kept = ["doc_id", "lang", "source", "mix_slot", "mix_rank"]
+    return encode(mix_sources(docs), keep=kept).select("doc_id", "lang", "source", "n_tokens", "ids", "nbest", "round_trip", "mix_slot", "mix_rank")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("jaccard_join", near), ("source_mix", mixed), ("sentencepiece", encoded)]
