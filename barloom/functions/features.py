@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .recursion import MEANS, PROFILE, profiles, recursive
 from .windows import corr, flag, full, lag, last_n, nz, prior_n, symbol, up_to_now, zscore
@@ -45,13 +46,16 @@ def true_range() -> Column:
     return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
 
 
+def _with_columns(b: DataFrame, by_symbol, names: list[str]) -> DataFrame:
+    """``b`` with doubles that a pandas function adds to the whole rows of each symbol: one grouped pass and no join."""
+    added = [T.StructField(x, T.DoubleType()) for x in names]
+    out = b.drop(*names).groupBy("symbol").applyInPandas(by_symbol, T.StructType([*b.drop(*names).schema.fields, *added]))
+    return out.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in names})
+
+
 def recursive_means(b: DataFrame) -> DataFrame:
     """``b`` with all exponentially weighted columns: one grouped pass, one symbol's bars at a time."""
-    day = b.schema["bar_date"].dataType.simpleString()
-    kind = b.schema["symbol"].dataType.simpleString()
-    out = b.select("symbol", "bar_date", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(recursive, f"symbol {kind}, bar_date {day}, " + ", ".join(f"{m} double" for m in MEANS))
-    clean = out.select("symbol", "bar_date", *[F.when(~F.isnan(m), F.col(m)).alias(m) for m in MEANS])
-    return b.join(clean, ["symbol", "bar_date"])
+    return _with_columns(b, recursive, MEANS)
 
 
 def trend(b: DataFrame) -> DataFrame:
@@ -204,9 +208,7 @@ def swings(b: DataFrame, k: int = 5) -> DataFrame:
 
 def volume_profile(b: DataFrame) -> DataFrame:
     """Distance of the close from the price bin with most volume of 50 bars, and from the area around it that holds 70 %."""
-    day = b.schema["bar_date"].dataType.simpleString()
-    found = b.select("symbol", "bar_date", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(profiles, f"symbol string, bar_date {day}, " + ", ".join(f"{p} double" for p in PROFILE))
-    return b.join(found.select("symbol", "bar_date", *[F.when(~F.isnan(p), F.col(p)).alias(p) for p in PROFILE]), ["symbol", "bar_date"])
+    return _with_columns(b, profiles, PROFILE)
 
 
 GROUPS = {

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import by, nz, pct_rank, prior_n
+from .features import recursive_means
+from .windows import by, full, lag, nz, pct_rank, prior_n
 
+SERIES = ["vix", "vix9d", "vix3m", "vvix", "skew", "t10y", "t5y", "fx", "lqd", "hyg", "dxy", "gold", "copper"]
 RANKED = {"log_return_5d": "price__log_return_5d", "log_return_20d": "price__log_return_20d", "rsi_14": "momentum__rsi_14", "volume_zscore_20": "volume__volume_zscore_20", "realized_vol_20d": "price__realized_vol_20d"}
 
 
@@ -111,10 +113,42 @@ def sector_flags(panel: DataFrame, dim: DataFrame) -> DataFrame:
 RESIDUALS = {"resid_log_return_5d": "price__log_return_5d", "resid_log_return_20d": "price__log_return_20d", "resid_realized_vol_20d": "price__realized_vol_20d", "resid_rsi_14_minus_sector": "momentum__rsi_14"}
 
 
-def sector_residual(panel: DataFrame, benchmark_of: DataFrame) -> DataFrame:
-    """Each symbol's features minus those of its sector's benchmark symbol on the date, and the trailing z of the first."""
+#: Canonical sector -> benchmark fund (fixed values).
+SECTOR_FUNDS = {
+    "Technology": "XLK", "Financials": "XLF", "Energy": "XLE", "Healthcare": "XLV", "Consumer Cyclical": "XLY", "Consumer Defensive": "XLP",
+    "Industrials": "XLI", "Utilities": "XLU", "Real Estate": "XLRE", "Basic Materials": "XLB", "Communication Services": "XLC",
+}
+
+
+def sector_benchmarks(sectors: DataFrame, funds: dict[str, str] | None = None) -> DataFrame:
+    """(symbol, benchmark): the fund of each symbol's sector, null for unknown sectors."""
+    known = F.create_map(*[F.lit(x) for kv in (funds or SECTOR_FUNDS).items() for x in kv])
+    return sectors.select("symbol", F.try_element_at(known, canonical_sector(F.col("sector"))).alias("benchmark"))
+
+
+def etf_features(bars: DataFrame, funds: list[str] | None = None) -> DataFrame:
+    """(benchmark, bar_date, 5 and 20 bar log returns, 20 bar volatility, 14 bar RSI) of benchmark instruments; without ``funds`` of all in ``bars``."""
+    rows = bars if funds is None else bars.filter(F.col("symbol").isin(funds))
+    rows = recursive_means(rows.select("symbol", "bar_date", "high", "low", "close", "volume"))
+    x = F.when(F.col("close") > 0, F.ln("close"))
+    rows = rows.withColumns({"_x": x, "_r": x - lag(x)})
+    return rows.select(
+        F.col("symbol").alias("benchmark"), "bar_date", (F.col("_x") - lag(F.col("_x"), 5)).alias("etf_log_return_5d"), (F.col("_x") - lag(F.col("_x"), 20)).alias("etf_log_return_20d"),
+        full(F.stddev_samp, F.col("_r"), 20).alias("etf_realized_vol_20d"), F.col("rsi_14").alias("etf_rsi_14"),
+    )
+
+
+ETF = ["etf_log_return_5d", "etf_log_return_20d", "etf_realized_vol_20d", "etf_rsi_14"]
+
+
+def sector_residual(panel: DataFrame, benchmark_of: DataFrame, funds: DataFrame | None = None) -> DataFrame:
+    """Each symbol's features minus those of its sector's benchmark on the date, and the trailing z of the first.
+
+    ``funds`` are the benchmarks' ``etf_features``; without it the benchmarks are symbols of the panel.
+    """
     cols = list(RESIDUALS.values())
-    bench = panel.select(F.col("symbol").alias("benchmark"), "bar_date", *[F.col(c).alias(f"_b_{c}") for c in cols])
+    own = panel.select(F.col("symbol").alias("benchmark"), "bar_date", *[F.col(c).alias(e) for c, e in zip(cols, ETF, strict=True)]) if funds is None else funds
+    bench = own.select("benchmark", "bar_date", *[F.col(e).alias(f"_b_{c}") for c, e in zip(cols, ETF, strict=True)])
     out = panel.join(benchmark_of, "symbol", "left").join(bench, ["benchmark", "bar_date"], "left")
     out = out.withColumns({f"sector_residual__{n}": F.col(c) - F.col(f"_b_{c}") for n, c in RESIDUALS.items()})
     x, past = F.col("sector_residual__resid_log_return_5d"), prior_n(60, by("symbol"))

@@ -1,4 +1,8 @@
-"""Per-symbol passes that need the rows in order: recursive means and volume profiles, on pandas frames inside tasks."""
+"""Per-symbol passes that need the rows in order: recursive means and volume profiles, on pandas frames inside tasks.
+
+Each takes one symbol's whole rows and gives them back with columns added, so
+nothing has to be joined to them afterwards.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +11,12 @@ import pandas as pd
 
 MEANS = "ema12 ema20 ema26 macd macd_signal adx di_plus di_minus rsi_7 rsi_14 rsi_21 rsi_28 atr_7 atr_14 atr_21 force_13 seeded_atr".split()
 PROFILE = ["volume_profile__poc_distance_50", "volume_profile__value_area_high_50", "volume_profile__value_area_low_50"]
+BARS, BINS, AREA = 50, 20, 0.7
+WINDOWS = 2048  # windows of a volume profile worked on at a time
 
 
 def recursive(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bar_date")
+    pdf = pdf.sort_values("bar_date").reset_index(drop=True)
     h, lo, c, v = (pdf[x].astype(float) for x in ("high", "low", "close", "volume"))
 
     def ema(x, span):
@@ -23,9 +29,7 @@ def recursive(pdf: pd.DataFrame) -> pd.DataFrame:
     before = c.shift(1)
     tr = pd.concat([h - lo, (h - before).abs(), (lo - before).abs()], axis=1).max(axis=1)
     up, down = h.diff(), -lo.diff()
-    out = pdf[["symbol", "bar_date"]].copy()
-    for n in (12, 20, 26):
-        out[f"ema{n}"] = ema(c, n)
+    out = {f"ema{n}": ema(c, n) for n in (12, 20, 26)}
     out["macd"] = out["ema12"] - out["ema26"]
     out["macd_signal"] = ema(out["macd"], 9)
     out["di_plus"] = 100 * wilder(up.where((up > down) & (up > 0), 0.0), 14) / wilder(tr, 14)
@@ -38,46 +42,60 @@ def recursive(pdf: pd.DataFrame) -> pd.DataFrame:
     for n in (7, 14, 21):
         out[f"atr_{n}"] = wilder(tr, n)
     out["force_13"] = ema(step * v, 13)
-    seeded = np.full(len(tr), np.nan)
-    if len(tr) >= 14:
-        y = tr.iloc[:14].mean()
-        seeded[13] = y
-        for i in range(14, len(tr)):
-            y = (y * 13 + tr.iloc[i]) / 14
-            seeded[i] = y
-    out["seeded_atr"] = seeded
-    return out[["symbol", "bar_date", *MEANS]].replace([np.inf, -np.inf], np.nan)
+    seed = pd.concat([pd.Series([tr.iloc[:14].mean()]), tr.iloc[14:]], ignore_index=True).ewm(alpha=1 / 14, adjust=False).mean()
+    out["seeded_atr"] = pd.Series(np.concatenate((np.full(13, np.nan), seed))[: len(tr)]) if len(tr) >= 14 else np.nan
+    return pdf.assign(**{k: pd.Series(x, index=pdf.index).replace([np.inf, -np.inf], np.nan) for k, x in out.items()})
+
+
+def _volume_by_bin(low: np.ndarray, high: np.ndarray, volume: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, volume of each bin) of windows (rows): a bar's volume is spread evenly over the bins from that of its low to that of its high."""
+    n, floor, top = len(low), low.min(1), high.max(1)
+    edges = floor[:, None] + (top - floor)[:, None] * (np.arange(BINS + 1) / BINS)
+    edges[:, -1] = top
+    first = np.clip((edges[:, :, None] <= low[:, None, :]).sum(1) - 1, 0, BINS - 1)
+    last = np.clip((edges[:, :, None] < high[:, None, :]).sum(1), 0, BINS - 1)
+    each = np.where((high > low) & (volume > 0), volume, 0.0) / np.maximum(last - first + 1, 1)
+    row = np.repeat(np.arange(n), low.shape[1]) * (BINS + 1)
+    change = np.bincount(row + first.ravel(), each.ravel(), n * (BINS + 1)) - np.bincount(row + last.ravel() + 1, each.ravel(), n * (BINS + 1))
+    return edges, np.round(np.cumsum(change.reshape(n, BINS + 1)[:, :BINS], 1), 9)
+
+
+def _value_area(size: np.ndarray, peak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest, highest) bin of the area that grows from the peak to the larger neighbour until it holds its share.
+
+    Growing always to the larger neighbour takes the bins of each side in order
+    of the smallest bin on the way to them; so one sort by that, lower side
+    first on ties, gives the order, and running sums tell where to stop.
+    """
+    n, at = len(size), np.arange(BINS)
+    away = at - peak[:, None]
+    up = np.minimum.accumulate(np.where(away > 0, size, np.inf), 1)
+    down = np.minimum.accumulate(np.where(away < 0, size, np.inf)[:, ::-1], 1)[:, ::-1]
+    rank = np.where(away == 0, np.inf, np.where(away > 0, up, down))
+    order = np.lexsort((np.abs(away), away > 0, -rank), axis=1)
+    held = np.cumsum(np.take_along_axis(size, order, 1), 1)
+    used = 1 + (held < AREA * size.sum(1, keepdims=True) - 1e-9).sum(1)
+    taken = at[None, :] < used[:, None]
+    return np.where(taken, order, BINS).min(1), np.where(taken, order, -1).max(1)
 
 
 def profiles(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("bar_date").reset_index(drop=True)
-    h, lo, c, v = (pdf[x].to_numpy(float) for x in ("high", "low", "close", "volume"))
-    found = np.full((len(c), 3), np.nan)
-    for t in range(49, len(c)):
-        a, z, w = lo[t - 49 : t + 1], h[t - 49 : t + 1], v[t - 49 : t + 1]
-        if z.max() <= a.min() or c[t] <= 0:
+    high, low, close, volume = (pdf[x].to_numpy(float) for x in ("high", "low", "close", "volume"))
+    found = np.full((3, len(close)), np.nan)
+    for start in range(0, len(close) - BARS + 1, WINDOWS):
+        span = slice(start, min(start + WINDOWS, len(close) - BARS + 1) + BARS - 1)
+        lo, hi, vol = (np.lib.stride_tricks.sliding_window_view(x[span], BARS) for x in (low, high, volume))
+        now = np.arange(start, start + len(lo)) + BARS - 1
+        good = (hi.max(1) > lo.min(1)) & (close[now] > 0)
+        if not good.any():
             continue
-        edges = np.linspace(a.min(), z.max(), 21)
-        use = (z > a) & (w > 0)
-        first = np.maximum(np.searchsorted(edges, a[use], "right") - 1, 0)
-        last = np.minimum(np.searchsorted(edges, z[use], "left"), 19)
-        each = w[use] / np.maximum(last - first + 1, 1)
-        size = np.cumsum(np.bincount(first, each, 21)[:20] - np.bincount(last + 1, each, 21)[:20])
-        size[np.abs(size) < 1e-9] = 0.0
-        peak = int(np.argmax(np.round(size, 9)))
-        found[t, 0] = (c[t] - (edges[peak] + edges[peak + 1]) / 2) / c[t]
-        total = size.sum()
-        if total > 0:
-            lower = upper = peak
-            held = size[peak]
-            while held < 0.7 * total and (lower > 0 or upper < 19):
-                left = size[lower - 1] if lower > 0 else -1.0
-                right = size[upper + 1] if upper < 19 else -1.0
-                if left >= right - 1e-12 and lower > 0:
-                    lower -= 1
-                    held += left
-                else:
-                    upper += 1
-                    held += right
-            found[t, 1:] = (c[t] - edges[upper + 1]) / c[t], (c[t] - edges[lower]) / c[t]
-    return pd.DataFrame({"symbol": pdf["symbol"], "bar_date": pdf["bar_date"], **dict(zip(PROFILE, found.T, strict=True))})
+        edges, size = _volume_by_bin(lo[good], hi[good], vol[good])
+        at, c, row = now[good], close[now[good]], np.arange(int(good.sum()))
+        peak = size.argmax(1)
+        bottom, top = _value_area(size, peak)
+        some = size.sum(1) > 0
+        found[0, at] = (c - (edges[row, peak] + edges[row, peak + 1]) / 2) / c
+        found[1, at] = np.where(some, (c - edges[row, top + 1]) / c, np.nan)
+        found[2, at] = np.where(some, (c - edges[row, bottom]) / c, np.nan)
+    return pdf.assign(**dict(zip(PROFILE, found, strict=True)))

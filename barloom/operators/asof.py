@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import pct_rank
+
 
 def _merged(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, order: list[str], right_side: int) -> tuple[DataFrame, list[str]]:
     """Rows of both sides: keys, date, side, the left row or the right row as a struct."""
@@ -32,11 +34,34 @@ def asof_last(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
 
 
 def asof_next(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, order: list[str] = (), prefix: str = "") -> DataFrame:
-    """Every left row with the earliest right row after its date."""
+    """Every left row with the earliest right row after its date.
+
+    Both sides are walked from the last date back, left rows of a date before
+    its right rows, so that the frame only ever grows.
+    """
     right = right.dropna(subset=[*by, right_on])
-    both, ties = _merged(left, right, list(by), left_on, right_on, list(order), 0)
-    w = Window.partitionBy(*by).orderBy("_on", "_side", *ties).rowsBetween(1, Window.unboundedFollowing)
-    return _flat(both.withColumn("_m", F.first("_r", True).over(w)), left, right, list(by), prefix)
+    both, ties = _merged(left, right, list(by), left_on, right_on, list(order), 1)
+    w = Window.partitionBy(*by).orderBy(F.desc("_on"), "_side", *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
+    return _flat(both.withColumn("_m", F.last("_r", True).over(w)), left, right, list(by), prefix)
+
+
+def asof_picks(left: DataFrame, right: DataFrame, left_on: str, right_on: str, picks: dict[str, tuple[Column, str]], *, order: list[str] = (), by: str = "symbol", also=None) -> DataFrame:
+    """Every left row with one value for each pick: that of the latest right row at or before its date which meets the pick's condition.
+
+    ``picks`` maps a new name to (condition, column) on the right side.  Right
+    rows of one date rank by ``order``; the last wins, nulls included.  However
+    many picks, both sides are put in order once.  ``also`` gives further columns
+    from the right row (struct ``_r``, null on left rows), for windows over keys and date ``_on``.
+    """
+    right = right.dropna(subset=[by, right_on])
+    met = [F.when(c, F.struct(F.col(x).alias("v"))).alias(f"_p{i}") for i, (c, x) in enumerate(picks.values())]
+    one = left.select(F.col(by), F.col(left_on).alias("_on"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    two = right.select(F.col(by), F.col(right_on).alias("_on"), F.lit(0).alias("_side"), *met, F.struct(*right.columns).alias("_r"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    both = one.unionByName(two, allowMissingColumns=True)
+    w = Window.partitionBy(by).orderBy("_on", "_side", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    more = also or {}
+    both = both.withColumns({**{f"_p{i}": F.last(f"_p{i}", True).over(w) for i in range(len(picks))}, **more})
+    return both.filter("_l is not null").select("_l.*", *[F.col(f"_p{i}.v").alias(n) for i, n in enumerate(picks)], *more)
 
 
 def within(days: Column, most: int) -> Column:
@@ -50,32 +75,33 @@ def earnings_features(panel: DataFrame, events: DataFrame) -> DataFrame:
     x = F.col("surprise_pct")
     std = F.stddev_samp(x).over(past)
     ev = events.withColumn("z", F.when((F.count(x).over(past) >= 4) & (std > 0), (x - F.avg(x).over(past)) / std))
-    out = asof_last(panel, ev, ["symbol"], "bar_date", "announce_date", prefix="_p_")
-    out = asof_next(out, ev.select("symbol", "announce_date"), ["symbol"], "bar_date", "announce_date", prefix="_n_")
+    always = F.lit(True)
+    back = Window.partitionBy("symbol").orderBy(F.desc("_on"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    picks = {"_date": (always, "announce_date"), "_surprise": (always, "surprise_pct"), "_z": (always, "z")}
+    out = asof_picks(panel, ev, "bar_date", "announce_date", picks, also={"_next": F.last("_r.announce_date", True).over(back)})
     return out.withColumns(
         {
-            "earnings__days_since_last_earnings": within(F.datediff("bar_date", "_p_announce_date"), 90), "earnings__days_to_next_earnings": within(F.datediff("_n_announce_date", "bar_date"), 60),
-            "earnings__last_surprise_pct": F.col("_p_surprise_pct"), "earnings__last_surprise_z_252": F.col("_p_z"),
+            "earnings__days_since_last_earnings": within(F.datediff("bar_date", "_date"), 90), "earnings__days_to_next_earnings": within(F.datediff("_next", "bar_date"), 60),
+            "earnings__last_surprise_pct": F.col("_surprise"), "earnings__last_surprise_z_252": F.col("_z"),
         }
-    ).drop("_p_announce_date", "_n_announce_date", "_p_surprise_pct", "_p_z")
+    ).drop("_date", "_surprise", "_z", "_next")
+
+
+#: Form and item of the filings that each column counts the days since, and the most days.
+SINCE = {"days_since_last_8k": ("8-K", None, 90), "days_since_last_8k_2_02": ("8-K", "2.02", 90), "days_since_last_8k_5_02": ("8-K", "5.02", 90), "days_since_last_10q": ("10-Q", None, 120), "days_since_last_10k": ("10-K", None, 400)}
 
 
 def filing_features(panel: DataFrame, filings: DataFrame) -> DataFrame:
     """Days since filings by form and item, capped, and the number of 8-Ks of the last 30 days."""
-    def has(code):
-        return F.array_contains(F.split("items", ","), code)
-
-    eight = filings.filter("form_type = '8-K'")
-    kinds = {"days_since_last_8k": (eight, 90), "days_since_last_8k_2_02": (eight.filter(has("2.02")), 90), "days_since_last_8k_5_02": (eight.filter(has("5.02")), 90), "days_since_last_10q": (filings.filter("form_type = '10-Q'"), 120), "days_since_last_10k": (filings.filter("form_type = '10-K'"), 400)}
-    out = panel
-    for name, (rows, cap) in kinds.items():
-        out = asof_last(out, rows.select("symbol", F.col("filing_date").alias("f")), ["symbol"], "bar_date", "f", prefix="_")
-        out = out.withColumn(f"sec_events__{name}", within(F.datediff("bar_date", "_f"), cap)).drop("_f")
-    seen = eight.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("filing_date", "accession"))).select("symbol", F.col("filing_date").alias("f"), "n")
-    out = asof_last(out, seen, ["symbol"], "bar_date", "f", order=["n"], prefix="_a_").withColumn("_before", F.date_sub("bar_date", 30))
-    out = asof_last(out, seen, ["symbol"], "_before", "f", order=["n"], prefix="_b_")
-    count = F.coalesce("_a_n", F.lit(0)) - F.coalesce("_b_n", F.lit(0))
-    return out.withColumn("sec_events__count_8k_last_30d", count.cast("double")).drop("_a_f", "_a_n", "_b_f", "_b_n", "_before")
+    def of(form, item):
+        own = F.col("form_type") == form
+        return own & F.array_contains(F.split("items", ","), item) if item else own
+
+    month = Window.partitionBy("symbol").orderBy(F.unix_date("_on")).rangeBetween(-29, 0)
+    count = F.count(F.when(F.col("_r.form_type") == "8-K", 1)).over(month)
+    out = asof_picks(panel, filings, "bar_date", "filing_date", {f"_{n}": (of(form, item), "filing_date") for n, (form, item, _) in SINCE.items()}, also={"_n": count})
+    days = {f"sec_events__{n}": within(F.datediff("bar_date", f"_{n}"), cap) for n, (*_, cap) in SINCE.items()}
+    return out.withColumns({**days, "sec_events__count_8k_last_30d": F.col("_n").cast("double")}).drop("_n", *[f"_{n}" for n in SINCE])
 
 
 def safe_div(n: Column, d: Column) -> Column:
@@ -89,9 +115,10 @@ def _ratios(value) -> dict[str, Column]:
     }
 
 
-def _latest(panel: DataFrame, facts: DataFrame, concept: str, name: str) -> DataFrame:
-    rows = facts.filter(F.col("concept") == concept).select("symbol", "filed_date", "period_end", F.col("value").alias(name))
-    return asof_last(panel, rows, ["symbol"], "bar_date", "filed_date", order=["period_end", name], prefix="_").drop("_filed_date", "_period_end")
+def latest_values(panel: DataFrame, facts: DataFrame, concepts: list[str], prefix: str = "") -> DataFrame:
+    """``panel`` with each concept's value filed last at or before the date; of one date's filings that of the last period, then the largest."""
+    rows = facts.select("symbol", "concept", "filed_date", "period_end", "value")
+    return asof_picks(panel, rows, "bar_date", "filed_date", {prefix + c: (F.col("concept") == c, "value") for c in concepts}, order=["period_end", "value"])
 
 
 CONCEPTS = ["NetIncome", "Equity", "Debt", "Revenue", "GrossProfit", "Assets"]
@@ -99,9 +126,7 @@ CONCEPTS = ["NetIncome", "Equity", "Debt", "Revenue", "GrossProfit", "Assets"]
 
 def fundamentals_annual(panel: DataFrame, facts: DataFrame) -> DataFrame:
     """Ratios of the latest annual values known on the date."""
-    out = panel
-    for c in CONCEPTS:
-        out = _latest(out, facts.filter("fp = 'FY'"), c, c)
+    out = latest_values(panel, facts.filter("fp = 'FY'"), CONCEPTS, "_")
     ratios = {f"sec_fundamentals__{n}": e for n, e in _ratios(lambda c: F.col(f"_{c}")).items()}
     return out.withColumns(ratios).drop(*[f"_{c}" for c in CONCEPTS])
 
@@ -116,10 +141,14 @@ def trailing_year(facts: DataFrame) -> DataFrame:
 
 def fundamentals_ttm(panel: DataFrame, facts: DataFrame) -> DataFrame:
     """Ratios of trailing-year flows and latest stocks known on the date."""
-    flows, out = trailing_year(facts), panel
-    for c in ("NetIncome", "Revenue", "GrossProfit"):
-        out = _latest(out, flows, c, c)
-    for c in ("Equity", "Debt", "Assets"):
-        out = _latest(out, facts, c, c)
+    flow = F.col("concept").isin("NetIncome", "Revenue", "GrossProfit")
+    flows = trailing_year(facts.filter(flow))
+    out = latest_values(panel, flows.unionByName(facts.filter(~flow).select(*flows.columns)), CONCEPTS, "_")
     ratios = {f"sec_fundamentals_v2__{n}" + ("" if n == "debt_to_equity" else "_ttm"): e for n, e in _ratios(lambda c: F.col(f"_{c}")).items()}
     return out.withColumns(ratios).drop(*[f"_{c}" for c in CONCEPTS])
+
+
+def fundamentals_ttm_ranked(panel: DataFrame, facts: DataFrame) -> DataFrame:
+    """``fundamentals_ttm`` with each ratio's percentile rank among the symbols of the date."""
+    out = fundamentals_ttm(panel, facts)
+    return out.withColumns({f"{c}_xs_rank": pct_rank(c, "bar_date") for c in out.columns if c.startswith("sec_fundamentals_v2__")})

@@ -55,6 +55,24 @@ def evaluate_predictions(df: DataFrame, x: str = "predicted_return", y: str = "r
     return out
 
 
+def monthly_summary(df: DataFrame, x: str = "predicted_return", y: str = "realized_return", *, date: str = "as_of") -> DataFrame:
+    """By month of the date: mean IC, rank IC and spread, pooled hit rate, number of dates with an IC."""
+    out = evaluate_predictions(df, x, y, date=date, by=[F.trunc(date, "month").alias("month")])
+    return out.select("month", "mean_ic", "mean_rank_ic", "mean_spread", "hit_rate", "n_dates")
+
+
+def performance_summary(df: DataFrame, as_of, days: int = 252, x: str = "predicted_return", y: str = "realized_return") -> DataFrame:
+    """Mean IC and rank IC, hit rate and dates over about ``days`` trading days up to ``as_of`` (7 calendar days for 5 trading days, and a margin)."""
+    end = F.lit(as_of).cast("date")
+    recent = df.filter((F.col("as_of") > F.date_sub(end, 7 * days // 5 + 4)) & (F.col("as_of") <= end))
+    return evaluate_predictions(recent, x, y).select("mean_ic", "mean_rank_ic", "hit_rate", "n_dates")
+
+
+def ic_timeseries(df: DataFrame, x: str = "predicted_return", y: str = "realized_return", *, least: int = 3) -> DataFrame:
+    """(as_of, n, ic) of the dates that have one."""
+    return daily_ic(df, x, y, least=least).filter("ic is not null")
+
+
 def brier(probs: str, label: str) -> Column:
     """Squared distance of a probability array to the one-hot of its label, per row."""
     return F.aggregate(F.transform(probs, lambda p, i: F.pow(p - (i == F.col(label)).cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x)

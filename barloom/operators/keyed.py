@@ -44,6 +44,6 @@ def fallback_merge(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]
     return primary.unionByName(secondary.join(primary.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)
 
 
-def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
+def write_training_panel(df: DataFrame, path: str, by: Sequence[str] = ("year",)) -> None:
     """Parquet sink that replaces only the partitions ``df`` touches."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

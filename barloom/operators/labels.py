@@ -78,16 +78,16 @@ def purged_folds(dates: DataFrame, *, n: int = 5, h: int = 5, embargo: int = 5,
     v1 = F.when(F.col("fold") == n - 1, F.col("t") - 1).otherwise(v0 + F.col("size") - 1)
     ends = folds.select("fold", (v0 - max(h, embargo) - 1).alias("te"), v0.alias("v0"), v1.alias("v1"))
     out = ends.select("fold", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("int").alias("i")) for k, c in (("train_end", "te"), ("val_start", "v0"), ("val_end", "v1"))])).alias("x")).select("fold", "x.k", "x.i")
-    wide = out.join(cal, "i").groupBy("fold").pivot("k", ["train_end", "val_start", "val_end"]).agg(F.first("bar_date"))
+    wide = cal.join(F.broadcast(out), "i").groupBy("fold").pivot("k", ["train_end", "val_start", "val_end"]).agg(F.first("bar_date"))
     first = cal.filter("i = 0").select(F.col("bar_date").alias("train_start"))
     return wide.crossJoin(F.broadcast(first)).select("fold", "train_start", "train_end", "val_start", "val_end")
 
 
 def assign_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
-    """Rows with fold and part (train or val); the fold table has one row per fold."""
+    """Rows with fold and part (train or val), in place of columns of these names; the fold table has one row per fold."""
     d = F.col("bar_date")
     part = F.when(d.between(F.col("train_start"), F.col("train_end")), "train").when(d.between(F.col("val_start"), F.col("val_end")), "val")
-    return df.join(F.broadcast(folds), d <= F.col("val_end")).withColumn("part", part).filter("part is not null").drop("train_start", "train_end", "val_start", "val_end")
+    return df.drop("fold", "part").join(F.broadcast(folds), d <= F.col("val_end")).withColumn("part", part).filter("part is not null").drop("train_start", "train_end", "val_start", "val_end")
 
 
 def retrain_dates(dates: DataFrame) -> DataFrame:

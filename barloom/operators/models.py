@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +13,9 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .evaluate import daily_rank_ic
+from .labels import assign_folds
+
 
 def _prepared(columns: list[str]) -> list:
     """Missing values by their median, then one vector."""
@@ -19,22 +23,75 @@ def _prepared(columns: list[str]) -> list:
     return [Imputer(inputCols=columns, outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_x")]
 
 
+def _columns_of(n: int) -> list[str]:
+    return ["_x", *[f"_f{i}" for i in range(n)]]
+
+
+class Models(NamedTuple):
+    """A fitted return model and a fitted class model over the same columns, with their versions."""
+
+    regression: PipelineModel
+    classes: PipelineModel
+    columns: list[str]
+    regression_version: str = "1"
+    classes_version: str = "1"
+
+
+def fit(train: DataFrame, columns: list[str], y: str, label: str, *, seed: int = 7, version: str = "1") -> Models:
+    """A boosted regression of ``y`` and a forest for the classes ``label`` (0, 1, ..)."""
+    reg = Pipeline(stages=[*_prepared(columns), GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="predicted_return", maxIter=5, maxDepth=3, seed=seed)]).fit(train)
+    forest = RandomForestClassifier(featuresCol="_x", labelCol=label, predictionCol="_class", probabilityCol="_p", rawPredictionCol="_raw", numTrees=8, maxDepth=4, seed=seed)
+    return Models(reg, Pipeline(stages=[*_prepared(columns), forest]).fit(train), list(columns), version, version)
+
+
+def score(rows: DataFrame, models: Models) -> DataFrame:
+    """``rows`` with predicted return, most probable class, its neighbours at the ends, and the models' versions.
+
+    ``predicted_class`` is the first of the most probable classes, ``top_p`` the
+    last class's probability, ``bot_p`` the first one's, ``probabilities`` all of
+    them.  Missing features are filled as the models learned; columns that the
+    rows have not count as missing.
+    """
+    have, n = set(rows.columns), len(models.columns)
+    out = rows.withColumns({c: F.lit(None).cast("double") for c in models.columns if c not in have})
+    out = models.classes.transform(models.regression.transform(out).drop(*_columns_of(n)))
+    p = vector_to_array("_p")
+    out = out.withColumns(
+        {
+            "probabilities": p, "predicted_class": (F.array_position(p, F.array_max(p)) - 1).cast("int"), "top_p": F.element_at(p, -1), "bot_p": F.element_at(p, 1),
+            "regression_version": F.lit(models.regression_version), "classes_version": F.lit(models.classes_version),
+        }
+    )
+    return out.drop("_class", "_p", "_raw", *_columns_of(n), *[c for c in models.columns if c not in have])
+
+
 def fit_predict_folds(rows: DataFrame, columns: list[str], y: str, label: str, *, folds: list | None = None, seed: int = 7) -> DataFrame:
     """Predictions of each fold by models of the other folds: a return, and a class with its probabilities.
 
-    ``folds`` lists the values of ``fold``; there are few, each trains once.
+    Rows without a fold are in all trainings and get no prediction.  ``folds``
+    lists the values of ``fold``, all of them by default; each trains once, so
+    they should be few.
     """
-    folds = folds if folds is not None else sorted(r.fold for r in rows.select("fold").distinct().limit(64).collect())
+    folds = folds if folds is not None else sorted(r.fold for r in rows.filter("fold is not null").select("fold").distinct().collect())
     parts = []
     for k in folds:
-        train, test = rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k)
-        reg = Pipeline(stages=[*_prepared(columns), GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="predicted_return", maxIter=5, maxDepth=3, seed=seed)]).fit(train)
-        cls = Pipeline(stages=[*_prepared(columns), RandomForestClassifier(featuresCol="_x", labelCol=label, predictionCol="predicted_class", probabilityCol="_p", rawPredictionCol="_raw", numTrees=8, maxDepth=4, seed=seed)]).fit(train)
-        hit = cls.transform(reg.transform(test).drop("_x", *[f"_f{i}" for i in range(len(columns))]))
-        parts.append(hit.withColumn("probabilities", vector_to_array("_p")).drop("_x", "_p", "_raw", *[f"_f{i}" for i in range(len(columns))]))
+        models = fit(rows.filter(~F.col("fold").eqNullSafe(F.lit(k))), columns, y, label, seed=seed)
+        parts.append(score(rows.filter(F.col("fold") == k), models).drop("regression_version", "classes_version"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def revalidate(rows: DataFrame, models: Models, folds: DataFrame, y: str, label: str) -> DataFrame:
+    """(fold, mean_rank_ic, accuracy, n_rows) of frozen models on the validation part of purged folds, without training again.
+
+    Rows without a return or class are left out of its figure; a fold without any rows is missing.
+    """
+    val = score(assign_folds(rows, folds).filter("part = 'val'"), models)
+    ranks = val.filter(F.col(y).isNotNull()).withColumn("_day", F.struct("fold", "bar_date"))
+    days = daily_rank_ic(ranks, "predicted_return", y, date="_day").groupBy("_day.fold").agg(F.avg("rank_ic").alias("mean_rank_ic"))
+    hits = val.groupBy("fold").agg(F.avg((F.col("predicted_class") == F.col(label)).cast("double")).alias("accuracy"), F.count("*").alias("n_rows"))
+    return hits.join(days, "fold", "left").select("fold", "mean_rank_ic", "accuracy", "n_rows")
+
+
 def calibrate(rows: DataFrame, probs: str, label: str, n: int) -> DataFrame:
     """``rows`` with ``calibrated``: isotonic regression per class, clipped, rows normalised (a zero sum stays zero)."""
     out = rows

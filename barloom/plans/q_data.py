@@ -16,7 +16,7 @@ BARCOLS = ["symbol", "exchange", "bar_date", "source", "open", "high", "low", "c
 
 
 def src1(spark, d):
-    return src.read_bars(fx.bars_by_source(spark, d), symbols=["Brand#1", "Brand#2", "Brand#3"], start=FIRST, end=LAST).select(*BARCOLS)
+    return src.read_bars(fx.bars_by_source(spark, d), start=FIRST, end=LAST).select(*BARCOLS)
 
 
 def src2(spark, d):
@@ -225,7 +225,7 @@ QUERIES = {
     "pit5_flag_members": pit5, "pit6_mask_non_members": pit6, "pit7_membership_timeline": pit7, "pit8_timeline_checks": pit8, "pit9_missing_history": pit9, "ing1_update_plan": ing1, "ing2_ingest_summary": ing2, "ing3_fallback_merge": ing3, "dq1_health_report": dq1,
 }
 SQL = {
-    "src1_read_bars": fx.sql(f"SELECT {_B} FROM bars_by_source WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3') AND {_R} {_NEW}", fx.SOURCES_SQL),
+    "src1_read_bars": fx.sql(f"SELECT {_B} FROM bars_by_source WHERE {_R} {_NEW}", fx.SOURCES_SQL),
     "src2_read_universe_bars": fx.sql(f"SELECT {_B} FROM bars_by_source WHERE (symbol, exchange) IN (SELECT (symbol, exchange) FROM membership WHERE universe = 'US') AND {_R} {_NEW}", fx.SOURCES_SQL, fx.MEMBERS_SQL),
     "src3_read_series": fx.sql(f"SELECT * FROM macro WHERE series = 'vix' AND macro_date BETWEEN '{FIRST}' AND '{LAST}'", fx.MACRO_SQL),
     "src4_read_events": fx.sql(f"SELECT * FROM filings WHERE form_type IN ('8-K', '10-K') AND filing_date >= '{FIRST}'", fx.NUMBERED_SQL, fx.FILINGS_SQL),

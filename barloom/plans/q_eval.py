@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as f
+from ..functions import panel_features as pf
+from ..functions.panel import batch_slice, build_panel, inference_slice
 from ..functions.windows import rounded
+from ..operators import asof
 from ..operators import evaluate as ev
+from ..operators import keyed
 from ..operators import labels as lb
 from ..operators import pit
 from ..operators import predictions as pr
 from . import fixtures as fx
-from .q_features import PRICE_SQL, full
+from . import q_features as qf
+from . import q_panel as qp
+from .q_features import PRICE_SQL
+from .shared import shared_dir
 from .sqlkit import r, rs
 
 DAY = "1999-06-30"
@@ -27,20 +34,38 @@ def wide_dates(df, least=8, date="as_of"):
     return df.join(df.groupBy(date).agg(F.count("*").alias("_c")).filter(F.col("_c") >= least).select(date), date, "left_semi")
 
 
+#: Digits that columns of a group are rounded to, six for others.
+DIGITS = {"volume": 4, "interactions": 4, "sector_residual": 5, "sec_fundamentals": 10, "sec_fundamentals_v2": 10}
+
+
+def panel(spark, d):
+    """The panel of all groups over the derived tables, masked by membership."""
+    bars = fx.bars(spark, d)
+    tables = {
+        "macro": fx.macro(spark, d), "sectors": qp.sectors(spark, d), "benchmarks": qp.benchmarks(spark, d), "benchmark_bars": bars,
+        "announcements": fx.announcements(spark, d), "filings": fx.filings(spark, d), "fundamentals": fx.fundamentals(spark, d),
+    }
+    return build_panel(bars, tables, membership=fx.membership(spark, d))
+
+
 def pn1(spark, d):
-    p = f.microstructure(f.price(fx.bars(spark, d))).drop("microstructure__wick_ratio")
-    cols = [c for c in p.columns if "__" in c]
-    return rounded(pit.mask_non_members(p.select("symbol", "bar_date", *cols), fx.membership(spark, d), cols))
+    """All columns that have a DuckDB twin: all but the volume profile's and the ranks of fundamentals."""
+    p = panel(spark, d)
+    wick = F.col("microstructure__wick_ratio")
+    p = p.withColumn("microstructure__wick_ratio", F.when(F.abs(wick) > 1e6, F.round(wick, -6)).otherwise(wick))
+    cols = [F.round(c, DIGITS.get(c.split("__")[0], 6)) + F.lit(0.0) for c in PANEL_COLUMNS]
+    return p.select("symbol", "bar_date", *[x.alias(c) for x, c in zip(cols, PANEL_COLUMNS, strict=True)])
 
 
 def pn3(spark, d):
-    p = f.price(fx.bars(spark, d)).filter(F.col("bar_date") == F.lit(DAY).cast("date")).select("symbol", "bar_date", "price__log_return_5d", "price__log_return_1d")
-    return rounded(p.join(pit.members_on(fx.membership(spark, d), "US", DAY).select("symbol"), "symbol", "left_semi"))
+    p = f.price(fx.bars(spark, d))
+    return rounded(inference_slice(p, fx.membership(spark, d), "US", DAY, ["price__log_return_5d", "price__log_return_1d"]))
 
 
 def pn4(spark, d):
-    p = f.price(fx.bars(spark, d)).filter(F.dayofmonth("bar_date") == 1).select("symbol", "bar_date", "price__log_return_5d")
-    return rounded(pit.flag_members(p, fx.membership(spark, d)).filter("in_universe").drop("in_universe"))
+    p = f.price(fx.bars(spark, d))
+    days = p.select("bar_date").filter(F.dayofmonth("bar_date") == 1)
+    return rounded(batch_slice(p, fx.membership(spark, d), days, ["price__log_return_5d"]))
 
 
 def lb1(spark, d):
@@ -62,6 +87,14 @@ def lb3(spark, d):
     return rounded(_train(spark, d))
 
 
+def snk3(spark, d):
+    """The training set by year in the shared folder; a year that is written again is replaced."""
+    path, rows = shared_dir(spark), _train(spark, d).withColumn("year", F.year("bar_date"))
+    keyed.write_training_panel(rows, path)
+    keyed.write_training_panel(rows.filter("year = 1997"), path)
+    return rounded(spark.read.parquet(path))
+
+
 def lb4(spark, d):
     return rounded(lb.label_stats(lb.trainable_rows(_train(spark, d), "quintile"), "fwd_return_5d", "quintile"))
 
@@ -143,7 +176,7 @@ def ev7(spark, d):
 
 
 def ev8(spark, d):
-    return rounded(ev.evaluate_predictions(preds(spark, d), by=[F.trunc("as_of", "month").alias("month")]).select("month", "mean_ic", "mean_rank_ic", "mean_spread", "hit_rate", "n_dates"))
+    return rounded(ev.monthly_summary(preds(spark, d)))
 
 
 def _metrics(spark, d):
@@ -216,8 +249,7 @@ def pr7(spark, d):
 
 
 def pr8(spark, d):
-    p = preds(spark, d).filter(F.col("as_of") > F.date_sub(F.lit(DAY).cast("date"), 7 * 252 // 5 + 1 + 3)).filter(F.col("as_of") <= F.lit(DAY).cast("date"))
-    return rounded(ev.evaluate_predictions(p).select("mean_ic", "mean_rank_ic", "hit_rate", "n_dates"))
+    return rounded(ev.performance_summary(preds(spark, d), DAY))
 
 
 def pr9(spark, d):
@@ -239,7 +271,7 @@ def ca1(spark, d):
 
 
 def ca2(spark, d):
-    return rounded(ev.daily_ic(preds(spark, d), X, Y, least=3).filter("ic is not null"))
+    return rounded(ev.ic_timeseries(preds(spark, d)))
 
 
 def ca3(spark, d):
@@ -247,7 +279,7 @@ def ca3(spark, d):
 
 
 QUERIES = {
-    "pn1_build_panel": pn1, "pn3_inference_slice": pn3, "pn4_batch_slice": pn4, "lb1_forward_return": lb1, "lb2_quantile_label": lb2, "lb3_training_set": lb3, "lb4_label_stats": lb4, "lb5_trainable_rows": lb5, "lb6_clean_features": lb6,
+    "pn1_build_panel": pn1, "pn3_inference_slice": pn3, "pn4_batch_slice": pn4, "lb1_forward_return": lb1, "lb2_quantile_label": lb2, "lb3_training_set": lb3, "snk3_training_panel": snk3, "lb4_label_stats": lb4, "lb5_trainable_rows": lb5, "lb6_clean_features": lb6,
     "sp1_purged_folds": sp1, "sp1_fold_rows": sp1_rows, "sp2_retrain_dates": sp2, "sp3_walk_forward_windows": sp3, "sp4_chronological_parts": sp4, "ev1_daily_ic": ev1, "ev2_daily_rank_ic": ev2, "ev3_hit_rate": ev3, "ev4_spread": ev4,
     "ev5_evaluate_predictions": ev5, "ev6_brier_skill": ev6, "ev7_fold_metrics": ev7, "ev8_monthly_summary": ev8, "gt1_promote_gate": gt1, "gt2_trial_objective": gt2, "gt3_group_verdict": gt3, "gt4_multi_seed_objective": gt4, "dr1_drift_check": dr1,
     "pr1_conviction": pr1, "pr2_rank_predictions": pr2, "pr3_top_picks": pr3, "pr4_side_picks": pr4, "pr5_symbol_history": pr5, "pr6_settle": pr6, "pr7_settle_quintiles": pr7, "pr8_performance_summary": pr8, "pr9_missing_dates": pr9, "pr10_shared_range": pr10,
@@ -255,9 +287,20 @@ QUERIES = {
 }
 
 _IN = "EXISTS (SELECT 1 FROM membership m WHERE m.symbol = b.symbol AND b.bar_date BETWEEN m.start_date AND coalesce(m.end_date, DATE '9999-12-31'))"
-_MICRO = {"close_location": "(close - low) / (nullif(high - low, 0) + 1e-9)", "body_pct": "abs(close - open) / (nullif(high - low, 0) + 1e-9)", "upper_wick_pct": "(high - greatest(close, open)) / (nullif(high - low, 0) + 1e-9)", "lower_wick_pct": "(least(close, open) - low) / (nullif(high - low, 0) + 1e-9)", "gap_pct": "open / lag(close) OVER (PARTITION BY symbol ORDER BY bar_date) - 1"}
-_PRICE = {f"log_return_{k}d": f"r{k}" for k in (1, 5, 10, 20)} | {f"realized_vol_{n}d": full("stddev_samp", "r1", n) for n in (5, 20, 60)} | {"max_drawdown_20d": f"close / {full('max', 'close', 20)} - 1"}
-_PN = {f"price__{n}": e for n, e in _PRICE.items()} | {f"microstructure__{n}": e for n, e in _MICRO.items()}
+#: Queries whose twins make up the panel's: with symbol and date, or with the date alone.
+_BY_SYMBOL = [f"f_{g}" for g in qf.NAMES if g != "volume_profile"] + ["xs_ranks", "ix_interactions", "se1_sector_flags", "sr_sector_residual", "ea_earnings", "sv_filings", "fu1_fundamentals_annual", "fu4_fundamentals_ttm"]
+_BY_DATE = ["rg_regime", "mc_macro_features"]
+PANEL_COLUMNS = [
+    *(c for g in qf.NAMES if g != "volume_profile" for c in qf.columns(g)), *(f"cross_sectional__xs_rank_{n}" for n in pf.RANKED), "cross_sectional__xs_zscore_log_return_5d",
+    *(f"regime__market_{n}" for n in ("return_1d", "breadth_advance_decline", "dispersion_20d", "return_5d", "realized_vol_20d")), *qp.MC_EXPR, *(f"interactions__{n}" for n in pf.PAIRS),
+    *(f"sector__is_{s.lower().replace(' ', '_')}" for s in pf.ONE_HOT), *(f"sector_residual__{n}" for n in pf.RESIDUALS), "sector_residual__resid_zscore_60d",
+    *(f"earnings__{n}" for n in ("days_since_last_earnings", "days_to_next_earnings", "last_surprise_pct", "last_surprise_z_252")), *(f"sec_events__{n}" for n in (*asof.SINCE, "count_8k_last_30d")), *qp._FY_COLS, *qp._TT_COLS,
+]
+_TWINS = qf.SQL | qp.SQL
+PANEL_SQL = fx.sql(
+    "SELECT symbol, bar_date, " + ", ".join(f"CASE WHEN inside THEN {c} END AS {c}" for c in PANEL_COLUMNS) + f" FROM (SELECT symbol, bar_date, {_IN} AS inside FROM bars b) "
+    + " ".join(f"JOIN ({_TWINS[q]}) USING (symbol, bar_date)" for q in _BY_SYMBOL) + " " + " ".join(f"LEFT JOIN ({_TWINS[q]}) USING (bar_date)" for q in _BY_DATE), fx.MEMBERS_SQL
+)
 FWD = "fw AS (SELECT symbol, bar_date, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_date) / close) AS fwd FROM bars)"
 
 
@@ -309,11 +352,11 @@ _FOLDROWS = "fr AS (SELECT symbol AS trial, year(as_of) AS fold, avg(realized_re
 _SCORE = "predicted_return * (1 + coalesce(top_p, 0) - coalesce(bot_p, 0))"
 _P = [fx.PREDICTIONS_SQL]
 SQL = {
-    "pn1_build_panel": fx.sql("SELECT symbol, bar_date, " + ", ".join(r(f"CASE WHEN i THEN v_{n} END", n) for n in _PN) + f" FROM (SELECT b.symbol, b.bar_date, {', '.join(f'{e} AS v_{n}' for n, e in _PN.items())}, {_IN} AS i FROM lr b)", fx.MEMBERS_SQL, PRICE_SQL),
+    "pn1_build_panel": PANEL_SQL,
     "pn3_inference_slice": fx.sql(f"SELECT symbol, bar_date, {r('r5', 'price__log_return_5d')}, {r('r1', 'price__log_return_1d')} FROM lr WHERE bar_date = DATE '{DAY}' AND symbol IN (SELECT symbol FROM membership WHERE universe = 'US' AND DATE '{DAY}' BETWEEN start_date AND coalesce(end_date, DATE '9999-12-31'))", fx.MEMBERS_SQL, PRICE_SQL),
     "pn4_batch_slice": fx.sql(f"SELECT symbol, bar_date, {r('r5', 'price__log_return_5d')} FROM lr b WHERE day(bar_date) = 1 AND {_IN}", fx.MEMBERS_SQL, PRICE_SQL),
     "lb1_forward_return": fx.sql(f"SELECT symbol, bar_date, {r('fwd', 'fwd_return_5d')} FROM fw", FWD), "lb2_quantile_label": fx.sql("SELECT symbol, bar_date, quintile FROM q_quintile", *_LB),
-    "lb3_training_set": fx.sql(f"SELECT {_TS} FROM ts", *_LB), "lb5_trainable_rows": fx.sql(f"SELECT {_TS} FROM ts WHERE in_universe AND quintile IS NOT NULL", *_LB),
+    "lb3_training_set": fx.sql(f"SELECT {_TS} FROM ts", *_LB), "snk3_training_panel": fx.sql(f"SELECT {_TS}, CAST(year(bar_date) AS INT) AS year FROM ts", *_LB), "lb5_trainable_rows": fx.sql(f"SELECT {_TS} FROM ts WHERE in_universe AND quintile IS NOT NULL", *_LB),
     "lb4_label_stats": fx.sql(f"SELECT quintile, count(*) AS n, {r('avg(fwd_return_5d)', 'mean')}, {r('stddev_samp(fwd_return_5d)', 'std')}, {r('count(*) / sum(count(*)) OVER ()', 'share')} FROM ts WHERE in_universe AND quintile IS NOT NULL GROUP BY 1", *_LB),
     "lb6_clean_features": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS event_type FROM events",
     "sp1_purged_folds": fx.sql("SELECT * FROM folds", _CAL, _FOLDS),

@@ -100,10 +100,18 @@ def se2_canonical(spark, d):
     return sectors(spark, d).select("symbol", "sector", pf.canonical_sector(F.col("sector")).alias("canonical"))
 
 
-def sr_residual(spark, d):
+def benchmarks(spark, d):
     n = F.regexp_extract("symbol", "([0-9]+)", 1).cast("int")
-    bench = sectors(spark, d).select("symbol", F.concat(F.lit("Brand#"), (n % 5 + 1).cast("string")).alias("benchmark"))
-    out = pf.sector_residual(wide(spark, d), bench)
+    return sectors(spark, d).select("symbol", F.concat(F.lit("Brand#"), (n % 5 + 1).cast("string")).alias("benchmark"))
+
+
+def sr5_etf(spark, d):
+    """Benchmark features of the first five brands, by the sectors' funds."""
+    return rounded(pf.etf_features(fx.bars(spark, d), [f"Brand#{i}" for i in range(1, 6)]))
+
+
+def sr_residual(spark, d):
+    out = pf.sector_residual(wide(spark, d), benchmarks(spark, d))
     return rounded(out.select(*KEY, *[c for c in out.columns if c.startswith("sector_residual__")]), 5)
 
 
@@ -125,7 +133,7 @@ def fu2_ttm(spark, d):
 
 
 def fu3_latest(spark, d):
-    return rounded(asof._latest(fx.bars(spark, d).select(*KEY), fx.fundamentals(spark, d), "Equity", "value").withColumnRenamed("_value", "value"), 6)
+    return rounded(asof.latest_values(fx.bars(spark, d).select(*KEY), fx.fundamentals(spark, d), ["Equity"]).withColumnRenamed("Equity", "value"), 6)
 
 
 def _ttm(spark, d):
@@ -170,7 +178,7 @@ _TT, _TT_COLS = _fund_sql({c: ("ttm" if c in ("NetIncome", "Revenue", "GrossProf
 
 QUERIES = {
     "xs_ranks": xs_ranks, "rg_regime": rg_regime, "mc1_align_series": mc1_align, "mc_macro_features": mc_features, "mc10_broadcast_macro": mc10_broadcast, "ix_interactions": ix_interactions,
-    "se1_sector_flags": se_flags, "se2_canonical_sector": se2_canonical, "sr_sector_residual": sr_residual, "ea_earnings": ea_features, "sv_filings": sv_features, "fu1_fundamentals_annual": fu1_annual,
+    "se1_sector_flags": se_flags, "se2_canonical_sector": se2_canonical, "sr_sector_residual": sr_residual, "sr5_etf_features": sr5_etf, "ea_earnings": ea_features, "sv_filings": sv_features, "fu1_fundamentals_annual": fu1_annual,
     "fu2_ttm": fu2_ttm, "fu3_latest_value": fu3_latest, "fu4_fundamentals_ttm": fu4_ratios, "fu5_fundamentals_ranks": fu5_ranks,
 }
 _SQLNAME = {"log_return_5d": "r5", "log_return_20d": "r20", "rsi_14": "rsi_14", "volume_zscore_20": "vz", "realized_vol_20d": "rv20"}
@@ -193,6 +201,7 @@ SQL = {
     "se2_canonical_sector": f"WITH {SECTORS_SQL} SELECT symbol, sector, {_CANON} AS canonical FROM sectors",
     "sr_sector_residual": wide_sql("SELECT symbol, bar_date, " + rs([f"sector_residual__{n}" for n in _SR], 5) + ", " + r(f"CASE WHEN count(sector_residual__resid_log_return_5d) OVER {_PAST60} >= 20 THEN (sector_residual__resid_log_return_5d - avg(sector_residual__resid_log_return_5d) OVER {_PAST60}) / nullif(stddev_samp(sector_residual__resid_log_return_5d) OVER {_PAST60}, 0) END", "sector_residual__resid_zscore_60d", 5) + " FROM res",
       "res AS (SELECT a.symbol, a.bar_date, " + ", ".join(f"a.{c} - b.{c} AS sector_residual__{n}" for n, c in _SR.items()) + " FROM wide a LEFT JOIN wide b ON b.symbol = 'Brand#' || (CAST(regexp_extract(a.symbol, '([0-9]+)', 1) AS INT) % 5 + 1) AND a.bar_date = b.bar_date)"),
+    "sr5_etf_features": wide_sql("SELECT symbol AS benchmark, bar_date, " + ", ".join(r(c, n) for n, c in {"etf_log_return_5d": "r5", "etf_log_return_20d": "r20", "etf_realized_vol_20d": "rv20", "etf_rsi_14": "rsi_14"}.items()) + " FROM wide WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5')"),
     "ea_earnings": fx.sql(f"""SELECT b.symbol, b.bar_date, CASE WHEN b.bar_date - p.announce_date <= 90 THEN CAST(b.bar_date - p.announce_date AS DOUBLE) END AS earnings__days_since_last_earnings,
       CASE WHEN n.announce_date - b.bar_date <= 60 THEN CAST(n.announce_date - b.bar_date AS DOUBLE) END AS earnings__days_to_next_earnings, {r("p.surprise_pct", "earnings__last_surprise_pct")}, {r("p.z", "earnings__last_surprise_z_252")}
       FROM bars b ASOF LEFT JOIN ev p ON b.symbol = p.symbol AND b.bar_date >= p.announce_date ASOF LEFT JOIN ev n ON b.symbol = n.symbol AND b.bar_date < n.announce_date""", fx.NUMBERED_SQL, fx.ANNOUNCE_SQL,

@@ -76,7 +76,7 @@ def ratios(s, d):
 
 
 def pf38(s, d):
-    return pf.retrain_pace(fx.table(s, d, "events").filter("event_type = 'signup'").select(F.to_date("ts").alias("done_at")).union(fx.table(s, d, "orders").filter("o_orderkey % 97 = 0").select(F.to_date("o_orderdate"))))
+    return pf.retrain_pace(fx.table(s, d, "events").filter("event_type = 'signup'").select(F.to_date("ts").alias("done_at")).union(fx.table(s, d, "orders").select(F.to_date("o_orderdate"))))
 
 
 def pf39(s, d):
@@ -176,7 +176,7 @@ SQL = {
     "pf36_regime_band_v1": fx.sql(f"SELECT symbol, bar_date, {r('z', 'z')}, CASE WHEN z >= 0 THEN 1.0::DOUBLE WHEN z >= -0.5 THEN 0.75 WHEN z >= -1 THEN 0.5 WHEN z IS NOT NULL THEN 0.25 END AS multiplier FROM (SELECT *, {_Z} AS z FROM lr)", PRICE_SQL),
     "pf37_regime_band_v2": fx.sql(f"""SELECT symbol, bar_date, alarms, [1.0::DOUBLE, 0.75, 0.5, 0.25][alarms + 1] AS multiplier FROM (SELECT b.symbol, b.bar_date, CAST(coalesce(dd >= 0.1, false) AS INT) + CAST(coalesce(close < m, false) AS INT) + CAST(coalesce(v.value >= 250000, false) AS INT) AS alarms FROM
       (SELECT *, 1 - close / max(close) OVER {last_n(252)} AS dd, {full('avg', 'close', 200)} AS m FROM bars) b ASOF LEFT JOIN (SELECT * FROM macro WHERE series = 'vix') v ON b.bar_date >= v.macro_date)""", fx.MACRO_SQL),
-    "pf38_retrain_pace": f"WITH m AS (SELECT date_trunc('month', d) AS month, max(d) AS done FROM (SELECT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'signup' UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 97 = 0) GROUP BY 1) SELECT count(*) AS months, {r('avg(gap) FILTER (k <= 5)', 'mean_gap_days')}, max(done) AS last_done FROM (SELECT *, done - lag(done) OVER (ORDER BY month) AS gap, row_number() OVER (ORDER BY month DESC) AS k FROM m)",
+    "pf38_retrain_pace": f"WITH m AS (SELECT date_trunc('month', d) AS month, max(d) AS done FROM (SELECT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'signup' UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders) GROUP BY 1) SELECT count(*) AS months, {r('avg(gap) FILTER (k <= 5)', 'mean_gap_days')}, max(done) AS last_done FROM (SELECT *, done - lag(done) OVER (ORDER BY month) AS gap, row_number() OVER (ORDER BY month DESC) AS k FROM m)",
     "pf39_gate_decisions": "SELECT CAST(date_trunc('month', d) AS DATE) AS month, first(CASE o_orderstatus WHEN 'F' THEN 'promote' ELSE 'retain' END ORDER BY line DESC) AS decision, CAST(first('0.' || (o_orderkey % 100 + 100) ORDER BY line DESC) AS DOUBLE) AS ic FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%Y-%m-%d') || ' gate=' || CASE o_orderstatus WHEN 'F' THEN 'promote' ELSE 'retain' END || ' ic=0.' || (o_orderkey % 100 + 100) || ' key ' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS line FROM orders) GROUP BY 1",
     "pf40_trade_pairs": fx.sql(f"SELECT lot_id, symbol, kind, trade_date, {r('price', 'price', 8)}, {r('pnl', 'pnl', 8)}, entry_date, {r('entry_price', 'entry_price', 8)} FROM (SELECT t.*, CASE WHEN t.kind = 'close' THEN o.trade_date END AS entry_date, CASE WHEN t.kind = 'close' THEN o.price END AS entry_price FROM trade_log t LEFT JOIN (SELECT * FROM trade_log WHERE kind = 'open') o USING (lot_id, symbol) ORDER BY t.trade_date DESC, t.lot_id DESC, t.kind LIMIT 50)", *L),
     "pf41_last_close": fx.sql("SELECT * FROM lc", *L),

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import features as f
 from ..functions import text as tx
+from ..functions.panel import Registry, build_panel, pandas_group
 from ..functions.windows import rounded
+from ..operators import labels as lb
 from ..operators import models as ml
 from ..streaming import stream as st
 from . import fixtures as fx
+from .shared import shared_dir
 from .sqlkit import r
 
 
-def shared_dir(spark) -> str:
-    """The cluster's shared folder; a local one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def tx1(s, d):
     return fx.table(s, d, "pages").select("page_id", tx.clean_html(F.col("html")).alias("body"))
 
@@ -71,28 +62,32 @@ def tx9(s, d):
     return tx.verdict_counts(_events(s, d).withColumn("verdict", tx.coerce_verdict(F.col("label"))))
 
 
-def _stream(spark, df, part, n=4):
-    """``df`` as a file stream of one file a batch, the parts in order of their number."""
-    path = shared_dir(spark)
+def arrivals(spark, df, part, path, n=4):
+    """``df`` as a file stream that arrives in ``n`` parts, null parts first: a stream to run again after each."""
+    part = F.coalesce(part, F.lit(0))
     for k in range(n):
-        df.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
+        df.filter(part == k).write.mode("append").parquet(f"{path}/in")
+        yield spark.readStream.schema(df.schema).parquet(f"{path}/in")
 
 
 def st1(s, d):
     e = fx.table(s, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    source, path = _stream(s, e, F.col("event_id") % 4)
-    table = st.KeyedTable(s, f"{path}/table", e.schema)
-    return st.stream_upsert(source, table, ["user_id", "day"], ["ts", "event_id"], f"{path}/checkpoint", event_time="ts", late="3650 days").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    path = shared_dir(s)
+    for source in arrivals(s, e, F.col("event_id") % 4, path):  # each run finds the table again, as after a restart
+        table = st.KeyedTable(s, f"{path}/table", e.schema, F.year("day") * 12 + F.month("day"))
+        out = st.stream_upsert(source, table, ["user_id", "day"], ["ts", "event_id"], f"{path}/checkpoint")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def st2(s, d):
     b = fx.bars(s, d).select("symbol", "bar_date", "close")
-    y = F.year("bar_date")
-    source, path = _stream(s, b, F.when(y <= 1995, 0).when(y <= 1996, 1).when(y <= 1997, 2).otherwise(3))
+    y, path = F.year("bar_date"), shared_dir(s)
     p = fx.predictions(s, d).select("symbol", "as_of")
-    out = st.KeyedTable(s, f"{path}/settled", "symbol string, as_of date, realized double, settled_at date")
-    return rounded(st.stream_settle(source, p, st.KeyedTable(s, f"{path}/table", b.schema), out, "1999-06-30", f"{path}/checkpoint"))
+    for source in arrivals(s, b, F.when(y <= 1995, 0).when(y <= 1996, 1).when(y <= 1997, 2).otherwise(3), path):
+        table = st.KeyedTable(s, f"{path}/table", b.schema, F.year("bar_date"))
+        done = st.KeyedTable(s, f"{path}/settled", "symbol string, as_of date, realized double, settled_at date", F.year("as_of"))
+        out = st.stream_settle(source, p, table, done, "1999-06-30", f"{path}/checkpoint")
+    return rounded(out)
 
 
 def st3(s, d):
@@ -102,14 +97,15 @@ def st3(s, d):
 
 
 def ud1(s, d):
-    """A user's own pandas function per symbol: centred five-bar median of the close."""
+    """A user's own pandas function per symbol, registered as a group beside those of a panel: median of five closes."""
     def own(pdf):
-        pdf = pdf.sort_values("bar_date")
-        pdf["median5"] = pdf["close"].rolling(5, min_periods=5).median()
-        return pdf[["symbol", "bar_date", "median5"]]
+        return pdf.assign(own__median5=pdf["close"].rolling(5, min_periods=5).median())
 
-    out = fx.bars(s, d).select("symbol", "bar_date", "close").groupBy("symbol").applyInPandas(own, "symbol string, bar_date date, median5 double")
-    return rounded(out.withColumn("median5", F.when(~F.isnan("median5"), F.col("median5"))), 9)
+    reg = Registry()
+    reg.register("symbol", "own", pandas_group(own, ["own__median5"]))
+    reg.register("panel", "absent", lambda p, t: p, ("a table that is not there",))
+    out = build_panel(fx.bars(s, d), registry=reg)
+    return rounded(out.select("symbol", "bar_date", F.col("own__median5").alias("median5")), 9)
 
 
 def _training(s, d):
@@ -132,6 +128,23 @@ def ml2(s, d):
     return ml.calibrate(p.select("symbol", "as_of", "label", "probs"), "probs", "label", 3)
 
 
+def _split(s, d):
+    rows, cols = _training(s, d)
+    folds = lb.purged_folds(rows.select("bar_date"), n=4, h=5, embargo=10, min_train=300)
+    early = rows.filter(F.col("bar_date") < F.lit("1995-01-01").cast("date"))
+    return rows, folds, ml.fit(early, cols, "y", "label", version="early")
+
+
+def ml3(s, d):
+    rows, _, models = _split(s, d)
+    return ml.score(rows, models).select("symbol", "bar_date", "predicted_return", "predicted_class", "top_p", "bot_p", "regression_version", "classes_version")
+
+
+def ml6(s, d):
+    rows, folds, models = _split(s, d)
+    return ml.revalidate(rows, models, folds, "y", "label")
+
+
 def ml4(s, d):
     rows, cols = _training(s, d)
     return ml.feature_importance(rows, cols, "y")
@@ -144,7 +157,7 @@ def ml5(s, d):
 
 QUERIES = {
     "tx1_clean_html": tx1, "tx2_truncate_body": tx2, "tx3_select_exhibits": tx3, "tx4_recent_filings": tx4, "tx5_titles": tx5, "tx6_source_digest": tx6, "tx7_coerce": tx7, "tx8_latest_verdicts": tx8, "tx9_verdict_counts": tx9,
-    "st1_stream_upsert": st1, "st2_stream_settle": st2, "st3_preliminary_vs_final": st3, "ud1_custom_group": ud1, "ml1_fit_predict_folds": ml1, "ml2_calibrate": ml2, "ml4_feature_importance": ml4, "ml5_attribution": ml5,
+    "st1_stream_upsert": st1, "st2_stream_settle": st2, "st3_preliminary_vs_final": st3, "ud1_custom_group": ud1, "ml1_fit_predict_folds": ml1, "ml2_calibrate": ml2, "ml3_score": ml3, "ml6_revalidate": ml6, "ml4_feature_importance": ml4, "ml5_attribution": ml5,
 }
 _EV = """ev AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'bullish' WHEN 'error' THEN 'bearish' ELSE 'neutral' END AS verdict, CASE event_type WHEN 'purchase' THEN ' Bullish!' WHEN 'error' THEN 'strong sell' ELSE 'hold' END AS label,
   CASE event_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN (event_id % 100) / 100.0 WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 ELSE 0.3 END AS confidence, CASE WHEN event_id % 3 = 0 THEN 'a|b' ELSE '' END AS reasons, CAST(ts AS DATE) AS verdict_date, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events)"""

@@ -2,60 +2,93 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import newest, upsert
 from ..operators.predictions import settle
 
+LOG = "part int, version long, attempt long, path string"
 
-class KeyedTable:
-    """A table of versions in a shared folder: each batch writes a new one, the last complete version counts.
 
-    A batch that is run again writes its own version again, so a restart after a
-    failure changes nothing.
+class KeyedTable:
+    """A table in a shared folder, cut into parts, that micro-batches update and restarts find again.
+
+    Every write of a part goes to a fresh path; a row of the log names it, and is
+    added only when all its files are there.  Version n is what batch n wrote; of
+    one part the last version counts, of one version the last attempt.  So a
+    batch that runs again after a failure starts from the versions before its
+    own, whatever its first attempt left.  A batch rewrites the parts it touches
+    and no others; ``part`` is a whole-number expression of the row, such as its
+    month.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema, self.version = spark, path, schema, -1
-
-    def read(self) -> DataFrame:
-        if self.version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.version = version
+    def __init__(self, spark: SparkSession, path: str, schema, part: Column):
+        self.spark, self.path, self.part = spark, path.rstrip("/"), part.cast("int")
+        self.schema = spark.createDataFrame([], schema).schema
+        spark.createDataFrame([], LOG).write.mode("append").json(f"{self.path}/log")
+
+    def _paths(self, before: int | None) -> dict[int, str]:
+        """Where each part's rows are: one short string a part."""
+        log = self.spark.read.schema(LOG).json(f"{self.path}/log")
+        log = log if before is None else log.filter(F.col("version") < before)
+        return {r.part: r.path for r in log.groupBy("part").agg(F.max_by("path", F.struct("version", "attempt")).alias("path")).collect()}
+
+    def _load(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of the versions before one."""
+        return self._load(list(self._paths(before).values()))
+
+    def merge(self, batch: DataFrame, version: int, how: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replace the parts that ``batch`` touches by ``how(their rows, batch)``."""
+        tagged = batch.select(*self.schema.names, self.part.alias("_part"))
+        touched = [r[0] for r in tagged.select("_part").distinct().collect()]
+        if not touched:
+            return
+        paths = self._paths(version)
+        held = self._load([paths[p] for p in touched if p in paths])
+        out = f"{self.path}/data/{version}-{uuid.uuid4().hex}"
+        how(held, batch.select(*self.schema.names)).withColumn("_part", F.coalesce(self.part, F.lit(-1))).write.partitionBy("_part").parquet(out)
+        rows = [(p, version, time.time_ns(), f"{out}/_part={-1 if p is None else p}") for p in touched]
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
 
 
 def run_batches(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Drive a stream over all that is available now."""
+    """Drive a stream over all that is available now; run again with the same checkpoint, it goes on where it stopped."""
     query = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def stream_upsert(source: DataFrame, table: KeyedTable, keys: list[str], order: list[str], checkpoint: str, *, event_time: str | None = None, late: str = "5 days") -> DataFrame:
-    """Merge a stream of rows into a keyed table: the newest row of a key wins, whichever batch brings it."""
-    rows = source.withWatermark(event_time, late) if event_time else source
+def stream_upsert(source: DataFrame, table: KeyedTable, keys: list[str], order: list[str], checkpoint: str) -> DataFrame:
+    """Merge a stream of rows into a keyed table: the newest row of a key wins, whichever batch brings it.
 
+    Late rows need no watermark, as the table itself is the state; the part of a
+    row must follow from its key.
+    """
     def each(batch: DataFrame, n: int) -> None:
-        held = table.read()
-        table.write(newest(held.unionByName(newest(batch, keys, order)), keys, order), n)
+        table.merge(newest(batch, keys, order), n, lambda held, new: newest(held.unionByName(new), keys, order))
 
-    run_batches(rows, each, checkpoint)
+    run_batches(source, each, checkpoint)
     return table.read()
 
 
 def stream_settle(bars: DataFrame, predictions: DataFrame, table: KeyedTable, settled: KeyedTable, as_of, checkpoint: str, h: int = 5) -> DataFrame:
-    """Settle predictions as soon as the h-th bar after them has arrived."""
+    """Settle predictions as soon as the h-th bar after them has arrived; what is settled stays."""
+    keys = ["symbol", "as_of"]
+
     def each(batch: DataFrame, n: int) -> None:
-        table.write(upsert(table.read(), batch, ["symbol", "bar_date"], ["bar_date"]), n)
-        done = settled.read()
-        due = predictions.join(done, ["symbol", "as_of"], "left_anti")
-        settled.write(done.unionByName(settle(due, table.read(), as_of, h)), n)
+        table.merge(batch, n, lambda held, new: upsert(held, new, ["symbol", "bar_date"], ["bar_date"]))
+        due = predictions.join(settled.read(before=n), keys, "left_anti")
+        since = due.agg(F.min("as_of")).first()[0]
+        if since is not None:
+            found = settle(due, table.read().filter(F.col("bar_date") >= F.lit(since)), as_of, h)
+            settled.merge(found, n, lambda held, new: upsert(held, new, keys, ["settled_at"]))
 
     run_batches(bars, each, checkpoint)
     return settled.read()

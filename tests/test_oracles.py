@@ -1,4 +1,4 @@
-"""Every panel query against SQL on the smallest tables."""
+"""Panel queries against SQL on the smallest tables: some of each family, and all that are new or costly to get wrong."""
 
 import pytest
 
@@ -10,8 +10,9 @@ FOLDER = "/root/testdata/sf0.001"
 #: One or two queries of each family; the driver compares them all.
 CHOSEN = [
     "f_price", "f_trend", "f_momentum", "f_volatility", "f_volume", "f_microstructure", "f_market_structure", "f_swings", "xs_ranks", "rg_regime", "mc_macro_features", "sr_sector_residual", "ea_earnings",
-    "sv_filings", "fu4_fundamentals_ttm", "src1_read_bars", "src9_flatten_facts", "snk2_upsert_preserving", "cln5_cleaning_report", "cln9_audit_sources", "pit6_mask_non_members", "lb2_quantile_label",
-    "sp1_fold_rows", "ev5_evaluate_predictions", "gt2_trial_objective", "dr1_drift_check", "pr2_rank_predictions", "ca1_calibration_table", "pf7_per_year_metrics", "pf28_lot_outcomes", "pf31_position_rollup", "tx7_coerce", "st3_preliminary_vs_final",
+    "sv_filings", "fu4_fundamentals_ttm", "src9_flatten_facts", "snk2_upsert_preserving", "cln5_cleaning_report", "cln9_audit_sources", "pit6_mask_non_members", "lb2_quantile_label",
+    "sp1_fold_rows", "ev5_evaluate_predictions", "gt2_trial_objective", "dr1_drift_check", "pr2_rank_predictions", "ca1_calibration_table", "sr5_etf_features", "fu1_fundamentals_annual", "fu3_latest_value", "fu5_fundamentals_ranks", "pn1_build_panel", "pn3_inference_slice", "pn4_batch_slice", "snk3_training_panel", "ev8_monthly_summary", "pr8_performance_summary",
+    "ca2_ic_timeseries", "src1_read_bars", "pf38_retrain_pace", "pf25_seeded_atr", "st1_stream_upsert", "st2_stream_settle", "ud1_custom_group", "pf7_per_year_metrics", "pf28_lot_outcomes", "pf31_position_rollup", "tx7_coerce", "st3_preliminary_vs_final",
 ]
 
 

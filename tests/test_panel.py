@@ -8,18 +8,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import features as f
+from barloom.functions import panel, recursion
 from barloom.functions import panel_features as pf
-from barloom.functions.recursion import profiles
-from barloom.operators import asof, clean, keyed, labels, pit
+from barloom.operators import asof, clean, keyed, labels, models, pit
 from barloom.operators import portfolio as po
 from barloom.plans.q_features import NAMES, columns
+from barloom.streaming import stream
 
 
 def day(n):
-    return dt.date(2022, 1, 3) + dt.timedelta(days=n)
+    return dt.date(2011, 5, 17) + dt.timedelta(days=n)
 
 
-def walk(symbols=2, n=320, seed=3):
+def walk(symbols=2, n=290, seed=3):
     rng = np.random.default_rng(seed)
     parts = []
     for s in range(symbols):
@@ -42,11 +43,11 @@ def test_counts_of_columns():
 
 def test_features_use_no_later_bars(spark):
     bars = walk()
-    cut = day(240)
+    cut = day(263)
     broken = bars.copy()
     late = broken["bar_date"] > cut
-    broken.loc[late, ["open", "high", "low", "close"]] = 1e6
-    broken.loc[late, "volume"] = 99.0
+    broken.loc[late, ["open", "high", "low", "close"]] *= [3.1, 4.7, 0.2, 2.3]
+    broken.loc[late, "volume"] += 5e5
     names = [c for g in NAMES for c in columns(g)]
     a, b = (all_features(spark.createDataFrame(x)).filter(F.col("bar_date") <= F.lit(cut)).select("symbol", "bar_date", *names).toPandas().sort_values(["symbol", "bar_date"]).reset_index(drop=True) for x in (bars, broken))
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
@@ -64,20 +65,35 @@ def test_recursive_means_by_plain_recursion(spark):
             assert pd.isna(got["ema12"][i])
 
 
-def test_volume_profile_by_bars():
-    bars = walk(1, 70)
-    got = profiles(bars)
-    h, lo, v, c = (bars[x].to_numpy() for x in ("high", "low", "volume", "close"))
-    for t in (49, 60, 69):
-        a, z, w = lo[t - 49 : t + 1], h[t - 49 : t + 1], v[t - 49 : t + 1]
-        edges = np.linspace(a.min(), z.max(), 21)
-        size = np.zeros(20)
-        for i in range(50):
-            first = int(np.searchsorted(edges, a[i], "right")) - 1
-            last = min(19, int(np.searchsorted(edges, z[i], "left")))
-            size[first : last + 1] += w[i] / (last - first + 1)
-        peak = int(np.argmax(size))
-        assert got.iloc[t, 2] == pytest.approx((c[t] - (edges[peak] + edges[peak + 1]) / 2) / c[t])
+def plain_profile(low, high, volume, close):
+    """The volume profile of one window, bin by bin."""
+    edges = np.linspace(low.min(), high.max(), 21)
+    size = np.zeros(20)
+    for a, z, v in zip(low, high, volume, strict=True):
+        if z > a and v > 0:
+            first, last = max(0, sum(e <= a for e in edges) - 1), min(19, sum(e < z for e in edges))
+            size[first : last + 1] += v / (last - first + 1)
+    size = np.round(size, 9)
+    peak = int(np.argmax(size))
+    lo = hi = peak
+    while size[lo : hi + 1].sum() < 0.7 * size.sum() - 1e-9:
+        below, above = (size[lo - 1] if lo else -1), (size[hi + 1] if hi < 19 else -1)
+        lo, hi = (lo - 1, hi) if below >= above else (lo, hi + 1)
+    return [(close - x) / close for x in ((edges[peak] + edges[peak + 1]) / 2, edges[hi + 1], edges[lo])]
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_volume_profile_by_bars(seed, monkeypatch):
+    monkeypatch.setattr(recursion, "WINDOWS", 16)
+    bars = walk(1, 120, seed)
+    bars.loc[bars.index % 9 == 0, "volume"] = 0.0
+    bars.loc[bars.index % 13 == 0, "high"] = bars["low"]
+    got = recursion.profiles(bars.sample(frac=1, random_state=seed))
+    assert got[recursion.PROFILE][:49].isna().all().all()
+    h, lo, v, c = (got[x].to_numpy() for x in ("high", "low", "volume", "close"))
+    for t in range(49, 120):
+        w = slice(t - 49, t + 1)
+        assert got.loc[t, recursion.PROFILE].tolist() == pytest.approx(plain_profile(lo[w], h[w], v[w], c[t]))
 
 
 def test_forward_return_and_quintiles(spark):
@@ -100,10 +116,28 @@ def test_asof_matches_carry_nulls_and_ties(spark):
 
 
 def test_surprise_z(spark):
-    ev = spark.createDataFrame([("A", day(30 * i), x) for i, x in enumerate([1.0, 2.0, 3.0, 4.0, 10.0])], "symbol string, announce_date date, surprise_pct double")
-    panel = spark.createDataFrame([("A", day(125))], "symbol string, bar_date date")
-    r = asof.earnings_features(panel, ev).first()
-    assert r.earnings__last_surprise_z_252 == pytest.approx(5.81, abs=0.01) and r.earnings__days_since_last_earnings == 5.0
+    before = [-2.0, 0.5, 1.5, 6.0]
+    ev = spark.createDataFrame([("A", day(45 * i), x) for i, x in enumerate([*before, -4.0])], "symbol string, announce_date date, surprise_pct double")
+    panel = spark.createDataFrame([("A", day(190)), ("A", day(-3)), ("A", day(-61)), ("B", day(190))], "symbol string, bar_date date")
+    got = {(r.symbol, r.bar_date): r for r in asof.earnings_features(panel, ev).collect()}
+    r = got["A", day(190)]
+    assert r.earnings__last_surprise_z_252 == pytest.approx((-4.0 - np.mean(before)) / np.std(before, ddof=1)) and r.earnings__days_since_last_earnings == 10.0
+    assert r.earnings__days_to_next_earnings is None and r.earnings__last_surprise_pct == -4.0
+    assert got["A", day(-3)].earnings__days_to_next_earnings == 3.0 and got["A", day(-61)].earnings__days_to_next_earnings is None
+    assert got["B", day(190)].earnings__last_surprise_pct is None and len(got) == 4
+
+
+def test_filings_and_facts_in_one_pass(spark):
+    panel = spark.createDataFrame([("A", day(i)) for i in range(0, 130, 10)] + [("A", day(0))], "symbol string, bar_date date")
+    fl = spark.createDataFrame([("A", day(5), "8-K", "2.02,9.01", "a"), ("A", day(5), "8-K", None, "b"), ("A", day(30), "10-Q", None, "c"), ("A", day(31), "8-K", "5.02", "d")], "symbol string, filing_date date, form_type string, items string, accession string")
+    got = {r.bar_date: r for r in asof.filing_features(panel, fl).collect()}
+    assert asof.filing_features(panel, fl).count() == 14  # a repeated row stays
+    assert [got[day(i)].sec_events__count_8k_last_30d for i in (0, 10, 30, 40, 60, 70)] == [0, 2, 2, 1, 1, 0]
+    assert got[day(40)].sec_events__days_since_last_8k == 9 and got[day(40)].sec_events__days_since_last_8k_2_02 == 35 and got[day(120)].sec_events__days_since_last_10q == 90
+    facts = [("A", "Equity", day(0), "FY", 10.0, day(3)), ("A", "NetIncome", day(0), "FY", 2.0, day(3)), ("A", "Equity", day(50), "FY", 20.0, day(53)), ("A", "Equity", day(40), "FY", 99.0, day(53)), ("A", "NetIncome", day(50), "FY", None, day(60))]
+    facts = spark.createDataFrame(facts, "symbol string, concept string, period_end date, fp string, value double, filed_date date")
+    got = {r.bar_date: r.sec_fundamentals__roe for r in asof.fundamentals_annual(panel, facts).collect()}
+    assert got[day(0)] is None and got[day(10)] == 0.2 and got[day(50)] == 0.2 and got[day(60)] is None
 
 
 def test_upsert_is_idempotent(spark):
@@ -140,3 +174,174 @@ def test_folds_do_not_touch(spark):
     assert len(folds) == 5 and folds[-1].val_end == day(699)
     for r in folds:
         assert (r.val_start - r.train_end).days > 5
+
+
+def test_groups_are_replaced_skipped_and_gated(spark):
+    bars = spark.createDataFrame(walk(2, 30))
+    reg = panel.Registry()
+    reg.register("symbol", "one", lambda b, t: b.withColumn("one__x", F.lit(1.0)))
+    reg.register("symbol", "bad", lambda b, t: b.withColumn("bad__x", F.col("no such column")))
+    reg.register("panel", "gated", lambda p, t: p.withColumn("gated__x", F.lit(len(t))), ("extra",))
+    reg.register("symbol", "one", lambda b, t: b.withColumn("one__x", F.lit(2.0)))
+    assert reg.names() == [("symbol", "one"), ("symbol", "bad"), ("panel", "gated")]
+    with pytest.warns(UserWarning, match="symbol/bad left out"):
+        out = panel.build_panel(bars, registry=reg)
+    assert panel.feature_columns(out) == ["one__x"] and {r.one__x for r in out.collect()} == {2.0}
+    with pytest.warns(UserWarning):
+        assert panel.feature_columns(panel.build_panel(bars, {"extra": bars}, registry=reg)) == ["one__x", "gated__x"]
+    reg.remove("symbol", "bad")
+    with pytest.raises(ValueError):
+        reg.register("other", "x", lambda b, t: b)
+
+
+def test_slices_of_a_panel(spark):
+    bars = spark.createDataFrame(walk(3, 40))
+    mem = spark.createDataFrame([("U", "S0", "X", day(0), day(25)), ("U", "S1", "X", day(20), None), ("V", "S2", "X", day(0), None)], "universe string, symbol string, exchange string, start_date date, end_date date")
+    reg = panel.Registry()
+    reg.register("symbol", "own", panel.pandas_group(lambda pdf: pdf.assign(own__age=np.arange(len(pdf), dtype=float)), ["own__age"]))
+    p = panel.build_panel(bars, registry=reg, membership=mem)
+    assert p.count() == 120 and p.filter("own__age is null").count() == 14 + 20
+    at = lambda d: sorted((r.symbol, r.own__age, r.absent) for r in panel.inference_slice(p, mem, "U", day(d), ["own__age", "absent"]).collect())
+    assert at(22) == [("S0", 22.0, None), ("S1", 22.0, None)] and at(30) == [("S1", 30.0, None)]
+    days = spark.createDataFrame([(day(10),), (day(30),), (day(30),)], "bar_date date")
+    assert sorted((r.symbol, r.own__age) for r in panel.batch_slice(p, mem, days, ["own__age"]).collect()) == [("S0", 10.0), ("S1", 30.0), ("S2", 10.0), ("S2", 30.0)]
+
+
+def test_whole_panel_holds_all_groups(spark):
+    bars = spark.createDataFrame(walk(2, 60))
+    out = panel.build_panel(bars)
+    names = {c.split("__")[0] for c in panel.feature_columns(out)}
+    assert names == {*NAMES, "cross_sectional", "regime", "interactions"} and out.count() == 120
+
+
+def test_benchmark_features(spark):
+    bars = walk(3, 60)
+    got = pf.etf_features(spark.createDataFrame(bars), ["S0", "S2"]).toPandas().sort_values(["benchmark", "bar_date"])
+    assert sorted(set(got["benchmark"])) == ["S0", "S2"]
+    c = np.log(bars[bars["symbol"] == "S2"]["close"].to_numpy())
+    mine = got[got["benchmark"] == "S2"]
+    assert mine["etf_log_return_5d"].to_numpy()[-1] == pytest.approx(c[-1] - c[-6]) and mine["etf_realized_vol_20d"].to_numpy()[-1] == pytest.approx(np.std(np.diff(c)[-20:], ddof=1))
+    of = pf.sector_benchmarks(spark.createDataFrame([("a", "Information Technology"), ("b", None)], "symbol string, sector string"))
+    assert {r.symbol: r.benchmark for r in of.collect()} == {"a": "XLK", "b": None}
+
+
+def test_timeline_checks(spark):
+    t = spark.createDataFrame([("A", day(0), None), ("B", day(3), day(1)), ("C", day(0), day(4))], "symbol string, start_date date, end_date date")
+    assert tuple(pit.timeline_checks(t, 1, 2).first()) == (1, 1, False)
+    assert tuple(pit.timeline_checks(t.filter("symbol <> 'B'"), 1, 2).first()) == (1, 0, True)
+    assert not pit.timeline_checks(t.filter("symbol = 'C'"), 1, 2).first().ok
+
+
+# ------------------------------------------------------------------ streams
+
+
+def arrive(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(schema).parquet(f"{folder}/in")
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}", "k int, day date, t int, v string"
+
+    def run(rows):
+        source = arrive(spark, folder, rows, schema) if rows else spark.readStream.schema(schema).parquet(f"{folder}/in")
+        table = stream.KeyedTable(spark, f"{folder}/table", schema, F.month("day"))  # a new object, as in a new process
+        return sorted(map(tuple, stream.stream_upsert(source, table, ["k", "day"], ["t"], f"{folder}/checkpoint").collect()), key=str)
+
+    a, b, c = (1, day(0), 1, "a"), (2, day(0), 5, "b"), (1, day(40), 1, "c")
+    assert run([a, b]) == sorted([a, b], key=str)
+    assert run([c, (2, day(0), 4, "older"), (1, day(0), 2, "newer")]) == sorted([(1, day(0), 2, "newer"), b, c], key=str)
+    assert len(run(None)) == 3  # nothing new
+    assert run([(3, None, 1, "no date")]) == sorted([(1, day(0), 2, "newer"), b, c, (3, None, 1, "no date")], key=str)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    schema = "k int, t int"
+    table = stream.KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
+    take = lambda held, new: keyed.upsert(held, new, ["k"], ["t"])
+    rows = lambda x: spark.createDataFrame(x, schema)
+    table.merge(rows([(1, 1), (2, 1)]), 0, take)
+    table.merge(rows([(1, 2), (3, 1)]), 1, take)
+    first = sorted(map(tuple, table.read().collect()))
+    table.merge(rows([(1, 2), (3, 1)]), 1, take)  # again, from the versions before it
+    assert sorted(map(tuple, table.read().collect())) == first == [(1, 2), (2, 1), (3, 1)]
+    assert sorted(map(tuple, table.read(before=1).collect())) == [(1, 1), (2, 1)]
+    again = stream.KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
+    paths = again._paths(None)
+    again.merge(rows([(5, 9)]), 2, take)
+    assert again._paths(None)[0] == paths[0] and again._paths(None)[1] != paths[1]  # the other part is left as it is
+
+
+def test_settlement_over_restarts(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    bars = [("A", day(i), float(100 + i)) for i in range(12)]
+    preds = spark.createDataFrame([("A", day(0)), ("A", day(4)), ("A", day(9))], "symbol string, as_of date")
+    for rows in (bars[:4], bars[4:8], bars[8:]):
+        source = arrive(spark, folder, rows, "symbol string, bar_date date, close double")
+        table = stream.KeyedTable(spark, f"{folder}/table", "symbol string, bar_date date, close double", F.year("bar_date"))
+        done = stream.KeyedTable(spark, f"{folder}/settled", "symbol string, as_of date, realized double, settled_at date", F.year("as_of"))
+        out = stream.stream_settle(source, preds, table, done, day(30), f"{folder}/checkpoint")
+    got = {r.as_of: (r.realized, r.settled_at) for r in out.collect()}
+    assert got == {day(0): (pytest.approx(np.log(105 / 100)), day(5)), day(4): (pytest.approx(np.log(109 / 104)), day(9))}
+
+
+# ------------------------------------------------------------------ models
+
+
+@pytest.fixture(scope="module")
+def training(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(360, 2))
+    y = 0.5 * x[:, 0] - 0.2 * x[:, 1] + rng.normal(0, 0.05, 360)
+    pdf = pd.DataFrame({"symbol": [f"S{i % 6}" for i in range(360)], "bar_date": [day(i // 6) for i in range(360)], "a": x[:, 0], "b": x[:, 1], "y": y, "label": np.digitize(y, [-0.2, 0.2]).astype(float), "fold": np.arange(360) // 6 % 3})
+    pdf.loc[5, "a"] = None
+    df = spark.createDataFrame(pdf)
+    return df.withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+
+
+def test_every_fold_is_predicted_by_the_others(training):
+    many = training.withColumn("fold", F.when(F.col("fold") == 2, None).otherwise(F.col("fold")))
+    got = models.fit_predict_folds(many, ["a", "b"], "y", "label").toPandas()
+    assert sorted(set(got["fold"])) == [0, 1] and len(got) == 240
+    assert np.corrcoef(got["predicted_return"], got["y"])[0, 1] > 0.8 and (got["predicted_class"] == got["label"]).mean() > 0.7
+    assert all(abs(sum(p) - 1) < 1e-9 and len(p) == 3 for p in got["probabilities"])
+
+
+def test_scores_of_frozen_models(spark, training):
+    m = models.fit(training.filter("fold < 2"), ["a", "b"], "y", "label", version="v9")
+    out = models.score(training, m).toPandas()
+    for r in out.itertuples():
+        assert r.predicted_class == int(np.argmax(r.probabilities)) and r.top_p == r.probabilities[2] and r.bot_p == r.probabilities[0] and r.regression_version == r.classes_version == "v9"
+    assert models.score(training.drop("b"), m).filter("predicted_return is null").count() == 0  # a column that is not there counts as missing
+    folds = labels.purged_folds(training.select("bar_date"), n=2, h=2, embargo=2, min_train=20)
+    got = models.revalidate(training, m, folds, "y", "label").toPandas().sort_values("fold")
+    parts = labels.assign_folds(models.score(training, m), folds).filter("part = 'val'").toPandas()
+    assert got["n_rows"].tolist() == [int((parts["fold"] == k).sum()) for k in (0, 1)]
+    for r in got.itertuples():
+        mine = parts[parts["fold"] == r.fold]
+        ic = mine.groupby("bar_date").apply(lambda g: g["predicted_return"].rank().corr(g["y"].rank()), include_groups=False)
+        assert r.mean_rank_ic == pytest.approx(ic.mean()) and r.accuracy == pytest.approx((mine["predicted_class"] == mine["label"]).mean())
+
+
+def test_calibration_is_monotone_and_adds_up(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(300):
+        p = rng.dirichlet([1, 1, 1])
+        rows.append((int(rng.choice(3, p=p**2 / (p**2).sum())), [float(x) for x in p]))
+    got = models.calibrate(spark.createDataFrame(rows, "label int, probs array<double>"), "probs", "label", 3).collect()
+    assert all(sum(r.calibrated) == pytest.approx(1) or sum(r.calibrated) == 0 for r in got) and all(0 <= x <= 1 for r in got for x in r.calibrated)
+    one = spark.createDataFrame([(int(p > 0.3), [1 - p, p]) for p in np.linspace(0, 1, 50).tolist()], "label int, probs array<double>")
+    rising = [r.calibrated[1] for r in sorted(models.calibrate(one, "probs", "label", 2).collect(), key=lambda r: r.probs[1])]
+    assert rising == sorted(rising)
+
+
+def test_importances_and_attributions(training):
+    imp = {r.feature: r.importance for r in models.feature_importance(training, ["a", "b"], "y").collect()}
+    assert sum(imp.values()) == pytest.approx(1) and imp["a"] > imp["b"]
+    got = models.top_k_attribution(training, ["symbol", "bar_date"], ["a", "b"], "y", k=2)
+    fitted = training.filter("a is not null").toPandas()
+    slope, *_ = np.linalg.lstsq(np.column_stack((fitted[["a", "b"]], np.ones(len(fitted)))), fitted["y"], rcond=None)
+    total = got.groupBy("symbol", "bar_date").agg(F.sum("contribution").alias("s"), F.count("*").alias("n")).toPandas().merge(fitted, on=["symbol", "bar_date"])
+    assert (total["n"] == 2).all() and np.allclose(total["s"], total["a"] * slope[0] + total["b"] * slope[1], atol=0.01)
+    assert all(r.sign == ("+" if r.contribution >= 0 else "-") for r in got.collect())
