@@ -21,7 +21,8 @@ from .common import beside, freed, schema_with, table, text_slices
 from .crf import Crf, feature
 
 # Fixed sets of element names.
-HIDDEN = "script|style|noscript|template|svg|textarea|select|iframe|object|canvas|math"
+UNSEEN = "script|style"  # their text is never shown; unclosed ones end with the page
+FIELDS = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.IGNORECASE) for x in ("template", "textarea", "select", "iframe", "svg")}  # nor is that of these, if they are closed
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -31,22 +32,34 @@ BLOCK = set(
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 HOLDS_LI = {"ul", "ol", "menu", "table", "tbody", "thead", "tfoot", "dl", "select"}
 
+_REST = r"(?>=\s*(?>\"[^\"]*\"|'[^']*')|[^>])*+"  # of a tag after its name: a > inside a quoted value doesn't end it
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\s[^>]*)?/?)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z", re.DOTALL | re.IGNORECASE
+    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})(?=[\s/>]){_REST}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>{_REST})>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<more2>[^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z",
+    re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-label|itemprop)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+TELLING = {"class", "id", "role", "hidden", "aria-label", "itemprop"}
+DEPTH = 512  # elements nested deeper are not told apart, as in browsers
 SPACES = re.compile(r"\s+")
 
 
-@lru_cache(1 << 14)
+@lru_cache(1 << 13)
 def _hints(attributes: str) -> tuple[str, ...]:
+    """Words of the attributes that tell what an element is for."""
     out = []
     for m in ATTRIBUTE.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or m[1]).lower()
-        out += [x for x in re.split(r"[^a-z]+", value) if x]
+        if m[1].lower() in TELLING:
+            value = (m[2] or m[3] or m[4] or m[1]).lower()
+            out += [x for x in re.split(r"[^a-z]+", value) if x]
     return tuple(out)
 
 
+def _hints_of(attributes: str) -> tuple[str, ...]:
+    """``_hints``, without keeping long attributes."""
+    return (_hints if len(attributes) < 300 else _hints.__wrapped__)(attributes)
+
+
 def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str, float]]:
     """(tags of ancestors, their class words, text, share of text in links) of each block with text, in page order."""
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -68,20 +81,21 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
             text.append(piece)
             linked += len(piece) if links else 0
 
-    for m in TOKEN.finditer(page):
+    open_ended = set()  # fields that no later tag closes
+    while m := TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m["name"] or m["name2"]
         if not name:
             continue
-        name = name.lower()
+        name, more = name.lower(), m["more"] or m["more2"] or ""
         if name == "br":
             text.append(" ")
             continue
         is_block = name in BLOCK
         if is_block:
             end_block()
-        if m[2]:
+        if m["end"] or m["end2"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -90,8 +104,13 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
                     break
             links = sum(t == "a" for t, _ in stack)
             continue
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or more.endswith("/"):
             continue
+        if name in FIELDS and name not in open_ended:
+            if close := FIELDS[name].search(page, at):
+                at = close.end()
+                continue
+            open_ended.add(name)
         if is_block:
             ends = CLOSES.get(name, ()) if name in CLOSES else {"p"}
             for i in range(len(stack) - 1, -1, -1):
@@ -105,7 +124,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
             links = sum(t == "a" for t, _ in stack)
         elif name == "a":
             links += 1
-        stack.append((name, _hints(m[4]) if m[4] else ()))
+        if len(stack) < DEPTH:
+            stack.append((name, _hints_of(more) if more else ()))
     add(page[at:])
     end_block()
     return out
@@ -200,7 +220,8 @@ def extract(pages: DataFrame, *, html: str = "html", crf: Crf | None = None, kee
 
     Character references are decoded once, white space inside a block becomes
     one space.  Broken markup is read leniently: unclosed elements end with
-    their parent, an unclosed comment or script hides the rest of the page.
+    their parent, an unclosed comment, script or style hides the rest of the page.
+    Text of other elements, known or not, is judged with the block it stands in.
     Null and empty pages give empty text.  Other columns pass through, or
     those named in ``keep``; one named ``text`` is replaced.
     """
