@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 
-WIDTH = 1 << 14
+WIDTH = 1 << 16
 
 
 def feature(name: str) -> int:
