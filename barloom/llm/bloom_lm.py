@@ -6,6 +6,9 @@ Probing level after level until one is missing gives the level back: never too
 low, and too high only by false positives.  Each bucket of the hash space fills
 its own segment, of ``ENTRY_BITS`` bits for each entry: every word and every pair
 is in the filter, at the same rate of false positives whatever the corpus's size.
+Words are told apart by hashes of 64 bits, pairs by hashes whose width follows
+from the corpus's bytes, so that the share of pairs that meet another stays far
+below the filter's own rate at every size.
 
 The filter stays a table by bucket, as it grows with the corpus.  Texts are cut
 into chunks; a chunk sends its distinct words and pairs to their buckets, which
@@ -27,14 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, schema_with, table, text_slices, written
-from .packed_counts import _edges, count_hashes, frequent, pack, unpack
+from .common import U64, Words, freed, mix, schema_with, table, text_slices, written
+from .packed_counts import bucket_of, by_bucket, count_hashes, frequent, layout, pack, pack_counts, unpack, unpack_counts
 
 BASE = 1.5
 PROBES = 3
 ENTRY_BITS = 8  # of the filter for each entry; 3 / ln 2 would be full
-PAIR_HASH_BITS = 40
-HASH_BITS = {0: 64, 1: PAIR_HASH_BITS}  # of words and of pairs
 CHUNK_BYTES = 1 << 22
 COMMON_WORDS = 1 << 17
 SLICE = 1 << 20  # hashes placed at a time
@@ -102,13 +103,7 @@ class LogBloom:
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level found for each hash; 0 for what is not in the filter."""
-        base = (h.astype(np.float64) * (self.buckets / 2.0**self.hash_bits)).astype(np.int64)
-        # the borders of buckets are whole numbers: settle them exactly
-        edges = np.array([(i << self.hash_bits) // self.buckets for i in range(self.buckets)], dtype=U64)
-        base = np.clip(base, 0, self.buckets - 1)
-        base -= h < edges[base]
-        base += (base + 1 < self.buckets) & (h >= edges[np.minimum(base + 1, self.buckets - 1)])
-        start = base * self.size
+        start = bucket_of(h, self.buckets, self.hash_bits) * self.size
         level, live, q = np.zeros(len(h), np.int64), np.arange(len(h)), 1
         while len(live):
             ok = np.ones(len(live), bool)
@@ -122,10 +117,10 @@ class LogBloom:
 
 
 class Scorer:
-    """What every worker gets: the common words' exact counts, and the totals."""
+    """What every worker gets: the common words' exact counts, the totals, the number of buckets and the width of pair hashes."""
 
-    def __init__(self, common: np.ndarray, exact: np.ndarray, n: int, v: int, buckets: int):
-        self.common, self.exact, self.n, self.v, self.buckets = common, exact, n, v, buckets
+    def __init__(self, common: np.ndarray, exact: np.ndarray, n: int, v: int, buckets: int, pair_bits: int):
+        self.common, self.exact, self.n, self.v, self.buckets, self.pair_bits = common, exact, n, v, buckets, pair_bits
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Exact count of each common word; 0 for others."""
@@ -144,40 +139,39 @@ class Scorer:
 
 def train(docs: DataFrame, *, entry_bits: float = ENTRY_BITS, common_words: int = COMMON_WORDS) -> tuple[Scorer, DataFrame]:
     """(what to broadcast, table of the filter's segments and the other words' counts by bucket) from a column ``text``; null is empty."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, pair_bits = layout(docs)
 
     def hashes(part):
         h, bounds = tokens(part)
         return {0: h, 1: pairs(h, bounds)[1]}
 
-    packed = count_hashes(docs.select("text"), hashes, buckets=buckets, name="lm", bits={1: PAIR_HASH_BITS})
+    packed = count_hashes(docs.select("text"), hashes, buckets=buckets, name="lm", bits={1: pair_bits})
     common, exact, floor = frequent(packed, 0, common_words)
 
     def fill(batches):
         for b in batches:
             for kind, bucket, h, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                h, c = unpack(h), np.frombuffer(c, np.uint32)
+                h, c = unpack(h), unpack_counts(c)
                 size = max(64, -int(-level_of(c).sum() * entry_bits // 8) * 8)
                 rare = (c < floor) & (kind == 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([LogBloom.segment(h, c, size)], pa.binary()),
-                        pa.array([pack(h[rare])], pa.binary()), pa.array([c[rare].tobytes()], pa.binary()),
+                        pa.array([pack(h[rare])], pa.binary()), pa.array([pack_counts(c[rare])], pa.binary()),
                     ],
                     ["kind", "bucket", "bits", "hashes", "counts"],
                 )
 
-    segments = written(packed.select("kind", "bucket", "hashes", "counts").mapInArrow(fill, "kind int, bucket int, bits binary, hashes binary, counts binary"), "filter")
+    segments = written(packed.select("kind", "bucket", "hashes", "counts").mapInArrow(freed(fill), "kind int, bucket int, bits binary, hashes binary, counts binary"), "filter")
 
     def totals(batches):
         for b in batches:
-            c = [np.frombuffer(x, np.uint32) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(x.sum(dtype=np.int64)) for x in c)]), pa.array([sum(map(len, c))])], ["n", "v"])
+            c = [unpack_counts(x) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(x.sum()) for x in c)]), pa.array([sum(map(len, c))])], ["n", "v"])
 
     single = packed.filter("kind = 0")
     n, v = single.select("counts").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return Scorer(common, exact, n, v, buckets), segments
+    return Scorer(common, exact, n, v, buckets, pair_bits), segments
 
 
 def _zip(raw: bytes) -> bytes:
@@ -209,10 +203,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield row()
 
 
-def _opened(rows: bytes) -> tuple[list, dict[int, np.ndarray]]:
+def _opened(rows: bytes, pair_bits: int) -> tuple[list, dict[int, np.ndarray]]:
     """[(part, hashes, bounds)] of a chunk, and the distinct words and pairs (leading bits) in order."""
     parts = [(part, *tokens(part)) for part in pa.ipc.open_stream(rows)]
-    both = [pairs(h, bounds)[1] >> U64(64 - PAIR_HASH_BITS) for _, h, bounds in parts]
+    both = [pairs(h, bounds)[1] >> U64(64 - pair_bits) for _, h, bounds in parts]
     return parts, {0: np.unique(np.concatenate([h for _, h, _ in parts])), 1: np.unique(np.concatenate(both))}
 
 
@@ -227,20 +221,18 @@ def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "t
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     given = [f for f in docs.schema.fields if f.name not in {text, *new}]
     source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("text"))
-    shared, buckets = spark.sparkContext.broadcast(model), model.buckets
+    shared, buckets, width = spark.sparkContext.broadcast(model), model.buckets, {0: 64, 1: model.pair_bits}
     chunks = written(source.mapInArrow(lambda batches: _chunks(batches, chunk_bytes), "chunk long, rows binary"), "chunks")
 
     def ask(batches):
         for b in batches:
             for chunk, rows in zip(b.column(0), b.column(1), strict=True):
-                for kind, h in _opened(rows.as_py())[1].items():
-                    cut = np.searchsorted(h, _edges(buckets, HASH_BITS[kind]))
-                    cut[-1] = len(h)
-                    at = np.flatnonzero(np.diff(cut))
+                for kind, h in _opened(rows.as_py(), width[1])[1].items():
+                    at, first, end = zip(*by_bucket(h, buckets, width[kind]), strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([chunk.as_py()] * len(at), pa.int64()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int32()),
-                            pa.array([_zip(pack(h[cut[i] : cut[i + 1]])) for i in at], pa.binary()),
+                            pa.array([_zip(pack(h[i:j])) for i, j in zip(first, end, strict=True)], pa.binary()),
                         ],
                         ["chunk", "kind", "bucket", "asked"],
                     )
@@ -252,26 +244,26 @@ def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "t
                 key = kind.as_py(), bucket.as_py()
                 if not chunk.is_valid:  # a bucket's segment stands before what is asked
                     at = key
-                    held = LogBloom(np.frombuffer(bits.as_py(), np.uint8), 1, HASH_BITS[at[0]])
-                    rare, c = unpack(hashes.as_py()), np.frombuffer(counts.as_py(), np.uint32)
+                    held = LogBloom(np.frombuffer(bits.as_py(), np.uint8), 1, width[at[0]])
+                    rare, c = unpack(hashes.as_py()), unpack_counts(counts.as_py())
                     continue
                 h = unpack(_unzip(asked.as_py()))
-                level, exact = np.zeros(len(h), np.uint8), np.zeros(len(h) if key[0] == 0 else 0, np.uint32)
+                level, exact = np.zeros(len(h), np.uint8), np.zeros(len(h) if key[0] == 0 else 0, np.int64)
                 if key == at:
                     level = np.minimum(held.levels(h), 255).astype(np.uint8)
                     if key[0] == 0 and len(rare):
                         slot = np.minimum(np.searchsorted(rare, h), len(rare) - 1)
-                        exact = np.where(rare[slot] == h, c[slot], 0).astype(np.uint32)
+                        exact = np.where(rare[slot] == h, c[slot], 0)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk.as_py()], pa.int64()), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_zip(level.tobytes())], pa.binary()), pa.array([_zip(exact.tobytes())], pa.binary())],
                     ["chunk", "kind", "bucket", "levels", "counts"],
                 )
 
     none = F.lit(None)
-    asked = chunks.mapInArrow(ask, "chunk long, kind int, bucket int, asked binary")
+    asked = chunks.mapInArrow(freed(ask), "chunk long, kind int, bucket int, asked binary")
     probed = segments.select(none.cast("long").alias("chunk"), "kind", "bucket", none.cast("binary").alias("asked"), "bits", "hashes", "counts").unionByName(asked, allowMissingColumns=True)
     probed = probed.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("chunk").asc_nulls_first())
-    answers = probed.mapInArrow(answer, "chunk long, kind int, bucket int, levels binary, counts binary")
+    answers = probed.mapInArrow(freed(answer), "chunk long, kind int, bucket int, levels binary, counts binary")
 
     def grade(tab: pa.Table) -> pa.Table:
         m, got, rows = shared.value, {0: [], 1: []}, None
@@ -279,16 +271,16 @@ def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "t
             if payload is not None:
                 rows = payload
             else:
-                got[kind].append((bucket, np.frombuffer(_unzip(levels), np.uint8), np.frombuffer(_unzip(counts), np.uint32)))
-        parts, distinct = _opened(rows)
+                got[kind].append((bucket, np.frombuffer(_unzip(levels), np.uint8), np.frombuffer(_unzip(counts), np.int64)))
+        parts, distinct = _opened(rows, width[1])
         single, joint = (middle(np.concatenate([x[1] for x in sorted(got[k], key=lambda x: x[0])]).astype(np.int64)) for k in (0, 1))
-        exact = np.concatenate([x[2] for x in sorted(got[0], key=lambda x: x[0])]).astype(np.int64)
+        exact = np.concatenate([x[2] for x in sorted(got[0], key=lambda x: x[0])])
         exact = np.maximum(exact, m.known(distinct[0]))
         out = []
         for part, h, bounds in parts:
             before, pair = pairs(h, bounds)
             own, head = (np.searchsorted(distinct[0], x) for x in (h, before))
-            both = np.searchsorted(distinct[1], pair >> U64(64 - PAIR_HASH_BITS))
+            both = np.searchsorted(distinct[1], pair >> U64(64 - width[1]))
             c, n = exact[own], np.diff(bounds)
             sums = [np.add.reduceat(x, bounds[:-1]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), m.log10(single[own], single[head], joint[both]))]
             base = sums[1] - n * np.log10(m.n + m.v + 1.0)

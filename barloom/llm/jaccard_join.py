@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, freed, mix, table, text_slices, written
 from .components import connected_components
-from .packed_counts import count_hashes, frequent
+from .packed_counts import count_hashes, frequent, layout
 
 #: At most so many common words are known by count on every worker (12 bytes each); all others are rare.
 COMMON_WORDS = 1 << 17
@@ -90,7 +90,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     given = rows.withColumn("digest", F.xxhash64("text"))
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = layout(rows).buckets
     tally = count_hashes(rows.select("text"), lambda p: {0: Words(p.column(p.schema.get_field_index("text")), lower=True).hashes()}, buckets=buckets, name="words")
     common, counts, _ = frequent(tally, 0, COMMON_WORDS)
     known = spark.sparkContext.broadcast((common, counts))
