@@ -6,6 +6,7 @@ giving each slot to the released block that is due earliest keeps every source
 within one block of its share at every moment, however long the schedule.  The
 shares are exact fractions and do not add up to whole numbers in any period, so
 the driver makes the whole schedule: one step and one number for each block, no
+rows, and at most ``MOST_BLOCKS`` blocks, as blocks of a larger input hold more
 rows.  The rows find their slots by a join on their block.
 """
 
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SLOTS = 1024
-BLOCK_ROWS = 64
-BUCKET_ROWS = 20_000
+BLOCK_ROWS = 64  # at least
+MOST_BLOCKS = 1 << 20  # of the driver's schedule, about (some 20 bytes each)
+BUCKET_ROWS = 2_000
 
 
 def _checked(weights: list[float]) -> None:
@@ -87,50 +89,61 @@ def mix_sources(
     weights: dict | None = None,
     temperature: float = 0.5,
     slots: int = SLOTS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     bucket_rows: int = BUCKET_ROWS,
     seed: int = 17,
 ) -> DataFrame:
     """``docs`` with ``mix_slot``, ``mix_rank`` (place within the slot's block), ``mix_block`` and ``mix_quota``.
 
     Every row is placed exactly once; reading by (mix_slot, mix_rank) gives the
-    mixture.  ``weights`` maps sources to target weights; without it a weight is
+    mixture.  ``block_rows`` is 64 unless given, doubled until the rows make no
+    more than ``MOST_BLOCKS`` blocks.  ``weights`` maps sources to target weights; without it a weight is
     the source's row count to the power ``temperature``.  A null source is a
     source of its own; one missing from ``weights`` is an error.  While all
     sources still have blocks, each one's blocks among the first t slots differ
     from its share of t by less than one; ``mix_quota`` is the exact share of
-    ``slots`` slots.  Slots of a source that has run out may stay empty.  Rows of a source are shuffled by a seeded hash of ``order``,
-    then by all columns; equal rows are interchangeable.  Other columns pass
+    ``slots`` slots.  Slots of a source that has run out may stay empty.
+    Rows of a source are shuffled by a seeded hash of ``order``, then by all
+    columns; equal rows are interchangeable.  Other columns, maps too, pass
     through; one named like a new one is replaced.
     """
     spark = docs.sparkSession
-    given = [c for c in docs.columns if c not in ("mix_slot", "mix_rank", "mix_block", "mix_quota")]
+    new = ["mix_slot", "mix_rank", "mix_block", "mix_quota"]
+    given = [F.col(f"`{c}`") for c in docs.columns if c not in new]
     counts = docs.groupBy(F.col(source).alias("s")).agg(F.count("*").alias("n")).collect()
     counts.sort(key=lambda r: (r.s is None, r.s))
     goal = [float(weights[r.s]) if weights is not None else r.n**temperature for r in counts]
-    src, k, at = schedule(goal, [-(-r.n // block_rows) for r in counts])
+    total, rows_in = math.fsum(goal), sum(r.n for r in counts)
+    if block_rows is None:
+        block_rows = BLOCK_ROWS
+        while rows_in > block_rows * MOST_BLOCKS:
+            block_rows *= 2
+    slots_of, k, at = schedule(goal, [-(-r.n // block_rows) for r in counts])
+
+    name, src, h, every, bucket, rank, start, n = fresh([*docs.columns, *new], "name", "src", "h", "all", "bucket", "rank", "start", "n")
     kind = docs.schema[source].dataType.simpleString()
-    total = math.fsum(goal)
-    named = spark.createDataFrame([(r.s, i, slots * w / total) for i, (r, w) in enumerate(zip(counts, goal, strict=True))], f"_name {kind}, _src int, mix_quota double")
-    slot_of = spark.createDataFrame(pa.table({"_src": src, "mix_block": k, "mix_slot": at}))
-    n_buckets = max(1, -(-sum(r.n for r in counts) // bucket_rows))
-
-    fine = [F.col(f.name) if f.dataType.simpleString() not in ("variant",) else F.lit(0) for f in docs.schema.fields]
-    rows = docs.select(*given, F.xxhash64(F.lit(seed), F.col(order)).alias("_h"), F.xxhash64(*fine).alias("_all"), F.col(source).alias("_name2"))
-    rows = rows.join(F.broadcast(named), F.col("_name2").eqNullSafe(F.col("_name"))).drop("_name", "_name2")
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(n_buckets)))
-    sizes = docs.select(F.col(source).alias("_name2"), F.pmod(F.xxhash64(F.lit(seed), F.col(order)), F.lit(n_buckets)).alias("_b")).groupBy("_name2", "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    start = (
-        sizes.join(F.broadcast(named), F.col("_name2").eqNullSafe(F.col("_name")))
-        .select("_src", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    )
-    within = Window.partitionBy("_src", "_b").orderBy("_h", order, "_all")
-    ranked = rows.withColumn("_r", F.row_number().over(within) - 1).join(start.hint("shuffle_hash"), ["_src", "_b"])
-    at = F.col("_start") + F.col("_r")
-    block = F.floor(at / F.lit(block_rows)).cast("long")
-    placed = ranked.withColumn("mix_block", block).withColumn("mix_rank", F.pmod(at, F.lit(block_rows)).cast("long"))
-    return placed.join(slot_of, ["_src", "mix_block"]).select(*given, "mix_slot", "mix_rank", "mix_block", "mix_quota")
+    # a source's buckets hold about ``bucket_rows`` rows each, so tasks are alike whatever the sources
+    named = spark.createDataFrame([(r.s, i, max(1, r.n // bucket_rows), slots * w / total) for i, (r, w) in enumerate(zip(counts, goal, strict=True))], f"{name} {kind}, {src} int, {n} long, mix_quota double")
+    slot_of = spark.createDataFrame(pa.table({src: slots_of, "mix_block": k, "mix_slot": at}))
+
+    def hashable(f):
+        text = f.dataType.simpleString()
+        return F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in text or "variant" in text else F.col(f"`{f.name}`")
+
+    def dealt(rows):
+        """Rows with their source's number and their bucket."""
+        out = rows.withColumn(h, F.xxhash64(F.lit(seed), F.col(order))).join(F.broadcast(named), F.col(source).eqNullSafe(F.col(name)))
+        return out.withColumn(bucket, F.pmod(F.shiftright(h, 16), F.col(n))).drop(name)
+
+    whole = docs.select(*given, F.xxhash64(*map(hashable, docs.schema.fields)).alias(every))
+    sizes = dealt(docs.select(source, *([order] if order != source else []))).groupBy(src, bucket).agg(F.count("*").alias(n))
+    before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(src, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(src, bucket).orderBy(h, order, every)
+    ranked = dealt(whole).withColumn(rank, F.row_number().over(within) - 1).join(starts.hint("shuffle_hash"), [src, bucket])
+    place = F.col(start) + F.col(rank)
+    placed = ranked.withColumns({"mix_block": F.floor(place / F.lit(block_rows)).cast("long"), "mix_rank": F.pmod(place, F.lit(block_rows)).cast("long")})
+    return placed.join(slot_of.hint("broadcast" if len(k) <= 2 * MOST_BLOCKS else "shuffle_hash"), [src, "mix_block"]).select(*given, *new)
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
