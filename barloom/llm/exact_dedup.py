@@ -9,16 +9,18 @@ its digest, so that two texts meet only if they are equal byte for byte:
 3. *global*: the at most ``salts`` shard winners of a text are combined.
 
 Every row then finds its winner by (digest, salt): a hot text's rows stay spread
-over ``salts`` keys.  If two different texts ever share a digest, that last join
-takes the text into its key as well.
+over ``salts`` keys, those without an id over the input's partitions.  Two texts
+with one SHA-256 digest are taken to be impossible in that last join; with
+another digest it is asked whether two texts share one, and if so the join takes
+the text into its key as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, table
+from .common import fresh, lower_az, table
 
 SALTS = 32
 
@@ -29,7 +31,7 @@ def exact_dedup(
     text: str = "text",
     doc_id: str = "doc_id",
     normalise=lower_az,
-    digest=lambda c: F.sha2(c, 256),
+    digest=None,
     salts: int = SALTS,
 ) -> DataFrame:
     """``docs`` with ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
@@ -38,48 +40,61 @@ def exact_dedup(
     stays; null ids lose to any id.  Rows that tie on id and text (repeated rows)
     are all counted and all marked kept; ``one_of_each`` leaves one of them.
     Other columns pass through; a column named like a new one is replaced.  An
-    empty table gives an empty one.
+    empty table gives an empty one.  ``digest`` stands in for SHA-256 as the key.
     """
-    if not 1 <= salts <= 62:
-        raise ValueError("salts must be from 1 to 62")
+    if not 1 <= salts <= 61:
+        raise ValueError("salts must be from 1 to 61")
+    new = ["keep_id", "group_size", "kept", "text_sha256"]
+    d, t, s, i, n, mask = fresh([*docs.columns, *new], "digest", "norm", "salt", "id", "n", "mask")
     norm = normalise(F.coalesce(F.col(text), F.lit("")))
-    key = digest(norm)
-    salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int")
-    rows = docs.select(key.alias("_d"), norm.alias("_t"), salt.alias("_s"), F.col(doc_id).alias("_i"))
-    sharded = rows.groupBy("_d", "_t", "_s").agg(F.max("_i").alias("_i"), F.count(F.lit(1)).alias("_n"))
-    winners = sharded.groupBy("_d", "_t").agg(
-        F.max("_i").alias("keep_id"),
-        F.sum("_n").alias("group_size"),
-        F.expr("bit_or(shiftleft(1L, _s))").alias("_mask"),
-    )
-    clash = _has_clash(docs, norm, key, digest)
-    keep = ["_d", "_t"] if clash else ["_d"]
+    key = F.sha2(norm, 256) if digest is None else digest(norm)
+    # rows without an id have the salt after all others; for the way back it is dealt out by partition
+    salt = F.when(F.col(doc_id).isNull(), F.lit(salts)).otherwise(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts))).cast("int")
+    back = F.when(F.col(doc_id).isNull(), salts + F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(salt).cast("int")
+    rows = docs.select(key.alias(d), norm.alias(t), salt.alias(s), F.col(doc_id).alias(i))
+    sharded = rows.groupBy(d, t, s).agg(F.max(i).alias(i), F.count(F.lit(1)).alias(n))
+    winners = sharded.groupBy(d, t).agg(F.max(i).alias("keep_id"), F.sum(n).alias("group_size"), F.expr(f"bit_or(shiftleft(1L, {s}))").alias(mask))
+    clash = digest is not None and _has_clash(docs, norm, key)
+    keep = [d, t] if clash else [d]
     shards = winners.select(
         *keep, "keep_id", "group_size",
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit(F.col("_mask"), s) == 1)).alias("_s"),
+        F.explode(F.filter(F.sequence(F.lit(0), F.lit(2 * salts - 1)), lambda x: F.getbit(F.col(mask), F.least(x, F.lit(salts))) == 1)).alias(s),
     )
-    given = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    left = docs.select(*given, key.alias("_d"), salt.alias("_s"), *([norm.alias("_t")] if clash else []))
-    out = left.join(shards.hint("shuffle_hash"), [*keep, "_s"])
+    given = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    left = docs.select(*given, key.alias(d), back.alias(s), *([norm.alias(t)] if clash or digest is not None else []))
+    out = left.join(shards.hint("shuffle_hash"), [*keep, s])
     kept = F.coalesce(F.col(doc_id) == F.col("keep_id"), F.col("keep_id").isNull())
-    sha = F.sha2(F.col("_t"), 256) if clash else F.col("_d")
+    sha = F.col(d) if digest is None else F.sha2(F.col(t), 256)
     return out.select(*given, "keep_id", "group_size", kept.alias("kept"), sha.alias("text_sha256"))
 
 
-def _has_clash(docs, norm: Column, key: Column, digest) -> bool:
-    """Whether a digest weaker than SHA-256 gives two texts one value; asked only for such digests."""
-    probe = F.sha2(F.lit("probe"), 256)
-    if digest(F.lit("probe"))._jc.toString() == probe._jc.toString():
-        return False
-    seen = docs.select(key.alias("_d"), F.sha2(norm, 256).alias("_x")).groupBy("_d").agg(F.min("_x").alias("a"), F.max("_x").alias("b"))
+def _has_clash(docs: DataFrame, norm: Column, key: Column) -> bool:
+    """Whether a digest gives two texts one value."""
+    seen = docs.select(key.alias("d"), F.sha2(norm, 256).alias("x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     return not seen.filter("a <> b").isEmpty()
 
 
-def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of ``docs``; repeated rows that tie keep one copy."""
-    out = exact_dedup(docs, doc_id=doc_id, text=text).filter("kept")
-    tied = F.struct(doc_id, "text_sha256")
-    return out.withColumn("_k", tied).dropDuplicates(["_k"]).select(*docs.columns)
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``; repeated rows that tie keep one copy.
+
+    Rows of one id and digest meet in one task already, on their way to the
+    winners, so ties end there.  Texts that only rows without an id have are
+    left to a branch of their own, which is planned if there are such rows.
+    """
+    given = docs.columns
+    d, t, s, i, k = fresh(given, "digest", "norm", "salt", "id", "k")
+    norm = lower_az(F.coalesce(F.col(text), F.lit("")))
+    whole = docs.select(*[F.col(f"`{c}`") for c in given], F.sha2(norm, 256).alias(d), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int").alias(s))
+    some = whole.filter(F.col(doc_id).isNotNull())
+    keys = docs.filter(F.col(doc_id).isNotNull()).select(F.sha2(norm, 256).alias(d), norm.alias(t), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int").alias(s), F.col(doc_id).alias(i))
+    best = keys.groupBy(d, t, s).agg(F.max(i).alias(i)).groupBy(d, t).agg(F.max(i).alias(i)).select(d, F.pmod(F.xxhash64(i), F.lit(salts)).cast("int").alias(s), i)
+    first = F.row_number().over(Window.partitionBy(d, s, i).orderBy(F.lit(0)))
+    out = some.join(best.hint("shuffle_hash"), [d, s]).filter(F.col(doc_id) == F.col(i)).withColumn(k, first).filter(F.col(k) == 1).select(*given)
+    none = whole.filter(F.col(doc_id).isNull())
+    if none.isEmpty():
+        return out
+    lone = none.withColumn(t, norm).dropDuplicates([d, t]).join(some.select(d).distinct().hint("shuffle_hash"), d, "left_anti")
+    return out.unionByName(lone.select(*given))
 
 
 def op2_exact_dedup(spark, sf_dir) -> DataFrame:
