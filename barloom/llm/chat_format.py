@@ -16,10 +16,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with, table, utf8
+from .common import freed, schema_with, table, utf8
 
 HEAD, COLON, END = b"### ", b":\n", b"</turn>\n"
 ESCAPED = np.zeros(256, bool)
@@ -42,8 +43,8 @@ def _escape(raw: np.ndarray, off: np.ndarray, special: np.ndarray) -> tuple[np.n
 
 def _scatter(out: np.ndarray, at: np.ndarray, raw: np.ndarray, off: np.ndarray) -> None:
     """Copy segment i of ``raw`` to position ``at[i]`` of ``out``, all at once."""
-    size = np.diff(off)
-    out[np.repeat(at - off[:-1], size) + np.arange(len(raw))] = raw
+    size, kind = np.diff(off), np.int32 if len(out) < 2**31 else np.int64
+    out[np.repeat((at - off[:-1]).astype(kind), size) + np.arange(len(raw), dtype=kind)] = raw
 
 
 def assemble(roles: pa.Array, texts: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +64,17 @@ def assemble(roles: pa.Array, texts: pa.Array, bounds: np.ndarray) -> tuple[np.n
     return out, ends[bounds], first, first + t
 
 
+def _slices(texts: pa.Array, most: int = 1 << 20):
+    """(first, number) of conversations with about ``most`` bytes of text together, or one that has more."""
+    size = np.concatenate(([0], np.cumsum(np.nan_to_num(pc.binary_length(texts.flatten()).to_numpy(zero_copy_only=False)))))
+    ends = size[np.asarray(texts.offsets)[1:] - texts.offsets[0].as_py()]
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi - lo
+        lo = hi
+
+
 def format_chats(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: its id, ``formatted``, ``n_turns`` and ``loss_spans``.
 
@@ -77,10 +89,11 @@ def format_chats(turns: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     held = turns.groupBy(F.col(conv).alias("_c")).agg(F.sort_array(F.collect_list(item)).alias("_i"))
     source = held.select("_c", F.col("_i.r").alias("r"), F.col("_i.x").alias("x"))
 
+    @freed
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                part = whole.slice(lo, 256)
+            for lo, n in _slices(whole.column(2)):
+                part = whole.slice(lo, n)
                 roles, texts = part.column(1), part.column(2)
                 bounds = np.asarray(roles.offsets) - roles.offsets[0].as_py()
                 flat_r, flat_t = roles.flatten(), texts.flatten()
