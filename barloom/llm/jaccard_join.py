@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, freed, mix, table, text_slices, written
@@ -36,6 +36,8 @@ from .packed_counts import count_hashes, frequent, layout
 COMMON_WORDS = 1 << 17
 #: Nodes to verify are found in the second scan by a broadcast of their ids up to this many, by a shuffle beyond it.
 BROADCAST_NODES = 1_000_000
+#: Pairs with one leader beyond which they are spread over ``SPREAD`` tasks, each with a copy of the leader's set.
+HOT_PAIRS, SPREAD = 1_000, 64
 
 
 def _shingle_sets(part: pa.RecordBatch, k: int, common: np.ndarray, counts: np.ndarray):
@@ -116,8 +118,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
         .withColumn("grp", F.xxhash64("n", "prefix")), "nodes"
     )
     groups = nodes.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.min("node").alias("hub"), F.count("*").alias("size"))
-    meets = F.sum("size").over(Window.partitionBy("tok"))
-    shared = groups.select("grp", "size", F.explode("prefix").alias("tok")).withColumn("c", meets).filter("c > 1")
+    spread = groups.select("grp", "size", F.explode("prefix").alias("tok"))
+    meets = written(spread.groupBy("tok").agg(F.sum("size").alias("c")).filter("c > 1"), "meets")
+    shared = spread.drop("size").join(meets.hint("merge"), "tok")
     # the prefix's shingles again, now from the rarest in prefixes on; those of one group alone come first and need no row
     ranked = shared.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("r"))
     size = F.expr(f"n - cast(ceil(n * {threshold} / 100.0BD) as long) + 1")
@@ -131,7 +134,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 5, threshold: int = 80, doc_
     met_by = posts.groupBy("grp").agg(F.sum("c").alias("met"))
     ranked = posts.join(met_by.hint("shuffle_hash"), "grp")
     lead = ranked.groupBy("tok").agg(F.max(F.struct("met", "n", "grp", "hub")).alias("top")).select("tok", "top.*").toDF("tok", "l_met", "l_n", "l_grp", "l_hub")
-    met = posts.join(lead, "tok").filter((F.col("grp") != F.col("l_grp")) & sized("n", "l_n"))
+    met = posts.join(written(lead, "leaders").hint("merge"), "tok").filter((F.col("grp") != F.col("l_grp")) & sized("n", "l_n"))
     # a leader met at less than a quarter of the prefix is left to the last step
     star = met.groupBy("grp", "p", "l_hub").agg(F.count("*").alias("c"), F.max("l_met").alias("m")).filter("4 * c >= p").groupBy("grp").agg(F.max(F.struct("c", "m", "l_hub")).alias("top"))
     led = star.select("grp", F.col("top.l_hub").alias("b"))
@@ -219,8 +222,14 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, known, deltas: bool = F
     every = rows.select("text").mapInArrow(freed(sets), "node long, items array<long>")
     few = wanted.count() <= BROADCAST_NODES
     held = every.join(wanted.hint("broadcast" if few else "shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
-    one = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
-    two = one.join(held.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+    # a leader of very many nodes meets them in several tasks: its pairs are counted by cells of (b, salt), so no step has them all under one key
+    salted = pairs.distinct().withColumn("s", F.pmod(F.xxhash64("a"), F.lit(SPREAD)).cast("int"))
+    cells = salted.groupBy("b", "s").agg(F.count("*").alias("c"))
+    size = cells.groupBy("b").agg(F.sum("c").alias("c"))
+    cells = cells.select("b", "s").join(size.hint("shuffle_hash"), "b").select("b", "s", F.when(F.col("c") > HOT_PAIRS, F.col("s")).otherwise(-1).alias("t"))
+    leaders = cells.select("b", "t").distinct().join(held.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+    one = salted.join(cells.hint("shuffle_hash"), ["b", "s"]).join(held.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge"), "a")
+    two = one.join(leaders.hint("merge"), ["b", "t"])
     delta = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
     more = [F.when(2 * F.size(delta) <= F.size("x"), delta).alias("delta")] if deltas else []
     return two.select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("both"), *more)

@@ -539,6 +539,14 @@ def test_components_of_a_family(spark, k, threshold):
     assert sorted(map(tuple, got.collect())) == sorted(brute_components(rows, k, threshold))
 
 
+def test_components_with_hot_leaders(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_PAIRS", 5)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 7)
+    rows = family(n=80, seed=21)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=3, threshold=90)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_components(rows, 3, 90))
+
+
 def test_components_of_awkward_rows(spark, awkward):
     rows = [r[:2] for r in AWKWARD]
     got = jaccard_join.jaccard_components(awkward, k=3, threshold=90)
