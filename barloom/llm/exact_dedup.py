@@ -77,19 +77,20 @@ def _has_clash(docs: DataFrame, norm: Column, key: Column) -> bool:
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; repeated rows that tie keep one copy.
 
-    Rows of one id and digest meet in one task already, on their way to the
-    winners, so ties end there.  Texts that only rows without an id have are
+    Rows meet their winner by id and digest, so those that tie meet there
+    already, in one task, and a hot text's rows are spread by their ids.  Texts that only rows without an id have are
     left to a branch of their own, which is planned if there are such rows.
     """
     given = docs.columns
-    d, t, s, i, k = fresh(given, "digest", "norm", "salt", "id", "k")
+    d, t, s, i, k, own = fresh(given, "digest", "norm", "salt", "id", "k", "own")
     norm = lower_az(F.coalesce(F.col(text), F.lit("")))
-    whole = docs.select(*[F.col(f"`{c}`") for c in given], F.sha2(norm, 256).alias(d), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int").alias(s))
+    whole = docs.select(*[F.col(f"`{c}`") for c in given], F.sha2(norm, 256).alias(d))
     some = whole.filter(F.col(doc_id).isNotNull())
-    keys = docs.filter(F.col(doc_id).isNotNull()).select(F.sha2(norm, 256).alias(d), norm.alias(t), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int").alias(s), F.col(doc_id).alias(i))
-    best = keys.groupBy(d, t, s).agg(F.max(i).alias(i)).groupBy(d, t).agg(F.max(i).alias(i)).select(d, F.pmod(F.xxhash64(i), F.lit(salts)).cast("int").alias(s), i)
-    first = F.row_number().over(Window.partitionBy(d, s, i).orderBy(F.lit(0)))
-    out = some.join(best.hint("shuffle_hash"), [d, s]).filter(F.col(doc_id) == F.col(i)).withColumn(k, first).filter(F.col(k) == 1).select(*given)
+    salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int")
+    keys = docs.filter(F.col(doc_id).isNotNull()).select(F.sha2(norm, 256).alias(own), norm.alias(t), salt.alias(s), F.col(doc_id).alias(i))
+    best = keys.groupBy(own, t, s).agg(F.max(i).alias(i)).groupBy(own, t).agg(F.max(i).alias(i)).select(own, i)
+    first = F.row_number().over(Window.partitionBy(doc_id, d).orderBy(F.lit(0)))
+    out = some.join(best.hint("shuffle_hash"), (F.col(doc_id) == F.col(i)) & (F.col(d) == F.col(own))).withColumn(k, first).filter(F.col(k) == 1).select(*given)
     none = whole.filter(F.col(doc_id).isNull())
     if none.isEmpty():
         return out
