@@ -95,12 +95,14 @@ def feature_columns(panel: DataFrame) -> list[str]:
     return [c for c in panel.columns if "__" in c]
 
 
-def build_panel(bars: DataFrame, tables: Tables | None = None, *, registry: Registry | None = None, membership: DataFrame | None = None) -> DataFrame:
+def build_panel(bars: DataFrame, tables: Tables | None = None, *, registry: Registry | None = None, membership: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``bars`` (one row per symbol and date) with the features of all active groups, null outside membership if it is given.
 
     Symbol groups first, then panel groups, each in order of registration.  The
     recursive means that several groups share come from one pass before them and
-    are dropped at the end.
+    are dropped at the end.  ``cut`` (such as writing a table and reading it
+    back) comes between the symbol and the panel groups: several of those use
+    the panel twice, and a plan of more than a hundred windows is slow to plan.
     """
     tables, registry = tables or {}, registry or default_registry()
     out = features.recursive_means(bars)
@@ -110,6 +112,8 @@ def build_panel(bars: DataFrame, tables: Tables | None = None, *, registry: Regi
                 out = group.compute(out, tables)
             except Exception as error:  # the panel must come out whatever a user's group does
                 warnings.warn(f"group {kind}/{group.name} left out: {error}", stacklevel=2)
+        if kind == "symbol" and cut is not None:
+            out = cut(out.select(*bars.columns, *feature_columns(out)))
     out = out.select(*bars.columns, *feature_columns(out))
     return out if membership is None else pit.mask_non_members(out, membership, feature_columns(out))
 

@@ -1,11 +1,11 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and tables in it."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
         found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: what follows is planned from there."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
