@@ -1,6 +1,7 @@
 """Inputs of the registered queries, derived by Spark from the given tables, with the same definitions in SQL.
 
-Daily bars: a part's brand is the symbol, the ship date the bar date and price
+Daily bars: a part's brand and its block of ``BLOCK`` parts are the symbol, so
+symbols grow in number with the tables; the ship date is the bar date and price
 per unit the price.  Everything else (membership, macro series, filings, ...) is
 derived from the bars, orders or events by whole-number rules, so that a DuckDB
 twin gives the same rows.
@@ -8,19 +9,29 @@ twin gives the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
+#: Parts of one brand that share a symbol come from one block of so many part keys; the first block's symbol is the brand's name.
+BLOCK = 20_000
+SYMBOL_SQL = f"p_brand || CASE WHEN (p_partkey - 1) // {BLOCK} > 0 THEN '-' || CAST((p_partkey - 1) // {BLOCK} AS BIGINT) ELSE '' END"
+
+
+def symbol_of_part() -> Column:
+    block = F.floor((F.col("p_partkey") - 1) / BLOCK)
+    return F.concat("p_brand", F.when(block > 0, F.concat(F.lit("-"), block.cast("string"))).otherwise(F.lit("")))
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def trades(spark: SparkSession, d: str) -> DataFrame:
     """One row per line item: symbol, date, price, volume.  The part dimension is joined without a hint: its size decides."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"), "p_retailprice", "p_type")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), symbol_of_part().alias("symbol"), "p_retailprice", "p_type")
     return (
         table(spark, d, "lineitem").join(part, "l_partkey")
         .withColumn("bar_date", F.to_date("l_shipdate")).withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
@@ -60,7 +71,7 @@ def membership(spark: SparkSession, d: str) -> DataFrame:
     """(universe, symbol, exchange, start_date, end_date); symbols with number % 3 = 0 leave after 900 days, and % 6 = 0 come back 300 days later."""
     n = F.regexp_extract("symbol", "([0-9]+)", 1).cast("int")
     first = trades(spark, d).agg(F.min("bar_date").alias("d0"))
-    m = table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct().crossJoin(F.broadcast(first))
+    m = table(spark, d, "part").select(symbol_of_part().alias("symbol")).distinct().crossJoin(F.broadcast(first))
     m = m.select(
         F.when(n % 2 == 0, "US").otherwise("IN").alias("universe"), "symbol", F.when(n % 2 == 0, "NYSE").otherwise("NSE").alias("exchange"),
         F.date_add("d0", 60 * (n % 7)).alias("start_date"), n.alias("n"),
@@ -129,8 +140,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumn("top_p", F.round(share, 4)).withColumn("bot_p", F.round(1 - share, 4))
 
 
-BARS_SQL = """
-trades AS (SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS bar_date, l.l_extendedprice / l.l_quantity AS price, p.p_retailprice, p.p_type, l.*
+BARS_SQL = f"""
+trades AS (SELECT {SYMBOL_SQL} AS symbol, CAST(l.l_shipdate AS DATE) AS bar_date, l.l_extendedprice / l.l_quantity AS price, p.p_retailprice, p.p_type, l.*
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 bars AS MATERIALIZED (SELECT symbol, bar_date,
   first(price ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS open, max(price) AS high, min(price) AS low,
@@ -149,7 +160,7 @@ raw0 AS (SELECT symbol, bar_date, open, CASE WHEN (bar_date - DATE '1992-01-01')
 raw_bars AS (SELECT * FROM raw0 UNION ALL SELECT symbol, bar_date, open, high, low, close + 5, volume, exchange, bar_date + 1 FROM raw0 WHERE (bar_date - DATE '1992-01-01') % 7 = 0)"""
 MEMBERS_SQL = f"""
 mem0 AS (SELECT CASE WHEN n % 2 = 0 THEN 'US' ELSE 'IN' END AS universe, symbol, CASE WHEN n % 2 = 0 THEN 'NYSE' ELSE 'NSE' END AS exchange, d0 + 60 * (n % 7) AS start_date, n
-  FROM (SELECT symbol, {_N} AS n FROM (SELECT DISTINCT p_brand AS symbol FROM part)), (SELECT min(bar_date) AS d0 FROM trades)),
+  FROM (SELECT symbol, {_N} AS n FROM (SELECT DISTINCT {SYMBOL_SQL} AS symbol FROM part)), (SELECT min(bar_date) AS d0 FROM trades)),
 membership AS (SELECT universe, symbol, exchange, start_date, CASE WHEN n % 3 = 0 THEN start_date + 900 END AS end_date FROM mem0
   UNION ALL SELECT universe, symbol, exchange, start_date + 1200, NULL FROM mem0 WHERE n % 6 = 0)"""
 MACRO_SQL = f"""

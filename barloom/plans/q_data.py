@@ -41,9 +41,9 @@ def src6(spark, d):
 
 
 def src7(spark, d):
-    p = fx.table(spark, d, "part").select("p_brand").distinct()
-    raw = F.concat(F.regexp_replace("p_brand", "Brand#", "br"), F.lit(".b"))
-    u = F.when(F.col("p_brand").endswith("1"), "IN").otherwise("US")
+    p = fx.table(spark, d, "part").select(fx.symbol_of_part().alias("symbol")).distinct()
+    raw = F.concat(F.regexp_replace("symbol", "Brand#", "br"), F.lit(".b"))
+    u = F.when(F.col("symbol").endswith("1"), "IN").otherwise("US")
     return p.select(raw.alias("raw"), u.alias("universe"), src.vendor_symbol(raw, u).alias("vendor_symbol"))
 
 
@@ -231,7 +231,7 @@ SQL = {
     "src4_read_events": fx.sql(f"SELECT * FROM filings WHERE form_type IN ('8-K', '10-K') AND filing_date >= '{FIRST}'", fx.NUMBERED_SQL, fx.FILINGS_SQL),
     "src5_panel_stats": fx.sql("SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(bar_date) AS first_date, max(bar_date) AS last_date FROM bars"),
     "src6_normalise_vendor_bars": fx.sql("SELECT symbol, 'NYSE' AS exchange, bar_date, open, high, low, close, volume, CASE WHEN (bar_date - DATE '1992-01-01') % 3 <> 0 THEN close END AS close_unadj FROM bars"),
-    "src7_vendor_symbol": "SELECT raw, universe, CASE WHEN universe = 'IN' THEN upper(raw) || '.NS' ELSE replace(upper(raw), '.', '-') END AS vendor_symbol FROM (SELECT DISTINCT replace(p_brand, 'Brand#', 'br') || '.b' AS raw, CASE WHEN p_brand LIKE '%1' THEN 'IN' ELSE 'US' END AS universe FROM part)",
+    "src7_vendor_symbol": "SELECT raw, universe, CASE WHEN universe = 'IN' THEN upper(raw) || '.NS' ELSE replace(upper(raw), '.', '-') END AS vendor_symbol FROM (SELECT DISTINCT replace(symbol, 'Brand#', 'br') || '.b' AS raw, CASE WHEN symbol LIKE '%1' THEN 'IN' ELSE 'US' END AS universe FROM (SELECT " + fx.SYMBOL_SQL + " AS symbol FROM part))",
     "src8_flatten_filings": "SELECT 'S' || (o_orderkey % 500) AS symbol, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filing_date, o_orderpriority AS form_type, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS items FROM orders WHERE o_orderkey % 10 <> 3",
     "src9_flatten_facts": """SELECT symbol, concept, period_end, fp, o_totalprice AS value, CAST(o_orderdate AS DATE) AS filed_date, '10-K' AS form, CAST(o_orderkey AS VARCHAR) AS accession FROM
       (SELECT *, 'S' || (o_custkey % 100) AS symbol, CASE substr(o_orderpriority, 1, 1) WHEN '3' THEN 'Stock' ELSE 'Flow' END AS concept, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 ELSE 0 END AS p,

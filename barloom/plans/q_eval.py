@@ -225,7 +225,7 @@ def pr2(spark, d):
 
 
 def _names(spark, d):
-    return fx.table(spark, d, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.min("p_name").alias("company_name"))
+    return fx.table(spark, d, "part").groupBy(fx.symbol_of_part().alias("symbol")).agg(F.min("p_name").alias("company_name"))
 
 
 def pr3(spark, d):
@@ -382,7 +382,7 @@ SQL = {
     "pr1_conviction": fx.sql(f"SELECT symbol, as_of, {r(_SCORE, 'score')} FROM predictions", *_P),
     "pr2_rank_predictions": fx.sql(f"""SELECT as_of, symbol, {r(X, X)}, unnest(list_filter([CASE WHEN t <= 3 THEN 'top' END, CASE WHEN b <= 3 THEN 'bottom' END, CASE WHEN top_p >= 0.9 THEN 'confident_long' END, CASE WHEN bot_p >= 0.9 THEN 'confident_short' END], lambda x: x IS NOT NULL)) AS list
       FROM (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY predicted_return DESC, symbol) AS t, row_number() OVER (PARTITION BY as_of ORDER BY predicted_return, symbol) AS b FROM predictions)""", *_P),
-    "pr3_top_picks": fx.sql(f"SELECT p.symbol, as_of, {rs([X, Y, 'top_p', 'bot_p', 'score'])}, company_name FROM (SELECT *, {_SCORE} AS score FROM pb WHERE as_of = (SELECT max(as_of) FROM pb) ORDER BY score DESC, symbol LIMIT 5) p LEFT JOIN (SELECT p_brand AS symbol, min(p_name) AS company_name FROM part GROUP BY 1) USING (symbol)", *_P, _BOTH),
+    "pr3_top_picks": fx.sql(f"SELECT p.symbol, as_of, {rs([X, Y, 'top_p', 'bot_p', 'score'])}, company_name FROM (SELECT *, {_SCORE} AS score FROM pb WHERE as_of = (SELECT max(as_of) FROM pb) ORDER BY score DESC, symbol LIMIT 5) p LEFT JOIN (SELECT {fx.SYMBOL_SQL} AS symbol, min(p_name) AS company_name FROM part GROUP BY 1) USING (symbol)", *_P, _BOTH),
     "pr4_side_picks": fx.sql(f"""SELECT as_of, side, k, symbol, {r('score', 'score')} FROM (SELECT *, row_number() OVER (PARTITION BY as_of, side ORDER BY abs(score) DESC, symbol) AS k FROM (SELECT *, CASE WHEN predicted_return > 0 AND score > 0 THEN 'long' WHEN predicted_return < 0 AND score < 0 THEN 'short' END AS side FROM
       (SELECT *, {_SCORE} AS score FROM predictions)) WHERE side IS NOT NULL) WHERE k <= 3""", *_P),
     "pr5_symbol_history": fx.sql(f"SELECT as_of, {rs([X, Y])} FROM predictions WHERE symbol = 'Brand#7' AND as_of >= '1997-01-01'", *_P),

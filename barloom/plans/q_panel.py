@@ -85,10 +85,10 @@ def sectors(spark, d):
     """(symbol, sector): the label numbered by the brand among twelve, one of them unknown."""
     labels = list(pf.SECTORS)[:11] + ["Something else"]
     n = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
-    return fx.table(spark, d, "part").select(F.col("p_brand").alias("symbol"), F.element_at(F.array(*[F.lit(x) for x in labels]), n % 12 + 1).alias("sector")).distinct()
+    return fx.table(spark, d, "part").select(fx.symbol_of_part().alias("symbol"), F.element_at(F.array(*[F.lit(x) for x in labels]), n % 12 + 1).alias("sector")).distinct()
 
 
-SECTORS_SQL = f"""sectors AS (SELECT DISTINCT p_brand AS symbol, [{", ".join(repr(x) for x in [*list(pf.SECTORS)[:11], "Something else"])}][CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 12 + 1] AS sector FROM part)"""
+SECTORS_SQL = f"""sectors AS (SELECT DISTINCT {fx.SYMBOL_SQL} AS symbol, [{", ".join(repr(x) for x in [*list(pf.SECTORS)[:11], "Something else"])}][CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 12 + 1] AS sector FROM part)"""
 _CANON = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pf.SECTORS.items()) + "}[lower(trim(sector))], 'Unknown')"
 
 
