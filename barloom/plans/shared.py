@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh path in ``spark.checkpoint.dir``; in a local session without one, in a temporary folder of the machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
