@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and their DuckDB twins where SQL can express them."""
 
 from .bloom_lm import op9_bloom_lm
+from .centroids import OP13_SQL, op13_centroids
 from .chat_format import OP4_PARTS_SQL, op4_chat_format
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op10_html_extract
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_html_extract": op10_html_extract,
+    "op13_centroids": op13_centroids,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL, "op13_centroids": OP13_SQL}
