@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freed, fresh, table, written
+from .common import freed, table, written
 
 CHUNK = 2048
 #: Components are held to this, so that a squared distance fits in 64 bits.

@@ -7,6 +7,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .html_extract import op10_html_extract
 from .jaccard_join import op8_jaccard_join
 from .language_id import op7_language_id
+from .merkle import OP11_SQL, op11_merkle
 from .pii import op5_pii
 from .quality_rules import op6_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_html_extract": op10_html_extract,
+    "op11_merkle": op11_merkle,
     "op13_centroids": op13_centroids,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL, "op13_centroids": OP13_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL, "op11_merkle": OP11_SQL, "op13_centroids": OP13_SQL}
