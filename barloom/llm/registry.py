@@ -12,6 +12,7 @@ from .pii import op5_pii
 from .quality_rules import op6_quality_rules
 from .sentencepiece_nbest import op1_sentencepiece
 from .source_mix import op3_source_mix
+from .substrings import OP12_SQL, op12_substrings
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_bloom_lm": op9_bloom_lm,
     "op10_html_extract": op10_html_extract,
     "op11_merkle": op11_merkle,
+    "op12_substrings": op12_substrings,
     "op13_centroids": op13_centroids,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL, "op11_merkle": OP11_SQL, "op13_centroids": OP13_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_PARTS_SQL, "op11_merkle": OP11_SQL, "op12_substrings": OP12_SQL, "op13_centroids": OP13_SQL}
