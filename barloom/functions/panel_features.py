@@ -89,25 +89,37 @@ def interactions(panel: DataFrame) -> DataFrame:
     return panel.withColumns({f"interactions__{n}": F.col(a) * F.col(b) if {a, b} <= have else F.lit(None).cast("double") for n, (a, b) in PAIRS.items()})
 
 
-#: Label -> canonical sector (fixed values).
-SECTORS = {
-    "technology": "Technology", "information technology": "Technology", "financials": "Financials", "financial services": "Financials", "health care": "Healthcare", "healthcare": "Healthcare",
-    "consumer discretionary": "Consumer Cyclical", "consumer cyclical": "Consumer Cyclical", "consumer staples": "Consumer Defensive", "consumer defensive": "Consumer Defensive", "energy": "Energy",
-    "industrials": "Industrials", "materials": "Basic Materials", "basic materials": "Basic Materials", "utilities": "Utilities", "real estate": "Real Estate", "communication services": "Communication Services",
+#: Canonical sectors and other spellings of them (fixed values).
+SECTORS = [
+    "Communication Services", "Consumer Cyclical", "Consumer Defensive", "Energy", "Financial Services", "Healthcare", "Industrials", "Basic Materials", "Real Estate", "Technology", "Utilities", "Unknown",
+]
+SPELLINGS = {
+    "Financials": "Financial Services", "Consumer Discretionary": "Consumer Cyclical", "Consumer Staples": "Consumer Defensive", "Materials": "Basic Materials",
+    "Information Technology": "Technology", "Communications Services": "Communication Services",
 }
-ONE_HOT = sorted(set(SECTORS.values())) + ["Unknown"]
 
 
 def canonical_sector(label: Column) -> Column:
-    """Canonical name of a sector label; null, blank and unknown labels give ``Unknown``."""
-    known = F.create_map(*[F.lit(x) for kv in SECTORS.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, F.lower(F.trim(label))), F.lit("Unknown"))
+    """Canonical name of a sector label, without blanks around it; null and blank give ``Unknown``, other labels stay as they are."""
+    known = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
+    s = F.trim(label)
+    return F.when(F.coalesce(s, F.lit("")) == "", F.lit("Unknown")).otherwise(F.coalesce(F.try_element_at(known, s), s))
+
+
+def sector_bucket(label: Column) -> Column:
+    """One of ``SECTORS``: labels that are none of them are ``Unknown``."""
+    s = canonical_sector(label)
+    return F.when(s.isin(SECTORS), s).otherwise(F.lit("Unknown"))
+
+
+def sector_column(sector: str) -> str:
+    return f"sector__is_{sector.lower().replace(' ', '_').replace('&', 'and')}"
 
 
 def sector_flags(panel: DataFrame, dim: DataFrame) -> DataFrame:
     """One 0/1 column per canonical sector, from a (symbol, sector) table; symbols without a row are unknown."""
-    out = panel.join(dim.select("symbol", F.col("sector").alias("_s")), "symbol", "left").withColumn("_s", canonical_sector(F.col("_s")))
-    return out.withColumns({f"sector__is_{s.lower().replace(' ', '_')}": (F.col("_s") == s).cast("double") for s in ONE_HOT}).drop("_s")
+    out = panel.join(dim.select("symbol", F.col("sector").alias("_s")), "symbol", "left").withColumn("_s", sector_bucket(F.col("_s")))
+    return out.withColumns({sector_column(s): (F.col("_s") == s).cast("double") for s in SECTORS}).drop("_s")
 
 
 RESIDUALS = {"resid_log_return_5d": "price__log_return_5d", "resid_log_return_20d": "price__log_return_20d", "resid_realized_vol_20d": "price__realized_vol_20d", "resid_rsi_14_minus_sector": "momentum__rsi_14"}
@@ -115,7 +127,7 @@ RESIDUALS = {"resid_log_return_5d": "price__log_return_5d", "resid_log_return_20
 
 #: Canonical sector -> benchmark fund (fixed values).
 SECTOR_FUNDS = {
-    "Technology": "XLK", "Financials": "XLF", "Energy": "XLE", "Healthcare": "XLV", "Consumer Cyclical": "XLY", "Consumer Defensive": "XLP",
+    "Technology": "XLK", "Financial Services": "XLF", "Energy": "XLE", "Healthcare": "XLV", "Consumer Cyclical": "XLY", "Consumer Defensive": "XLP",
     "Industrials": "XLI", "Utilities": "XLU", "Real Estate": "XLRE", "Basic Materials": "XLB", "Communication Services": "XLC",
 }
 

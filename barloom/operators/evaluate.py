@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import average_rank
-from .labels import quantile_bucket
+from .labels import bucket, quantile_bucket
+from .ordered import Cut, quantiles
 
 
 def _corr(x: str, y: str) -> Column:
@@ -61,11 +64,49 @@ def monthly_summary(df: DataFrame, x: str = "predicted_return", y: str = "realiz
     return out.select("month", "mean_ic", "mean_rank_ic", "mean_spread", "hit_rate", "n_dates")
 
 
-def performance_summary(df: DataFrame, as_of, days: int = 252, x: str = "predicted_return", y: str = "realized_return") -> DataFrame:
-    """Mean IC and rank IC, hit rate and dates over about ``days`` trading days up to ``as_of`` (7 calendar days for 5 trading days, and a margin)."""
+def pooled_spread(df: DataFrame, x: str, y: str, cut: Cut, n: int = 10) -> DataFrame:
+    """One row (spread): mean y of the top one of ``n`` quantile buckets of x over all rows, minus that of the bottom one.
+
+    Null with fewer than ``n`` rows or two buckets.  Bounds that coincide are one.
+    """
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    bounds = quantiles(both, x, n, cut).select(F.array_distinct("bounds").alias("_e"))
+    b = both.crossJoin(F.broadcast(bounds)).withColumn("_b", bucket(F.col(x), F.col("_e")))  # one row of n + 1 numbers
+    means = b.groupBy("_b").agg(F.avg(y).alias("m"), F.count("*").alias("c"))
+    return means.agg(F.when((F.sum("c") >= n) & (F.count("_b") > 1), F.max_by("m", "_b") - F.min_by("m", "_b")).alias("spread"))
+
+
+def calibration_bins(df: DataFrame, p: str, hit: Column, edges: Sequence[float] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+    """(bin, n, mean_proba, observed_rate) by right-closed bins of a probability; bins without rows are missing, the lowest takes 0."""
+    at = sum((F.col(p) > e).cast("int") for e in edges)
+    rows = df.filter(F.col(p).between(0, 1))
+    return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_proba"), F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("observed_rate"))
+
+
+def performance_summary(
+    df: DataFrame, as_of, cut: Cut, days: int = 252, x: str = "predicted_return", y: str = "realized_return", *, p: str = "top_p", quintile: str = "realized_quintile"
+) -> DataFrame:
+    """One row over the settled predictions of about ``days`` trading days up to ``as_of``.
+
+    (n_predictions, n_settled, mean_ic, std_ic, t_ic, mean_rank_ic, hit_rate,
+    n_dates, decile_spread, calibration): the spread pools all dates;
+    ``calibration`` lists the bins of the probability ``p`` with their rows, mean
+    probability and the share in the top class of ``quintile`` (the largest
+    seen).  Seven calendar days count for five trading days, plus three for
+    holidays.  Without settled rows the counts are 0, all else null or empty.
+    """
     end = F.lit(as_of).cast("date")
-    recent = df.filter((F.col("as_of") > F.date_sub(end, 7 * days // 5 + 4)) & (F.col("as_of") <= end))
-    return evaluate_predictions(recent, x, y).select("mean_ic", "mean_rank_ic", "hit_rate", "n_dates")
+    recent = df.filter((F.col("as_of") >= F.date_sub(end, (7 * days + 4) // 5 + 3)) & (F.col("as_of") <= end))
+    settled = recent.filter(F.col(y).isNotNull())
+    daily = evaluate_predictions(settled, x, y).drop("mean_spread")
+    counts = recent.agg(F.count("*").alias("n_predictions"), F.count(y).alias("n_settled"))
+    most = settled.agg(F.max(quintile).alias("_most"))
+    bins = calibration_bins(settled.crossJoin(F.broadcast(most)), p, F.col(quintile) == F.col("_most"))
+    table = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "n", "mean_proba", "observed_rate"))).alias("calibration"))  # five bins
+    out = counts
+    for one in (daily, pooled_spread(settled, x, y, cut).withColumnRenamed("spread", "decile_spread"), table):
+        out = out.crossJoin(F.broadcast(one))  # tables of one row
+    return out
 
 
 def ic_timeseries(df: DataFrame, x: str = "predicted_return", y: str = "realized_return", *, least: int = 3) -> DataFrame:

@@ -38,7 +38,16 @@ class Models(NamedTuple):
 
 
 def fit(train: DataFrame, columns: list[str], y: str, label: str, *, seed: int = 7, version: str = "1") -> Models:
-    """A boosted regression of ``y`` and a forest for the classes ``label`` (0, 1, ..)."""
+    """A boosted regression of ``y`` and a forest for the classes ``label`` (0, 1, ..).
+
+    A table without rows, and a feature without a single value, can't be
+    learned from: an error that says so.
+    """
+    seen = train.agg(F.count("*"), *[F.count(F.when(~F.isnan(c), F.col(c))) for c in columns]).first()
+    if not seen[0]:
+        raise ValueError("the training table has no rows")
+    if not all(seen[1:]):
+        raise ValueError(f"no value at all in the training table: {', '.join(c for c, n in zip(columns, seen[1:], strict=True) if not n)}")
     reg = Pipeline(stages=[*_prepared(columns), GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="predicted_return", maxIter=5, maxDepth=3, seed=seed)]).fit(train)
     forest = RandomForestClassifier(featuresCol="_x", labelCol=label, predictionCol="_class", probabilityCol="_p", rawPredictionCol="_raw", numTrees=8, maxDepth=4, seed=seed)
     return Models(reg, Pipeline(stages=[*_prepared(columns), forest]).fit(train), list(columns), version, version)

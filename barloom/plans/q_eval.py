@@ -248,8 +248,19 @@ def pr7(spark, d):
     return pr.settle_quintiles(preds(spark, d)).select("symbol", "as_of", "realized_quintile")
 
 
+def _summary(spark, d):
+    """The last year's summary; predictions of the last days have no return yet."""
+    p = pr.settle_quintiles(preds(spark, d))
+    late = F.col("as_of") > F.date_sub(F.lit(DAY).cast("date"), 10)
+    return ev.performance_summary(p.withColumn("realized_return", F.when(~late, F.col("realized_return"))), DAY, written)
+
+
 def pr8(spark, d):
-    return rounded(ev.performance_summary(preds(spark, d), DAY))
+    return rounded(_summary(spark, d).drop("calibration"))
+
+
+def pr8_bins(spark, d):
+    return rounded(_summary(spark, d).select(F.inline("calibration")))
 
 
 def pr9(spark, d):
@@ -282,7 +293,7 @@ QUERIES = {
     "pn1_build_panel": pn1, "pn3_inference_slice": pn3, "pn4_batch_slice": pn4, "lb1_forward_return": lb1, "lb2_quantile_label": lb2, "lb3_training_set": lb3, "snk3_training_panel": snk3, "lb4_label_stats": lb4, "lb5_trainable_rows": lb5, "lb6_clean_features": lb6,
     "sp1_purged_folds": sp1, "sp1_fold_rows": sp1_rows, "sp2_retrain_dates": sp2, "sp3_walk_forward_windows": sp3, "sp4_chronological_parts": sp4, "ev1_daily_ic": ev1, "ev2_daily_rank_ic": ev2, "ev3_hit_rate": ev3, "ev4_spread": ev4,
     "ev5_evaluate_predictions": ev5, "ev6_brier_skill": ev6, "ev7_fold_metrics": ev7, "ev8_monthly_summary": ev8, "gt1_promote_gate": gt1, "gt2_trial_objective": gt2, "gt3_group_verdict": gt3, "gt4_multi_seed_objective": gt4, "dr1_drift_check": dr1,
-    "pr1_conviction": pr1, "pr2_rank_predictions": pr2, "pr3_top_picks": pr3, "pr4_side_picks": pr4, "pr5_symbol_history": pr5, "pr6_settle": pr6, "pr7_settle_quintiles": pr7, "pr8_performance_summary": pr8, "pr9_missing_dates": pr9, "pr10_shared_range": pr10,
+    "pr1_conviction": pr1, "pr2_rank_predictions": pr2, "pr3_top_picks": pr3, "pr4_side_picks": pr4, "pr5_symbol_history": pr5, "pr6_settle": pr6, "pr7_settle_quintiles": pr7, "pr8_performance_summary": pr8, "pr8_calibration": pr8_bins, "pr9_missing_dates": pr9, "pr10_shared_range": pr10,
     "pr11_trailing_returns": pr11, "ca1_calibration_table": ca1, "ca2_ic_timeseries": ca2, "ca3_directional_accuracy": ca3,
 }
 
@@ -293,7 +304,7 @@ _BY_DATE = ["rg_regime", "mc_macro_features"]
 PANEL_COLUMNS = [
     *(c for g in qf.NAMES if g != "volume_profile" for c in qf.columns(g)), *(f"cross_sectional__xs_rank_{n}" for n in pf.RANKED), "cross_sectional__xs_zscore_log_return_5d",
     *(f"regime__market_{n}" for n in ("return_1d", "breadth_advance_decline", "dispersion_20d", "return_5d", "realized_vol_20d")), *qp.MC_EXPR, *(f"interactions__{n}" for n in pf.PAIRS),
-    *(f"sector__is_{s.lower().replace(' ', '_')}" for s in pf.ONE_HOT), *(f"sector_residual__{n}" for n in pf.RESIDUALS), "sector_residual__resid_zscore_60d",
+    *(pf.sector_column(s) for s in pf.SECTORS), *(f"sector_residual__{n}" for n in pf.RESIDUALS), "sector_residual__resid_zscore_60d",
     *(f"earnings__{n}" for n in ("days_since_last_earnings", "days_to_next_earnings", "last_surprise_pct", "last_surprise_z_252")), *(f"sec_events__{n}" for n in (*asof.SINCE, "count_8k_last_30d")), *qp._FY_COLS, *qp._TT_COLS,
 ]
 _TWINS = qf.SQL | qp.SQL
@@ -347,6 +358,13 @@ def _evals(names):
     return ", ".join(r(_EVCOLS[n], n) for n in names)
 
 
+_SPAN = f"as_of >= DATE '{DAY}' - {(7 * 252 + 4) // 5 + 3} AND as_of <= DATE '{DAY}'"
+#: The settled predictions of a year, in place of all of them; those of the last ten days count as open.
+_YEAR = [
+    fx.PREDICTIONS_SQL, f"n AS (SELECT count(*) AS n_predictions, count(*) FILTER (as_of <= DATE '{DAY}' - 10 AND realized_return IS NOT NULL) AS n_settled FROM predictions WHERE {_SPAN})",
+    f"pb AS MATERIALIZED (SELECT *, 1 AS one FROM predictions WHERE realized_return IS NOT NULL AND {_SPAN} AND as_of <= DATE '{DAY}' - 10)", *_EVAL[2:],
+    quint("pb", X, "one", 10, "pool", 10), quint("pb", Y, "as_of", 5, "realized_quintile", 5),
+]
 _NUM = "CAST(regexp_extract(symbol, '([0-9]+)', 1) AS INT)"
 _FOLDROWS = "fr AS (SELECT symbol AS trial, year(as_of) AS fold, avg(realized_return) AS metric, count(*) AS n_rows, count(*) * 3 AS train_rows FROM pb GROUP BY 1, 2)"
 _SCORE = "predicted_return * (1 + coalesce(top_p, 0) - coalesce(bot_p, 0))"
@@ -388,7 +406,11 @@ SQL = {
     "pr5_symbol_history": fx.sql(f"SELECT as_of, {rs([X, Y])} FROM predictions WHERE symbol = 'Brand#7' AND as_of >= '1997-01-01'", *_P),
     "pr6_settle": fx.sql(f"SELECT symbol, as_of, {r('z', 'realized')}, settled_at FROM predictions JOIN (SELECT symbol, bar_date AS as_of, lead(ln(close), 5) OVER w - ln(close) AS z, lead(bar_date, 5) OVER w AS settled_at FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)) USING (symbol, as_of) WHERE as_of <= DATE '{DAY}' - 5 AND settled_at <= DATE '{DAY}'", *_P),
     "pr7_settle_quintiles": fx.sql("SELECT symbol, as_of, realized_quintile FROM q_realized_quintile", *_P, _BOTH, quint("pb", Y, "as_of", 5, "realized_quintile", 5)),
-    "pr8_performance_summary": fx.sql(f"SELECT {_evals(['mean_ic', 'mean_rank_ic', 'hit_rate'])}, count(ic) AS n_dates FROM days WHERE as_of > DATE '{DAY}' - {7 * 252 // 5 + 4} AND as_of <= DATE '{DAY}'", *_EVAL),
+    "pr8_performance_summary": fx.sql(f"""SELECT n_predictions, n_settled, {_evals(['mean_ic', 'std_ic', 't_ic', 'mean_rank_ic', 'hit_rate'])}, count(ic) AS n_dates,
+      {r("(SELECT arg_max(m, pool) - arg_min(m, pool) FROM (SELECT pool, avg(realized_return) AS m FROM q_pool GROUP BY 1))", "decile_spread")} FROM days, n GROUP BY n_predictions, n_settled""", *_YEAR),
+    "pr8_calibration": fx.sql(f"""SELECT CAST(CASE WHEN top_p > 0.8 THEN 4 WHEN top_p > 0.6 THEN 3 WHEN top_p > 0.4 THEN 2 WHEN top_p > 0.2 THEN 1 ELSE 0 END AS INT) AS bin, count(*) AS n,
+      {r("avg(top_p)", "mean_proba")}, {r("avg(CAST(coalesce(realized_quintile = (SELECT max(realized_quintile) FROM q_realized_quintile), false) AS DOUBLE))", "observed_rate")}
+      FROM q_realized_quintile GROUP BY 1""", *_YEAR),
     "pr9_missing_dates": fx.sql("SELECT DISTINCT bar_date AS as_of FROM bars WHERE bar_date NOT IN (SELECT as_of FROM predictions WHERE day(as_of) > 3)", *_P),
     "pr10_shared_range": fx.sql("SELECT count(*) AS n_dates, min(as_of) AS first_date, max(as_of) AS last_date FROM (SELECT as_of FROM predictions WHERE symbol = 'Brand#1' INTERSECT SELECT as_of FROM predictions WHERE symbol = 'Brand#2')", *_P),
     "pr11_trailing_returns": fx.sql(f"SELECT symbol, {r('max(ln(close)) FILTER (k = 1) - max(ln(close)) FILTER (k = 6)', 'ret_5')}, {r('max(ln(close)) FILTER (k = 1) - max(ln(close)) FILTER (k = 21)', 'ret_20')} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS k FROM bars WHERE bar_date <= DATE '{DAY}') GROUP BY 1"),

@@ -81,15 +81,25 @@ aligned AS MATERIALIZED (SELECT macro_date, {", ".join(f"last_value({s} IGNORE N
 mfeat AS MATERIALIZED (SELECT macro_date AS bar_date, {", ".join(f"{e} AS {n}" for n, e in MC_EXPR.items())} FROM aligned)"""
 
 
+LABELS = ["Technology", "Information Technology", "Financials", "Financial Services", "Communications Services", " Consumer Staples ", "Consumer Discretionary", "Materials", "UNKNOWN", "", None, "Something else"]
+
+
 def sectors(spark, d):
-    """(symbol, sector): the label numbered by the brand among twelve, one of them unknown."""
-    labels = list(pf.SECTORS)[:11] + ["Something else"]
+    """(symbol, sector): the label numbered by the brand among twelve: names, other spellings, blank, null, no sector at all."""
     n = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int")
-    return fx.table(spark, d, "part").select(fx.symbol_of_part().alias("symbol"), F.element_at(F.array(*[F.lit(x) for x in labels]), n % 12 + 1).alias("sector")).distinct()
+    return fx.table(spark, d, "part").select(fx.symbol_of_part().alias("symbol"), F.element_at(F.array(*[F.lit(x) for x in LABELS]), n % 12 + 1).alias("sector")).distinct()
 
 
-SECTORS_SQL = f"""sectors AS (SELECT DISTINCT {fx.SYMBOL_SQL} AS symbol, [{", ".join(repr(x) for x in [*list(pf.SECTORS)[:11], "Something else"])}][CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 12 + 1] AS sector FROM part)"""
-_CANON = "coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pf.SECTORS.items()) + "}[lower(trim(sector))], 'Unknown')"
+SECTORS_SQL = f"""sectors AS (SELECT DISTINCT {fx.SYMBOL_SQL} AS symbol,
+  ['Technology', 'Information Technology', 'Financials', 'Financial Services', 'Communications Services', ' Consumer Staples ', 'Consumer Discretionary', 'Materials', 'UNKNOWN', '', NULL, 'Something else'][CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 12 + 1] AS sector FROM part)"""
+_CANON = """CASE coalesce(trim(sector), '') WHEN '' THEN 'Unknown' WHEN 'Financials' THEN 'Financial Services' WHEN 'Information Technology' THEN 'Technology'
+  WHEN 'Communications Services' THEN 'Communication Services' WHEN 'Consumer Staples' THEN 'Consumer Defensive' WHEN 'Consumer Discretionary' THEN 'Consumer Cyclical' WHEN 'Materials' THEN 'Basic Materials' ELSE trim(sector) END"""
+_COLUMNS = {
+    "communication_services": "Communication Services", "consumer_cyclical": "Consumer Cyclical", "consumer_defensive": "Consumer Defensive", "energy": "Energy", "financial_services": "Financial Services",
+    "healthcare": "Healthcare", "industrials": "Industrials", "basic_materials": "Basic Materials", "real_estate": "Real Estate", "technology": "Technology", "utilities": "Utilities",
+}
+_FLAGS = {f"sector__is_{c}": f"CAST({_CANON} = '{s}' AS DOUBLE)" for c, s in _COLUMNS.items()}
+_FLAGS["sector__is_unknown"] = f"CAST({_CANON} NOT IN ({', '.join(repr(s) for s in _COLUMNS.values())}) AS DOUBLE)"
 
 
 def se_flags(spark, d):
@@ -197,7 +207,7 @@ SQL = {
     "mc_macro_features": fx.sql(f"SELECT bar_date, {rs(list(MC_EXPR))} FROM mfeat", fx.MACRO_SQL, ALIGN_SQL),
     "mc10_broadcast_macro": fx.sql(f"SELECT symbol, bar_date, {rs(['close', 'macro__skew_level', 'macro__vix9d_to_vix_ratio'], 9)} FROM bars LEFT JOIN mfeat USING (bar_date)", fx.MACRO_SQL, ALIGN_SQL),
     "ix_interactions": wide_sql("SELECT symbol, bar_date, " + ", ".join(r(f"{_IX[a]} * {b}", f"interactions__{n}", 4) for n, (a, b) in pf.PAIRS.items()) + " FROM wide LEFT JOIN mfeat USING (bar_date)", fx.MACRO_SQL, ALIGN_SQL),
-    "se1_sector_flags": fx.sql("SELECT symbol, bar_date, " + ", ".join(f"CAST({_CANON} = '{s}' AS DOUBLE) AS sector__is_{s.lower().replace(' ', '_')}" for s in pf.ONE_HOT) + " FROM bars LEFT JOIN sectors USING (symbol)", SECTORS_SQL),
+    "se1_sector_flags": fx.sql("SELECT symbol, bar_date, " + ", ".join(f"{e} AS {n}" for n, e in _FLAGS.items()) + " FROM bars LEFT JOIN sectors USING (symbol)", SECTORS_SQL),
     "se2_canonical_sector": f"WITH {SECTORS_SQL} SELECT symbol, sector, {_CANON} AS canonical FROM sectors",
     "sr_sector_residual": wide_sql("SELECT symbol, bar_date, " + rs([f"sector_residual__{n}" for n in _SR], 5) + ", " + r(f"CASE WHEN count(sector_residual__resid_log_return_5d) OVER {_PAST60} >= 20 THEN (sector_residual__resid_log_return_5d - avg(sector_residual__resid_log_return_5d) OVER {_PAST60}) / nullif(stddev_samp(sector_residual__resid_log_return_5d) OVER {_PAST60}, 0) END", "sector_residual__resid_zscore_60d", 5) + " FROM res",
       "res AS (SELECT a.symbol, a.bar_date, " + ", ".join(f"a.{c} - b.{c} AS sector_residual__{n}" for n, c in _SR.items()) + " FROM wide a LEFT JOIN wide b ON b.symbol = 'Brand#' || (CAST(regexp_extract(a.symbol, '([0-9]+)', 1) AS INT) % 5 + 1) AND a.bar_date = b.bar_date)"),

@@ -131,7 +131,8 @@ def ml2(s, d):
 def _split(s, d):
     rows, cols = _training(s, d)
     folds = lb.purged_folds(rows.select("bar_date"), n=4, h=5, embargo=10, min_train=300)
-    early = rows.filter(F.col("bar_date") < F.lit("1995-01-01").cast("date"))
+    first = folds.agg(F.min("train_end").alias("_end"))  # the first fold's training is in all others' too
+    early = rows.crossJoin(F.broadcast(first)).filter(F.col("bar_date") <= F.col("_end")).drop("_end")
     return rows, folds, ml.fit(early, cols, "y", "label", version="early")
 
 
