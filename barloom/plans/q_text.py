@@ -10,6 +10,7 @@ from ..functions.panel import Registry, build_panel, pandas_group
 from ..functions.windows import rounded
 from ..operators import labels as lb
 from ..operators import models as ml
+from ..streaming import stateful as sf
 from ..streaming import stream as st
 from . import fixtures as fx
 from .shared import shared_dir
@@ -80,20 +81,26 @@ def st1(s, d):
 
 
 def st2(s, d):
-    b = fx.bars(s, d).select("symbol", "bar_date", "close")
-    y, path = F.year("bar_date"), shared_dir(s)
-    p = fx.predictions(s, d).select("symbol", "as_of")
-    for source in arrivals(s, b, F.when(y <= 1995, 0).when(y <= 1996, 1).when(y <= 1997, 2).otherwise(3), path):
-        table = st.KeyedTable(s, f"{path}/table", b.schema, F.year("bar_date"))
-        done = st.KeyedTable(s, f"{path}/settled", "symbol string, as_of date, realized double, settled_at date", F.year("as_of"))
-        out = st.stream_settle(source, p, table, done, "1999-06-30", f"{path}/checkpoint")
+    """Bars and predictions arrive year by year, each run a restart."""
+    b, p, path = fx.bars(s, d).select("symbol", "bar_date", "close"), fx.predictions(s, d).select("symbol", "as_of"), shared_dir(s)
+
+    def years(c):
+        return F.when(F.year(c) <= 1995, 0).when(F.year(c) <= 1996, 1).when(F.year(c) <= 1997, 2).otherwise(3)
+
+    for bars, asked in zip(arrivals(s, b, years("bar_date"), f"{path}/bars"), arrivals(s, p, years("as_of"), f"{path}/asked"), strict=True):
+        out = sf.stream_settle(bars, asked, f"{path}/settled", f"{path}/checkpoint")
     return rounded(out)
 
 
 def st3(s, d):
-    e = fx.table(s, d, "events").select(F.col("user_id").alias("key"), F.to_date("ts").alias("as_of"), "value", F.struct("ts", "event_id").alias("n"), F.col("ts").alias("created_at"))
-    one = e.groupBy("key", "as_of", "created_at").agg(F.max_by("value", "n").alias("value"))
-    return st.preliminary_vs_final(one)
+    """Events as writes of a user's value of the day, in four parts one after the other."""
+    e = fx.table(s, d, "events").select(F.col("user_id").alias("key"), F.to_date("ts").alias("as_of"), "value", F.struct("ts", "event_id").alias("n"), F.col("ts").cast("timestamp").alias("created_at"))
+    one, path = e.groupBy("key", "as_of", "created_at").agg(F.max_by("value", "n").alias("value")), shared_dir(s)
+    first, last = e.agg(F.min("created_at"), F.max("created_at")).first()
+    share = (F.col("created_at").cast("double") - first.timestamp()) / (last.timestamp() - first.timestamp() + 1)
+    for writes in arrivals(s, one, F.floor(share * 4), path):
+        out = sf.stream_snapshots(writes, f"{path}/shown", f"{path}/checkpoint")
+    return sf.newest_shown(out).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 def ud1(s, d):
@@ -174,7 +181,9 @@ SQL = {
     "tx7_coerce": f"WITH {_EV} SELECT event_id, verdict, {r('CAST(confidence AS DOUBLE)', 'confidence')}, reasons FROM ev", "tx8_latest_verdicts": f"WITH {_EV} SELECT event_id, verdict_date, label, reasons FROM ev WHERE verdict_date = (SELECT max(verdict_date) FROM ev)",
     "tx9_verdict_counts": f"WITH {_EV} SELECT verdict, side, count(*) AS n FROM ev GROUP BY 1, 2",
     "st1_stream_upsert": "SELECT user_id, CAST(ts AS DATE) AS day, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1",
-    "st2_stream_settle": fx.sql(f"SELECT symbol, as_of, {r('z', 'realized')}, settled_at FROM predictions JOIN (SELECT symbol, bar_date AS as_of, lead(ln(close), 5) OVER w - ln(close) AS z, lead(bar_date, 5) OVER w AS settled_at FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)) USING (symbol, as_of) WHERE as_of <= DATE '1999-06-30' - 5 AND settled_at <= DATE '1999-06-30'", fx.PREDICTIONS_SQL),
-    "st3_preliminary_vs_final": "SELECT user_id AS key, CAST(ts AS DATE) AS as_of, value, ts AS created_at, strftime(ts, '%H:%M:%S') >= '20:00:00' AS is_final FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1",
+    "st2_stream_settle": fx.sql(f"""SELECT symbol, as_of, {r('z', 'realized')}, settled_at FROM predictions JOIN (SELECT symbol, bar_date AS as_of, lead(ln(close), 5) OVER w - ln(close) AS z, lead(bar_date, 5) OVER w AS settled_at FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)) USING (symbol, as_of)
+      WHERE settled_at <= least((SELECT max(bar_date) FROM bars), (SELECT max(as_of) FROM predictions)) - 7""", fx.PREDICTIONS_SQL),
+    "st3_preliminary_vs_final": """SELECT user_id AS key, CAST(ts AS DATE) AS as_of, value, ts AS created_at, strftime(ts, '%H:%M:%S') >= '20:00:00' AS is_final FROM events WHERE CAST(ts AS DATE) + INTERVAL 20 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+      QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1""",
     "ud1_custom_group": fx.sql(f"SELECT symbol, bar_date, {r('CASE WHEN count(close) OVER w = 5 THEN quantile_cont(close, 0.5) OVER w END', 'median5', 9)} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"),
 }

@@ -272,19 +272,6 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert again._paths(None)[0] == paths[0] and again._paths(None)[1] != paths[1]  # the other part is left as it is
 
 
-def test_settlement_over_restarts(spark, tmp_path):
-    folder = f"file://{tmp_path}"
-    bars = [("A", day(i), float(100 + i)) for i in range(12)]
-    preds = spark.createDataFrame([("A", day(0)), ("A", day(4)), ("A", day(9))], "symbol string, as_of date")
-    for rows in (bars[:4], bars[4:8], bars[8:]):
-        source = arrive(spark, folder, rows, "symbol string, bar_date date, close double")
-        table = stream.KeyedTable(spark, f"{folder}/table", "symbol string, bar_date date, close double", F.year("bar_date"))
-        done = stream.KeyedTable(spark, f"{folder}/settled", "symbol string, as_of date, realized double, settled_at date", F.year("as_of"))
-        out = stream.stream_settle(source, preds, table, done, day(30), f"{folder}/checkpoint")
-    got = {r.as_of: (r.realized, r.settled_at) for r in out.collect()}
-    assert got == {day(0): (pytest.approx(np.log(105 / 100)), day(5)), day(4): (pytest.approx(np.log(109 / 104)), day(9))}
-
-
 # ------------------------------------------------------------------ models
 
 
