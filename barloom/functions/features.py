@@ -3,20 +3,21 @@
 Each group is ``group(bars) -> bars + columns`` named ``group__feature``.  Only
 rows up to the current one are used.  Null marks a missing value: a window that
 is not full yet, a zero denominator.  Flags are 0.0 or 1.0, 0.0 while unknown.
-The recursive means of all groups come from one grouped pass over each symbol's
-bars, ``recursive_means``.
+What needs a series' bars in order (recursive means, order statistics of
+windows, swings, volume profiles) comes from one pass over blocks of each series
+before the groups, ``sequential``; ``NEEDS`` names each group's columns of it.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .recursion import MEANS, PROFILE, profiles, recursive
-from .windows import corr, flag, full, lag, last_n, nz, prior_n, symbol, up_to_now, zscore
+from .recursion import PROFILE, SWINGS
+from .series import sequential
+from .windows import flag, full, lag, last_n, nz, prior_n, symbol, up_to_now, zscore
 
 EPS = 1e-9
 
@@ -46,23 +47,25 @@ def true_range() -> Column:
     return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
 
 
-def _with_columns(b: DataFrame, by_symbol, names: list[str]) -> DataFrame:
-    """``b`` with doubles that a pandas function adds to the whole rows of each symbol: one grouped pass and no join."""
-    added = [T.StructField(x, T.DoubleType()) for x in names]
-    out = b.drop(*names).groupBy("symbol").applyInPandas(by_symbol, T.StructType([*b.drop(*names).schema.fields, *added]))
-    return out.withColumns({x: F.when(~F.isnan(x), F.col(x)) for x in names})
+#: Columns of ``sequential`` that each group takes.
+NEEDS = {
+    "trend": "ema12 ema26 macd macd_signal adx di_plus di_minus aroon_up aroon_down mean_5 mean_20 mean_50 mean_200 top_252".split(), "momentum": "rsi_7 rsi_14 rsi_21 rsi_28 macd macd_signal distance_14 distance_20 trend_60".split(),
+    "volatility": "atr_7 atr_14 atr_21 ema20 squeeze vol_rank".split(), "volume": ["force_13", "volume_trend_60"], "volume_profile": PROFILE, "swings": SWINGS,
+}
 
 
-def recursive_means(b: DataFrame) -> DataFrame:
-    """``b`` with all exponentially weighted columns: one grouped pass, one symbol's bars at a time."""
-    return _with_columns(b, recursive, MEANS)
+def prepared(bars: DataFrame, groups=None) -> DataFrame:
+    """``bars`` by symbol, with what the named groups (all by default) take from the ordered pass."""
+    want = [n for g, names in NEEDS.items() if groups is None or g in groups for n in names]
+    out = sequential(bars, list(dict.fromkeys(want))) if want else bars
+    return out.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")  # windows take long for their bytes: as many tasks as there are partitions
 
 
 def trend(b: DataFrame) -> DataFrame:
-    """Moving-average ratios, MACD, directional movement, distance from long extremes, Aroon.  Needs ``recursive_means``."""
+    """Moving-average ratios, MACD, directional movement, distance from long extremes, Aroon.  Needs ``prepared`` bars."""
     O, H, L, C, V = ohlcv()  # noqa: E741
     def sma(n):
-        return full(F.avg, C, n)
+        return F.col(f"mean_{n}")
 
     out = b.withColumns({f"trend__sma_ratio_{a}_{z}": sma(a) / nz(sma(z)) - 1 for a, z in ((5, 20), (20, 50), (50, 200))})
     out = out.withColumns(
@@ -70,17 +73,15 @@ def trend(b: DataFrame) -> DataFrame:
             "trend__ema_ratio_12_26": F.col("ema12") / nz(F.col("ema26")) - 1, "trend__macd": F.col("macd"), "trend__macd_signal": F.col("macd_signal"),
             "trend__macd_histogram": F.col("macd") - F.col("macd_signal"), "trend__adx_14": F.col("adx"), "trend__di_plus_14": F.col("di_plus"),
             "trend__di_minus_14": F.col("di_minus"), "trend__di_diff_14": F.col("di_plus") - F.col("di_minus"),
-            "trend__price_to_sma200_ratio": C / nz(sma(200)) - 1, "trend__distance_from_52w_high": C / nz(full(F.max, H, 252)) - 1,
+            "trend__price_to_sma200_ratio": C / nz(sma(200)) - 1, "trend__distance_from_52w_high": C / nz(F.col("top_252")) - 1,
+            "trend__aroon_up_25": F.col("aroon_up"), "trend__aroon_down_25": F.col("aroon_down"), "trend__aroon_oscillator_25": F.col("aroon_up") - F.col("aroon_down"),
         }
     )
-    for side, x, pick in (("up", H, F.array_max), ("down", L, F.array_min)):
-        held = F.collect_list(x).over(last_n(25))
-        out = out.withColumn(f"trend__aroon_{side}_25", F.when(F.size(held) == 25, 100 * F.array_position(held, pick(held)) / 25))
-    return out.withColumn("trend__aroon_oscillator_25", F.col("trend__aroon_up_25") - F.col("trend__aroon_down_25"))
+    return out
 
 
 def momentum(b: DataFrame) -> DataFrame:
-    """RSI, stochastics, rates of change, Williams %R, trend quality, MACD crossings, CCI.  Needs ``recursive_means``."""
+    """RSI, stochastics, rates of change, Williams %R, trend quality, MACD crossings, CCI.  Needs ``prepared`` bars."""
     O, H, L, C, V = ohlcv()  # noqa: E741
     rsi = F.col("rsi_14")
     top, low = full(F.max, H, 14), full(F.min, L, 14)
@@ -89,27 +90,23 @@ def momentum(b: DataFrame) -> DataFrame:
         {
             "momentum__rsi_overbought": flag(rsi > 70), "momentum__rsi_oversold": flag(rsi < 30), "momentum__stoch_k_14": 100 * (C - low) / nz(top - low),
             "momentum__roc_5": 100 * (C / nz(lag(C, 5)) - 1), "momentum__roc_20": 100 * (C / nz(lag(C, 20)) - 1),
-            "momentum__williams_r_14": -100 * (top - C) / nz(top - low), "rn": F.row_number().over(symbol()).cast("double"),
+            "momentum__williams_r_14": -100 * (top - C) / nz(top - low),
             "_gap": F.col("macd") - F.col("macd_signal"), "_tp": (H + L + C) / 3,
         }
     )
     gap, before, tp = F.col("_gap"), lag(F.col("_gap")), F.col("_tp")
     out = out.withColumns(
         {
-            "momentum__stoch_d_14": full(F.avg, F.col("momentum__stoch_k_14"), 3), "momentum__momentum_quality_60": corr(C, F.col("rn"), 60),
+            "momentum__stoch_d_14": full(F.avg, F.col("momentum__stoch_k_14"), 3), "momentum__momentum_quality_60": F.col("trend_60"),
             "momentum__macd_cross_up": flag((gap > 0) & (before <= 0)), "momentum__macd_cross_down": flag((gap < 0) & (before >= 0)),
         }
     )
-    for n in (14, 20):
-        held, mean = F.collect_list(tp).over(last_n(n)), F.avg(tp).over(last_n(n))
-        out = out.withColumns({"_held": held, "_mean": mean})
-        mad = F.aggregate(F.transform("_held", lambda x: F.abs(x - F.col("_mean"))), F.lit(0.0), lambda a, x: a + x) / n
-        out = out.withColumn(f"momentum__cci_{n}", F.when(F.size("_held") == n, (tp - F.col("_mean")) / (0.015 * nz(mad))))
-    return out.drop("_gap", "_tp", "_held", "_mean", "rn")
+    cci = {f"momentum__cci_{n}": (tp - full(F.avg, tp, n)) / (0.015 * nz(F.col(f"distance_{n}"))) for n in (14, 20)}
+    return out.withColumns(cci).drop("_gap", "_tp")
 
 
 def volatility(b: DataFrame) -> DataFrame:
-    """True ranges, Bollinger and Keltner bands, range estimators, rank of volatility.  Needs ``recursive_means``."""
+    """True ranges, Bollinger and Keltner bands, range estimators, rank of volatility.  Needs ``prepared`` bars."""
     O, H, L, C, V = ohlcv()  # noqa: E741
     mean, std = full(F.avg, C, 20), full(F.stddev_samp, C, 20)
     atr, ema = F.col("atr_14"), F.col("ema20")
@@ -121,25 +118,14 @@ def volatility(b: DataFrame) -> DataFrame:
             "volatility__atr_14_pct": atr / nz(C), "volatility__atr_ratio_7_21": F.col("atr_7") / nz(F.col("atr_21")), "volatility__bollinger_width_20": 4 * std / nz(mean),
             "volatility__bollinger_pct_b_20": (C - (mean - 2 * std)) / nz(4 * std), "volatility__keltner_width_20": 4 * atr / nz(ema),
             "volatility__keltner_pct_b_20": (C - (ema - 2 * atr)) / nz(4 * atr), "volatility__garman_klass_vol_20": F.when(gk.isNotNull(), F.sqrt(F.greatest(gk, F.lit(0.0)))),
-            "volatility__parkinson_vol_20": F.sqrt(pk / (4 * math.log(2))), "_r": ln(C) - lag(ln(C)),
+            "volatility__parkinson_vol_20": F.sqrt(pk / (4 * math.log(2))), "volatility__bb_squeeze": F.col("squeeze"), "volatility__hist_vol_pct_rank_252": F.col("vol_rank"),
         }
     )
-    out = out.withColumn("_rv", full(F.stddev_samp, F.col("_r"), 20))
-    for name, x in (("bb_squeeze", F.col("volatility__bollinger_width_20")), ("hist_vol_pct_rank_252", F.col("_rv"))):
-        past = prior_n(251)
-        n = F.count(x).over(past)
-        ok = (n >= 50) & (n + 1 >= 100) & x.isNotNull()
-        if name == "bb_squeeze":
-            value = (x <= F.percentile(x, 0.2).over(past)).cast("double")
-        else:
-            out = out.withColumn("_held", F.collect_list(x).over(past))
-            value = F.size(F.filter("_held", lambda y: y < F.col("_rv"))) / F.size("_held")
-        out = out.withColumn(f"volatility__{name}", F.when(ok, value))
-    return out.drop("_r", "_rv", "_held")
+    return out
 
 
 def volume(b: DataFrame) -> DataFrame:
-    """Volume z-scores, on-balance volume, VWAP, volume trend, money flow, force index.  Needs ``recursive_means``."""
+    """Volume z-scores, on-balance volume, VWAP, volume trend, money flow, force index.  Needs ``prepared`` bars."""
     O, H, L, C, V = ohlcv()  # noqa: E741
     step, tp, dv = C - lag(C), (H + L + C) / 3, C * V
     out = b.withColumns({"_sign": F.signum(F.coalesce(step, F.lit(0.0))), "_tp": tp, "_dv": dv, "rn": F.row_number().over(symbol()).cast("double"), "_mult": ((C - L) - (H - C)) / nz(H - L) * V})
@@ -151,7 +137,7 @@ def volume(b: DataFrame) -> DataFrame:
         {
             "volume__volume_zscore_20": zscore(V, 20), "volume__obv_slope_20": F.when(F.count(obv).over(w20) == 20, F.covar_pop(obv, F.col("rn")).over(w20) / F.var_pop("rn").over(w20)),
             "volume__obv_zscore_20": zscore(obv, 20), "volume__vwap_deviation_20": C / vwap - 1, "volume__vwap_above": flag(C > vwap),
-            "volume__dollar_volume_zscore_20": zscore(F.col("_dv"), 20), "volume__volume_trend_60": corr(ln(V), F.col("rn"), 60),
+            "volume__dollar_volume_zscore_20": zscore(F.col("_dv"), 20), "volume__volume_trend_60": F.col("volume_trend_60"),
             "volume__mfi_14": 100 - 100 / (1 + up / nz(down)), "volume__cmf_20": full(F.sum, F.col("_mult"), 20) / nz(full(F.sum, V, 20)), "volume__force_index_13": F.col("force_13"),
         }
     )
@@ -184,31 +170,23 @@ def market_structure(b: DataFrame) -> DataFrame:
 FIBS = {"236": 0.236, "382": 0.382, "500": 0.5, "618": 0.618, "786": 0.786}
 
 
-def swings(b: DataFrame, k: int = 5) -> DataFrame:
-    """Distance, age and touches of the last swing extreme confirmed k bars later; retracement levels between the last two."""
-    O, H, L, C, V = ohlcv()  # noqa: E741
-    around, known = symbol().rowsBetween(-k, k), symbol().rowsBetween(Window.unboundedPreceding, -k)
-    out = b.withColumn("rn", F.row_number().over(symbol()))
-    for side, x, pick in (("high", H, F.max), ("low", L, F.min)):
-        out = out.withColumn("_at", F.when((F.count(x).over(around) == 2 * k + 1) & (x == pick(x).over(around)), F.struct(F.col("rn").alias("rn"), x.alias("x"))))
-        out = out.withColumns({f"_{side}": F.last("_at", True).over(known), f"_{side}s": F.collect_list(x).over(last_n(50))})
-    hi, lo = F.col("_high.x"), F.col("_low.x")
+def swings(b: DataFrame) -> DataFrame:
+    """Distance, age and touches of the last swing extreme confirmed five bars later; retracement levels between the last two.  Needs ``prepared`` bars."""
+    C, hi, lo = F.col("close"), F.col("swing_high"), F.col("swing_low")  # noqa: N806
     span = F.when(hi > lo, hi - lo)
-    out = out.withColumns(
+    out = b.withColumns(
         {
-            "swings__dist_to_swing_high": (hi - C) / C, "swings__dist_to_swing_low": (C - lo) / C, "swings__swing_high_age": (F.col("rn") - F.col("_high.rn")).cast("double"),
-            "swings__swing_low_age": (F.col("rn") - F.col("_low.rn")).cast("double"),
-            "swings__swing_high_touch_count_50": F.when(hi > 0, F.size(F.filter("_highs", lambda y: F.abs(y - F.col("_high.x")) / F.col("_high.x") <= 0.005))).cast("double"),
-            "swings__swing_low_touch_count_50": F.when(lo > 0, F.size(F.filter("_lows", lambda y: F.abs(y - F.col("_low.x")) / F.col("_low.x") <= 0.005))).cast("double"),
+            "swings__dist_to_swing_high": (hi - C) / C, "swings__dist_to_swing_low": (C - lo) / C,
+            **{f"swings__swing_{side}_{new}": F.col(f"swing_{side}_{old}") for side in ("high", "low") for new, old in (("age", "age"), ("touch_count_50", "touches"))},
             **{f"swings__fib_dist_{n}": (C - (lo + r * span)) / C for n, r in FIBS.items()},
         }
     )
-    return out.withColumn("swings__nearest_fib_dist", F.least(*[F.abs(f"swings__fib_dist_{n}") for n in FIBS])).drop("rn", "_at", "_high", "_low", "_highs", "_lows")
+    return out.withColumn("swings__nearest_fib_dist", F.least(*[F.abs(f"swings__fib_dist_{n}") for n in FIBS]))
 
 
 def volume_profile(b: DataFrame) -> DataFrame:
-    """Distance of the close from the price bin with most volume of 50 bars, and from the area around it that holds 70 %."""
-    return _with_columns(b, profiles, PROFILE)
+    """Distance of the close from the price bin with most volume of 50 bars, and from the area around it that holds 70 %.  Needs ``prepared`` bars."""
+    return b.withColumns({f"volume_profile__{n}": F.col(c) for n, c in zip(("poc_distance_50", "value_area_high_50", "value_area_low_50"), PROFILE, strict=True)})
 
 
 GROUPS = {

@@ -2,8 +2,10 @@
 
 A symbol group takes bars and gives them back with columns of its own; a panel
 group takes the panel and the other tables.  Groups name the tables they need; a
-group whose tables are not there is left out, and so is one that can't be
-planned, with a warning.  All symbol groups share one partitioning by symbol.
+group whose tables are not there is left out, and so is a user's group that
+can't be planned, with a warning.  All symbol groups share one partitioning by
+symbol.  A panel group that says which columns it reads works on those alone,
+beside the key, and what it adds is joined to the panel once for all of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import asof, pit
+from ..operators.shared import written
 from . import features, panel_features
 
 KEY = ["symbol", "bar_date"]
@@ -30,6 +33,8 @@ class Group(NamedTuple):
     name: str
     compute: Callable[[DataFrame, Tables], DataFrame]
     needs: tuple[str, ...] = ()
+    reads: tuple[str, ...] | None = None
+    strict: bool = False
 
 
 @dataclass
@@ -38,11 +43,18 @@ class Registry:
 
     groups: dict[tuple[str, str], Group] = field(default_factory=dict)
 
-    def register(self, kind: str, name: str, compute: Callable[[DataFrame, Tables], DataFrame], needs: tuple[str, ...] = ()) -> None:
-        """Add a group; one of the same kind and name is replaced in its place."""
+    def register(
+        self, kind: str, name: str, compute: Callable[[DataFrame, Tables], DataFrame], needs: tuple[str, ...] = (), *, reads: tuple[str, ...] | None = None, strict: bool = False
+    ) -> None:
+        """Add a group; one of the same kind and name is replaced in its place.
+
+        ``reads`` are the columns, beside those of the bars, that a panel group
+        works on; without it the group gets the whole panel.  An error of a
+        ``strict`` group is an error of the panel.
+        """
         if kind not in ("symbol", "panel"):
             raise ValueError("a group is of kind symbol or panel")
-        self.groups[kind, name] = Group(kind, name, compute, tuple(needs))
+        self.groups[kind, name] = Group(kind, name, compute, tuple(needs), None if reads is None else tuple(reads), strict)
 
     def remove(self, kind: str, name: str) -> None:
         self.groups.pop((kind, name), None)
@@ -74,19 +86,23 @@ def default_registry() -> Registry:
     (symbol, sector), ``benchmarks`` (symbol, benchmark) with the bars of the
     benchmarks as ``benchmark_bars``, ``announcements``, ``filings``, ``fundamentals``.
     """
-    reg = Registry()
+    reg, p = Registry(), panel_features
     for name, compute in features.GROUPS.items():
-        reg.register("symbol", name, lambda b, _, compute=compute: compute(b))
-    reg.register("panel", "cross_sectional", lambda p, _: panel_features.cross_sectional(p))
-    reg.register("panel", "regime", lambda p, _: panel_features.regime(p))
-    reg.register("panel", "macro", lambda p, t: panel_features.with_macro(p, panel_features.macro_features(t["macro"], panel_features.SERIES)), ("macro",))
-    reg.register("panel", "interactions", lambda p, _: panel_features.interactions(p))
-    reg.register("panel", "sector", lambda p, t: panel_features.sector_flags(p, t["sectors"]), ("sectors",))
-    reg.register("panel", "sector_residual", lambda p, t: panel_features.sector_residual(p, t["benchmarks"], panel_features.etf_features(t["benchmark_bars"])), ("benchmarks", "benchmark_bars"))
-    reg.register("panel", "earnings", lambda p, t: asof.earnings_features(p, t["announcements"]), ("announcements",))
-    reg.register("panel", "sec_events", lambda p, t: asof.filing_features(p, t["filings"]), ("filings",))
-    reg.register("panel", "sec_fundamentals", lambda p, t: asof.fundamentals_annual(p, t["fundamentals"]), ("fundamentals",))
-    reg.register("panel", "sec_fundamentals_v2", lambda p, t: asof.fundamentals_ttm_ranked(p, t["fundamentals"]), ("fundamentals",))
+        reg.register("symbol", name, lambda b, _, compute=compute: compute(b), strict=True)
+
+    def panel(name, compute, needs=(), reads=()):
+        reg.register("panel", name, compute, needs, reads=reads, strict=True)
+
+    panel("cross_sectional", lambda x, _: p.cross_sectional(x), reads=tuple(p.RANKED.values()))
+    panel("regime", lambda x, _: p.regime(x), reads=("price__log_return_1d", "price__log_return_20d"))
+    panel("macro", lambda x, t: p.with_macro(x, p.macro_features(t["macro"], p.SERIES)), ("macro",))
+    panel("interactions", lambda x, _: p.interactions(x), reads=tuple(c for pair in p.PAIRS.values() for c in pair))
+    panel("sector", lambda x, t: p.sector_flags(x, t["sectors"]), ("sectors",))
+    panel("sector_residual", lambda x, t: p.sector_residual(x, t["benchmarks"], p.etf_features(t["benchmark_bars"])), ("benchmarks", "benchmark_bars"), tuple(p.RESIDUALS.values()))
+    panel("earnings", lambda x, t: asof.earnings_features(x, t["announcements"]), ("announcements",))
+    panel("sec_events", lambda x, t: asof.filing_features(x, t["filings"]), ("filings",))
+    panel("sec_fundamentals", lambda x, t: asof.fundamentals_annual(x, t["fundamentals"]), ("fundamentals",))
+    panel("sec_fundamentals_v2", lambda x, t: asof.fundamentals_ttm_ranked(x, t["fundamentals"]), ("fundamentals",))
     return reg
 
 
@@ -95,25 +111,40 @@ def feature_columns(panel: DataFrame) -> list[str]:
     return [c for c in panel.columns if "__" in c]
 
 
-def build_panel(bars: DataFrame, tables: Tables | None = None, *, registry: Registry | None = None, membership: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _with_groups(rows: DataFrame, groups: list[Group], tables: Tables) -> DataFrame:
+    for group in groups:
+        try:
+            rows = group.compute(rows, tables)
+        except Exception as error:  # the panel comes out whatever a user's group does
+            if group.strict:
+                raise
+            warnings.warn(f"group {group.kind}/{group.name} left out: {error}", stacklevel=3)
+    return rows
+
+
+def build_panel(bars: DataFrame, tables: Tables | None = None, *, registry: Registry | None = None, membership: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """``bars`` (one row per symbol and date) with the features of all active groups, null outside membership if it is given.
 
-    Symbol groups first, then panel groups, each in order of registration.  The
-    recursive means that several groups share come from one pass before them and
-    are dropped at the end.  ``cut`` (such as writing a table and reading it
-    back) comes between the symbol and the panel groups: several of those use
-    the panel twice, and a plan of more than a hundred windows is slow to plan.
+    Symbol groups first, then panel groups that name the columns they read, then
+    the others, each in order of registration.  The columns that groups take
+    from the ordered pass are made before them and dropped at the end.  ``cut``
+    (writing a table and reading it back) comes after the symbol groups, and
+    after the panel groups of named columns: the panel is used more than once.
+    Rows without symbol or date get nothing from those.
     """
     tables, registry = tables or {}, registry or default_registry()
-    out = features.recursive_means(bars)
-    for kind in ("symbol", "panel"):
-        for group in registry.active(kind, tables):
-            try:
-                out = group.compute(out, tables)
-            except Exception as error:  # the panel must come out whatever a user's group does
-                warnings.warn(f"group {kind}/{group.name} left out: {error}", stacklevel=2)
-        if kind == "symbol" and cut is not None:
-            out = cut(out.select(*bars.columns, *feature_columns(out)))
+    of_symbols, of_panel = registry.active("symbol", tables), registry.active("panel", tables)
+    out = _with_groups(features.prepared(bars, {g.name for g in of_symbols}), of_symbols, tables)
+    out = out.select(*bars.columns, *feature_columns(out))
+    narrow = [g for g in of_panel if g.reads is not None]
+    if of_panel:
+        out = cut(out)
+    if narrow:
+        want = {c for g in narrow for c in g.reads}
+        some = out.select(*bars.columns, *[c for c in feature_columns(out) if c in want])
+        more = _with_groups(some, narrow, tables)
+        out = out.join(cut(more.select(*KEY, *[c for c in feature_columns(more) if c not in out.columns])).hint("shuffle_hash"), KEY, "left")
+    out = _with_groups(out, [g for g in of_panel if g.reads is None], tables)
     out = out.select(*bars.columns, *feature_columns(out))
     return out if membership is None else pit.mask_non_members(out, membership, feature_columns(out))
 

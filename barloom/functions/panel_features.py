@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import recursive_means
+from .series import sequential
 from .windows import by, full, lag, nz, pct_rank, prior_n
 
 SERIES = ["vix", "vix9d", "vix3m", "vvix", "skew", "t10y", "t5y", "fx", "lqd", "hyg", "dxy", "gold", "copper"]
@@ -141,7 +141,7 @@ def sector_benchmarks(sectors: DataFrame, funds: dict[str, str] | None = None) -
 def etf_features(bars: DataFrame, funds: list[str] | None = None) -> DataFrame:
     """(benchmark, bar_date, 5 and 20 bar log returns, 20 bar volatility, 14 bar RSI) of benchmark instruments; without ``funds`` of all in ``bars``."""
     rows = bars if funds is None else bars.filter(F.col("symbol").isin(funds))
-    rows = recursive_means(rows.select("symbol", "bar_date", "high", "low", "close", "volume"))
+    rows = sequential(rows.select("symbol", "bar_date", "close"), ["rsi_14"])
     x = F.when(F.col("close") > 0, F.ln("close"))
     rows = rows.withColumns({"_x": x, "_r": x - lag(x)})
     return rows.select(

@@ -11,7 +11,12 @@ Cut = Callable[[DataFrame], DataFrame]
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Cut, *, rank: str = "_rank", total: str = "_total") -> DataFrame:
-    """``df`` with each row's number from 0 within its keys, in order, and the key's number of rows.
+    """``df`` with each row's number from 0 within its keys, in order, and the key's number of rows."""
+    return with_sizes(df, keys, order, cut, rank=rank, total=total)[0]
+
+
+def with_sizes(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Cut, *, rank: str = "_rank", total: str = "_total") -> tuple[DataFrame, DataFrame]:
+    """The same, and the small table of ranges, which has every key's number of rows.
 
     Rows are dealt out by range of (keys, order) and numbered where they lie; a
     small table with one row for each (keys, range) adds the ranges before.  So
@@ -32,7 +37,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Cut, *
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = placed.join(ranges, same).withColumn(rank, F.col("_at") - F.col("_first") + F.col("_before"))
-    return out.select(*df.columns, rank, total)
+    return out.select(*df.columns, rank, total), ranges
 
 
 def quantiles(df: DataFrame, x: str, n: int, cut: Cut) -> DataFrame:

@@ -24,7 +24,6 @@ NAMES = {
     "swings": "dist_to_swing_high dist_to_swing_low swing_high_age swing_low_age swing_high_touch_count_50 swing_low_touch_count_50".split() + [f"fib_dist_{n}" for n in f.FIBS] + ["nearest_fib_dist"],
 }
 DIGITS = {"volume": 4}  # its force index is large
-RECURSIVE = {"trend", "momentum", "volatility", "volume"}
 
 
 def columns(group: str) -> list[str]:
@@ -34,8 +33,7 @@ def columns(group: str) -> list[str]:
 def group_query(group: str):
     def query(spark, d):
         b = fx.bars(spark, d)
-        b = f.recursive_means(b) if group in RECURSIVE else b
-        out = f.GROUPS[group](b).select(*KEY, *columns(group))
+        out = f.GROUPS[group](f.prepared(b, [group])).select(*KEY, *columns(group))
         if group == "microstructure":  # a zero lower wick gives ratios of 1e9 and more
             x = F.col("microstructure__wick_ratio")
             out = out.withColumn("microstructure__wick_ratio", F.when(F.abs(x) > 1e6, F.round(x, -6)).otherwise(x))

@@ -17,7 +17,7 @@ KEY = ["symbol", "bar_date"]
 
 def wide(spark, d):
     """Bars with the columns that panel features need."""
-    b = f.recursive_means(fx.bars(spark, d))
+    b = f.sequential(fx.bars(spark, d), ["rsi_14", "macd", "macd_signal"])
     b = f.price(b).withColumn("momentum__rsi_14", F.col("rsi_14")).withColumn("trend__macd_histogram", F.col("macd") - F.col("macd_signal"))
     v = F.col("volume")
     return b.withColumn("volume__volume_zscore_20", f.zscore(v, 20)).select(*KEY, "close", "price__log_return_1d", "price__log_return_5d", "price__log_return_20d", "price__realized_vol_20d", "momentum__rsi_14", "trend__macd_histogram", "volume__volume_zscore_20")

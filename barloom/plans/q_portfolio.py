@@ -104,7 +104,7 @@ QUERIES = {
     "pf18_tax_gain_only": q(lambda s, d: pf.tax_gain_only(years(s, d), 0.25).select("year", "ret", "net", "multiple")), "pf19_post_tax_curve": q(lambda s, d: pf.post_tax_curve(equity(s, d), years(s, d), 0.25).select("bar_date", "equity", "post_tax"), 4),
     "pf20_rebased_benchmark": q(lambda s, d: pf.rebased_benchmark(equity(s, d), bench(s, d)), 4), "pf21_outperformance": q(lambda s, d: pf.outperformance(pf.rebased_benchmark(equity(s, d), bench(s, d))), 4),
     "pf22_slice_weights": q(lambda s, d: pf.slice_weights(lots(s, d).drop("weight")).select("symbol", "as_of", "weight")), "pf23_prior_support": q(lambda s, d: pf.prior_support(fx.bars(s, d)).select("symbol", "bar_date", "stop"), 9),
-    "pf24_simple_atr": q(lambda s, d: pf.simple_atr(fx.bars(s, d)).select("symbol", "bar_date", "simple_atr")), "pf25_seeded_atr": q(lambda s, d: f.recursive_means(fx.bars(s, d)).select("symbol", "bar_date", "seeded_atr")),
+    "pf24_simple_atr": q(lambda s, d: pf.simple_atr(fx.bars(s, d)).select("symbol", "bar_date", "simple_atr")), "pf25_seeded_atr": q(lambda s, d: f.sequential(fx.bars(s, d), ["seeded_atr"]).select("symbol", "bar_date", "seeded_atr")),
     "pf26_gap_support": q(lambda s, d: pf.bullish_gap_support(fx.bars(s, d)).select("symbol", "bar_date", "gap_support"), 9), "pf27_costs": q(lambda s, d: pf.cost_columns(lots(s, d)).select("symbol", "as_of", "flat_open", "flat_close", "capped_open", "capped_close"), 9),
     "pf28_lot_outcomes": q(lambda s, d: pf.lot_outcomes(lots(s, d).select("symbol", "as_of"), fx.bars(s, d)), 9), "pf29_overlapping_returns": q(lambda s, d: pf.overlapping_returns(lots(s, d).select("symbol", "as_of", "weight"), fx.bars(s, d))),
     "pf30_next_day_picks": q(lambda s, d: pf.next_day_picks(fx.predictions(s, d), fx.bars(s, d)), 9), "pf31_position_rollup": q(lambda s, d: pf.position_rollup(open_lots(s, d), pf.last_close(fx.bars(s, d), DAY)), 4),

@@ -1,26 +1,5 @@
-"""The folder that the driver and all executors share, and tables in it."""
+"""The shared folder, as the registered queries use it."""
 
-from __future__ import annotations
+from ..operators.shared import shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; in a local session without one, in a temporary folder of the machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: what follows is planned from there."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "written"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import features as f
-from barloom.functions import panel, recursion
+from barloom.functions import panel, recursion, series
 from barloom.functions import panel_features as pf
 from barloom.operators import asof, clean, keyed, labels, models, pit
 from barloom.operators import portfolio as po
@@ -31,7 +31,7 @@ def walk(symbols=2, n=290, seed=3):
 
 
 def all_features(bars):
-    out = f.recursive_means(bars)
+    out = f.prepared(bars)
     for group in f.GROUPS.values():
         out = group(out)
     return out
@@ -53,16 +53,94 @@ def test_features_use_no_later_bars(spark):
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
 
 
-def test_recursive_means_by_plain_recursion(spark):
-    bars = walk(1, 60)
-    got = f.recursive_means(spark.createDataFrame(bars)).orderBy("bar_date").toPandas()
-    c, a, y = bars["close"].tolist(), 2 / 13, None
-    for i, x in enumerate(c):
-        y = x if y is None else (1 - a) * y + a * x
-        if i >= 11:
-            assert got["ema12"][i] == pytest.approx(y)
+def gappy(n, seed, symbols=1):
+    """Bars with missing closes here and there, and some at the start."""
+    bars = walk(symbols, n, seed)
+    bars.loc[np.random.default_rng(seed).random(len(bars)) < 0.02, "close"] = np.nan
+    bars.loc[bars["bar_date"] < day(3), "close"] = np.nan
+    return bars
+
+
+def plain_means(b):
+    """The recursive means over a whole series at once."""
+    h, lo, c, v = (b[x].reset_index(drop=True) for x in ("high", "low", "close", "volume"))
+
+    def mean(x, alpha, least):
+        return x.ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+
+    tr = pd.concat([h - lo, (h - c.shift(1)).abs(), (lo - c.shift(1)).abs()], axis=1).max(axis=1)
+    up, down = h.diff(), -lo.diff()
+    out = {f"ema{n}": mean(c, 2 / (n + 1), n) for n in (12, 20, 26)} | {f"atr_{n}": mean(tr, 1 / n, n) for n in (7, 14, 21)}
+    out["macd"] = out["ema12"] - out["ema26"]
+    out["macd_signal"] = mean(out["macd"], 0.2, 9)
+    for name, x, y in (("di_plus", up, down), ("di_minus", down, up)):
+        out[name] = 100 * mean(x.where((x > y) & (x > 0), 0.0), 1 / 14, 14) / out["atr_14"]
+    both = (out["di_plus"] + out["di_minus"]).replace(0.0, np.nan)
+    out["adx"] = mean(100 * (out["di_plus"] - out["di_minus"]).abs() / both, 1 / 14, 14)
+    for n in (7, 14, 21, 28):
+        out[f"rsi_{n}"] = 100 - 100 / (1 + mean(c.diff().clip(lower=0), 1 / n, n) / mean((-c.diff()).clip(lower=0), 1 / n, n).replace(0.0, np.nan))
+    out["force_13"] = mean(c.diff() * v, 2 / 14, 13)
+    y, seeded = tr[:14].mean(), [np.nan] * 13
+    for i in range(13, len(tr)):
+        y = y if i == 13 or np.isnan(tr[i]) else y * 13 / 14 + tr[i] / 14
+        seeded.append(y)
+    return pd.DataFrame(out | {"seeded_atr": seeded[: len(tr)]})
+
+
+def close_to(a, b):
+    """Equal but for rounding, which is that of the column's largest values."""
+    assert list(a.columns) == list(b.columns) and len(a) == len(b)
+    for c in b.columns:
+        if b[c].dtype == object:
+            assert a[c].tolist() == b[c].tolist()
         else:
-            assert pd.isna(got["ema12"][i])
+            np.testing.assert_allclose(a[c].to_numpy(float), b[c].to_numpy(float), rtol=1e-9, atol=1e-10 * np.nanmax(np.abs(b[c].to_numpy(float)), initial=1e-9), err_msg=c)
+
+
+def in_blocks(spark, bars, size, names=None):
+    got = series.sequential(spark.createDataFrame(bars.sample(frac=1, random_state=1)).withColumn("close", F.nanvl("close", F.lit(None))), names, size=size)
+    return got.toPandas().sort_values(["symbol", "bar_date"]).reset_index(drop=True)
+
+
+def test_a_long_series_in_fifty_blocks_is_the_series_in_one(spark):
+    bars = pd.concat([gappy(280 * 50 - 3, 5), gappy(600, 6).assign(symbol="T"), gappy(9, 7).assign(symbol="U")])
+    cut, whole = in_blocks(spark, bars, 280), in_blocks(spark, bars, 10**6)
+    close_to(cut, whole)
+    for s in ("S0", "T", "U"):
+        mine = plain_means(bars[bars["symbol"] == s])
+        got = cut[cut["symbol"] == s][list(mine.columns)].reset_index(drop=True)
+        close_to(got, mine)
+
+
+def test_no_block_holds_a_hot_symbol(spark):
+    rows = spark.createDataFrame(gappy(2000, 5)).withColumn("_rank", F.datediff("bar_date", F.lit(day(0))).cast("long")).withColumn("_total", F.lit(2000))
+    sizes = series._blocks(rows, 400).groupBy("_block").agg(F.count("*").alias("n"), F.sum(F.col("_own").cast("int")).alias("own")).orderBy("_block").collect()
+    assert [(r.n, r.own) for r in sizes] == [(400, 400)] + [(680, 400)] * 4
+
+
+def test_order_statistics_by_plain_loops(spark):
+    bars = gappy(420, 8)
+    got = in_blocks(spark, bars, 280, ["aroon_up", "aroon_down", "distance_14", "squeeze", "vol_rank", *recursion.SWINGS])
+    h, lo, c = (bars[x].reset_index(drop=True) for x in ("high", "low", "close"))
+    width = 4 * c.rolling(20).std() / c.rolling(20).mean()
+    vol = np.log(c).diff().rolling(20).std()
+    last = {"high": (np.nan, np.nan), "low": (np.nan, np.nan)}
+    for t in range(420):
+        r = got.iloc[t]
+        if t >= 24:
+            assert r["aroon_up"] == 4 * (np.argmax(h[t - 24 : t + 1].to_numpy()) + 1) and r["aroon_down"] == 4 * (np.argmin(lo[t - 24 : t + 1].to_numpy()) + 1)
+        tp = ((h + lo + c) / 3)[max(0, t - 13) : t + 1]
+        assert r["distance_14"] == pytest.approx((tp - tp.mean()).abs().mean() if t >= 13 and tp.notna().all() else np.nan, nan_ok=True)
+        for name, x in (("squeeze", width), ("vol_rank", vol)):
+            past = x[max(0, t - 251) : t].dropna()
+            want = np.nan if len(past) < 99 or np.isnan(x[t]) else float(x[t] <= past.quantile(0.2)) if name == "squeeze" else (past < x[t]).mean()
+            assert r[name] == pytest.approx(want, nan_ok=True)
+        for side, x, pick in (("high", h, max), ("low", lo, min)):
+            if t >= 10 and x[t - 5] == pick(x[t - 10 : t + 1]):
+                last[side] = (x[t - 5], t - 5)
+            level, at = last[side]
+            near = ((x[max(0, t - 49) : t + 1] - level).abs() / level <= 0.005).sum()
+            assert [r[n] for n in (f"swing_{side}", f"swing_{side}_age", f"swing_{side}_touches")] == pytest.approx([level, t - at, near if level > 0 else np.nan], nan_ok=True)
 
 
 def plain_profile(low, high, volume, close):
@@ -88,12 +166,12 @@ def test_volume_profile_by_bars(seed, monkeypatch):
     bars = walk(1, 120, seed)
     bars.loc[bars.index % 9 == 0, "volume"] = 0.0
     bars.loc[bars.index % 13 == 0, "high"] = bars["low"]
-    got = recursion.profiles(bars.sample(frac=1, random_state=seed))
-    assert got[recursion.PROFILE][:49].isna().all().all()
-    h, lo, v, c = (got[x].to_numpy() for x in ("high", "low", "volume", "close"))
+    h, lo, v, c = (bars[x].to_numpy(float) for x in ("high", "low", "volume", "close"))
+    got = recursion.volume_profile(h, lo, c, v)
+    assert np.isnan(got[:, :49]).all()
     for t in range(49, 120):
         w = slice(t - 49, t + 1)
-        assert got.loc[t, recursion.PROFILE].tolist() == pytest.approx(plain_profile(lo[w], h[w], v[w], c[t]))
+        assert got[:, t].tolist() == pytest.approx(plain_profile(lo[w], h[w], v[w], c[t]))
 
 
 def test_forward_return_and_quintiles(spark):
