@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,6 +80,31 @@ def pandas_group(by_symbol: Callable[[pd.DataFrame], pd.DataFrame], columns: lis
     return compute
 
 
+def date_group(by_date: Callable[[pa.Table], dict], columns: dict[str, str]) -> Callable[[DataFrame, Tables], DataFrame]:
+    """A panel group from a user's function of one date's rows, an Arrow table in order of symbol.
+
+    It gives an array for each of ``columns`` (name -> SQL type), as long as the
+    table.  Dates run in tasks of their own; each has at most a row a symbol.
+    Other columns, and null dates, pass through as they are.
+    """
+    def compute(panel: DataFrame, _: Tables) -> DataFrame:
+        given = panel.drop(*columns)
+        schema = T.StructType([*given.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in columns.items())).fields])
+        names = list(columns)
+
+        def one(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("symbol")
+            made = by_date(rows)
+            for n in names:
+                x = made[n]
+                rows = rows.append_column(n, x if isinstance(x, pa.Array | pa.ChunkedArray) else pa.array(x))
+            return rows
+
+        return given.groupBy("bar_date").applyInArrow(one, schema)
+
+    return compute
+
+
 def default_registry() -> Registry:
     """All groups of this library.
 

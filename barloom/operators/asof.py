@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import pct_rank
+from .ordered import Cut
+from .shared import written
 
 
 def _merged(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, order: list[str], right_side: int) -> tuple[DataFrame, list[str]]:
@@ -20,29 +22,54 @@ def _flat(out: DataFrame, left: DataFrame, right: DataFrame, by: list[str], pref
     return out.filter("_l is not null").select("_l.*", *[F.col(f"_m.{c}").alias(f"{prefix}{c}") for c in right.columns if c not in by])
 
 
-def asof_last(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, order: list[str] = (), exact: bool = True, prefix: str = "") -> DataFrame:
+def _carried(both: DataFrame, by: list[str], order: list[Column], cut: Cut) -> DataFrame:
+    """``both`` with ``_m``: the last right row so far in the order given, within each key.
+
+    Rows are dealt out by range of (key, order), so a hot key is as many tasks
+    as it has ranges.  A second pass over one row a range, its last right row,
+    gives each range what comes before it.
+    """
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*[F.col(k) for k in by], *order]
+    placed = cut(both.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    tails = placed.groupBy(*by, "_part").agg(F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_at"))).alias("_tail"))
+    before = F.last("_tail", True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = cut(tails.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_part").alias("_p"), before.alias("_before")).filter("_before is not null"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = placed.withColumn("_m", F.last("_r", True).over(inside)).join(carry, same, "left")
+    return out.withColumn("_m", F.coalesce("_m", "_before"))
+
+
+def asof_last(
+    left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, order: list[str] = (), exact: bool = True, prefix: str = "", cut: Cut = written
+) -> DataFrame:
     """Every left row with the latest right row at or before its date (before it, if not ``exact``).
 
     Right rows of one date rank by ``order``; the last wins.  A matched row may
     hold nulls: it is carried whole.  Left rows without a match get nulls; null
-    keys or dates on the right match nothing.
+    keys or dates on the right match nothing.  One key may hold most rows of
+    either side.
     """
     right = right.dropna(subset=[*by, right_on])
     both, ties = _merged(left, right, list(by), left_on, right_on, list(order), 0 if exact else 1)
-    w = Window.partitionBy(*by).orderBy("_on", "_side", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return _flat(both.withColumn("_m", F.last("_r", True).over(w)), left, right, list(by), prefix)
+    return _flat(_carried(both, list(by), [F.col(c).asc() for c in ("_on", "_side", *ties)], cut), left, right, list(by), prefix)
 
 
-def asof_next(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, order: list[str] = (), prefix: str = "") -> DataFrame:
+def asof_next(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, *, order: list[str] = (), prefix: str = "", cut: Cut = written) -> DataFrame:
     """Every left row with the earliest right row after its date.
 
     Both sides are walked from the last date back, left rows of a date before
-    its right rows, so that the frame only ever grows.
+    its right rows; of one date's right rows the first by ``order`` wins.  A left
+    row without a date has no right row after it.
     """
     right = right.dropna(subset=[*by, right_on])
     both, ties = _merged(left, right, list(by), left_on, right_on, list(order), 1)
-    w = Window.partitionBy(*by).orderBy(F.desc("_on"), "_side", *[F.desc(t) for t in ties]).rowsBetween(Window.unboundedPreceding, 0)
-    return _flat(both.withColumn("_m", F.last("_r", True).over(w)), left, right, list(by), prefix)
+    back = [F.col("_on").desc_nulls_first(), F.col("_side").asc(), *[F.col(t).desc() for t in ties]]
+    return _flat(_carried(both, list(by), back, cut), left, right, list(by), prefix)
 
 
 def asof_picks(left: DataFrame, right: DataFrame, left_on: str, right_on: str, picks: dict[str, tuple[Column, str]], *, order: list[str] = (), by: str = "symbol", also=None) -> DataFrame:

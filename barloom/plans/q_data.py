@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import rounded
 from ..operators import clean, keyed, pit
+from ..operators.keyed_table import KeyedTable
 from ..sources import bars as src
 from . import fixtures as fx
 from .q_panel import SECTORS_SQL, sectors
+from .shared import shared_dir
 from .sqlkit import r
 
 FIRST, LAST = "1996-06-01", "1999-06-30"
@@ -47,27 +49,44 @@ def src7(spark, d):
     return p.select(raw.alias("raw"), u.alias("universe"), src.vendor_symbol(raw, u).alias("vendor_symbol"))
 
 
+def _broken(json, filer):
+    """Every 50th filer's document ends too early, every 51st one is null."""
+    return F.when(filer % 51 == 0, F.lit(None)).when(filer % 50 == 0, F.expr("left(json, length(json) - 2)")).otherwise(json)
+
+
 def src8(spark, d):
-    o = fx.table(spark, d, "orders").withColumn("g", F.col("o_orderkey") % 500)
-    parts = o.groupBy(F.concat(F.lit("S"), "g").alias("symbol")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))).alias("a"))
+    """A customer's orders as one document of parallel arrays; every tenth date is bad."""
+    o = fx.table(spark, d, "orders")
+    parts = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority"))).alias("a"))
 
     def col(name, expr):
         return F.transform("a", expr).alias(name)
 
-    js = F.to_json(F.struct(col("accessionNumber", lambda x: x.o_orderkey.cast("string")), col("filingDate", lambda x: F.when(x.o_orderkey % 10 == 3, "bad").otherwise(F.date_format(x.o_orderdate, "yyyy-MM-dd"))), col("form", lambda x: x.o_orderpriority), col("items", lambda x: F.when(x.o_orderstatus == "F", "").otherwise(x.o_orderstatus))))
-    return src.flatten_filings(parts.select("symbol", js.alias("json")))
+    js = F.to_json(
+        F.struct(
+            col("accessionNumber", lambda x: x.o_orderkey.cast("string")), col("filingDate", lambda x: F.when(x.o_orderkey % 10 == 3, "bad").otherwise(F.date_format(x.o_orderdate, "yyyy-MM-dd"))),
+            col("form", lambda x: x.o_orderpriority), col("items", lambda x: F.when(x.o_orderstatus == "F", "").otherwise(x.o_orderstatus)),
+        )
+    )
+    docs = parts.select(F.concat(F.lit("S"), "o_custkey").alias("symbol"), "o_custkey", js.alias("json"))
+    return src.flatten_filings(docs.select("symbol", _broken(F.col("json"), F.col("o_custkey")).alias("json")))
 
 
 FALLBACKS = {"Flow": ["P2", "P1"], "Stock": ["P3"]}
 
 
 def src9(spark, d):
-    o = fx.table(spark, d, "orders").withColumns({"symbol": F.concat(F.lit("S"), F.col("o_custkey") % 100), "name": F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1))})
+    """A customer's orders as one document: concept by priority, observations in dollars; every 7th has no value."""
+    o = fx.table(spark, d, "orders").withColumn("name", F.concat(F.lit("P"), F.substring("o_orderpriority", 1, 1)))
     fp = F.when(F.col("o_orderstatus") == "O", F.lit(None).cast("string")).otherwise(F.col("o_orderstatus"))
-    ob = F.struct(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("val"), F.date_format(F.trunc("o_orderdate", "quarter"), "yyyy-MM-dd").alias("end"), fp.alias("fp"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), F.lit("10-K").alias("form"), F.col("o_orderkey").cast("string").alias("accn"))
-    g = o.groupBy("symbol", "name").agg(F.sort_array(F.collect_list(ob)).alias("a"))
-    g = g.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.create_map(F.lit("USD"), F.col("a")).alias("units"))))).alias("m"))
-    return src.flatten_facts(g.select("symbol", F.to_json("m").alias("json")), FALLBACKS)
+    ob = F.struct(
+        F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("val"), F.date_format(F.trunc("o_orderdate", "quarter"), "yyyy-MM-dd").alias("end"), fp.alias("fp"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"), F.lit("10-K").alias("form"), F.col("o_orderkey").cast("string").alias("accn"),
+    )
+    g = o.groupBy("o_custkey", "name").agg(F.sort_array(F.collect_list(ob)).alias("a"))
+    g = g.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(F.create_map(F.lit("USD"), F.col("a")).alias("units"))))).alias("m"))
+    docs = g.select(F.concat(F.lit("S"), "o_custkey").alias("symbol"), "o_custkey", F.to_json("m").alias("json"))
+    return src.flatten_facts(docs.select("symbol", _broken(F.col("json"), F.col("o_custkey")).alias("json")), FALLBACKS)
 
 
 def src10(spark, d):
@@ -84,17 +103,25 @@ KEYS = ["symbol", "exchange", "bar_date"]
 
 
 def snk1(spark, d):
+    """All bars, then as a batch the same 200 days later with doubled closes: some keys are there already; the batch comes twice."""
     raw = fx.raw_bars(spark, d)
-    day = F.datediff("bar_date", F.lit("1992-01-01").cast("date"))
-    new = raw.filter(day % 5 == 0).withColumn("close", F.col("close") * 2)
-    return keyed.upsert(raw.filter(day % 2 == 0), new, KEYS, ["ingested_at"])
+    table = KeyedTable(spark, shared_dir(spark), raw.schema, F.year("bar_date") * 12 + F.month("bar_date"))
+    table.upsert(raw, 0, KEYS, ["ingested_at"])
+    late = raw.withColumns({"bar_date": F.date_add("bar_date", 200), "close": F.col("close") * 2})
+    for version in (1, 2):
+        table.upsert(late, version, KEYS, ["ingested_at"])
+    return table.read()
 
 
 def snk2(spark, d):
+    """Settled predictions from the tenth of each month on; new predictions of each month's first twenty days."""
     p = fx.predictions(spark, d)
-    new = p.filter(F.dayofmonth("as_of") <= 20).withColumn("predicted_return", -F.col("predicted_return")).drop("realized_return")
     old = p.filter(F.dayofmonth("as_of") >= 10).select("symbol", "as_of", "predicted_return", "top_p", "realized_return")
-    return rounded(keyed.upsert_preserving(old, new.select("symbol", "as_of", "predicted_return", "top_p"), ["symbol", "as_of"], ["predicted_return", "top_p"]))
+    new = p.filter(F.dayofmonth("as_of") <= 20).select("symbol", "as_of", (-F.col("predicted_return")).alias("predicted_return"), "top_p")
+    table = KeyedTable(spark, shared_dir(spark), old.schema, F.year("as_of") * 12 + F.month("as_of"))
+    table.upsert(old, 0, ["symbol", "as_of"], ["predicted_return"])
+    table.upsert_preserving(new, 1, ["symbol", "as_of"], ["predicted_return", "top_p"])
+    return rounded(table.read())
 
 
 def snk4(spark, d):
@@ -232,14 +259,18 @@ SQL = {
     "src5_panel_stats": fx.sql("SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(bar_date) AS first_date, max(bar_date) AS last_date FROM bars"),
     "src6_normalise_vendor_bars": fx.sql("SELECT symbol, 'NYSE' AS exchange, bar_date, open, high, low, close, volume, CASE WHEN (bar_date - DATE '1992-01-01') % 3 <> 0 THEN close END AS close_unadj FROM bars"),
     "src7_vendor_symbol": "SELECT raw, universe, CASE WHEN universe = 'IN' THEN upper(raw) || '.NS' ELSE replace(upper(raw), '.', '-') END AS vendor_symbol FROM (SELECT DISTINCT replace(symbol, 'Brand#', 'br') || '.b' AS raw, CASE WHEN symbol LIKE '%1' THEN 'IN' ELSE 'US' END AS universe FROM (SELECT " + fx.SYMBOL_SQL + " AS symbol FROM part))",
-    "src8_flatten_filings": "SELECT 'S' || (o_orderkey % 500) AS symbol, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filing_date, o_orderpriority AS form_type, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS items FROM orders WHERE o_orderkey % 10 <> 3",
+    "src8_flatten_filings": """SELECT 'S' || o_custkey AS symbol, CAST(o_orderkey AS VARCHAR) AS accession, CAST(o_orderdate AS DATE) AS filing_date, o_orderpriority AS form_type, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS items
+      FROM orders WHERE o_orderkey % 10 <> 3 AND o_custkey % 50 <> 0 AND o_custkey % 51 <> 0""",
     "src9_flatten_facts": """SELECT symbol, concept, period_end, fp, o_totalprice AS value, CAST(o_orderdate AS DATE) AS filed_date, '10-K' AS form, CAST(o_orderkey AS VARCHAR) AS accession FROM
-      (SELECT *, 'S' || (o_custkey % 100) AS symbol, CASE substr(o_orderpriority, 1, 1) WHEN '3' THEN 'Stock' ELSE 'Flow' END AS concept, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 ELSE 0 END AS p,
-      CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end, CASE WHEN o_orderstatus = 'O' THEN '?' ELSE o_orderstatus END AS fp FROM orders WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3'))
+      (SELECT *, 'S' || o_custkey AS symbol, CASE substr(o_orderpriority, 1, 1) WHEN '3' THEN 'Stock' ELSE 'Flow' END AS concept, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 ELSE 0 END AS p,
+      CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_end, CASE WHEN o_orderstatus = 'O' THEN '?' ELSE o_orderstatus END AS fp FROM orders
+      WHERE substr(o_orderpriority, 1, 1) IN ('1', '2', '3') AND o_orderkey % 7 <> 0 AND o_custkey % 50 <> 0 AND o_custkey % 51 <> 0)
       QUALIFY row_number() OVER (PARTITION BY symbol, concept, period_end, fp ORDER BY p DESC, o_orderkey DESC, o_totalprice DESC) = 1""",
     "src10_normalise_earnings": "SELECT 'U' || user_id AS symbol, CAST(ts AS DATE) AS announce_date, value AS eps_estimate, CAST(NULL AS DOUBLE) AS eps_actual, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS surprise_pct FROM events",
     "src11_ticker_to_cik": "SELECT upper(c_mktsegment) || '-' || c_custkey AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik FROM customer",
-    "snk1_upsert": fx.sql(f"SELECT symbol, bar_date, open, high, low, close, volume, exchange, ingested_at FROM (SELECT *, 0 AS side FROM {_UP} 2 = 0 UNION ALL SELECT symbol, bar_date, open, high, low, close * 2, volume, exchange, ingested_at, 1 FROM {_UP} 5 = 0) QUALIFY row_number() OVER (PARTITION BY symbol, exchange, bar_date ORDER BY side DESC, ingested_at DESC) = 1", fx.RAW_SQL),
+    "snk1_upsert": fx.sql("""SELECT symbol, bar_date, open, high, low, close, volume, exchange, ingested_at FROM
+      (SELECT *, 0 AS side FROM raw_bars UNION ALL SELECT symbol, CAST(bar_date + 200 AS DATE), open, high, low, close * 2, volume, exchange, ingested_at, 1 FROM raw_bars)
+      QUALIFY row_number() OVER (PARTITION BY symbol, exchange, bar_date ORDER BY side DESC, ingested_at DESC) = 1""", fx.RAW_SQL),
     "snk2_upsert_preserving": fx.sql(f"SELECT symbol, as_of, {r('CASE WHEN day(as_of) <= 20 THEN -predicted_return ELSE predicted_return END', 'predicted_return')}, {r('top_p', 'top_p')}, {r('CASE WHEN day(as_of) >= 10 THEN realized_return END', 'realized_return')} FROM predictions", fx.PREDICTIONS_SQL),
     "cln1_bad_bars": fx.sql(f"SELECT * FROM raw_bars WHERE {_BROKEN}", fx.RAW_SQL), "cln1_valid_bars": fx.sql(f"SELECT * FROM raw_bars WHERE NOT {_BROKEN}", fx.RAW_SQL),
     "cln2_drop_big_moves": fx.sql(f"SELECT * FROM raw_bars QUALIFY NOT {_MOVE}", fx.RAW_SQL),

@@ -186,7 +186,24 @@ def _fund_sql(tables: dict[str, tuple[str, str]], prefix: str, suffix: str, debt
 _FY, _FY_COLS = _fund_sql({c: ("fundamentals", " AND fp = 'FY'") for c in asof.CONCEPTS}, "sec_fundamentals", "", "debt_to_equity")
 _TT, _TT_COLS = _fund_sql({c: ("ttm" if c in ("NetIncome", "Revenue", "GrossProfit") else "fundamentals", "") for c in asof.CONCEPTS}, "sec_fundamentals_v2", "_ttm", "debt_to_equity")
 
+def _sides(spark, d):
+    """Line items and orders by a key of which one value holds a third of the rows of either side."""
+    k = F.when(F.col("p") % 3 == 0, F.lit(0)).otherwise(1 + F.col("q") % 50).alias("k")
+    items = fx.table(spark, d, "lineitem").withColumns({"p": F.col("l_partkey"), "q": F.col("l_suppkey")}).select(k, "l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))
+    orders = fx.table(spark, d, "orders").withColumns({"p": F.col("o_custkey"), "q": F.col("o_custkey")}).select(k, F.to_date("o_orderdate").alias("o_day"), "o_orderkey", "o_totalprice")
+    return items, orders
+
+
+def aj0(spark, d):
+    return asof.asof_last(*_sides(spark, d), ["k"], "day", "o_day", order=["o_orderkey"])
+
+
+def aj1(spark, d):
+    return asof.asof_next(*_sides(spark, d), ["k"], "day", "o_day", order=["o_orderkey"])
+
+
 QUERIES = {
+    "aj0_asof_last": aj0, "aj1_asof_next": aj1,
     "xs_ranks": xs_ranks, "rg_regime": rg_regime, "mc1_align_series": mc1_align, "mc_macro_features": mc_features, "mc10_broadcast_macro": mc10_broadcast, "ix_interactions": ix_interactions,
     "se1_sector_flags": se_flags, "se2_canonical_sector": se2_canonical, "sr_sector_residual": sr_residual, "sr5_etf_features": sr5_etf, "ea_earnings": ea_features, "sv_filings": sv_features, "fu1_fundamentals_annual": fu1_annual,
     "fu2_ttm": fu2_ttm, "fu3_latest_value": fu3_latest, "fu4_fundamentals_ttm": fu4_ratios, "fu5_fundamentals_ranks": fu5_ranks,
@@ -197,7 +214,11 @@ _EIGHT = "(PARTITION BY symbol ORDER BY announce_date ROWS BETWEEN 8 PRECEDING A
 _SR = {"resid_log_return_5d": "r5", "resid_log_return_20d": "r20", "resid_realized_vol_20d": "rv20", "resid_rsi_14_minus_sector": "rsi_14"}
 _PAST60 = "(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)"
 _SV = {"days_since_last_8k": ("form_type = '8-K'", 90), "days_since_last_8k_2_02": ("form_type = '8-K' AND list_contains(string_split(items, ','), '2.02')", 90), "days_since_last_8k_5_02": ("form_type = '8-K' AND list_contains(string_split(items, ','), '5.02')", 90), "days_since_last_10q": ("form_type = '10-Q'", 120), "days_since_last_10k": ("form_type = '10-K'", 400)}
+_AJ = """WITH i AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 + l_suppkey % 50 END AS k, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS day FROM lineitem),
+  o AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 + o_custkey % 50 END AS k, CAST(o_orderdate AS DATE) AS o_day, arg_{0}(o_orderkey, o_orderkey) AS o_orderkey, arg_{0}(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2)
+  SELECT i.*, o.o_day, o.o_orderkey, o.o_totalprice FROM i ASOF LEFT JOIN o ON i.k = o.k AND i.day {1} o.o_day"""
 SQL = {
+    "aj0_asof_last": _AJ.format("max", ">="), "aj1_asof_next": _AJ.format("min", "<"),
     "xs_ranks": wide_sql("SELECT symbol, bar_date, " + ", ".join(r(sql_rank(c, "bar_date"), f"cross_sectional__xs_rank_{n}") for n, c in _SQLNAME.items()) + ", " + r("(r5 - avg(r5) OVER d) / nullif(stddev_samp(r5) OVER d, 0)", "cross_sectional__xs_zscore_log_return_5d") + " FROM wide WINDOW d AS (PARTITION BY bar_date)"),
     "rg_regime": fx.sql(f"""SELECT bar_date, {rs(["regime__market_return_1d", "regime__market_breadth_advance_decline", "regime__market_dispersion_20d"])},
       {r(f"CASE WHEN count(regime__market_return_1d) OVER {_D.format(n=4)} = 5 THEN sum(regime__market_return_1d) OVER {_D.format(n=4)} END", "regime__market_return_5d")},

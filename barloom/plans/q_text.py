@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import features as f
 from ..functions import text as tx
-from ..functions.panel import Registry, build_panel, pandas_group
+from ..functions.panel import Registry, build_panel, date_group, pandas_group
 from ..functions.windows import rounded
 from ..operators import labels as lb
 from ..operators import models as ml
@@ -115,6 +116,18 @@ def ud1(s, d):
     return rounded(out.select("symbol", "bar_date", F.col("own__median5").alias("median5")), 9)
 
 
+def ud2(s, d):
+    """A user's own function of each date's rows as a panel group: the close against the date's median, and its rank from the top."""
+    def own(rows):
+        close = rows["close"].to_numpy()
+        return {"own__gap": close - np.median(close), "own__place": len(close) - np.argsort(np.argsort(close, kind="stable"), kind="stable")}
+
+    reg = Registry()
+    reg.register("panel", "own", date_group(own, {"own__gap": "double", "own__place": "long"}))
+    out = build_panel(fx.bars(s, d), registry=reg)
+    return rounded(out.select("symbol", "bar_date", F.col("own__gap").alias("gap"), F.col("own__place").alias("place")), 9)
+
+
 def _training(s, d):
     b = f.microstructure(f.price(fx.bars(s, d)))
     w = f.symbol()
@@ -165,7 +178,7 @@ def ml5(s, d):
 
 QUERIES = {
     "tx1_clean_html": tx1, "tx2_truncate_body": tx2, "tx3_select_exhibits": tx3, "tx4_recent_filings": tx4, "tx5_titles": tx5, "tx6_source_digest": tx6, "tx7_coerce": tx7, "tx8_latest_verdicts": tx8, "tx9_verdict_counts": tx9,
-    "st1_stream_upsert": st1, "st2_stream_settle": st2, "st3_preliminary_vs_final": st3, "ud1_custom_group": ud1, "ml1_fit_predict_folds": ml1, "ml2_calibrate": ml2, "ml3_score": ml3, "ml6_revalidate": ml6, "ml4_feature_importance": ml4, "ml5_attribution": ml5,
+    "st1_stream_upsert": st1, "st2_stream_settle": st2, "st3_preliminary_vs_final": st3, "ud1_custom_group": ud1, "ud2_date_group": ud2, "ml1_fit_predict_folds": ml1, "ml2_calibrate": ml2, "ml3_score": ml3, "ml6_revalidate": ml6, "ml4_feature_importance": ml4, "ml5_attribution": ml5,
 }
 _EV = """ev AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'bullish' WHEN 'error' THEN 'bearish' ELSE 'neutral' END AS verdict, CASE event_type WHEN 'purchase' THEN ' Bullish!' WHEN 'error' THEN 'strong sell' ELSE 'hold' END AS label,
   CASE event_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN (event_id % 100) / 100.0 WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 ELSE 0.3 END AS confidence, CASE WHEN event_id % 3 = 0 THEN 'a|b' ELSE '' END AS reasons, CAST(ts AS DATE) AS verdict_date, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events)"""
@@ -185,5 +198,6 @@ SQL = {
       WHERE settled_at <= least((SELECT max(bar_date) FROM bars), (SELECT max(as_of) FROM predictions)) - 7""", fx.PREDICTIONS_SQL),
     "st3_preliminary_vs_final": """SELECT user_id AS key, CAST(ts AS DATE) AS as_of, value, ts AS created_at, strftime(ts, '%H:%M:%S') >= '20:00:00' AS is_final FROM events WHERE CAST(ts AS DATE) + INTERVAL 20 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
       QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1""",
+    "ud2_date_group": fx.sql(f"SELECT symbol, bar_date, {r('close - quantile_cont(close, 0.5) OVER (PARTITION BY bar_date)', 'gap', 9)}, row_number() OVER (PARTITION BY bar_date ORDER BY close DESC, symbol DESC) AS place FROM bars"),
     "ud1_custom_group": fx.sql(f"SELECT symbol, bar_date, {r('CASE WHEN count(close) OVER w = 5 THEN quantile_cont(close, 0.5) OVER w END', 'median5', 9)} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"),
 }

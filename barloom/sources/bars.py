@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import newest
 
-FACTS = "map<string, struct<units: map<string, array<struct<val: double, end: string, fp: string, filed: string, form: string, accn: string>>>>>"
-FILINGS = "struct<accessionNumber: array<string>, filingDate: array<string>, form: array<string>, items: array<string>>"
-
 
 def _between(df: DataFrame, col: str, start, end) -> DataFrame:
     df = df if start is None else df.filter(F.col(col) >= F.lit(start))
@@ -59,25 +56,46 @@ def vendor_symbol(symbol: Column, universe: Column) -> Column:
     return F.when(universe == "IN", F.when(s.endswith(".NS"), s).otherwise(F.concat(s, F.lit(".NS")))).otherwise(F.regexp_replace(s, "\\.", "-"))
 
 
+def _day(c: str) -> Column:
+    return F.expr(f"try_to_timestamp({c}, 'yyyy-MM-dd')").cast("date")
+
+
 def flatten_filings(df: DataFrame, json: str = "json") -> DataFrame:
-    """Parallel arrays of a filings document as rows; rows with a bad date go, empty items become null."""
-    f = df.withColumn("_f", F.from_json(json, FILINGS)).withColumn("_z", F.explode(F.arrays_zip("_f.accessionNumber", "_f.filingDate", "_f.form", "_f.items")))
-    out = f.select("symbol", F.col("_z.accessionNumber").alias("accession"), F.expr("try_to_timestamp(_z.filingDate, 'yyyy-MM-dd')").cast("date").alias("filing_date"), F.col("_z.form").alias("form_type"), F.nullif(F.col("_z.items"), F.lit("")).alias("items"))
+    """Parallel arrays of a filer's document as rows (symbol, accession, filing_date, form_type, items).
+
+    A document is parsed once, to VARIANT.  One that is null, no JSON or without
+    these arrays gives no rows; an array that is shorter, or no array of
+    strings, gives nulls.  Rows with a bad date go, empty items become null.
+    """
+    doc = df.select("symbol", F.try_parse_json(json).alias("_v"))
+    lists = [F.try_variant_get("_v", f"$.{n}", "array<string>").alias(n) for n in ("accessionNumber", "filingDate", "form", "items")]
+    rows = doc.select("symbol", *lists).filter("accessionNumber is not null")
+    rows = rows.select("symbol", F.explode(F.arrays_zip("accessionNumber", *[F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in ("filingDate", "form", "items")])).alias("_z"))
+    out = rows.select("symbol", F.col("_z.accessionNumber").alias("accession"), _day("_z.filingDate").alias("filing_date"), F.col("_z.form").alias("form_type"), F.nullif("_z.items", F.lit("")).alias("items"))
     return out.filter("filing_date is not null")
 
 
 def flatten_facts(df: DataFrame, fallbacks: dict[str, list[str]], json: str = "json") -> DataFrame:
-    """USD observations of each concept, one per (period end, fp): the later name in its list wins, then the later observation.
+    """USD observations of each concept, one per (symbol, period end, fp): the later name in its list wins, then the later observation.
 
-    Rows without value, end or filing date go; null fp, form and accession become ``?``.
+    A document is an object of facts by name, parsed once to VARIANT and taken
+    apart fact by fact; one that is null, no JSON or no object gives no rows,
+    a fact without an array of dollars none either.  Rows without value, end or
+    filing date go; null fp, form and accession become ``?``.
     """
     names = F.create_map(*[F.lit(x) for c, ns in fallbacks.items() for i, n in enumerate(ns) for x in (n, f"{i:04d}{c}")])
-    facts = df.select("symbol", F.explode(F.from_json(json, FACTS)).alias("name", "fact")).withColumn("_c", F.try_element_at(names, F.col("name"))).filter("_c is not null")
-    rows = facts.select("symbol", "_c", F.posexplode(F.try_element_at("fact.units", F.lit("USD"))).alias("pos", "o"))
+    doc = df.select("symbol", F.try_parse_json(json).alias("_v")).filter("startswith(schema_of_variant(_v), 'OBJECT')")
+    facts = doc.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())).select("symbol", F.try_element_at(names, F.col("key")).alias("_c"), F.col("value").alias("_fact"))
+    usd = F.try_variant_get("_fact", "$.units.USD", "array<variant>")
+    rows = facts.filter("_c is not null").select("symbol", "_c", F.posexplode(usd).alias("pos", "_o"))
+
+    def of(field: str, kind: str) -> Column:
+        return F.try_variant_get("_o", f"$.{field}", kind).alias(field)
+
+    rows = rows.select("symbol", "_c", "pos", of("val", "double"), *[of(x, "string") for x in ("end", "fp", "filed", "form", "accn")])
     out = rows.select(
-        "symbol", F.expr("substring(_c, 5)").alias("concept"), F.expr("cast(substring(_c, 1, 4) as int)").alias("_p"), "pos", F.expr("try_to_timestamp(o.end, 'yyyy-MM-dd')").cast("date").alias("period_end"),
-        F.coalesce("o.fp", F.lit("?")).alias("fp"), F.col("o.val").alias("value"), F.expr("try_to_timestamp(o.filed, 'yyyy-MM-dd')").cast("date").alias("filed_date"),
-        F.coalesce("o.form", F.lit("?")).alias("form"), F.coalesce("o.accn", F.lit("?")).alias("accession"),
+        "symbol", F.expr("substring(_c, 5)").alias("concept"), F.expr("cast(substring(_c, 1, 4) as int)").alias("_p"), "pos", _day("end").alias("period_end"), F.coalesce("fp", F.lit("?")).alias("fp"),
+        F.col("val").alias("value"), _day("filed").alias("filed_date"), F.coalesce("form", F.lit("?")).alias("form"), F.coalesce("accn", F.lit("?")).alias("accession"),
     ).filter("value is not null and period_end is not null and filed_date is not null")
     w = Window.partitionBy("symbol", "concept", "period_end", "fp").orderBy(F.desc("_p"), F.desc("pos"))
     return out.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k", "_p", "pos")

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from barloom.functions import features as f
 from barloom.functions import panel, recursion, series
 from barloom.functions import panel_features as pf
-from barloom.operators import asof, clean, keyed, labels, models, pit
+from barloom.operators import asof, clean, evaluate, keyed, labels, models, pit
+from barloom.operators.keyed_table import KeyedTable
 from barloom.operators import portfolio as po
+from barloom.operators.shared import written
 from barloom.plans.q_features import NAMES, columns
+from barloom.sources import bars
 from barloom.streaming import stream
 
 
@@ -193,6 +196,30 @@ def test_asof_matches_carry_nulls_and_ties(spark):
     assert nxt == {day(0): day(1), day(1): day(3), day(2): day(3), day(3): None, day(4): None}
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_asof_over_ranges_is_that_of_each_key(spark, parts):
+    rng = np.random.default_rng(int(parts))
+    keys = lambda n: [int(k) if k else None for k in rng.choice([0, 1, 1, 1, 2, 3], n)]  # noqa: E731  a key with half of the rows, and rows without one
+    ls = [(k, i, day(int(d)) if d < 190 else None) for i, (k, d) in enumerate(zip(keys(400), rng.integers(0, 200, 400), strict=True))]
+    rs = [(k, day(int(d)) if d < 190 else None, i, None if i % 5 == 0 else float(i)) for i, (k, d) in enumerate(zip(keys(150), rng.integers(0, 200, 150), strict=True))]
+    left, right = spark.createDataFrame(ls, "k int, i int, d date"), spark.createDataFrame(rs, "k int, e date, o int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        last, strict, nxt = (
+            {r.i: (r.e, r.o, r.v) for r in f(left, right, ["k"], "d", "e", order=["o"], **more).collect()} for f, more in ((asof.asof_last, {}), (asof.asof_last, {"exact": False}), (asof.asof_next, {}))
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, i, d in ls:
+        own = sorted((e, o, v) for q, e, o, v in rs if q == k and None not in (q, e)) if None not in (k, d) else []
+        at = lambda x: x[-1] if x else (None, None, None)
+        assert last[i] == at([r for r in own if r[0] <= d]) and strict[i] == at([r for r in own if r[0] < d])
+        after = [r for r in own if r[0] > d]
+        assert nxt[i] == (after[0] if after else (None, None, None))
+    assert len(last) == len(strict) == len(nxt) == 400
+
+
 def test_surprise_z(spark):
     before = [-2.0, 0.5, 1.5, 6.0]
     ev = spark.createDataFrame([("A", day(45 * i), x) for i, x in enumerate([*before, -4.0])], "symbol string, announce_date date, surprise_pct double")
@@ -233,6 +260,71 @@ def test_timeline(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("LIVE", day(10), None), ("OLD", day(0), None), ("GONE", day(1), day(5)), ("GONE", day(7), day(99)), ("LONE", day(-100), day(9))], key=str)
 
 
+def test_documents_that_are_not_what_they_should_be(spark):
+    good = '{"accessionNumber": ["a", "b", "c"], "filingDate": ["2020-01-02", "bad", "2020-03-04"], "form": ["8-K", "10-Q"], "items": ["", "x", "2.02"]}'
+    docs = spark.createDataFrame([("A", good), ("B", good[:-3]), ("C", None), ("D", "[1, 2]"), ("E", "{}"), ("F", '{"accessionNumber": "a"}'), ("G", "7"), ("H", "")], "symbol string, json string")
+    got = sorted((r.symbol, r.accession, str(r.filing_date), r.form_type, r.items) for r in bars.flatten_filings(docs).collect())
+    assert got == [("A", "a", "2020-01-02", "8-K", None), ("A", "c", "2020-03-04", None, "2.02")]
+    ob = '{{"val": {}, "end": "2020-03-31", "filed": "{}", "fp": {}}}'
+    x = '{"new": {"units": {"USD": [%s, %s]}}, "old": {"units": {"USD": [%s, {"val": "text", "end": "2020-06-30", "filed": "2020-07-01"}]}}, "other": {"units": {}}, "odd": 5}' % (
+        ob.format(1.5, "2020-04-01", '"Q1"'), ob.format(2, "2020-05-01", "null"), ob.format(9, "2020-06-01", '"Q1"')
+    )
+    docs = spark.createDataFrame([("A", x), ("B", x[:-1]), ("C", None), ("D", "[]"), ("E", '"s"'), ("F", '{"new": null}')], "symbol string, json string")
+    got = sorted((r.symbol, r.fp, r.value, str(r.filed_date)) for r in bars.flatten_facts(docs, {"X": ["new", "old", "other", "odd"]}).collect())
+    assert got == [("A", "?", 2.0, "2020-05-01"), ("A", "Q1", 9.0, "2020-06-01")]  # the later name wins
+
+
+def test_sector_labels(spark):
+    rows = [("Communications Services", "Communication Services"), (" Financials", "Financial Services"), ("Financial Services", "Financial Services"), ("Materials", "Basic Materials"), ("", "Unknown"), (None, "Unknown"), ("Space", "Space"), ("UNKNOWN", "UNKNOWN")]
+    got = spark.createDataFrame(rows, "label string, want string").select(pf.canonical_sector(F.col("label")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+    dim = spark.createDataFrame([(f"S{i}", x) for i, (x, _) in enumerate(rows)], "symbol string, sector string")
+    flags = {r.symbol: r.asDict() for r in pf.sector_flags(spark.createDataFrame([(f"S{i}",) for i in range(9)], "symbol string"), dim).collect()}
+    names = {k for k in flags["S0"] if k.startswith("sector__is_")}
+    assert len(names) == 12 and {"sector__is_financial_services", "sector__is_communication_services", "sector__is_unknown"} <= names
+    assert all(sum(r[n] for n in names) == 1 for r in flags.values()) and all(flags[f"S{i}"]["sector__is_unknown"] == 1 for i in (4, 5, 6, 7, 8))
+
+
+def test_summary_of_a_year(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"S{s}", day(-7 * d), float(x), None if d == 0 else float(0.3 * x + y), float(p)) for d in range(60) for s, (x, y, p) in enumerate(rng.normal(0, 1, (12, 3)) * [1, 1, 0] + [0, 0, 1] * rng.random((12, 1)))]
+    p = spark.createDataFrame(rows, "symbol string, as_of date, predicted_return double, realized_return double, top_p double")
+    p = p.withColumn("realized_quintile", F.when(F.col("realized_return").isNotNull(), F.pmod(F.xxhash64("symbol", "as_of"), F.lit(5)).cast("int")))
+    r = evaluate.performance_summary(p, day(0), written, days=100).first()
+    pdf = p.toPandas()
+    pdf = pdf[pd.to_datetime(pdf["as_of"]) >= pd.Timestamp(day(0)) - pd.Timedelta(days=143)]
+    done = pdf.dropna(subset=["realized_return"])
+    assert (r.n_predictions, r.n_settled) == (len(pdf), len(done)) and r.n_dates == done["as_of"].nunique()
+    b = pd.qcut(done["predicted_return"], 10, labels=False)
+    assert r.decile_spread == pytest.approx(done["realized_return"][b == 9].mean() - done["realized_return"][b == 0].mean())
+    cut = pd.cut(done["top_p"], [0, 0.2, 0.4, 0.6, 0.8, 1], include_lowest=True, labels=False)
+    for c in r.calibration:
+        own = done[cut == c.bin]
+        assert c.n == len(own) and c.mean_proba == pytest.approx(own["top_p"].mean()) and c.observed_rate == pytest.approx((own["realized_quintile"] == 4).mean())
+    none = evaluate.performance_summary(p, day(-5000), written).first()
+    assert (none.n_predictions, none.n_settled, none.mean_ic, none.decile_spread, none.calibration) == (0, 0, None, None, [])
+
+
+def test_models_name_what_they_lack(training):
+    with pytest.raises(ValueError, match="no rows"):
+        models.fit(training.filter("fold > 9"), ["a"], "y", "label")
+    with pytest.raises(ValueError, match="b$"):
+        models.fit(training.withColumn("b", F.lit(None).cast("double")), ["a", "b"], "y", "label")
+
+
+def test_a_batch_touches_its_own_parts(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}", "k int, day date, v string, kept string", F.month("day"))
+    rows = lambda x, s="k int, day date, v string, kept string": spark.createDataFrame(x, s)
+    table.upsert(rows([(i, dt.date(2020, 1 + i % 12, 5), "old", f"k{i}") for i in range(120)]), 0, ["k", "day"], ["v"])
+    before = table._paths(None)
+    batch = rows([(1, dt.date(2020, 2, 5), "new"), (999, dt.date(2020, 2, 5), "new")], "k int, day date, v string")
+    for version in (1, 2):  # the same again
+        table.upsert_preserving(batch, version, ["k", "day"], ["v"])
+        got = {(r.k, r.day): (r.v, r.kept) for r in table.read().collect()}
+        assert len(got) == 121 and got[1, dt.date(2020, 2, 5)] == ("new", "k1") and got[999, dt.date(2020, 2, 5)] == ("new", None)
+    assert [p for p, x in table._paths(None).items() if x != before[p]] == [2]
+
+
 def test_source_causes(spark):
     rows = [("A", day(0), "x", 200.0, 1.0), ("A", day(0), "y", 100.0, 1.0), ("B", day(0), "x", 100.0, 90.0), ("B", day(0), "y", 102.0, 100.0), ("C", day(0), "x", 100.0, 1.0), ("C", day(0), "y", 100.1, 1.0)]
     got = clean.compare_sources(spark.createDataFrame(rows, "symbol string, bar_date date, source string, close double, close_unadj double"), 1.0)
@@ -272,6 +364,35 @@ def test_groups_are_replaced_skipped_and_gated(spark):
         reg.register("other", "x", lambda b, t: b)
 
 
+def test_groups_by_a_function_of_each_date(spark):
+    bars = spark.createDataFrame(walk(3, 30))
+
+    def own(rows):
+        if rows["bar_date"][0].as_py() == day(7) and fail:
+            raise ValueError("no such date")
+        return {"own__share": rows["volume"].to_numpy() / rows["volume"].to_numpy().sum(), "own__first": np.arange(len(rows)) == 0}
+
+    fail, kinds = False, {"own__share": "double", "own__first": "boolean"}
+    reg = panel.Registry()
+    reg.register("panel", "own", panel.date_group(own, {"own__x": "double"}))
+    reg.register("panel", "own", panel.date_group(own, kinds))  # replaces the first
+    out = panel.build_panel(bars, registry=reg)
+    assert panel.feature_columns(out) == list(kinds)
+    got = out.groupBy("bar_date").agg(F.sum("own__share").alias("s"), F.sum(F.col("own__first").cast("int")).alias("f")).collect()
+    assert len(got) == 30 and all(r.s == pytest.approx(1) and r.f == 1 for r in got)
+    fail = True
+    reg.register("panel", "own", panel.date_group(own, kinds))
+    with pytest.raises(Exception, match="no such date"):  # what fails in tasks fails the panel's job
+        panel.build_panel(bars, registry=reg).collect()
+
+
+def test_groups_of_the_library_fail_aloud(spark):
+    reg = panel.default_registry()
+    reg.register("panel", "sector", lambda p, t: p.select("no such column"), reads=(), strict=True)
+    with pytest.raises(Exception, match="no such column"):
+        panel.build_panel(spark.createDataFrame(walk(2, 30)), registry=reg)
+
+
 def test_slices_of_a_panel(spark):
     bars = spark.createDataFrame(walk(3, 40))
     mem = spark.createDataFrame([("U", "S0", "X", day(0), day(25)), ("U", "S1", "X", day(20), None), ("V", "S2", "X", day(0), None)], "universe string, symbol string, exchange string, start_date date, end_date date")
@@ -323,7 +444,7 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
 
     def run(rows):
         source = arrive(spark, folder, rows, schema) if rows else spark.readStream.schema(schema).parquet(f"{folder}/in")
-        table = stream.KeyedTable(spark, f"{folder}/table", schema, F.month("day"))  # a new object, as in a new process
+        table = KeyedTable(spark, f"{folder}/table", schema, F.month("day"))  # a new object, as in a new process
         return sorted(map(tuple, stream.stream_upsert(source, table, ["k", "day"], ["t"], f"{folder}/checkpoint").collect()), key=str)
 
     a, b, c = (1, day(0), 1, "a"), (2, day(0), 5, "b"), (1, day(40), 1, "c")
@@ -335,7 +456,7 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     schema = "k int, t int"
-    table = stream.KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
+    table = KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
     take = lambda held, new: keyed.upsert(held, new, ["k"], ["t"])
     rows = lambda x: spark.createDataFrame(x, schema)
     table.merge(rows([(1, 1), (2, 1)]), 0, take)
@@ -344,7 +465,7 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     table.merge(rows([(1, 2), (3, 1)]), 1, take)  # again, from the versions before it
     assert sorted(map(tuple, table.read().collect())) == first == [(1, 2), (2, 1), (3, 1)]
     assert sorted(map(tuple, table.read(before=1).collect())) == [(1, 1), (2, 1)]
-    again = stream.KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
+    again = KeyedTable(spark, f"file://{tmp_path}", schema, F.col("k") % 2)
     paths = again._paths(None)
     again.merge(rows([(5, 9)]), 2, take)
     assert again._paths(None)[0] == paths[0] and again._paths(None)[1] != paths[1]  # the other part is left as it is
