@@ -187,7 +187,7 @@ class Manifest(NamedTuple):
         for over, levels in ((True, self.forest), (False, self.sources)):
             for k, t in enumerate(levels):
                 tree = F.lit(None).cast("string") if over else F.col("tree")
-                at = F.posexplode(F.transform(F.sequence(F.lit(0), F.length("log") / 32 - 1), lambda i: F.lower(F.hex(F.substring("log", i.cast("int") * 32 + 1, F.lit(32)))))).alias("at", "digest")
+                at = F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("log") / 32 - 1).cast("int")), lambda i: F.lower(F.hex(F.substring("log", i * 32 + 1, F.lit(32)))))).alias("at", "digest")
                 found.append(t.select(tree.alias("tree"), F.lit(k).alias("tier"), "block", at).select("tree", "tier", (F.col("block") * leaf_position(SPAN) + F.col("at")).alias("position"), "digest"))
         out = found[0]
         for more in found[1:]:
