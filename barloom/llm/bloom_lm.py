@@ -219,8 +219,9 @@ def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "t
     """
     spark = docs.sparkSession
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    given = [f for f in docs.schema.fields if f.name not in {text, *new}]
-    source = docs.select(*[F.col(f.name) for f in given], F.col(text).alias("text"))
+    named = [f.name for f in docs.schema.fields if f.name not in {text, *new}]
+    source = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(named)], F.col(f"`{text}`").alias("text"))
+    given = source.schema.fields[:-1]
     shared, buckets, width = spark.sparkContext.broadcast(model), model.buckets, {0: 64, 1: model.pair_bits}
     chunks = written(source.mapInArrow(lambda batches: _chunks(batches, chunk_bytes), "chunk long, rows binary"), "chunks")
 
@@ -288,7 +289,8 @@ def score(docs: DataFrame, model: Scorer, segments: DataFrame, *, text: str = "t
         return pa.concat_tables(out)
 
     whole = answers.unionByName(chunks, allowMissingColumns=True)
-    return whole.groupBy("chunk").applyInArrow(grade, schema_with(given, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    graded = whole.groupBy("chunk").applyInArrow(grade, schema_with(given, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    return graded.toDF(*named, *new)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -70,13 +70,17 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def beside(docs: DataFrame, text: str, new: list[str], keep: list[str] | None = None) -> tuple[list[T.StructField], int, DataFrame]:
-    """(fields that pass through, place of the text, rows to read): the text comes once, after the fields if it isn't one of them."""
+    """(fields that pass through, place of the text, rows to read): the text comes once, after the fields if it isn't one of them.
+
+    The rows' columns have names of their own, c0, c1, ..: batches go by place,
+    and a name with a dot can't be read there.
+    """
     given = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     names = [f.name for f in given]
-    source = [F.col(f"`{x}`") for x in names]
+    source = [F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(names)]
     if text in names:
         return given, names.index(text), docs.select(*source)
-    return given, len(given), docs.select(*source, F.col(text).alias(fresh(names, "text")[0]))
+    return given, len(given), docs.select(*source, F.col(f"`{text}`").alias(f"c{len(given)}"))
 
 
 # ---------------------------------------------------------------- Arrow batches

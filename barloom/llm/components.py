@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node that has a link to another; ``root`` is the smallest node of its component.
 
     Each round is two aggregates with joins back on the node, written to the
-    shared folder; links never reach the driver.  Rows with a null end, and
+    shared folder; links never reach the driver.  A round at least halves a long
+    chain, so rounds grow with the logarithm of the longest; they end when a
+    round changes nothing.  Rows with a null end, and
     links of a node to itself, count for nothing.
     """
     edges = written(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "cc"
     )
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,7 +33,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -81,10 +81,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     already, in one task, and a hot text's rows are spread by their ids.  Texts that only rows without an id have are
     left to a branch of their own, which is planned if there are such rows.
     """
-    given = docs.columns
-    d, t, s, i, k, own = fresh(given, "digest", "norm", "salt", "id", "k", "own")
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    d, t, s, i, k, own = fresh(docs.columns, "digest", "norm", "salt", "id", "k", "own")
     norm = lower_az(F.coalesce(F.col(text), F.lit("")))
-    whole = docs.select(*[F.col(f"`{c}`") for c in given], F.sha2(norm, 256).alias(d))
+    whole = docs.select(*given, F.sha2(norm, 256).alias(d))
     some = whole.filter(F.col(doc_id).isNotNull())
     salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int")
     keys = docs.filter(F.col(doc_id).isNotNull()).select(F.sha2(norm, 256).alias(own), norm.alias(t), salt.alias(s), F.col(doc_id).alias(i))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +41,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TELLING = {"class", "id", "role", "hidden", "aria-label", "itemprop"}
-DEPTH = 512  # elements nested deeper are not told apart, as in browsers
+DEPTH = 512  # elements nested deeper are counted by name, and tell the field nothing more
 SPACES = re.compile(r"\s+")
 
 
@@ -65,6 +66,7 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
     stack: list[tuple[str, tuple[str, ...]]] = []
     out, text, linked = [], [], 0
     at = links = 0
+    deep: Counter[str] = Counter()  # open elements beyond ``DEPTH``, all inside the last of the stack
 
     def end_block():
         nonlocal text, linked
@@ -96,6 +98,15 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
         if is_block:
             end_block()
         if m["end"] or m["end2"]:
+            if deep:
+                if deep[name]:
+                    deep[name] -= 1
+                elif is_block:  # it closes all that is deeper
+                    deep.clear()
+                deep += Counter()  # without names at zero
+                if deep or not is_block:
+                    links = sum(t == "a" for t, _ in stack) + deep["a"]
+                    continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -111,7 +122,11 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
                 at = close.end()
                 continue
             open_ended.add(name)
-        if is_block:
+        if is_block and deep:
+            if end := next((x for x in CLOSES.get(name, ("p",)) if deep[x]), None):
+                deep[end] -= 1
+                deep += Counter()
+        elif is_block:
             ends = CLOSES.get(name, ()) if name in CLOSES else {"p"}
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in ends:
@@ -126,6 +141,8 @@ def leaf_blocks(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...], str,
             links += 1
         if len(stack) < DEPTH:
             stack.append((name, _hints_of(more) if more else ()))
+        else:
+            deep[name] += 1
     add(page[at:])
     end_block()
     return out

@@ -26,7 +26,7 @@ from .crf import Crf, feature
 # Fixed patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # numbers with a dot between; four of a row, from the left, are one ip match
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ["email", "ip", "card", "phone"]
@@ -273,9 +273,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             out.append((0, start, m.end()))
             end = m.end()
         at = text.find("@", at + 1)
-    for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m[0].split(".")):
-            out.append((1, *m.span()))
+    for m in NUMBERS.finditer(text):
+        parts, start = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            stop = start + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in four):
+                out.append((1, start, stop))
+            start = stop + 1
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):

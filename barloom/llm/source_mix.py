@@ -103,8 +103,9 @@ def mix_sources(
     sources still have blocks, each one's blocks among the first t slots differ
     from its share of t by less than one; ``mix_quota`` is the exact share of
     ``slots`` slots.  Slots of a source that has run out may stay empty.
-    Rows of a source are shuffled by a seeded hash of ``order``, then by all
-    columns; equal rows are interchangeable.  Other columns, maps too, pass
+    Rows of a source are shuffled by a seeded hash of ``order`` and all columns,
+    so that rows without an id, or with one id, are spread like others; equal
+    rows are interchangeable.  Other columns, maps too, pass
     through; one named like a new one is replaced.
     """
     spark = docs.sparkSession
@@ -132,11 +133,11 @@ def mix_sources(
 
     def dealt(rows):
         """Rows with their source's number and their bucket."""
-        out = rows.withColumn(h, F.xxhash64(F.lit(seed), F.col(order))).join(F.broadcast(named), F.col(source).eqNullSafe(F.col(name)))
+        out = rows.withColumn(h, F.xxhash64(F.lit(seed), F.col(order), F.col(every))).join(F.broadcast(named), F.col(source).eqNullSafe(F.col(name)))
         return out.withColumn(bucket, F.pmod(F.shiftright(h, 16), F.col(n))).drop(name)
 
     whole = docs.select(*given, F.xxhash64(*map(hashable, docs.schema.fields)).alias(every))
-    sizes = dealt(docs.select(source, *([order] if order != source else []))).groupBy(src, bucket).agg(F.count("*").alias(n))
+    sizes = dealt(whole.select(source, *([order] if order != source else []), every)).groupBy(src, bucket).agg(F.count("*").alias(n))
     before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(src, bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
     within = Window.partitionBy(src, bucket).orderBy(h, order, every)
@@ -150,7 +151,7 @@ def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in order of the mixture, with the columns of ``docs``."""
     mixed = mix_sources(docs, **options)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*docs.columns)
+    return mixed.repartitionByRange(n, "mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_source_mix(spark, sf_dir) -> DataFrame:
