@@ -41,7 +41,7 @@ def regime_by_date(panel: DataFrame) -> DataFrame:
 
 
 def regime(panel: DataFrame) -> DataFrame:
-    return panel.join(regime_by_date(panel), "bar_date", "left")
+    return panel.join(F.broadcast(regime_by_date(panel)), "bar_date", "left")  # a row a date: bounded by the calendar
 
 
 def align_series(macro: DataFrame, series: list[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def macro_features(macro: DataFrame, series: list[str]) -> DataFrame:
 
 def with_macro(panel: DataFrame, by_date: DataFrame) -> DataFrame:
     """Exact-date left join of the date table onto every symbol."""
-    return panel.join(by_date, "bar_date", "left")
+    return panel.join(F.broadcast(by_date), "bar_date", "left")  # a row a date: bounded by the calendar
 
 
 PAIRS = {
@@ -118,7 +118,7 @@ def sector_column(sector: str) -> str:
 
 def sector_flags(panel: DataFrame, dim: DataFrame) -> DataFrame:
     """One 0/1 column per canonical sector, from a (symbol, sector) table; symbols without a row are unknown."""
-    out = panel.join(dim.select("symbol", F.col("sector").alias("_s")), "symbol", "left").withColumn("_s", sector_bucket(F.col("_s")))
+    out = panel.join(dim.select("symbol", F.col("sector").alias("_s")).hint("shuffle_hash"), "symbol", "left").withColumn("_s", sector_bucket(F.col("_s")))
     return out.withColumns({sector_column(s): (F.col("_s") == s).cast("double") for s in SECTORS}).drop("_s")
 
 
@@ -161,7 +161,7 @@ def sector_residual(panel: DataFrame, benchmark_of: DataFrame, funds: DataFrame
     cols = list(RESIDUALS.values())
     own = panel.select(F.col("symbol").alias("benchmark"), "bar_date", *[F.col(c).alias(e) for c, e in zip(cols, ETF, strict=True)]) if funds is None else funds
     bench = own.select("benchmark", "bar_date", *[F.col(e).alias(f"_b_{c}") for c, e in zip(cols, ETF, strict=True)])
-    out = panel.join(benchmark_of, "symbol", "left").join(bench, ["benchmark", "bar_date"], "left")
+    out = panel.join(benchmark_of.hint("shuffle_hash"), "symbol", "left").join(bench.hint("shuffle_hash"), ["benchmark", "bar_date"], "left")
     out = out.withColumns({f"sector_residual__{n}": F.col(c) - F.col(f"_b_{c}") for n, c in RESIDUALS.items()})
     x, past = F.col("sector_residual__resid_log_return_5d"), prior_n(60, by("symbol"))
     z = F.when(F.count(x).over(past) >= 20, (x - F.avg(x).over(past)) / nz(F.stddev_samp(x).over(past)))

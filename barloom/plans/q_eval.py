@@ -52,7 +52,7 @@ def pn1(spark, d):
     """All columns that have a DuckDB twin: all but the volume profile's and the ranks of fundamentals."""
     p = panel(spark, d)
     wick = F.col("microstructure__wick_ratio")
-    p = p.withColumn("microstructure__wick_ratio", F.when(F.abs(wick) > 1e6, F.round(wick, -6)).otherwise(wick))
+    p = p.withColumn("microstructure__wick_ratio", F.when(F.abs(wick) > 1e6, wick / 1e9).otherwise(wick))
     cols = [F.round(c, DIGITS.get(c.split("__")[0], 6)) + F.lit(0.0) for c in PANEL_COLUMNS]
     return p.select("symbol", "bar_date", *[x.alias(c) for x, c in zip(cols, PANEL_COLUMNS, strict=True)])
 

@@ -34,9 +34,9 @@ def group_query(group: str):
     def query(spark, d):
         b = fx.bars(spark, d)
         out = f.GROUPS[group](f.prepared(b, [group])).select(*KEY, *columns(group))
-        if group == "microstructure":  # a zero lower wick gives ratios of 1e9 and more
+        if group == "microstructure":  # a zero lower wick gives ratios of 1e9 and more: beyond a million in billions, as doubles are rounded for the comparison
             x = F.col("microstructure__wick_ratio")
-            out = out.withColumn("microstructure__wick_ratio", F.when(F.abs(x) > 1e6, F.round(x, -6)).otherwise(x))
+            out = out.withColumn("microstructure__wick_ratio", F.when(F.abs(x) > 1e6, x / 1e9).otherwise(x))
         return rounded(out, DIGITS.get(group, 6))
 
     return query
@@ -130,7 +130,7 @@ _volume = {
 _rng = "(nullif(high - low, 0) + 1e-9)"
 _micro = {
     "close_location": f"(close - low) / {_rng}", "body_pct": f"abs(close - open) / {_rng}", "upper_wick_pct": f"(high - greatest(close, open)) / {_rng}", "lower_wick_pct": f"(least(close, open) - low) / {_rng}",
-    "wick_ratio": "CASE WHEN abs((high - greatest(close, open)) / (least(close, open) - low + 1e-9)) > 1e6 THEN round((high - greatest(close, open)) / (least(close, open) - low + 1e-9), -6) ELSE (high - greatest(close, open)) / (least(close, open) - low + 1e-9) END", "gap_pct": f"open / {lag('close')} - 1",
+    "wick_ratio": "CASE WHEN abs((high - greatest(close, open)) / (least(close, open) - low + 1e-9)) > 1e6 THEN (high - greatest(close, open)) / (least(close, open) - low + 1e-9) / 1e9 ELSE (high - greatest(close, open)) / (least(close, open) - low + 1e-9) END", "gap_pct": f"open / {lag('close')} - 1",
 }
 _mkt = {f"{k}_{n}": flag(f"count(1) OVER {prior_n(n)} = {n} AND {x} {op} {agg}({x}) OVER {prior_n(n)}") for k, x, op, agg in (("hh", "high", ">", "max"), ("ll", "low", "<", "min")) for n in (5, 10)}
 _AROUND, _KNOWN = "(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)", "(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND 5 PRECEDING)"
