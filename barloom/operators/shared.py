@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in ``spark.checkpoint.dir``; in a local session without one, in a temporary folder of the machine."""
+    """A fresh path in ``spark.checkpoint.dir``; in a local session without one, in a temporary folder of the machine.
+
+    All paths of an application are in one folder with its id: results may read
+    them as long as it runs, afterwards the folder can go.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
