@@ -16,7 +16,7 @@ ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "
 
 
 #: Parts of one brand that share a symbol come from one block of so many part keys; the first block's symbol is the brand's name.
-BLOCK = 1_000
+BLOCK = 4_000
 SYMBOL_SQL = f"p_brand || CASE WHEN (p_partkey - 1) // {BLOCK} > 0 THEN '-' || CAST((p_partkey - 1) // {BLOCK} AS BIGINT) ELSE '' END"
 
 
