@@ -7,10 +7,13 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.llm import bloom_lm, chat_format, exact_dedup, html_extract, jaccard_join, language_id, packed_counts, pii, quality_rules, registry, sentencepiece_nbest, source_mix
@@ -222,11 +225,49 @@ def test_mix_follows_the_weights_over_many_periods(spark):
         assert np.abs(np.searchsorted(at[s], t, side="right") - (t + 1) * c**0.5 / total).max() < 1
 
 
-def test_blocks_grow_with_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(source_mix, "MOST_BLOCKS", 10)
-    df = spark.range(2000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source")
-    got = source_mix.mix_sources(df).collect()
-    assert len(got) == 2000 and len({r.mix_slot for r in got}) <= 12 and max(r.mix_rank for r in got) == 255 and len({(r.mix_slot, r.mix_rank) for r in got}) == 2000
+def plain_steps(weights, blocks):
+    """Every slot in turn, asking every source: the released block that is due first, in exact fractions."""
+    share, done, out, slot = [Fraction(w) / sum(map(Fraction, weights)) for w in weights], [0] * len(weights), [], 0
+    while done != list(blocks):
+        open_ = [(math.ceil((done[s] + 1) / w), s) for s, w in enumerate(share) if done[s] < blocks[s] and math.floor(done[s] / w) <= slot]
+        if open_:
+            due, s = min(open_)
+            assert slot < due
+            out.append((s, done[s], slot))
+            done[s] += 1
+        slot += 1
+    return out
+
+
+@given(st.lists(st.tuples(st.floats(0.01, 50), st.integers(0, 40)), max_size=7))
+@settings(max_examples=60, deadline=None)
+def test_schedule_by_brute_force(given_):
+    weights, blocks = [w for w, _ in given_], [b for _, b in given_]
+    assert list(source_mix.steps(weights, blocks)) == plain_steps(weights, blocks)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_mixture_by_brute_force(spark, awkward, monkeypatch, most):
+    """Order of the rows too, with blocks and sources sent to the workers and joined by a shuffle."""
+    monkeypatch.setattr(source_mix, "MOST_SENT", most)
+    for df in (awkward.select("doc_id", "source").filter("doc_id is not null"), table(spark, FOLDER, "documents").select("doc_id", "source")):
+        every = F.xxhash64(*df.columns)
+        rows = df.select("*", F.xxhash64(F.lit(17), "doc_id", every).alias("h"), every.alias("e"), F.pmod(F.shiftright("h", 16), F.greatest(F.lit(1), F.expr("count(*) over (partition by source) div 30"))).alias("b")).collect()
+        per = collections.defaultdict(list)
+        for r in rows:
+            per[r.source].append((r.b, r.h, r.doc_id, r.e))
+        names = sorted(per, key=lambda s: (s is None, s))
+        slot_of = {(names[s], k): slot for s, k, slot in plain_steps([len(per[s]) ** 0.5 for s in names], [-(-len(per[s]) // 4) for s in names])}
+        want = [(d, s, slot_of[s, i // 4], i % 4, i // 4) for s in names for i, (_, _, d, _) in enumerate(sorted(per[s]))]
+        got = source_mix.mix_sources(df, block_rows=4, bucket_rows=30).select("doc_id", "source", "mix_slot", "mix_rank", "mix_block").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_blocks_are_alike_at_every_size(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 4 = 0, 'a', 'b') as source")
+    for n in (2000, 20_000):
+        got = source_mix.mix_sources(df.limit(n)).groupBy("mix_slot").count().collect()
+        assert sum(r["count"] for r in got) == n and len(got) == -(-n // 4 // 64) + -(-(n - n // 4) // 64) and max(r["count"] for r in got) == source_mix.BLOCK_ROWS
 
 
 def test_more_sources_than_slots(spark):
