@@ -17,7 +17,7 @@ the text into its key as well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, lower_az, table
@@ -77,20 +77,21 @@ def _has_clash(docs: DataFrame, norm: Column, key: Column) -> bool:
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with the columns of ``docs``; repeated rows that tie keep one copy.
 
-    Rows meet their winner by id and digest, so those that tie meet there
-    already, in one task, and a hot text's rows are spread by their ids.  Texts that only rows without an id have are
-    left to a branch of their own, which is planned if there are such rows.
+    Rows of one id and text become one where they lie, before they are dealt
+    out by id and digest; the winners come to them there, so a hot text's rows
+    are spread by their ids and the rows travel once.  Texts that only rows
+    without an id have are left to a branch of their own, which is planned if
+    there are such rows.
     """
     given = [F.col(f"`{c}`") for c in docs.columns]
-    d, t, s, i, k, own = fresh(docs.columns, "digest", "norm", "salt", "id", "k", "own")
+    d, t, s, i, own = fresh(docs.columns, "digest", "norm", "salt", "id", "own")
     norm = lower_az(F.coalesce(F.col(text), F.lit("")))
     whole = docs.select(*given, F.sha2(norm, 256).alias(d))
     some = whole.filter(F.col(doc_id).isNotNull())
     salt = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(salts)).cast("int")
     keys = docs.filter(F.col(doc_id).isNotNull()).select(F.sha2(norm, 256).alias(own), norm.alias(t), salt.alias(s), F.col(doc_id).alias(i))
     best = keys.groupBy(own, t, s).agg(F.max(i).alias(i)).groupBy(own, t).agg(F.max(i).alias(i)).select(own, i)
-    first = F.row_number().over(Window.partitionBy(doc_id, d).orderBy(F.lit(0)))
-    out = some.join(best.hint("shuffle_hash"), (F.col(doc_id) == F.col(i)) & (F.col(d) == F.col(own))).withColumn(k, first).filter(F.col(k) == 1).select(*given)
+    out = some.dropDuplicates([doc_id, d]).join(best.hint("shuffle_hash"), (F.col(doc_id) == F.col(i)) & (F.col(d) == F.col(own))).select(*given)
     none = whole.filter(F.col(doc_id).isNull())
     if none.isEmpty():
         return out

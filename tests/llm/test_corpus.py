@@ -173,6 +173,18 @@ def test_columns_of_any_name_pass_through(spark, awkward):
             assert all(r[c] == i for c, i in CLASHING.items() if c not in replaced) and set(own) <= set(out.columns), name
 
 
+def test_repeated_rows_become_one_before_they_are_dealt_out(spark):
+    rows = [(7, "One text", "a"), (9, "one TEXT", "b"), (3, "other", "c"), (3, "Other", "d"), (None, "one text", "e"), (None, "lone", "f"), (None, "lone", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hot = df.unionByName(spark.range(5000).selectExpr("9L as doc_id", "'one TEXT' as text", "'b' as source"))
+    for docs in (df, hot):
+        out = exact_dedup.one_of_each(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "partial_first" in plan and "Window" not in plan
+        got = [tuple(r) for r in out.collect()]
+        assert sorted(x[0] or 0 for x in got) == [0, 3, 9] and all(r in rows for r in got)
+
+
 def test_rows_without_ids_find_their_group(spark):
     rows = [(None if i % 3 else i, "the same text") for i in range(200)] + [(None, "other")] * 5
     got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), salts=4).collect()
