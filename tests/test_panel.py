@@ -531,3 +531,26 @@ def test_importances_and_attributions(training):
     total = got.groupBy("symbol", "bar_date").agg(F.sum("contribution").alias("s"), F.count("*").alias("n")).toPandas().merge(fitted, on=["symbol", "bar_date"])
     assert (total["n"] == 2).all() and np.allclose(total["s"], total["a"] * slope[0] + total["b"] * slope[1], atol=0.01)
     assert all(r.sign == ("+" if r.contribution >= 0 else "-") for r in got.collect())
+
+
+@pytest.fixture
+def counted(spark):
+    """A function that makes a table whose rows are counted whenever they are computed, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(df):
+        def each(parts):
+            for pdf in parts:
+                seen.add(len(pdf))
+                yield pdf
+
+        return df.mapInPandas(each, df.schema)
+
+    return count, seen
+
+
+def test_models_compute_their_rows_once(training, counted):
+    count, seen = counted
+    models.fit(count(training), ["a", "b"], "y", "label")
+    assert seen.value == 360
+    assert models.fit_predict_folds(count(training), ["a", "b"], "y", "label").count() == 360 and seen.value == 720
\ No newline at end of file
