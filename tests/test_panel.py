@@ -553,4 +553,11 @@ def test_models_compute_their_rows_once(training, counted):
     count, seen = counted
     models.fit(count(training), ["a", "b"], "y", "label")
     assert seen.value == 360
-    assert models.fit_predict_folds(count(training), ["a", "b"], "y", "label").count() == 360 and seen.value == 720
\ No newline at end of file
+    assert models.fit_predict_folds(count(training), ["a", "b"], "y", "label").count() == 360 and seen.value == 720
+
+
+def test_revalidation_scores_its_rows_once(training, counted):
+    count, seen = counted
+    m = models.fit(training, ["a", "b"], "y", "label")
+    folds = labels.purged_folds(training.select("bar_date"), n=2, h=2, embargo=2, min_train=20)
+    assert models.revalidate(count(training), m, folds, "y", "label").count() == 2 and seen.value == 360
\ No newline at end of file
