@@ -14,7 +14,7 @@ from ..operators import models as ml
 from ..streaming import stateful as sf
 from ..streaming import stream as st
 from . import fixtures as fx
-from .shared import shared_dir
+from .shared import shared_dir, written
 from .sqlkit import r
 
 
@@ -150,7 +150,8 @@ def ml2(s, d):
 
 def _split(s, d):
     rows, cols = _training(s, d)
-    folds = lb.purged_folds(rows.select("bar_date"), n=4, h=5, embargo=10, min_train=300)
+    rows = written(rows)
+    folds = written(lb.purged_folds(rows.select("bar_date"), n=4, h=5, embargo=10, min_train=300))
     first = folds.agg(F.min("train_end").alias("_end"))  # the first fold's training is in all others' too
     early = rows.crossJoin(F.broadcast(first)).filter(F.col("bar_date") <= F.col("_end")).drop("_end")
     return rows, folds, ml.fit(early, cols, "y", "label", version="early")
