@@ -560,4 +560,18 @@ def test_revalidation_scores_its_rows_once(training, counted):
     count, seen = counted
     m = models.fit(training, ["a", "b"], "y", "label")
     folds = labels.purged_folds(training.select("bar_date"), n=2, h=2, embargo=2, min_train=20)
-    assert models.revalidate(count(training), m, folds, "y", "label").count() == 2 and seen.value == 360
\ No newline at end of file
+    assert models.revalidate(count(training), m, folds, "y", "label").count() == 2 and seen.value == 360
+
+
+def test_calibration_of_repeated_probabilities(spark, counted):
+    from pyspark.ml.regression import IsotonicRegression
+
+    count, seen = counted
+    rng = np.random.default_rng(4)
+    p = rng.integers(0, 9, 400) / 8
+    df = spark.createDataFrame([(int(rng.random() < x), [1 - x, x]) for x in p.tolist()], "label int, probs array<double>")
+    got = models.calibrate(count(df), "probs", "label", 2).collect()
+    assert seen.value == 400
+    plain = df.select(F.element_at("probs", 2).alias("x"), F.col("label").cast("double").alias("y"))
+    want = {r.x: r.z for r in IsotonicRegression(featuresCol="x", labelCol="y", predictionCol="z").fit(plain).transform(plain).collect()}
+    assert len(got) == 400 and all(r.calibrated[1] == pytest.approx(want[r.probs[1]]) for r in got)
\ No newline at end of file
