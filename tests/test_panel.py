@@ -574,4 +574,10 @@ def test_calibration_of_repeated_probabilities(spark, counted):
     assert seen.value == 400
     plain = df.select(F.element_at("probs", 2).alias("x"), F.col("label").cast("double").alias("y"))
     want = {r.x: r.z for r in IsotonicRegression(featuresCol="x", labelCol="y", predictionCol="z").fit(plain).transform(plain).collect()}
-    assert len(got) == 400 and all(r.calibrated[1] == pytest.approx(want[r.probs[1]]) for r in got)
\ No newline at end of file
+    assert len(got) == 400 and all(r.calibrated[1] == pytest.approx(want[r.probs[1]]) for r in got)
+
+
+def test_importances_compute_their_rows_once(training, counted):
+    count, seen = counted
+    models.feature_importance(count(training), ["a", "b"], "y")
+    assert seen.value == 360
\ No newline at end of file
