@@ -580,4 +580,9 @@ def test_calibration_of_repeated_probabilities(spark, counted):
 def test_importances_compute_their_rows_once(training, counted):
     count, seen = counted
     models.feature_importance(count(training), ["a", "b"], "y")
-    assert seen.value == 360
\ No newline at end of file
+    assert seen.value == 360
+
+
+def test_attributions_compute_their_rows_once(training, counted):
+    count, seen = counted
+    assert models.top_k_attribution(count(training), ["symbol", "bar_date"], ["a", "b"], "y").count() == 720 and seen.value == 360
