@@ -65,11 +65,11 @@ def tx9(s, d):
 
 
 def arrivals(spark, df, part, path, n=4):
-    """``df`` as a file stream that arrives in ``n`` parts, null parts first: a stream to run again after each."""
-    part = F.coalesce(part, F.lit(0))
+    """``df`` as a file stream that arrives in ``n`` parts, null parts first: a stream to run again after each; ``df`` is computed once."""
+    df = written(df.withColumn("_part", F.coalesce(part, F.lit(0))))
     for k in range(n):
-        df.filter(part == k).write.mode("append").parquet(f"{path}/in")
-        yield spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        df.filter(F.col("_part") == k).drop("_part").write.mode("append").parquet(f"{path}/in")
+        yield spark.readStream.schema(df.drop("_part").schema).parquet(f"{path}/in")
 
 
 def st1(s, d):
@@ -97,7 +97,8 @@ def st3(s, d):
     """Events as writes of a user's value of the day, in four parts one after the other."""
     e = fx.table(s, d, "events").select(F.col("user_id").alias("key"), F.to_date("ts").alias("as_of"), "value", F.struct("ts", "event_id").alias("n"), F.col("ts").cast("timestamp").alias("created_at"))
     one, path = e.groupBy("key", "as_of", "created_at").agg(F.max_by("value", "n").alias("value")), shared_dir(s)
-    first, last = e.agg(F.min("created_at"), F.max("created_at")).first()
+    one = written(one)
+    first, last = one.agg(F.min("created_at"), F.max("created_at")).first()
     share = (F.col("created_at").cast("double") - first.timestamp()) / (last.timestamp() - first.timestamp() + 1)
     for writes in arrivals(s, one, F.floor(share * 4), path):
         out = sf.stream_snapshots(writes, f"{path}/shown", f"{path}/checkpoint")
