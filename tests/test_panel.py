@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from barloom.functions import features as f
 from barloom.functions import panel, recursion, series
 from barloom.functions import panel_features as pf
+from barloom.functions.windows import average_rank, pct_rank
 from barloom.operators import asof, clean, evaluate, keyed, labels, models, pit
 from barloom.operators.keyed_table import KeyedTable
 from barloom.operators import portfolio as po
-from barloom.operators.shared import written
+from barloom.operators.shared import by_rows, written
 from barloom.plans.q_features import NAMES, columns
 from barloom.sources import bars
 from barloom.streaming import stream
@@ -586,3 +587,16 @@ def test_importances_compute_their_rows_once(training, counted):
 def test_attributions_compute_their_rows_once(training, counted):
     count, seen = counted
     assert models.top_k_attribution(count(training), ["symbol", "bar_date"], ["a", "b"], "y").count() == 720 and seen.value == 360
+
+
+def test_ranks_take_one_order_a_column(spark):
+    df = spark.createDataFrame([(1, 3.0), (1, 1.0), (1, 3.0), (1, None), (1, float("nan")), (2, None)], "bar_date int, x double")
+    out = df.select("bar_date", "x", pct_rank("x", "bar_date").alias("r"), average_rank("x", "bar_date").alias("a"))
+    assert sorted((r.r, r.a) for r in out.collect() if r.r is not None) == [(0.25, 1.0), (0.625, 2.5), (0.625, 2.5), (1.0, 4.0)] and out.filter("r is null").count() == 2
+    assert df.select(pct_rank("x", "bar_date"))._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_rows_are_dealt_out_to_more_tasks_as_they_grow(spark):
+    df = written(spark.range(1000).withColumn("bar_date", F.col("id") % 50))
+    assert by_rows(df, "bar_date", rows=100).rdd.getNumPartitions() == 10 and by_rows(df, "bar_date").rdd.getNumPartitions() == 4
+    assert by_rows(df, "bar_date", rows=100).count() == 1000
\ No newline at end of file
