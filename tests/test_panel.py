@@ -599,4 +599,13 @@ def test_ranks_take_one_order_a_column(spark):
 def test_rows_are_dealt_out_to_more_tasks_as_they_grow(spark):
     df = written(spark.range(1000).withColumn("bar_date", F.col("id") % 50))
     assert by_rows(df, "bar_date", rows=100).rdd.getNumPartitions() == 10 and by_rows(df, "bar_date").rdd.getNumPartitions() == 4
-    assert by_rows(df, "bar_date", rows=100).count() == 1000
\ No newline at end of file
+    assert by_rows(df, "bar_date", rows=100).count() == 1000
+
+
+def test_a_batch_is_computed_once_and_its_parts_lie_together(spark, tmp_path, counted):
+    count, seen = counted
+    table = KeyedTable(spark, f"file://{tmp_path}", "k long, v long", F.col("k") % 3)
+    rows = spark.range(600).select(F.col("id").alias("k"), F.col("id").alias("v")).repartition(4)
+    table.upsert(count(rows), 0, ["k"], ["v"])
+    assert seen.value == 600 and table.read().count() == 600
+    assert len(list(tmp_path.glob("data/*/_part=*/*.parquet"))) == 3
