@@ -609,3 +609,12 @@ def test_a_batch_is_computed_once_and_its_parts_lie_together(spark, tmp_path, co
     table.upsert(count(rows), 0, ["k"], ["v"])
     assert seen.value == 600 and table.read().count() == 600
     assert len(list(tmp_path.glob("data/*/_part=*/*.parquet"))) == 3
+
+
+def test_the_training_panel_is_computed_once(spark, counted, monkeypatch):
+    from barloom.plans import q_eval
+
+    count, seen = counted
+    rows = spark.createDataFrame([(f"S{i}", dt.date(1996 + i % 3, 1, 1 + i), float(i)) for i in range(9)], "symbol string, bar_date date, x double")
+    monkeypatch.setattr(q_eval, "_train", lambda s, d: count(rows))
+    assert q_eval.snk3(spark, "").count() == 9 and seen.value == 9
