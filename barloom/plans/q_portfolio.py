@@ -11,6 +11,7 @@ from ..operators import portfolio as pf
 from ..operators import predictions as pr
 from . import fixtures as fx
 from .q_features import PRICE_SQL, ewm_sql, full
+from .shared import written
 from .sqlkit import lag, last_n, r, rs
 
 DAY = "1999-06-30"
@@ -43,8 +44,9 @@ def num():
 def lots(spark, d):
     """The best five of a date by conviction: (symbol, as_of, bar_date, score, weight, qty, price, side)."""
     w = Window.partitionBy("as_of").orderBy(F.desc("score"), "symbol")
-    p = fx.predictions(spark, d).withColumn("score", pr.conviction()).withColumn("k", F.row_number().over(w)).filter("k <= 5")
-    b = fx.bars(spark, d).select("symbol", F.col("bar_date").alias("as_of"), F.col("close").alias("price"))
+    b = fx.bars(spark, d)
+    p = fx.predictions(spark, d, b).withColumn("score", pr.conviction()).withColumn("k", F.row_number().over(w)).filter("k <= 5")
+    b = b.select("symbol", F.col("bar_date").alias("as_of"), F.col("close").alias("price"))
     j = p.join(b, ["symbol", "as_of"]).withColumns({"weight": 1.0 / F.col("k"), "qty": (1 + num() % 4).cast("long"), "side": F.when(num() % 5 == 0, "short").otherwise("long"), "bar_date": F.col("as_of")})
     return j.select("symbol", "as_of", "bar_date", "score", "weight", "qty", "price", "side")
 
@@ -56,7 +58,7 @@ def open_lots(spark, d):
 
 def trades(spark, d):
     """An opening row per lot, and a closing row nine days later for those of even days."""
-    x = lots(spark, d).select(F.concat("symbol", F.lit("-"), F.date_format("as_of", "yyyyMMdd")).alias("lot_id"), "symbol", "as_of", "price", "qty")
+    x = written(lots(spark, d).select(F.concat("symbol", F.lit("-"), F.date_format("as_of", "yyyyMMdd")).alias("lot_id"), "symbol", "as_of", "price", "qty"))  # read for openings, closings and their pairs
     o = x.select("lot_id", "symbol", F.lit("open").alias("kind"), F.col("as_of").alias("trade_date"), "price", F.lit(None).cast("double").alias("pnl"))
     c = x.filter("dayofmonth(as_of) % 2 = 0").select("lot_id", "symbol", F.lit("close").alias("kind"), F.date_add("as_of", 9).alias("trade_date"), (F.col("price") * 1.01).alias("price"), (F.col("price") * 0.01 * F.col("qty")).alias("pnl"))
     return o.unionByName(c)

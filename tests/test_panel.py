@@ -618,3 +618,29 @@ def test_the_training_panel_is_computed_once(spark, counted, monkeypatch):
     rows = spark.createDataFrame([(f"S{i}", dt.date(1996 + i % 3, 1, 1 + i), float(i)) for i in range(9)], "symbol string, bar_date date, x double")
     monkeypatch.setattr(q_eval, "_train", lambda s, d: count(rows))
     assert q_eval.snk3(spark, "").count() == 9 and seen.value == 9
+
+
+def test_bars_by_hash_are_those_of_the_whole_order(spark):
+    from barloom.plans import fixtures as fx
+
+    rng = np.random.default_rng(8)
+    big, rows = 1 << 40, []
+    for i in range(400):  # few order keys and lines: many stand twice, with different prices
+        key = [None, big, -1, *range(5)][rng.integers(0, 8)] if i % 4 == 0 else int(rng.integers(0, 5))
+        rows.append((f"S{i % 3}" if i % 50 else None, day(i % 7), float(rng.integers(1, 90)), key, int(rng.integers(0, 90 if i % 9 == 0 else 3)), int(rng.integers(0, 3)), int(rng.integers(0, 3)), float(i), float(rng.integers(1, 5))))
+    t = spark.createDataFrame(rows, "symbol string, bar_date date, price double, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double")
+    want = t.groupBy("symbol", "bar_date").agg(*fx._ohlcv())
+    got = fx.bars_of(t)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plain = t.filter("l_orderkey between 0 and 4").withColumn("l_orderkey", F.col("l_quantity").cast("long")).withColumn("l_linenumber", F.lit(1))
+    assert sorted(map(str, fx.bars_of(plain).collect())) == sorted(map(str, plain.groupBy("symbol", "bar_date").agg(*fx._ohlcv()).collect()))
+
+
+def test_lots_are_computed_once_for_all_trades(spark, counted, monkeypatch):
+    from barloom.operators import portfolio
+    from barloom.plans import q_portfolio
+
+    count, seen = counted
+    lots = spark.createDataFrame([(f"S{i}", day(i), 10.0 + i, i + 1) for i in range(9)], "symbol string, as_of date, price double, qty int")
+    monkeypatch.setattr(q_portfolio, "lots", lambda s, d: count(lots))
+    assert portfolio.trade_pairs(q_portfolio.trades(spark, "")).count() >= 9 and seen.value == 9
