@@ -644,3 +644,30 @@ def test_lots_are_computed_once_for_all_trades(spark, counted, monkeypatch):
     lots = spark.createDataFrame([(f"S{i}", day(i), 10.0 + i, i + 1) for i in range(9)], "symbol string, as_of date, price double, qty int")
     monkeypatch.setattr(q_portfolio, "lots", lambda s, d: count(lots))
     assert portfolio.trade_pairs(q_portfolio.trades(spark, "")).count() >= 9 and seen.value == 9
+
+
+def test_volume_and_momentum_take_their_windows_from_the_blocks(spark):
+    bars = spark.createDataFrame(walk(2, 60))
+    for group in ("volume", "momentum"):
+        plan = f.GROUPS[group](f.prepared(bars, [group]))._jdf.queryExecution().optimizedPlan().toString()
+        assert "stddev" not in plan and "specifiedwindowframe(RowFrame, -19, currentrow" not in plan and "specifiedwindowframe(RowFrame, -13, currentrow" not in plan
+
+
+def test_volume_by_plain_loops(spark):
+    bars = walk(1, 70)
+    got = f.volume(f.prepared(spark.createDataFrame(bars), ["volume"])).orderBy("bar_date").toPandas()
+    c, v, h, lo = (bars[n].to_numpy(float) for n in ("close", "volume", "high", "low"))
+    obv = np.cumsum(np.sign(np.diff(c, prepend=c[0])) * v)
+    tp = (h + lo + c) / 3
+    step = np.diff(tp, prepend=tp[0])
+    for i in (18, 19, 40, 69):
+        w, m = slice(i - 19, i + 1), slice(i - 13, i + 1)
+        r = got.iloc[i]
+        if i < 19:
+            assert np.isnan(r.volume__obv_slope_20) and np.isnan(r.volume__volume_zscore_20)
+            continue
+        assert r.volume__obv_slope_20 == pytest.approx(np.polyfit(np.arange(20), obv[w], 1)[0])
+        assert r.volume__obv_zscore_20 == pytest.approx((obv[i] - obv[w].mean()) / obv[w].std(ddof=1))
+        assert r.volume__vwap_deviation_20 == pytest.approx(c[i] / ((c * v)[w].sum() / v[w].sum()) - 1)
+        up, down = ((tp * v)[m][s].sum() for s in (step[m] > 0, step[m] < 0))
+        assert r.volume__mfi_14 == pytest.approx(100 - 100 / (1 + up / down))
