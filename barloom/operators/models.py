@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .evaluate import daily_rank_ic
 from .labels import assign_folds
 from .ordered import Cut
-from .shared import written
+from .shared import by_rows, written
 
 
 def _prepared(columns: list[str]) -> list:
@@ -133,8 +133,8 @@ def calibrate(rows: DataFrame, probs: str, label: str, n: int, *, cut: Cut = wri
 
 
 def feature_importance(rows: DataFrame, columns: list[str], y: str, *, cut: Cut = written) -> DataFrame:
-    """(feature, importance) of a boosted model, largest first; ``cut`` writes the columns it learns from, which trees read many times."""
-    rows = cut(_narrow(rows, columns, y))
+    """(feature, importance) of a boosted model, largest first; ``cut`` writes the columns it learns from, which trees read many times, in tasks of about as many rows however many there are."""
+    rows = by_rows(cut(_narrow(rows, columns, y)))
     model = Pipeline(stages=[*_prepared(columns), GBTRegressor(featuresCol="_x", labelCol=y, maxIter=5, maxDepth=3, seed=7)]).fit(rows)
     gains = model.stages[-1].featureImportances.toArray().tolist()
     return rows.sparkSession.createDataFrame(list(zip(columns, gains, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
@@ -145,7 +145,7 @@ def top_k_attribution(rows: DataFrame, keys: list[str], columns: list[str], y: s
     rows = cut(_narrow(rows, [*keys, *columns], y))
     model = Pipeline(stages=[*_prepared(columns), LinearRegression(featuresCol="_x", labelCol=y)]).fit(rows)
     weights = model.stages[-1].coefficients.toArray().tolist()
-    x = vector_to_array("_x")
+    x = [F.col(f"_f{i}") for i in range(len(columns))]
     items = F.array(*[F.struct(F.abs(x[i] * w).alias("size"), F.lit(c).alias("feature"), (x[i] * w).alias("contribution")) for i, (c, w) in enumerate(zip(columns, weights, strict=True))])
     best = F.slice(F.sort_array(items, asc=False), 1, k)
     out = model.transform(rows).select(*keys, F.posexplode(best).alias("rank", "x"))

@@ -14,7 +14,7 @@ from ..operators import models as ml
 from ..streaming import stateful as sf
 from ..streaming import stream as st
 from . import fixtures as fx
-from .shared import shared_dir, written
+from .shared import by_rows, shared_dir, written
 from .sqlkit import r
 
 
@@ -130,7 +130,7 @@ def ud2(s, d):
 
 
 def _training(s, d):
-    b = f.microstructure(f.price(fx.bars(s, d)))
+    b = f.microstructure(f.price(by_rows(fx.bars(s, d), "symbol")))
     w = f.symbol()
     cols = ["price__log_return_1d", "price__log_return_5d", "microstructure__close_location", "microstructure__gap_pct"]
     y = F.ln(F.lead("close", 5).over(w) / F.col("close"))
@@ -144,7 +144,7 @@ def ml1(s, d):
 
 
 def ml2(s, d):
-    p = fx.predictions(s, d).filter("realized_return is not null").withColumn("label", F.when(F.col("realized_return") > 0.3, 2).when(F.col("realized_return") < -0.3, 0).otherwise(1))
+    p = fx.predictions(s, d, by_rows(fx.bars(s, d), "symbol")).filter("realized_return is not null").withColumn("label", F.when(F.col("realized_return") > 0.3, 2).when(F.col("realized_return") < -0.3, 0).otherwise(1))
     p = p.withColumn("probs", F.array(F.col("bot_p") / 2, F.lit(0.5), F.col("top_p") / 2))
     return ml.calibrate(p.select("symbol", "as_of", "label", "probs"), "probs", "label", 3)
 

@@ -671,3 +671,9 @@ def test_volume_by_plain_loops(spark):
         assert r.volume__vwap_deviation_20 == pytest.approx(c[i] / ((c * v)[w].sum() / v[w].sum()) - 1)
         up, down = ((tp * v)[m][s].sum() for s in (step[m] > 0, step[m] < 0))
         assert r.volume__mfi_14 == pytest.approx(100 - 100 / (1 + up / down))
+
+
+def test_importances_read_rows_in_even_tasks(training, monkeypatch):
+    parts = []
+    monkeypatch.setattr(models, "by_rows", lambda df: parts.append(1) or df.repartition(7))
+    assert models.feature_importance(training, ["a", "b"], "y").count() == 2 and parts == [1]
