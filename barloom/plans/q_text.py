@@ -83,7 +83,8 @@ def st1(s, d):
 
 def st2(s, d):
     """Bars and predictions arrive year by year, each run a restart."""
-    b, p, path = fx.bars(s, d).select("symbol", "bar_date", "close"), fx.predictions(s, d).select("symbol", "as_of"), shared_dir(s)
+    b, path = fx.bars(s, d), shared_dir(s)
+    b, p = b.select("symbol", "bar_date", "close"), fx.predictions(s, d, b).select("symbol", "as_of")
 
     def years(c):
         return F.when(F.year(c) <= 1995, 0).when(F.year(c) <= 1996, 1).when(F.year(c) <= 1997, 2).otherwise(3)
