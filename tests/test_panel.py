@@ -677,3 +677,14 @@ def test_importances_read_rows_in_even_tasks(training, monkeypatch):
     parts = []
     monkeypatch.setattr(models, "by_rows", lambda df: parts.append(1) or df.repartition(7))
     assert models.feature_importance(training, ["a", "b"], "y").count() == 2 and parts == [1]
+
+
+def test_only_benchmarks_meet_the_panel(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(pf, "written", lambda df: rows.append(df) or written(df))
+    p = spark.createDataFrame([(f"S{i}", day(d), float(i + d)) for i in range(4) for d in range(3)], "symbol string, bar_date date, x double")
+    p = p.select("symbol", "bar_date", *[F.col("x").alias(c) for c in pf.RESIDUALS.values()])
+    of = spark.createDataFrame([("S0", "S1"), ("S1", "S1"), ("S2", None), ("S3", "gone")], "symbol string, benchmark string")
+    got = {(r.symbol, r.bar_date): r.sector_residual__resid_log_return_5d for r in pf.sector_residual(p, of).collect()}
+    assert len(got) == 12 and got["S0", day(2)] == -1.0 and got["S1", day(0)] == 0.0 and got["S2", day(0)] is None and got["S3", day(0)] is None
+    assert rows[0].select("benchmark").distinct().collect()[0].benchmark == "S1" and rows[0].count() == 3
