@@ -688,3 +688,38 @@ def test_only_benchmarks_meet_the_panel(spark, monkeypatch):
     got = {(r.symbol, r.bar_date): r.sector_residual__resid_log_return_5d for r in pf.sector_residual(p, of).collect()}
     assert len(got) == 12 and got["S0", day(2)] == -1.0 and got["S1", day(0)] == 0.0 and got["S2", day(0)] is None and got["S3", day(0)] is None
     assert rows[0].select("benchmark").distinct().collect()[0].benchmark == "S1" and rows[0].count() == 3
+
+
+def test_no_wide_panel_is_written(spark):
+    seen = []
+
+    def cut(df):
+        seen.append(panel.feature_columns(df))
+        return written(df)
+
+    bars = spark.createDataFrame(walk(2, 60))
+    reg = panel.default_registry()
+    assert panel.build_panel(bars, registry=reg, cut=cut).count() == 120 and seen == [[]]
+    reg.register("panel", "last", lambda p, t: p.withColumn("last__n", F.lit(1.0)))  # a user's group of the whole panel has it written
+    out = panel.build_panel(bars, registry=reg, cut=cut)
+    assert out.filter("last__n = 1").count() == 120 and len(seen) == 3 and "interactions__rsi14_x_vix_z" in seen[2]
+
+
+def test_groups_read_what_groups_before_them_made(spark):
+    bars = spark.createDataFrame(walk(2, 30))
+    reg = panel.Registry()
+    reg.register("panel", "a", lambda p, t: p.withColumn("a__x", F.col("close") * 2), reads=(), strict=True)
+    reg.register("panel", "b", lambda p, t: p.withColumn("b__x", F.col("a__x") + 1), reads=("a__x",), strict=True)
+    out = panel.build_panel(bars, registry=reg)
+    assert panel.feature_columns(out) == ["a__x", "b__x"] and out.filter("b__x = 2 * close + 1").count() == 60
+
+
+def test_queries_make_their_bars_once(spark, monkeypatch):
+    from barloom.plans import fixtures as fx, q_eval, q_panel, q_portfolio, q_text
+
+    calls, bars = [], fx.bars
+    monkeypatch.setattr(fx, "bars", lambda s, d: calls.append(1) or bars(s, d))
+    for query in (q_eval.lb3, q_panel.sv_features, q_panel.sr_residual, q_text.ml2, lambda s, d: q_portfolio.trades(s, d)):
+        calls.clear()
+        query(spark, "/root/testdata/sf0.001")
+        assert len(calls) == 1
