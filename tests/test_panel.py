@@ -1,6 +1,7 @@
 """Hand-computed values, causality, idempotence."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -723,3 +724,56 @@ def test_queries_make_their_bars_once(spark, monkeypatch):
         calls.clear()
         query(spark, "/root/testdata/sf0.001")
         assert len(calls) == 1
+
+
+def some_groups():
+    """A registry with the symbol groups that the panel groups read."""
+    reg = panel.default_registry()
+    for name in ("volatility", "microstructure", "market_structure", "volume_profile", "swings"):
+        reg.remove("symbol", name)
+    return reg
+
+
+def test_only_narrow_rows_are_exchanged(spark):
+    bars = spark.createDataFrame(walk(3, 60))
+    mem = spark.createDataFrame([("U", "S0", "X", day(0), None)], "universe string, symbol string, exchange string, start_date date, end_date date")
+    out = panel.build_panel(bars, registry=some_groups(), membership=mem)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[symbol#\d+, bar_date", plan)  # nothing is joined to the panel by symbol and date, for which Spark exchanges both sides by the two
+    top = plan.split("FlatMapGroupsInArrow")[0]
+    assert "FlatMapGroupsInArrow" in plan and "Exchange hashpartitioning(symbol" not in top
+    got = out.select("symbol", "price__log_return_1d", "regime__market_return_1d", "cross_sectional__xs_rank_rsi_14").collect()
+    assert len(got) == 180 and all((r.regime__market_return_1d is None) == (r.symbol != "S0" or r.price__log_return_1d is None) for r in got)
+    assert sum(r.cross_sectional__xs_rank_rsi_14 is not None for r in got) == 60 - 14
+
+
+def test_a_panel_is_the_same_by_all_ways(spark, monkeypatch):
+    rows = walk(3, 60)
+    rows.loc[(rows["symbol"] == "S1") & (rows["bar_date"] == day(40)), "volume"] = np.nan
+    rows.loc[(rows["symbol"] == "S2") & (rows["bar_date"] == day(59)), "symbol"] = None
+    bars = spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "symbol string, bar_date date, open double, high double, low double, close double, volume double")
+    reg = some_groups()
+    reg.register("panel", "own", lambda p, t: p.withColumn("own__x", F.col("regime__market_return_1d") * F.col("close")), reads=("regime__market_return_1d",), strict=True)
+    whole = panel.build_panel(bars, registry=reg)
+    cols = panel.feature_columns(whole)
+    found = lambda df: sorted(map(repr, df.select("symbol", "bar_date", *[F.round(c, 7).alias(c) for c in cols]).collect()))
+    first = found(whole)
+    lost = whole.filter("symbol is null").collect()[0]
+    assert len(first) == 180 and whole.filter("own__x is not null").count() == 176 and lost.own__x is None and lost.regime__market_return_1d is None
+    monkeypatch.setattr(series, "SIZE", 10)  # as if series were longer than a block
+    assert found(panel.build_panel(bars, registry=reg)) == first
+    reg.register("symbol", "theirs", lambda b, t: b.withColumn("theirs__x", F.lit(1.0)))  # a user's group
+    assert found(panel.build_panel(bars, registry=reg)) == first
+
+
+def test_pass_in_place(spark):
+    rows = walk(2, 300)
+    rows.loc[(rows["symbol"] == "S1") & (rows["bar_date"] < day(20)), "high"] = np.nan
+    bars = spark.createDataFrame(rows.sample(frac=1, random_state=1)).withColumn("held", F.struct("close", "symbol"))
+    bars = bars.withColumn("high", F.when(~F.isnan("high"), F.col("high")))
+    here = series.in_place(bars.repartition(3, "symbol"), recursion.COLUMNS).toPandas().sort_values(["symbol", "bar_date"])
+    there = series.sequential(bars.drop("held"), recursion.COLUMNS).toPandas().sort_values(["symbol", "bar_date"])
+    assert [r.close for r in here["held"]] == list(here["close"])
+    pd.testing.assert_frame_equal(here.drop(columns="held").reset_index(drop=True), there[[c for c in here.columns if c != "held"]].reset_index(drop=True))
+    for _, one in here.groupby("symbol"):
+        np.testing.assert_array_equal((one["macd"] - one["macd_signal"]).to_numpy()[:-1], one["gap_before"].to_numpy()[1:])
